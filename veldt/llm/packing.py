@@ -16,6 +16,7 @@ as many steps as a bin has pieces. It doesn't grow with the corpus and is checke
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 
 import numpy as np
@@ -28,7 +29,7 @@ from veldt.llm._store import materialize, small_batches
 CAPACITY = 4096
 END_ID = 1
 SALTS = 64
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 MAX_RUNS = 4_000_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -116,40 +117,51 @@ def _open(tree: TightestOpen, classes: dict, room: int, first: int, n: int) -> N
         tree.set(room, True)
 
 
-def token_bytes(tokenizer_path: str, cache_words: int = CACHE_WORDS):
-    """A function from texts to their ids as little-endian unsigned 32-bit bytes.
+class WordTokens:
+    """Ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer's white space never joins two tokens, so texts are split at ASCII white
-    space and each distinct word is encoded once; the cache is emptied when it is full.
+    space and each distinct word is encoded once. Words stay known for the later tasks of
+    a Python worker, CACHE_WORDS at most: a full cache is emptied, results stay the same.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    known: dict[bytes, bytes] = {}
+    _loaded: dict[str, WordTokens] = {}
 
-    def encode(texts: list[bytes]) -> list[bytes]:
+    @classmethod
+    def of(cls, path: str) -> WordTokens:
+        if path not in cls._loaded:
+            cls._loaded[path] = cls(path)
+        return cls._loaded[path]
+
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.cache_words = cache_words
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        known = self.known
         split = [t.split() for t in texts]
-        if len(known) > cache_words:
-            known.clear()
         fresh = set()
         for w in split:
             fresh.update(w)
+        if len(known) > self.cache_words:
+            known.clear()
         fresh = list(fresh.difference(known))
         for k in range(0, len(fresh), 20_000):
             part = fresh[k : k + 20_000]
-            for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                known[w] = struct.pack(f"<{len(e)}I", *e.ids)
         return [b"".join([known[x] for x in w]) for w in split]
 
-    return encode
-
 
 def _pieces(tokenizer_path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode = token_bytes(tokenizer_path)
+        encode = WordTokens.of(tokenizer_path).encode
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = batch.column(1).cast(pa.binary())
