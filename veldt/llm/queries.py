@@ -81,7 +81,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
     """Learnt from the labelled rows whose crc32(doc_id) mod 5 isn't 0."""
     labels = table(spark, sf_dir, "labels").where(crc_bucket(F.col("doc_id"), 5) != 0).select("doc_id", "toxic")
-    return toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.fit(docs.select("doc_id", "text"), labels)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

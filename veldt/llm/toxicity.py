@@ -224,16 +224,19 @@ def fit_layer(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
     return w.tolist()
 
 
-def fit(labelled: DataFrame, text_column: str = "text", id_column: str = "doc_id", label_column: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
-    """Learn a model from labelled texts (null labels don't count).
+def fit(docs: DataFrame, labels: DataFrame, text_column: str = "text", id_column: str = "doc_id", label_column: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
+    """Learn a model from the texts of labelled ids (null labels and ids don't count).
 
-    Without labels of both kinds the model has fixed arcs only and a low prior.
+    The sample is chosen among the labels, so its ids are few enough to broadcast and no text
+    is shuffled to find it. Without labels of both kinds the model has fixed arcs only and a
+    low prior.
     """
-    spark = labelled.sparkSession
-    small_batches(spark)
-    rows = labelled.where(F.col(label_column).isNotNull()).select(F.coalesce(F.col(text_column), F.lit("")).alias("text"), (F.col(label_column) > 0).cast("int").alias("toxic"), F.xxhash64(F.col(id_column)).alias("_h"))
-    sample = rows.where("toxic = 1").orderBy("_h").limit(max_toxic).unionByName(rows.where("toxic = 0").orderBy("_h").limit(max_clean))
-    sample = materialize(sample.select("text", "toxic").repartition(16), "labelled")
+    small_batches(docs.sparkSession)
+    rows = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), (F.col(label_column) > 0).cast("int").alias("toxic"))
+    rows = rows.groupBy("_id").agg(F.max("toxic").alias("toxic")).withColumn("_h", F.xxhash64("_id"))
+    chosen = rows.where("toxic = 1").orderBy("_h", "_id").limit(max_toxic).unionByName(rows.where("toxic = 0").orderBy("_h", "_id").limit(max_clean))
+    sample = docs.join(F.broadcast(chosen), docs[id_column] == F.col("_id")).select(F.coalesce(F.col(text_column), F.lit("")).alias("text"), "toxic")
+    sample = materialize(sample.repartition(16), "labelled")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     model = Model()
