@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch; a batch of very long texts stays small enough for a worker.
 BATCH_ROWS = 1000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -1,7 +1,7 @@
 """Language-model scoring: a bigram model in a log-frequency Bloom filter, over exact unigram counts.
 
-Texts become blocks of token numbers with a sorted vocabulary of 64-bit hashes, written
-once. Counts are gathered by hash segment: each block sends its slice of (hash, count)
+Texts become blocks of token numbers with a vocabulary of 64-bit hashes, most frequent
+first, written once; numbers are kept as compressed byte planes. Counts are gathered by hash segment: each block sends its slice of (hash, count)
 to the segment's owner, which adds up and answers, so no vocabulary is ever held whole.
 
 Bigram counts c are quantised to levels 1 + floor(log2 c). A bigram of level q is put into
@@ -17,6 +17,7 @@ base; a quantised count is never above the true one, so the sum over w stays wit
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from veldt.llm._bytes import NOT_SPACE, mix, run_hashes, text_chunks, words
 from veldt.llm._store import fresh_path, materialize, small_batches
 
-BLOCK_TOKENS = 600_000
+BLOCK_TOKENS = 400_000
 BITS_PER_TOKEN = 4
 MAX_BITS = 1 << 30
 MIN_BITS = 1 << 16
@@ -40,6 +41,16 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = "block long, doc_ids array<long>, train array<boolean>, lengths array<int>, train_tokens long, vocabulary binary, tokens binary"
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as compressed byte planes."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def _blocks(batches):
     held: list[np.ndarray] = []
     ids: list = []
@@ -50,9 +61,12 @@ def _blocks(batches):
 
     def flush():
         nonlocal held, ids, train, lengths, total, count
-        vocabulary, tokens = np.unique(np.concatenate(held), return_inverse=True)
+        vocabulary, tokens, often = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        order = np.argsort(-often, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
         n = sum(x for x, t in zip(lengths, train) if t)
-        row = [[base + count], [ids], [train], [lengths], [n], [vocabulary.tobytes()], [tokens.astype(np.uint32).tobytes()]]
+        row = [[base + count], [ids], [train], [lengths], [n], [vocabulary[order].tobytes()], [squeezed(rank[tokens])]]
         types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary())
         out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], names=[x.split()[0] for x in _BLOCK.split(", ")])
         held, ids, train, lengths, total, count = [], [], [], [], 0, count + 1
@@ -85,7 +99,7 @@ def token_blocks(docs: DataFrame, train: Column, id_column: str = "doc_id", text
 
 
 def _arrays(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row["vocabulary"], np.uint64), np.frombuffer(row["tokens"], np.uint32), np.asarray(row["lengths"])
+    return np.frombuffer(row["vocabulary"], np.uint64), unsqueezed(row["tokens"]), np.asarray(row["lengths"])
 
 
 def bigram_hashes(token_hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -115,7 +129,8 @@ def _send(segments: int, bigrams: bool):
                 if bigrams:
                     keys, counts = np.unique(bigram_hashes(vocabulary[tokens], lengths)[learnt], return_counts=True)
                 else:
-                    keys, counts = vocabulary, np.bincount(tokens[learnt], minlength=len(vocabulary))
+                    order = np.argsort(vocabulary)
+                    keys, counts = vocabulary[order], np.bincount(tokens[learnt], minlength=len(vocabulary))[order]
                 bounds = _slices(keys, segments)
                 bounds[-1] = len(keys)
                 sent, held, amounts = [], [], []
@@ -143,10 +158,11 @@ def _answer(table: pa.Table) -> pa.Table:
     unique, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, np.concatenate(counts), len(unique)).astype(np.int64)
     ends = np.cumsum([len(k) for k in keys])
-    answers = [x.astype(np.int64).tobytes() for x in np.split(total[at], ends[:-1])]
+    width = "<u4" if total.max(initial=0) < 1 << 32 else "<u8"
+    answers = [x.tobytes() for x in np.split(total.astype(width)[at], ends[:-1])]
     n = len(keys)
     known, tokens = int((total > 0).sum()), int(total.sum())
-    return pa.table({"segment": table["segment"], "block": table["block"], "counts": pa.array(answers, pa.binary()), "known": pa.array([known] + [0] * (n - 1), pa.int64()), "tokens": pa.array([tokens] + [0] * (n - 1), pa.int64())})
+    return pa.table({"segment": table["segment"], "block": table["block"], "counts": pa.array(answers, pa.binary()), "width": pa.array([int(width[-1])] * n, pa.int32()), "known": pa.array([known] + [0] * (n - 1), pa.int64()), "tokens": pa.array([tokens] + [0] * (n - 1), pa.int64())})
 
 
 def positions(keys48: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
@@ -225,7 +241,7 @@ def train(blocks: DataFrame, mu: float = MU) -> tuple[Model, DataFrame]:
     facts = blocks.agg(F.count("*").alias("blocks"), F.sum("train_tokens").alias("tokens"), F.sum(learnt).alias("texts")).first()
     segments = 1 << max(0, int((facts["blocks"] or 1) // 4).bit_length())
     rows = blocks.select("block", "train", "lengths", "vocabulary", "tokens")
-    answers = materialize(rows.mapInArrow(_send(segments, False), _SENT).groupBy("segment").applyInArrow(_answer, "segment int, block long, counts binary, known long, tokens long"), "answers")
+    answers = materialize(rows.mapInArrow(_send(segments, False), _SENT).groupBy("segment").applyInArrow(_answer, "segment int, block long, counts binary, width int, known long, tokens long"), "answers")
     sums = answers.agg(F.sum("known").alias("known"), F.sum("tokens").alias("tokens")).first()
     tokens = sums["tokens"] or 0
     slice_bits = -(-min(max(BITS_PER_TOKEN * tokens, MIN_BITS), MAX_BITS) // segments // 8) * 8
@@ -234,7 +250,7 @@ def train(blocks: DataFrame, mu: float = MU) -> tuple[Model, DataFrame]:
     slices = {r["segment"]: bytes(r["bits"]) for r in filled.select("segment", "bits").toLocalIterator()}  # MAX_BITS / 8 bytes at most, a slice at a time
     bits = b"".join(slices.pop(s, bytes(slice_bits // 8)) for s in range(segments))
     fill = float(np.bitwise_count(np.frombuffer(bits, np.uint8)).sum()) / (8 * len(bits))
-    return Model(tokens, sums["known"] or 0, facts["texts"] or 0, segments, slice_bits, bits, fill, mu), answers.select("segment", "block", "counts")
+    return Model(tokens, sums["known"] or 0, facts["texts"] or 0, segments, slice_bits, bits, fill, mu), answers.select("segment", "block", "counts", "width")
 
 
 _SCORES = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -247,7 +263,8 @@ def _score(held):
         for batch in batches:
             for row in batch.to_pylist():
                 vocabulary, tokens, lengths = _arrays(row)
-                counts = np.frombuffer(b"".join(x["counts"] for x in sorted(row["answers"], key=lambda x: x["segment"])), np.int64)
+                counts = np.empty(len(vocabulary), np.int64)
+                counts[np.argsort(vocabulary)] = np.concatenate([np.frombuffer(x["counts"], f"<u{x['width']}") for x in sorted(row["answers"], key=lambda x: x["segment"])])
                 p = (counts + 1.0) / (model.tokens + model.known + 1)
                 first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 base = np.add.reduceat(np.log10(p)[tokens], first)
@@ -276,5 +293,5 @@ def score_texts(docs: DataFrame, train_on: Column, id_column: str = "doc_id", te
     blocks = token_blocks(docs, train_on, id_column, text_column)
     model, answers = train(blocks, mu)
     held = spark.sparkContext.broadcast(model)
-    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("segment", "counts")).alias("answers"))  # a block's vocabulary, whose size BLOCK_TOKENS bounds
+    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("segment", "counts", "width")).alias("answers"))  # a block's vocabulary, whose size BLOCK_TOKENS bounds
     return blocks.join(by_block, "block").select("doc_ids", "train", "lengths", "vocabulary", "tokens", "answers").mapInArrow(_score(held), _SCORES)
