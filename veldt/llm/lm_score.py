@@ -112,6 +112,15 @@ def bigram_hashes(token_hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return mix(before * _ODD + token_hashes)
 
 
+def packed(sorted_keys: np.ndarray) -> bytes:
+    """Sorted keys as byte planes of their differences: high planes are nearly zero and shrink in the shuffle."""
+    return np.ascontiguousarray(np.diff(sorted_keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _slices(sorted_keys: np.ndarray, segments: int) -> np.ndarray:
     """Bounds of each segment's keys: a segment is a range of hashes."""
     step = (1 << 64) // segments
@@ -140,7 +149,7 @@ def _send(segments: int, bigrams: bool):
                         continue
                     sent.append(s)
                     part = keys[a:b]
-                    held.append(np.ascontiguousarray(part.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() if bigrams else part.tobytes())
+                    held.append(packed(part >> np.uint64(16) if bigrams else part))
                     amounts.append(counts[a:b].astype(np.uint32).tobytes())
                 n = len(sent)
                 yield pa.RecordBatch.from_arrays([pa.array(sent, pa.int32()), pa.array([row["block"]] * n, pa.int64()), pa.array(held, pa.binary()), pa.array(amounts, pa.binary())], names=["segment", "block", "keys", "counts"])
@@ -153,7 +162,7 @@ _SENT = "segment int, block long, keys binary, counts binary"
 
 def _answer(table: pa.Table) -> pa.Table:
     """A segment's totals, sent back to each block in the order of its keys."""
-    keys = [np.frombuffer(x.as_py(), np.uint64) for x in table["keys"]]
+    keys = [unpacked(x.as_py()) for x in table["keys"]]
     counts = [np.frombuffer(x.as_py(), np.uint32) for x in table["counts"]]
     unique, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, np.concatenate(counts), len(unique)).astype(np.int64)
@@ -179,11 +188,9 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 
 def _fill(slice_bits: int):
     def run(table: pa.Table) -> pa.Table:
-        raw = np.frombuffer(b"".join(x.as_py() for x in table["keys"]), np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :6] = raw
+        held = np.concatenate([unpacked(x.as_py()) for x in table["keys"]])
         counts = np.frombuffer(b"".join(x.as_py() for x in table["counts"]), np.uint32)
-        keys, at = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
+        keys, at = np.unique(held, return_inverse=True)
         levels = levels_of(np.bincount(at, counts, len(keys)))
         bits = np.zeros(slice_bits, bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
