@@ -144,11 +144,9 @@ def euler_angles(m: Column) -> Column:
 
 
 def from_euler(z: Column, y: Column, x: Column) -> Column:
-    zero, one = F.lit(0.0), F.lit(1.0)
-    rz = F.array(F.cos(z), -F.sin(z), zero, F.sin(z), F.cos(z), zero, zero, zero, one)
-    ry = F.array(F.cos(y), zero, F.sin(y), zero, one, zero, -F.sin(y), zero, F.cos(y))
-    rx = F.array(one, zero, zero, zero, F.cos(x), -F.sin(x), zero, F.sin(x), F.cos(x))
-    return mat_mul(mat_mul(rz, ry, 3), rx, 3)
+    """Rz * Ry * Rx in closed form, row-major."""
+    sz, cz, sy, cy, sx, cx = F.sin(z), F.cos(z), F.sin(y), F.cos(y), F.sin(x), F.cos(x)
+    return F.array(cz * cy, cz * sy * sx - sz * cx, cz * sy * cx + sz * sx, sz * cy, sz * sy * sx + cz * cx, sz * sy * cx - cz * sx, -sy, cy * sx, cy * cx)
 
 
 def homogeneous(a: Column) -> Column:

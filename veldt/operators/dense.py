@@ -36,7 +36,12 @@ def on_block(m: Matrix, f: Callable[[np.ndarray], pd.DataFrame], schema: str, ke
     guard(m.rows, m.cols)
     rows, cols = m.rows, m.cols
     if key is None:
-        return m.df.groupBy(F.lit(0)).applyInPandas(lambda pdf: f(array_of(pdf, rows, cols)), schema)
+
+        def whole(frames):
+            held = list(frames)
+            yield f(array_of(pd.concat(held), rows, cols) if held else np.zeros((rows, cols)))
+
+        return m.df.select("i", "j", F.col("v").cast("double").alias("v")).repartition(1).mapInPandas(whole, schema)
     return m.df.groupBy(key).applyInPandas(lambda pdf: f(array_of(pdf, rows, cols)).assign(**{key: pdf[key].iloc[0]}), f"{schema}, {key} long")
 
 

@@ -21,7 +21,17 @@ BROADCAST_CELLS = 500_000
 #: A dense grid of more cells isn't made.
 DENSE_CELLS = 1 << 34
 
-i, j, v = F.col("i"), F.col("j"), F.col("v")
+# functions, as a Column can't be made before there is a session
+def i() -> Column:
+    return F.col("i")
+
+
+def j() -> Column:
+    return F.col("j")
+
+
+def v() -> Column:
+    return F.col("v")
 
 
 def bounded(df: DataFrame, cells: int) -> DataFrame:
@@ -47,7 +57,7 @@ class Matrix:
         elif combine == "first":
             out = F.min_by("v", order)
         else:
-            out = combine(v)
+            out = combine(v())
         return Matrix(df.groupBy("i", "j").agg(out.alias("v")), rows, cols)
 
     @staticmethod
@@ -60,7 +70,7 @@ class Matrix:
         if rows * cols > DENSE_CELLS:
             raise ValueError("a dense matrix of this size isn't made")
         cells = spark.range(rows * cols).select(F.floor(F.col("id") / F.lit(max(cols, 1))).cast("long").alias("i"), (F.col("id") % F.lit(max(cols, 1))).alias("j"))
-        return Matrix(cells.select("i", "j", f(i, j).cast("double").alias("v")), rows, cols)
+        return Matrix(cells.select("i", "j", f(i(), j()).cast("double").alias("v")), rows, cols)
 
     @staticmethod
     def constant(spark: SparkSession, rows: int, cols: int, value: float) -> Matrix:
@@ -129,11 +139,11 @@ class Matrix:
     # ---- indexing and shape
 
     def coeff(self, a: int, b: int) -> DataFrame:
-        return self.df.where((i == a) & (j == b)).agg(F.coalesce(F.max("v"), F.lit(0.0)).alias("v"))
+        return self.df.where((i() == a) & (j() == b)).agg(F.coalesce(F.max("v"), F.lit(0.0)).alias("v"))
 
     def block(self, a: int, b: int, rows: int, cols: int) -> Matrix:
-        inside = (i >= a) & (i < a + rows) & (j >= b) & (j < b + cols)
-        return self._moved(i - a, j - b, rows, cols, inside)
+        inside = (i() >= a) & (i() < a + rows) & (j() >= b) & (j() < b + cols)
+        return self._moved(i() - a, j() - b, rows, cols, inside)
 
     def row(self, k: int) -> Matrix:
         return self.block(k, 0, 1, self.cols)
@@ -186,67 +196,67 @@ class Matrix:
 
     def diagonal(self, k: int = 0) -> Matrix:
         n = max(0, min(self.rows, self.cols - k) if k >= 0 else min(self.rows + k, self.cols))
-        return self._moved(i + min(k, 0), F.lit(0), n, 1, j - i == k)
+        return self._moved(i() + min(k, 0), F.lit(0), n, 1, j() - i() == k)
 
     def as_diagonal(self) -> Matrix:
         n = max(self.rows, self.cols)
-        return self._moved(i + j, i + j, n, n)
+        return self._moved(i() + j(), i() + j(), n, n)
 
     def triangular(self, mode: str = "lower") -> Matrix:
         """lower, upper, strictly_lower, strictly_upper, unit_lower or unit_upper."""
         lower = mode.endswith("lower")
         strict = mode.startswith(("strictly", "unit"))
-        test = (i > j if strict else i >= j) if lower else (i < j if strict else i <= j)
+        test = (i() > j() if strict else i() >= j()) if lower else (i() < j() if strict else i() <= j())
         out = self._with(self.df.where(test))
         if mode.startswith("unit"):
             out = out._with(out.df.unionByName(Matrix.identity(self.df.sparkSession, self.rows, self.cols).df))
         return out
 
     def banded(self, below: int, above: int) -> Matrix:
-        return self._with(self.df.where((i - j <= below) & (j - i <= above)))
+        return self._with(self.df.where((i() - j() <= below) & (j() - i() <= above)))
 
     def selfadjoint(self, half: str = "lower") -> Matrix:
         """The symmetric matrix of which one triangle is read."""
         kept = self.triangular(half).df
-        return self._with(kept.unionByName(kept.where("i != j").select(j.alias("i"), i.alias("j"), "v")))
+        return self._with(kept.unionByName(kept.where("i != j").select(j().alias("i"), i().alias("j"), "v")))
 
     def transpose(self) -> Matrix:
-        return self._moved(j, i, self.cols, self.rows)
+        return self._moved(j(), i(), self.cols, self.rows)
 
     adjoint = transpose
 
     def reverse(self, rows: bool = True, cols: bool = True) -> Matrix:
-        return self._moved(self.rows - 1 - i if rows else i, self.cols - 1 - j if cols else j)
+        return self._moved(self.rows - 1 - i() if rows else i(), self.cols - 1 - j() if cols else j())
 
     def reshaped(self, rows: int, cols: int, order: str = "col") -> Matrix:
         """Cells renumbered in column-major (or order="row" row-major) order."""
         if rows * cols != self.rows * self.cols:
             raise ValueError("the sizes differ")
         if order == "col":
-            at = i + j * self.rows
+            at = i() + j() * self.rows
             return self._moved(at % rows, F.floor(at / rows), rows, cols)
-        at = i * self.cols + j
+        at = i() * self.cols + j()
         return self._moved(F.floor(at / cols), at % cols, rows, cols)
 
     def replicate(self, down: int, across: int) -> Matrix:
         tiles = F.explode(F.sequence(F.lit(0), F.lit(down * across - 1))).alias("t")
         df = self.df.select("i", "j", "v", tiles)
-        return self._with(df.select((i + F.floor(F.col("t") / across) * self.rows).cast("long").alias("i"), (j + F.col("t") % across * self.cols).cast("long").alias("j"), "v"), self.rows * down, self.cols * across)
+        return self._with(df.select((i() + F.floor(F.col("t") / across) * self.rows).cast("long").alias("i"), (j() + F.col("t") % across * self.cols).cast("long").alias("j"), "v"), self.rows * down, self.cols * across)
 
     def hcat(self, other: Matrix) -> Matrix:
-        return self._with(self.df.unionByName(other._moved(i, j + self.cols).df), cols=self.cols + other.cols)
+        return self._with(self.df.unionByName(other._moved(i(), j() + self.cols).df), cols=self.cols + other.cols)
 
     def vcat(self, other: Matrix) -> Matrix:
-        return self._with(self.df.unionByName(other._moved(i + self.rows, j).df), rows=self.rows + other.rows)
+        return self._with(self.df.unionByName(other._moved(i() + self.rows, j()).df), rows=self.rows + other.rows)
 
     def conservative_resize(self, rows: int, cols: int) -> Matrix:
-        return self._with(self.df.where((i < rows) & (j < cols)), rows, cols)
+        return self._with(self.df.where((i() < rows) & (j() < cols)), rows, cols)
 
     def remove_cols(self, at: int, n: int) -> Matrix:
-        return self._moved(i, F.when(j >= at, j - n).otherwise(j), cols=self.cols - n, where=(j < at) | (j >= at + n))
+        return self._moved(i(), F.when(j() >= at, j() - n).otherwise(j()), cols=self.cols - n, where=(j() < at) | (j() >= at + n))
 
     def insert_empty_cols(self, at: int, n: int) -> Matrix:
-        return self._moved(i, F.when(j >= at, j + n).otherwise(j), cols=self.cols + n)
+        return self._moved(i(), F.when(j() >= at, j() + n).otherwise(j()), cols=self.cols + n)
 
     def cast(self, kind: str, wrap: bool = False) -> Matrix:
         return self.map(lambda x: x.try_cast(kind) if wrap else x.cast(kind))
@@ -258,10 +268,10 @@ class Matrix:
 
     def pruned(self, reference: float = 1.0, epsilon: float = 1e-12) -> Matrix:
         """Entries with |v| > epsilon * |reference|."""
-        return self._with(self.df.where(F.abs(v) > abs(reference) * epsilon))
+        return self._with(self.df.where(F.abs(v()) > abs(reference) * epsilon))
 
     def prune(self, keep: Callable[[Column, Column, Column], Column]) -> Matrix:
-        return self._with(self.df.where(keep(i, j, v)))
+        return self._with(self.df.where(keep(i(), j(), v())))
 
     def pattern(self) -> DataFrame:
         return self.df.select("i", "j")
@@ -270,10 +280,10 @@ class Matrix:
 
     def map(self, f: Callable[[Column], Column]) -> Matrix:
         """f on stored entries; f(0) isn't made (see to_dense)."""
-        return self._with(self.df.select("i", "j", f(v).alias("v")))
+        return self._with(self.df.select("i", "j", f(v()).alias("v")))
 
     def map_indexed(self, f: Callable[[Column, Column, Column], Column]) -> Matrix:
-        return self._with(self.df.select("i", "j", f(i, j, v).alias("v")))
+        return self._with(self.df.select("i", "j", f(i(), j(), v()).alias("v")))
 
     def __neg__(self) -> Matrix:
         return self.map(lambda x: -x)
@@ -312,7 +322,7 @@ class Matrix:
 
     def select(self, then: Matrix, other: Matrix) -> Matrix:
         """then where this mask holds (stored and not 0), else other."""
-        mask = self.df.select("i", "j", (v.cast("double") != 0).alias("m"))
+        mask = self.df.select("i", "j", (v().cast("double") != 0).alias("m"))
         df = then._pair(other, "full").join(mask, ["i", "j"], "left").select("i", "j", F.when(F.coalesce("m", F.lit(False)), F.col("a")).otherwise(F.col("b")).alias("v"))
         return self._with(df.where("v is not null"))
 
@@ -328,8 +338,8 @@ class Matrix:
     def broadcast_op(self, vector: Matrix, f: Callable[[Column, Column], Column], along: str = "rows") -> Matrix:
         """Each row (along="rows") or column combined with a vector of matching length, missing entries 0; stored entries only."""
         key, n = ("j", self.cols) if along == "rows" else ("i", self.rows)
-        w = vector.df.select((i + j).alias(key), v.alias("w"))
-        return self._with(self.df.join(bounded(w, n), key, "left").select("i", "j", f(v, F.coalesce("w", F.lit(0.0))).alias("v")))
+        w = vector.df.select((i() + j()).alias(key), v().alias("w"))
+        return self._with(self.df.join(bounded(w, n), key, "left").select("i", "j", f(v(), F.coalesce("w", F.lit(0.0))).alias("v")))
 
     # ---- reductions
 
@@ -342,30 +352,30 @@ class Matrix:
     def aggregate(self, name: str) -> Column:
         """The named full reduction as an aggregate of v; extents fill in for structural zeros."""
         size = self.rows * self.cols
-        full = F.count(v) == size
-        finite = F.when(~F.isnan(v), v)
+        full = F.count(v()) == size
+        finite = F.when(~F.isnan(v()), v())
         table: dict[str, Column] = {
             "sum": self.sum(), "prod": F.when(full, F.coalesce(F.product("v"), F.lit(1.0))).otherwise(F.lit(0.0)),
             "mean": self.sum() / F.lit(float(size) if size else float("nan")),
             "min": F.when(full, F.min(finite)).otherwise(F.least(F.min(finite), F.lit(0.0))), "max": F.when(full, F.max(finite)).otherwise(F.greatest(F.max(finite), F.lit(0.0))),
-            "min_nan": F.when(F.bool_or(F.isnan(v)), F.lit(float("nan"))).when(full, F.min("v")).otherwise(F.least(F.min("v"), F.lit(0.0))),
-            "max_nan": F.when(F.bool_or(F.isnan(v)), F.lit(float("nan"))).when(full, F.max("v")).otherwise(F.greatest(F.max("v"), F.lit(0.0))),
-            "squared_norm": F.coalesce(F.sum(v * v), F.lit(0.0)), "norm": F.sqrt(F.coalesce(F.sum(v * v), F.lit(0.0))),
-            "l1": F.coalesce(F.sum(F.abs(v)), F.lit(0.0)), "linf": F.coalesce(F.max(F.abs(v)), F.lit(0.0)),
-            "trace": F.coalesce(F.sum(F.when(i == j, v)), F.lit(0.0)), "nonzeros": F.count(v), "count": F.count_if(v != 0),
-            "all": F.when(full, F.coalesce(F.bool_and(v != 0), F.lit(True))).otherwise(F.lit(False)), "any": F.coalesce(F.bool_or(v != 0), F.lit(False)),
-            "has_nan": F.coalesce(F.bool_or(F.isnan(v)), F.lit(False)), "all_finite": F.coalesce(F.bool_and(E.is_finite(v)), F.lit(True)),
+            "min_nan": F.when(F.bool_or(F.isnan(v())), F.lit(float("nan"))).when(full, F.min("v")).otherwise(F.least(F.min("v"), F.lit(0.0))),
+            "max_nan": F.when(F.bool_or(F.isnan(v())), F.lit(float("nan"))).when(full, F.max("v")).otherwise(F.greatest(F.max("v"), F.lit(0.0))),
+            "squared_norm": F.coalesce(F.sum(v() * v()), F.lit(0.0)), "norm": F.sqrt(F.coalesce(F.sum(v() * v()), F.lit(0.0))),
+            "l1": F.coalesce(F.sum(F.abs(v())), F.lit(0.0)), "linf": F.coalesce(F.max(F.abs(v())), F.lit(0.0)),
+            "trace": F.coalesce(F.sum(F.when(i() == j(), v())), F.lit(0.0)), "nonzeros": F.count(v()), "count": F.count_if(v() != 0),
+            "all": F.when(full, F.coalesce(F.bool_and(v() != 0), F.lit(True))).otherwise(F.lit(False)), "any": F.coalesce(F.bool_or(v() != 0), F.lit(False)),
+            "has_nan": F.coalesce(F.bool_or(F.isnan(v())), F.lit(False)), "all_finite": F.coalesce(F.bool_and(E.is_finite(v())), F.lit(True)),
         }
         return table[name].alias(name)
 
     def lp_norm(self, p: float) -> DataFrame:
-        out = F.max(F.abs(v)) if p == float("inf") else F.pow(F.sum(F.pow(F.abs(v), F.lit(float(p)))), F.lit(1.0 / p))
+        out = F.max(F.abs(v())) if p == float("inf") else F.pow(F.sum(F.pow(F.abs(v()), F.lit(float(p)))), F.lit(1.0 / p))
         return self.df.agg(F.coalesce(out, F.lit(0.0)).alias("norm"))
 
     def stable_norm(self) -> DataFrame:
         """The 2-norm without overflow: scaled by the largest magnitude, in two passes."""
-        top = self.df.agg(F.max(F.abs(v)).alias("m"))
-        return self.df.crossJoin(F.broadcast(top)).agg(F.coalesce(F.max("m") * F.sqrt(F.sum(F.when(F.col("m") > 0, v / F.col("m") * (v / F.col("m"))).otherwise(0.0))), F.lit(0.0)).alias("norm"))
+        top = self.df.agg(F.max(F.abs(v())).alias("m"))
+        return self.df.crossJoin(F.broadcast(top)).agg(F.coalesce(F.max("m") * F.sqrt(F.sum(F.when(F.col("m") > 0, v() / F.col("m") * (v() / F.col("m"))).otherwise(0.0))), F.lit(0.0)).alias("norm"))
 
     def rowwise(self, **aggregates: Column) -> DataFrame:
         """By row (zero rows are missing); the columns are aggregates of j and v."""
@@ -375,12 +385,12 @@ class Matrix:
         return self.df.groupBy("j").agg(*[c.alias(k) for k, c in aggregates.items()])
 
     def linear(self, order: str = "col") -> Column:
-        return i + j * self.rows if order == "col" else i * self.cols + j
+        return i() + j() * self.rows if order == "col" else i() * self.cols + j()
 
     def arg_extreme(self, largest: bool = True, by: str | None = None, order: str = "col") -> DataFrame:
         """Value and place of the extreme stored entry, the first in storage order among equals; by="i" or "j" for each row or column."""
         at = self.linear(order)
-        best = F.min(F.struct((-v if largest else v).alias("k"), at.alias("at"), "i", "j")).alias("m")
+        best = F.min(F.struct((-v() if largest else v()).alias("k"), at.alias("at"), "i", "j")).alias("m")
         df = self.df.groupBy(by).agg(best) if by else self.df.agg(best)
         sign = -1.0 if largest else 1.0
         return df.select(*([by] if by else []), (F.col("m.k") * sign).alias("v"), *[F.col(f"m.{c}").alias(c) for c in "ij" if c != by])
@@ -388,11 +398,11 @@ class Matrix:
     def normalized(self) -> Matrix:
         """Divided by the norm; a zero matrix stays."""
         n = self.df.agg(self.aggregate("norm"))
-        return self._with(self.df.crossJoin(F.broadcast(n)).select("i", "j", F.when(F.col("norm") > 0, v / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)).otherwise(v).alias("v")))
+        return self._with(self.df.crossJoin(F.broadcast(n)).select("i", "j", F.when(F.col("norm") > 0, v() / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)).otherwise(v()).alias("v")))
 
     def rowwise_normalized(self, by: str = "i") -> Matrix:
-        n = F.sqrt(F.sum(v * v).over(Window.partitionBy(by)))
-        return self._with(self.df.select("i", "j", "v", n.alias("n")).select("i", "j", F.when(F.col("n") > 0, v / F.when(F.col("n") > 0, F.col("n")).otherwise(1.0)).otherwise(v).alias("v")))
+        n = F.sqrt(F.sum(v() * v()).over(Window.partitionBy(by)))
+        return self._with(self.df.select("i", "j", "v", n.alias("n")).select("i", "j", F.when(F.col("n") > 0, v() / F.when(F.col("n") > 0, F.col("n")).otherwise(1.0)).otherwise(v()).alias("v")))
 
     def dot(self, other: Matrix) -> DataFrame:
         return self._pair(other, "inner").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0.0)).alias("dot"))
@@ -409,18 +419,18 @@ class Matrix:
 
     def shape_test(self, name: str, precision: float = 1e-12) -> DataFrame:
         """zero, ones, identity, diagonal, upper_triangular, lower_triangular or skew_symmetric, relative to the largest entry."""
-        top, limit = F.coalesce(F.max(F.abs(v)), F.lit(0.0)), F.lit(precision)
-        worst = lambda test, x=F.abs(v): F.coalesce(F.max(F.when(test, x)), F.lit(0.0))
+        top, limit = F.coalesce(F.max(F.abs(v())), F.lit(0.0)), F.lit(precision)
+        worst = lambda test, x=F.abs(v()): F.coalesce(F.max(F.when(test, x)), F.lit(0.0))
         if name == "zero":
             out = top <= limit
         elif name == "ones":
-            out = (F.count(v) == self.rows * self.cols) & (worst(F.lit(True), F.abs(v - 1)) <= limit)
+            out = (F.count(v()) == self.rows * self.cols) & (worst(F.lit(True), F.abs(v() - 1)) <= limit)
         elif name == "identity":
-            out = (worst(i != j) <= limit) & (worst(i == j, F.abs(v - 1)) <= limit) & (F.count_if(i == j) == min(self.rows, self.cols))
+            out = (worst(i() != j()) <= limit) & (worst(i() == j(), F.abs(v() - 1)) <= limit) & (F.count_if(i() == j()) == min(self.rows, self.cols))
         elif name == "skew_symmetric":
-            return (self + self.transpose()).df.agg((F.coalesce(F.max(F.abs(v)), F.lit(0.0)) <= limit).alias(name))
+            return (self + self.transpose()).df.agg((F.coalesce(F.max(F.abs(v())), F.lit(0.0)) <= limit).alias(name))
         else:
-            out = worst({"diagonal": i != j, "upper_triangular": i > j, "lower_triangular": i < j}[name]) <= limit * top
+            out = worst({"diagonal": i() != j(), "upper_triangular": i() > j(), "lower_triangular": i() < j()}[name]) <= limit * top
         return self.df.agg(out.alias(name))
 
     def is_unitary(self, precision: float = 1e-12) -> DataFrame:
@@ -432,8 +442,8 @@ class Matrix:
         """Join on the inner index, partial sums, one aggregate. Numeric zeros stay stored."""
         if self.cols != other.rows:
             raise ValueError("the inner extents differ")
-        left = self.df.select("i", j.alias("k"), v.alias("a"))
-        right = other.df.select(i.alias("k"), "j", v.alias("b"))
+        left = self.df.select("i", j().alias("k"), v().alias("a"))
+        right = other.df.select(i().alias("k"), "j", v().alias("b"))
         if other.rows * other.cols <= BROADCAST_CELLS:
             right = F.broadcast(right)
         elif self.rows * self.cols <= BROADCAST_CELLS:
@@ -443,16 +453,16 @@ class Matrix:
 
     def product_pruned(self, other: Matrix, tolerance: float = 0.0) -> Matrix:
         out = self @ other
-        return out._with(out.df.where(F.abs(v) > tolerance))
+        return out._with(out.df.where(F.abs(v()) > tolerance))
 
     def scale_rows(self, diagonal: Matrix) -> Matrix:
         """diag(d) * A."""
-        d = diagonal.df.select(i.alias("i"), v.alias("d"))
-        return self._with(self.df.join(bounded(d, self.rows), "i").select("i", "j", (v * F.col("d")).alias("v")))
+        d = diagonal.df.select(i().alias("i"), v().alias("d"))
+        return self._with(self.df.join(bounded(d, self.rows), "i").select("i", "j", (v() * F.col("d")).alias("v")))
 
     def scale_cols(self, diagonal: Matrix) -> Matrix:
-        d = diagonal.df.select(i.alias("j"), v.alias("d"))
-        return self._with(self.df.join(bounded(d, self.cols), "j").select("i", "j", (v * F.col("d")).alias("v")))
+        d = diagonal.df.select(i().alias("j"), v().alias("d"))
+        return self._with(self.df.join(bounded(d, self.cols), "j").select("i", "j", (v() * F.col("d")).alias("v")))
 
     def permuted(self, left: DataFrame | None = None, right: DataFrame | None = None) -> Matrix:
         """P * A and A * Q for permutations (i, p): row (or column) i goes to p."""
@@ -469,8 +479,8 @@ class Matrix:
 
     def gram(self) -> Matrix:
         """A^T A from pairs within each row; the lower half is computed and mirrored."""
-        a = self.df.select("i", j.alias("j1"), v.alias("a"))
-        b = self.df.select("i", j.alias("j2"), v.alias("b"))
+        a = self.df.select("i", j().alias("j1"), v().alias("a"))
+        b = self.df.select("i", j().alias("j2"), v().alias("b"))
         half = a.join(b, "i").where("j1 >= j2").groupBy("j1", "j2").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
         return Matrix(half.select(F.col("j1").alias("i"), F.col("j2").alias("j"), "v"), self.cols, self.cols).selfadjoint("lower")
 
@@ -481,9 +491,9 @@ class Matrix:
         return self + (u @ w.transpose()).scale(alpha) + (w @ u.transpose()).scale(alpha)
 
     def kronecker(self, other: Matrix) -> Matrix:
-        b = other.df.select(i.alias("k"), j.alias("l"), v.alias("b"))
+        b = other.df.select(i().alias("k"), j().alias("l"), v().alias("b"))
         df = self.df.crossJoin(bounded(b, other.rows * other.cols))
-        return Matrix(df.select((i * other.rows + F.col("k")).alias("i"), (j * other.cols + F.col("l")).alias("j"), (v * F.col("b")).alias("v")), self.rows * other.rows, self.cols * other.cols)
+        return Matrix(df.select((i() * other.rows + F.col("k")).alias("i"), (j() * other.cols + F.col("l")).alias("j"), (v() * F.col("b")).alias("v")), self.rows * other.rows, self.cols * other.cols)
 
     def outer(self, other: Matrix) -> Matrix:
         return self @ other.transpose()
@@ -506,17 +516,17 @@ class Matrix:
 
     def top_k(self, k: int, by: str = "i") -> Matrix:
         """The k largest magnitudes of each row or column; ties by index."""
-        w = Window.partitionBy(by).orderBy(F.abs(v).desc(), "i", "j")
+        w = Window.partitionBy(by).orderBy(F.abs(v()).desc(), "i", "j")
         return self._with(self.df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r"))
 
     def scaled(self, rounds: int = 5) -> tuple[Matrix, DataFrame, DataFrame]:
         """Rows and columns scaled towards largest magnitude 1 in turn; the matrix, (i, l) and (j, r)."""
         out, left, right = self, None, None
         for _ in range(rounds):
-            by_row = out.df.groupBy("i").agg((1 / F.max(F.abs(v))).alias("s"))
-            by_col = out.df.groupBy("j").agg((1 / F.max(F.abs(v))).alias("t"))
+            by_row = out.df.groupBy("i").agg((1 / F.max(F.abs(v()))).alias("s"))
+            by_col = out.df.groupBy("j").agg((1 / F.max(F.abs(v()))).alias("t"))
             root = lambda c: F.sqrt(F.col(c))
-            df = out.df.join(by_row, "i").join(by_col, "j").select("i", "j", (v * root("s") * root("t")).alias("v"))
+            df = out.df.join(by_row, "i").join(by_col, "j").select("i", "j", (v() * root("s") * root("t")).alias("v"))
             left = by_row.select("i", root("s").alias("l")) if left is None else left.join(by_row, "i").select("i", (F.col("l") * root("s")).alias("l"))
             right = by_col.select("j", root("t").alias("r")) if right is None else right.join(by_col, "j").select("j", (F.col("r") * root("t")).alias("r"))
             out = self._with(df)
@@ -524,8 +534,8 @@ class Matrix:
 
     def blocks(self, size: int) -> DataFrame:
         """Block-sparse form (bi, bj, block): dense size x size blocks in row-major order."""
-        key = F.struct((i % size * size + j % size).cast("int").alias("at"), "v")
-        held = self.df.groupBy(F.floor(i / size).alias("bi"), F.floor(j / size).alias("bj")).agg(F.map_from_entries(F.collect_list(key)).alias("m"))
+        key = F.struct((i() % size * size + j() % size).cast("int").alias("at"), "v")
+        held = self.df.groupBy(F.floor(i() / size).alias("bi"), F.floor(j() / size).alias("bj")).agg(F.map_from_entries(F.collect_list(key)).alias("m"))
         return held.select("bi", "bj", F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("block"))
 
     @staticmethod

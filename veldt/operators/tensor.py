@@ -16,13 +16,18 @@ from pyspark.sql import functions as F
 
 from veldt.operators.matrix import DENSE_CELLS, Matrix, bounded
 
-v = F.col("v")
+def v() -> Column:
+    return F.col("v")
 
 
 def d(k: int) -> Column:
     return F.col(f"d{k}")
 
 
+def _one_argument(f: Callable) -> Callable:
+    return lambda pdf: f(pdf)
+
+
 @dataclass(frozen=True)
 class Tensor:
     df: DataFrame
@@ -56,9 +61,9 @@ class Tensor:
     def to_matrix(self) -> Matrix:
         return Matrix(self.df.select(F.col("d0").alias("i"), F.col("d1").alias("j"), "v"), *self.dims)
 
-    def _moved(self, index: Sequence[Column], dims: Sequence[int], where: Column | None = None, value: Column = v) -> Tensor:
+    def _moved(self, index: Sequence[Column], dims: Sequence[int], where: Column | None = None, value: Column | None = None) -> Tensor:
         df = self.df if where is None else self.df.where(where)
-        return Tensor(df.select(*[c.cast("long").alias(f"d{k}") for k, c in enumerate(index)], value.alias("v")), tuple(dims))
+        return Tensor(df.select(*[c.cast("long").alias(f"d{k}") for k, c in enumerate(index)], (v() if value is None else value).alias("v")), tuple(dims))
 
     def linear(self, layout: str = "col") -> Column:
         """The linear index: the first dimension runs fastest (layout="row": the last)."""
@@ -69,7 +74,7 @@ class Tensor:
         return out
 
     def map(self, f: Callable[[Column], Column]) -> Tensor:
-        return Tensor(self.df.withColumn("v", f(v)), self.dims)
+        return Tensor(self.df.withColumn("v", f(v())), self.dims)
 
     def zip(self, other: Tensor, f: Callable[[Column, Column], Column]) -> Tensor:
         """f over the union of both patterns, missing read as 0."""
@@ -200,15 +205,15 @@ class Tensor:
         return self.reduce(F.coalesce(F.when(F.count("v") == self._size(over), F.min("v")).otherwise(F.least(F.min("v"), F.lit(0.0))), F.lit(float("inf"))), over)
 
     def all(self, over: Sequence[int] | None = None):
-        return self.reduce((F.count("v") == self._size(over)) & F.coalesce(F.bool_and(v != 0), F.lit(True)), over)
+        return self.reduce((F.count("v") == self._size(over)) & F.coalesce(F.bool_and(v() != 0), F.lit(True)), over)
 
     def any(self, over: Sequence[int] | None = None):
-        return self.reduce(F.coalesce(F.bool_or(v != 0), F.lit(False)), over)
+        return self.reduce(F.coalesce(F.bool_or(v() != 0), F.lit(False)), over)
 
     def arg_extreme(self, dim: int | None = None, largest: bool = True, layout: str = "col"):
         """The linear index (dim None) or the index along dim of the extreme stored value; ties: the smallest."""
         at = self.linear(layout) if dim is None else d(dim)
-        best = F.min(F.struct((-v if largest else v).alias("k"), at.alias("at")))["at"]
+        best = F.min(F.struct((-v() if largest else v()).alias("k"), at.alias("at")))["at"]
         return self.reduce(best, None if dim is None else [dim])
 
     def trace(self, dims: Sequence[int]) -> Tensor | DataFrame:
@@ -223,7 +228,7 @@ class Tensor:
     def scan(self, axis: int, out: Callable[[Column], Column], exclusive: bool = False, start: float = 0.0) -> Tensor:
         """A running aggregate along axis over stored entries."""
         w = Window.partitionBy(*[f"d{k}" for k in range(self.rank) if k != axis]).orderBy(f"d{axis}").rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-        return Tensor(self.df.withColumn("v", F.coalesce(out(v).over(w), F.lit(float(start)))), self.dims)
+        return Tensor(self.df.withColumn("v", F.coalesce(out(v()).over(w), F.lit(float(start)))), self.dims)
 
     def cumsum(self, axis: int, exclusive: bool = False) -> Tensor:
         return self.scan(axis, F.sum, exclusive, 0.0)
@@ -252,7 +257,7 @@ class Tensor:
                 test = test & (index[-1] >= 0) & (index[-1] < out[k])
             else:
                 index.append(d(k))
-        moved = df.where(test).select(*[x.cast("long").alias(f"d{k}") for k, x in enumerate(index)], (v * F.col("c.w")).alias("v"))
+        moved = df.where(test).select(*[x.cast("long").alias(f"d{k}") for k, x in enumerate(index)], (v() * F.col("c.w")).alias("v"))
         return Tensor(moved.groupBy(*self.names).agg(F.sum("v").alias("v")), tuple(out))
 
     def patches(self, size: Sequence[int]) -> Tensor:
@@ -303,8 +308,8 @@ class Tensor:
 
     def contract(self, other: Tensor, pairs: Sequence[tuple[int, int]], kernel: Callable[[Column], Column] | None = None) -> Tensor | DataFrame:
         """Sum over paired dimensions (of this, of other); the free ones of this come first. `kernel` is applied to the sums."""
-        a = self.df.select(*[d(k).alias(f"a{k}") for k in range(self.rank)], v.alias("av"))
-        b = other.df.select(*[d(k).alias(f"b{k}") for k in range(other.rank)], v.alias("bv"))
+        a = self.df.select(*[d(k).alias(f"a{k}") for k in range(self.rank)], v().alias("av"))
+        b = other.df.select(*[d(k).alias(f"b{k}") for k in range(other.rank)], v().alias("bv"))
         if prod(other.dims) <= 500_000:
             b = F.broadcast(b)
         test = F.lit(True)
@@ -328,7 +333,7 @@ class Tensor:
         import numpy as np
         import pandas as pd
 
-        df = self.df.select(*self.names, v.alias("re"), F.lit(0.0).alias("im"))
+        df = self.df.select(*self.names, v().alias("re"), F.lit(0.0).alias("im"))
         for axis in dims:
             n, keys, name = self.dims[axis], [x for k, x in enumerate(self.names) if k != axis], f"d{axis}"
 
@@ -342,7 +347,11 @@ class Tensor:
                 return out
 
             schema = ", ".join(f"{c} long" for c in self.names) + ", re double, im double"
-            df = (df.groupBy(*keys) if keys else df.groupBy(F.lit(0))).applyInPandas(lambda p, f=line: f(p)[[*self.names, "re", "im"]], schema)
+            def ordered(pdf, line=line, names=(*self.names, "re", "im")):
+                return line(pdf)[list(names)]
+
+            grouped = df.groupBy(*keys) if keys else df.withColumn("_g", d(axis) * 0).groupBy("_g")
+            df = grouped.applyInPandas(_one_argument(ordered), schema)
         if part == "both":
             return df
         return Tensor(df.select(*self.names, F.col({"real": "re", "imag": "im"}[part]).alias("v")), self.dims)
