@@ -56,3 +56,10 @@ def crc_bucket(doc_id, modulus: int):
     """crc32 of the id as text, modulo; null ids count as the empty text."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))
     return F.pmod(F.crc32(text.cast("binary")), F.lit(modulus))
+
+
+def shielded(docs: DataFrame, *names: str):
+    """docs with columns of these names (which an operator would replace) set aside, and a function that puts them back."""
+    aside = {c: f"_aside_{c}" for c in docs.columns if c in names}
+    columns = docs.columns
+    return docs.withColumnsRenamed(aside), lambda out: out.select(*[F.col(aside.get(c, c)).alias(c) for c in columns])

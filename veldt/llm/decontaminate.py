@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veldt.llm._bytes import ALNUM, LOWER, run_hashes, text_chunks, window_hashes, words
-from veldt.llm._store import materialize, small_batches
+from veldt.llm._store import materialize, shielded, small_batches
 
 WIDTH = 10
 BLOCK_BYTES = 16 << 20
@@ -143,10 +143,11 @@ def _without_spans(text, spans):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text_column: str = "text", **how) -> DataFrame:
     """Drop the documents with a hit, or with remove="spans" cut the hit words (and what lies between them) out of their texts."""
+    docs, restored = shielded(docs, "n_words", "hit_spans", "hit_items")
     names = docs.columns
     marked = mark_contamination(docs, benchmark, text_column, **how)
     if remove == "documents":
-        return marked.where(F.size("hit_spans") == 0).select(*names)
+        return restored(marked.where(F.size("hit_spans") == 0))
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
     at = names.index(text_column)
@@ -156,4 +157,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
             texts = [t if not s else _without_spans(t, s) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))], names=names)
 
-    return marked.select(*names, "hit_spans").mapInArrow(cut, docs.schema)
+    return restored(marked.select(*names, "hit_spans").mapInArrow(cut, docs.schema))

@@ -205,23 +205,29 @@ def tsqr_r(rows: DataFrame, array_column: str, cols: int) -> DataFrame:
     return df.mapInPandas(last, "i long, j long, v double")
 
 
-def gram_arrays(rows: DataFrame, array_column: str, cols: int) -> np.ndarray:
-    """A^T A of row arrays: one small triangle per partition, added on the driver (cols**2 numbers each)."""
+def gram_frame(rows: DataFrame, array_column: str, cols: int) -> DataFrame:
+    """A^T A of row arrays as (i, j, v): one cols x cols product per partition, then one small aggregate."""
     guard(cols, cols)
 
     def local(frames):
         total = np.zeros((cols, cols))
         for pdf in frames:
-            a = np.vstack(pdf["row"].to_numpy()).astype(float)
-            total += a.T @ a
+            if len(pdf):
+                a = np.vstack(pdf["row"].to_numpy()).astype(float)
+                total += a.T @ a
         yield pd.DataFrame({"g": [total.ravel().tolist()]})
 
     parts = rows.select(F.col(array_column).alias("row")).mapInPandas(local, "g array<double>")
     sums = parts.select(F.posexplode("g").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"))
-    out = np.zeros(cols * cols)
-    for r in sums.collect():
-        out[r["k"]] = r["v"]
-    return out.reshape(cols, cols)
+    return sums.select(F.floor(F.col("k") / cols).cast("long").alias("i"), (F.col("k") % cols).cast("long").alias("j"), "v")
+
+
+def gram_arrays(rows: DataFrame, array_column: str, cols: int) -> np.ndarray:
+    """The same on the driver: cols**2 numbers."""
+    out = np.zeros((cols, cols))
+    for r in gram_frame(rows, array_column, cols).collect():
+        out[r["i"], r["j"]] = r["v"]
+    return out
 
 
 def least_squares(rows: DataFrame, array_column: str, target: str, cols: int) -> np.ndarray:

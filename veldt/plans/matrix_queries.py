@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veldt.functions import elementwise as E
+from veldt.operators import dense
 from veldt.operators.matrix import Matrix
-from veldt.plans._register import E_SQL, L_SQL, O_SQL, embeddings, lineitems, orders, query, r6, rounded, table
+from veldt.plans._register import E_SQL, L_SQL, O_SQL, ORACLES, embeddings, lineitems, orders, query, r6, rounded, table
 
 def v():
     return F.col("v")
@@ -16,6 +17,12 @@ EW = f"WITH {E_SQL}"
 
 @query("gram_embeddings", f"{EW} SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 6) + 0.0 AS v FROM e a JOIN e b USING (i) GROUP BY a.j, b.j")
 def gram_embeddings(s, d):
+    return rounded(Matrix(dense.gram_frame(table(s, d, "embeddings"), "embedding", 64), 64, 64))
+
+
+@query("gram_relational", ORACLES["gram_embeddings"])
+def gram_relational(s, d):
+    """The same by a join of the triplets with themselves."""
     return rounded(embeddings(s, d).gram())
 
 
