@@ -9,20 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldt.llm import decontaminate, line_dedup, near_dedup, packing, queries, toxicity
-from veldt.llm._store import materialize, table
+from veldt.llm._store import materialize, shielded, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go."""
     model = queries.toxicity_model(spark, sf_dir, docs)
-    return toxicity.score(docs, model).where("score < 0.5").select(*docs.columns)
+    docs, restored = shielded(docs, "score")
+    return restored(toxicity.score(docs, model).where("score < 0.5"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that several documents hold stay in the first; n_chars follows the text."""
-    names = docs.columns
-    kept = line_dedup.dedup_lines(docs)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*names)
+    docs, restored = shielded(docs, "n_lines", "n_dropped")
+    return restored(line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
