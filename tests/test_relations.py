@@ -143,8 +143,9 @@ def test_fits(spark):
 
 
 def test_quaternions(spark):
-    q = G.q_normalized(G.quaternion(1.0, 2.0, 3.0, 4.0))
-    row = spark.range(1).select(G.q_dot(q, q).alias("n"), G.q_mul(q, G.q_inverse(q))["w"].alias("w"), G.det3(G.q_matrix(q)).alias("d"), G.q_angular_distance(q, q).alias("a"), G.q_dot(G.q_slerp(q, q, F.lit(0.3)), q).alias("s")).first()
+    unit = spark.range(1).select(G.q_normalized(G.quaternion(1.0, 2.0, 3.0, 4.0)).alias("q"), F.rand().alias("r"))
+    unit, q = unit.select("r", "q").distinct(), F.col("q")  # a shuffle keeps the value from being inlined
+    row = unit.withColumn("m", G.q_matrix(q)).select(G.q_dot(q, q).alias("n"), G.q_mul(q, G.q_inverse(q))["w"].alias("w"), G.det3(F.col("m")).alias("d"), G.q_angular_distance(q, q).alias("a"), G.q_dot(G.q_slerp(q, q, F.lit(0.3)), q).alias("s")).first()
     assert [round(row[k], 9) for k in range(5)] == [1, 1, 1, 0, 1]
 
 

@@ -1,6 +1,7 @@
 """Geometry on array and struct cells: rotations, transforms, planes, lines, boxes. All native Columns.
 
-Quaternions are struct(w, x, y, z); vectors and matrices (row-major) are arrays of doubles.
+Arguments are used many times over: pass columns, not long expressions, and let a select
+stand between steps. Quaternions are struct(w, x, y, z); vectors and matrices (row-major) are arrays of doubles.
 """
 
 from __future__ import annotations

@@ -521,16 +521,12 @@ class Matrix:
 
     def scaled(self, rounds: int = 5) -> tuple[Matrix, DataFrame, DataFrame]:
         """Rows and columns scaled towards largest magnitude 1 in turn; the matrix, (i, l) and (j, r)."""
-        out, left, right = self, None, None
+        df = self.df.withColumns({"l": F.lit(1.0), "r": F.lit(1.0)})
         for _ in range(rounds):
-            by_row = out.df.groupBy("i").agg((1 / F.max(F.abs(v()))).alias("s"))
-            by_col = out.df.groupBy("j").agg((1 / F.max(F.abs(v()))).alias("t"))
-            root = lambda c: F.sqrt(F.col(c))
-            df = out.df.join(by_row, "i").join(by_col, "j").select("i", "j", (v() * root("s") * root("t")).alias("v"))
-            left = by_row.select("i", root("s").alias("l")) if left is None else left.join(by_row, "i").select("i", (F.col("l") * root("s")).alias("l"))
-            right = by_col.select("j", root("t").alias("r")) if right is None else right.join(by_col, "j").select("j", (F.col("r") * root("t")).alias("r"))
-            out = self._with(df)
-        return out, left, right
+            for key, factor in (("i", "l"), ("j", "r")):
+                top = F.sqrt(F.max(F.abs(v())).over(Window.partitionBy(key)))
+                df = df.withColumn("_s", F.when(top > 0, 1 / top).otherwise(F.lit(1.0))).withColumns({"v": v() * F.col("_s"), factor: F.col(factor) * F.col("_s")}).drop("_s")
+        return self._with(df.select("i", "j", "v")), df.groupBy("i").agg(F.max("l").alias("l")), df.groupBy("j").agg(F.max("r").alias("r"))
 
     def blocks(self, size: int) -> DataFrame:
         """Block-sparse form (bi, bj, block): dense size x size blocks in row-major order."""

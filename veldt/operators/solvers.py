@@ -162,8 +162,13 @@ def bicgstab_l(a: Apply, b: np.ndarray, ell: int = 2, preconditioner: Apply = la
             u.append(op(u[n]))
             alpha = rho / (u[n + 1] @ shadow)
             r = [r[m] - alpha * u[m + 1] for m in range(n + 1)]
-            r.append(op(r[n]))
             y = y + alpha * u[0]
+            if np.linalg.norm(r[0]) <= goal:  # nothing is left to stabilise
+                break
+            r.append(op(r[n]))
+        if np.linalg.norm(r[0]) <= goal:
+            k += 1
+            break
         basis = np.array(r[1:]).T
         gamma = np.linalg.lstsq(basis, r[0], rcond=None)[0]
         y = y + np.array(r[:-1]).T @ gamma
@@ -410,11 +415,11 @@ def power_iteration(a: Apply, n: int, iterations: int = 100, tolerance: float =
     return fresh, x
 
 
-def conjugate_gradient_distributed(m: Matrix, b: Matrix, tolerance: float = 1e-8, max_iterations: int = 100, every: int = 5) -> tuple[Matrix, int, float]:
+def conjugate_gradient_distributed(m: Matrix, b: Matrix, tolerance: float = 1e-8, max_iterations: int = 100, every: int = 1) -> tuple[Matrix, int, float]:
     """CG with Jacobi preconditioning whose vectors are DataFrames (i, x, r, p): for systems larger than the driver.
 
-    Each iteration is one product and two scalar aggregates; every few iterations the state
-    is checkpointed (reliable, in the cluster's folder).
+    Each iteration is one product and two scalar aggregates; every so many iterations the
+    state is checkpointed (reliable, in the cluster's folder), which keeps the plan small.
     """
     if not m.df.sparkSession.sparkContext.getCheckpointDir():
         raise ValueError("set a checkpoint folder first")
