@@ -169,15 +169,22 @@ class Scorer:
         return out
 
 
-def _count_features(batches):
-    """(feature, toxic texts, clean texts) of a partition, pre-aggregated."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+#: Features held before their counts go out; Spark adds up the partial counts.
+COUNT_BUFFER = 1_000_000
+
 
-    def folded():
-        h = np.concatenate([x[0] for x in held])
-        keys, at = np.unique(h, return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([x[k] for x in held]), len(keys)).astype(np.int64) for k in (1, 2)]
-        return keys, *sums
+def _count_features(batches):
+    """(feature, toxic texts, clean texts), partial counts."""
+    held: tuple[list, list] = ([], [])
+    size = 0
+
+    def counted():
+        for toxic, parts in enumerate(held):
+            if parts:
+                keys, n = np.unique(np.concatenate(parts), return_counts=True)
+                zero = np.zeros(len(n), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n if toxic else zero), pa.array(zero if toxic else n)], names=["feature", "toxic", "clean"])
+                parts.clear()
 
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False)
@@ -187,14 +194,12 @@ def _count_features(batches):
             for k in range(len(offsets) - 1):
                 own = np.unique(np.concatenate([x[index[k] : index[k + 1]] for x in kinds]))
                 own = own[own != 0]
-                one = np.ones(len(own), np.int64)
-                held.append((own, one * int(toxic[row + k]), one * (1 - int(toxic[row + k]))))
-        if sum(len(x[0]) for x in held) > 4_000_000:
-            held = [folded()]
-    if held:
-        keys, a, b = folded()
-        for k in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000].view(np.int64)), pa.array(a[k : k + 100_000]), pa.array(b[k : k + 100_000])], names=["feature", "toxic", "clean"])
+                held[int(toxic[row + k])].append(own)
+                size += len(own)
+            if size > COUNT_BUFFER:
+                yield from counted()
+                size = 0
+    yield from counted()
 
 
 def _features_only(model: Model):
