@@ -6,7 +6,8 @@
 3. Classes that share a band key are candidates. Within a bucket the similarity is
    estimated from equal signature digits, corrected for chance collisions, and a
    spanning forest of the pairs at or above FLOOR goes out, never all pairs. A bucket of
-   more than BUCKET classes goes out whole, as a star: a superset, so no link is lost.
+   more than BUCKET classes never meets in one task: it becomes a star around its smallest
+   id by a join, a superset of its pairs, so no link is lost.
 4. The forests' components are candidate clusters. Full sets meet once per cluster; a
    breadth-first search over an inverted index finds the exact links. Clusters beyond
    CHUNK documents or CHUNK_BYTES are compared in pairs of chunks, all of them.
@@ -149,8 +150,6 @@ def _out_pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def bucket_forest(ids: np.ndarray, digits: np.ndarray, floor: float = FLOOR) -> list[tuple[int, int]]:
     """A spanning forest of the bucket's pairs whose estimate reaches the floor."""
-    if len(ids) > BUCKET:
-        return [(int(ids.min()), int(x)) for x in ids if x != ids.min()]
     out, left = [], np.arange(len(ids))
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
@@ -285,9 +284,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     reps = used.join(classes.withColumnRenamed("first_id", "doc_id"), ["doc_id", *sets], "left_semi").dropDuplicates(["doc_id", "one", "two"])
     reps = materialize(reps.select("doc_id", "n_shingles", "digits", "bands"), "representatives")
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
-    buckets = materialize(banded.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("key"), "buckets")
-    candidates = reps.select("doc_id", "digits", F.explode("bands").alias("key")).join(buckets, "key").select("key", "doc_id", "digits")
+    buckets = banded.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("n")).where("x < y")
+    buckets = materialize(buckets.select("key", "x", (F.col("n") > BUCKET).alias("large")), "buckets")
+    candidates = reps.select("doc_id", "digits", F.explode("bands").alias("key")).join(buckets.where("not large").select("key"), "key").select("key", "doc_id", "digits")
     near = candidates.repartition("key").sortWithinPartitions("key").mapInArrow(_forests, "a long, b long")
+    stars = banded.join(materialize(buckets.where("large").select("key", "x"), "large_buckets"), "key").where("doc_id != x")
+    near = near.unionByName(stars.select(F.col("x").alias("a"), F.col("doc_id").alias("b")))
     clusters = materialize(components(near), "clusters")
     sized = clusters.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     chunks = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("s") * 8 / CHUNK_BYTES), F.lit(1))
