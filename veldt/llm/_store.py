@@ -34,11 +34,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/veldt/{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and return the table read back: lineage ends here."""
+_SPREAD = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+
+
+def materialize(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+    """Write df to the shared folder and return the table read back: lineage ends here.
+
+    compact is for plans without Python work that end in a shuffle: its partitions are then
+    joined up to the advisory size, so a small table is one file and not one for each core.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    spread = spark.conf.get(_SPREAD)
+    if compact:
+        spark.conf.set(_SPREAD, "false")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_SPREAD, spread)
     return spark.read.schema(df.schema).parquet(path)
 
 

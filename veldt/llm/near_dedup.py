@@ -256,11 +256,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         best = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(k)).alias("h"), F.col("b").alias("id"))).alias("m"))
         own = F.struct(F.xxhash64("a", F.lit(k)).alias("h"), F.col("a").alias("id"))
-        to = materialize(best.select(F.col("a").alias("old"), F.least(own, F.col("m"))["id"].alias("new")), f"to_{k}")
+        to = materialize(best.select(F.col("a").alias("old"), F.least(own, F.col("m"))["id"].alias("new")), f"to_{k}", compact=True)
         renamed = left.join(to, left.a == to.old).select(F.col("new").alias("a"), "b")
         renamed = renamed.join(to.withColumnsRenamed({"old": "old2", "new": "new2"}), F.col("b") == F.col("old2")).select("a", F.col("new2").alias("b")).where("a != b")
-        left = materialize(renamed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"edges_{k}")
-        names = materialize(names.join(to, names.root == to.old, "left").select("node", F.coalesce("new", "root").alias("root")), f"names_{k}")
+        left = materialize(renamed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"edges_{k}", compact=True)
+        names = materialize(names.join(to, names.root == to.old, "left").select("node", F.coalesce("new", "root").alias("root")), f"names_{k}", compact=True)
         k += 1
     smallest = names.groupBy("root").agg(F.min("node").alias("component"))
     return names.join(smallest, "root").select("node", "component")
@@ -279,22 +279,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     sketches = materialize(rows.mapInArrow(_sketch, _SKETCH), "sketches")
     used = sketches.where("n_shingles > 0 and doc_id is not null")
     sets = ["one", "two", "n_shingles"]
-    classes = materialize(used.groupBy(*sets).agg(F.min("doc_id").alias("first_id")), "classes")
+    classes = materialize(used.groupBy(*sets).agg(F.min("doc_id").alias("first_id")), "classes", compact=True)
     same = used.select("doc_id", *sets).join(classes, sets).where("doc_id != first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
     reps = used.join(classes.withColumnRenamed("first_id", "doc_id"), ["doc_id", *sets], "left_semi").dropDuplicates(["doc_id", "one", "two"])
     reps = materialize(reps.select("doc_id", "n_shingles", "digits", "bands"), "representatives")
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("n")).where("x < y")
-    buckets = materialize(buckets.select("key", "x", (F.col("n") > BUCKET).alias("large")), "buckets")
+    buckets = materialize(buckets.select("key", "x", (F.col("n") > BUCKET).alias("large")), "buckets", compact=True)
     candidates = reps.select("doc_id", "digits", F.explode("bands").alias("key")).join(buckets.where("not large").select("key"), "key").select("key", "doc_id", "digits")
     near = candidates.repartition("key").sortWithinPartitions("key").mapInArrow(_forests, "a long, b long")
-    stars = banded.join(materialize(buckets.where("large").select("key", "x"), "large_buckets"), "key").where("doc_id != x")
+    stars = banded.join(materialize(buckets.where("large").select("key", "x"), "large_buckets", compact=True), "key").where("doc_id != x")
     near = near.unionByName(stars.select(F.col("x").alias("a"), F.col("doc_id").alias("b")))
     clusters = materialize(components(near), "clusters")
     sized = clusters.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     chunks = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("s") * 8 / CHUNK_BYTES), F.lit(1))
     # two chunks meet in a task: a cluster of up to two chunks is one part
-    sized = materialize(sized.select(F.col("component").alias("cluster"), F.when(chunks <= 2, 1).otherwise(chunks).cast("int").alias("chunks")), "cluster_sizes")
+    sized = materialize(sized.select(F.col("component").alias("cluster"), F.when(chunks <= 2, 1).otherwise(chunks).cast("int").alias("chunks")), "cluster_sizes", compact=True)
     members = clusters.join(sized, clusters.component == sized.cluster).select("cluster", "chunks", F.col("node").alias("doc_id"))
     held = members.join(rows.where("doc_id is not null"), "doc_id").select("cluster", "chunks", "doc_id", "text").mapInArrow(_sets, "cluster long, chunks int, doc_id long, held binary")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
@@ -311,7 +311,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     if not repeated.isEmpty():  # an id with several texts: its copies may join groups, so all links go through the components
         joined = materialize(components(links.unionByName(same)), "components_all")
         firsts = firsts.where(F.lit(False))
-    firsts = materialize(firsts, "copies")
+    firsts = materialize(firsts, "copies", compact=True)
     out = sketches.select("doc_id", "n_shingles").join(firsts, "doc_id", "left").withColumn("_at", F.coalesce("first_id", "doc_id"))
     out = out.join(joined, F.col("_at") == F.col("node"), "left")
     component = F.coalesce("component", "_at")

@@ -65,7 +65,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iter
         moved = rank.withColumnRenamed("host", "source").join(edges, ["kind", "source"]).select("kind", F.col("target").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
         rank = base.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if k % 4 == 3:
-            rank = materialize(rank, f"rank_{k}")
+            rank = materialize(rank, f"rank_{k}", compact=True)
     return rank
 
 
@@ -74,7 +74,7 @@ def host_scores(pages: DataFrame, rules=RULES, damping: float = DAMPING, iterati
     judged = pages.select(url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     judged = judged.where("host != ''").select("host", matching_rule(F.col("host"), F.col("path"), rules)["verdict"].alias("verdict"))
     counts = judged.groupBy("host").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("allow", "block")])
-    counts = materialize(counts, "host_counts")
+    counts = materialize(counts, "host_counts", compact=True)
     total = counts.agg(F.sum("allow").alias("all_allow"), F.sum("block").alias("all_block"))
     seeds = counts.crossJoin(F.broadcast(total))  # one row
     seeds = seeds.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), (F.col("allow") / F.greatest("all_allow", F.lit(1))).alias("mass")), F.struct(F.lit("distrust").alias("kind"), (F.col("block") / F.greatest("all_block", F.lit(1))).alias("mass")))).alias("s")).select("host", "s.*").where("mass > 0")
@@ -82,7 +82,7 @@ def host_scores(pages: DataFrame, rules=RULES, damping: float = DAMPING, iterati
     both = links.select(F.lit("trust").alias("kind"), "source", "target", "weight").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("target").alias("source"), F.col("source").alias("target"), "weight"))
     out = both.groupBy("kind", "source").agg(F.sum("weight").alias("all_weight"))
     shares = both.join(out, ["kind", "source"]).select("kind", "source", "target", (F.col("weight") / F.col("all_weight")).alias("share"))
-    rank = propagate(materialize(shares, "host_shares"), materialize(seeds, "host_seeds"), damping, iterations)
+    rank = propagate(materialize(shares, "host_shares", compact=True), materialize(seeds, "host_seeds", compact=True), damping, iterations)
     return rank.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
 
 
