@@ -228,8 +228,8 @@ def test_near_duplicates(spark, sf, odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0 == near_dedup.drop_near_duplicates(empty).count()
 
 
-@pytest.mark.parametrize("bucket", [near_dedup.BUCKET, 3])
-def test_chained_copies_beyond_a_chunk_and_a_bucket(spark, monkeypatch, bucket):
+@pytest.mark.parametrize("bucket, first, chunk, leaders", [(near_dedup.BUCKET, 7, 7, 1), (3, 4, 9, 2), (near_dedup.BUCKET, 5, 100, 16)])
+def test_chained_copies_beyond_a_chunk_and_a_bucket(spark, monkeypatch, bucket, first, chunk, leaders):
     rng = np.random.default_rng(5)
     base = [f"t{k}" for k in range(80)]
     docs = []
@@ -237,8 +237,8 @@ def test_chained_copies_beyond_a_chunk_and_a_bucket(spark, monkeypatch, bucket):
         docs.append((1000 - k, " ".join(base)))
         base = list(base)
         base[int(rng.integers(80))] = f"n{k}"
-    monkeypatch.setattr(near_dedup, "CHUNK", 7)
-    monkeypatch.setattr(near_dedup, "BUCKET", bucket)
+    for name, value in (("BUCKET", bucket), ("FIRST", first), ("CHUNK", chunk), ("LEADERS", leaders)):
+        monkeypatch.setattr(near_dedup, name, value)
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())
     assert got == sorted(brute_components(docs))
 

@@ -10,7 +10,10 @@
    id by a join, a superset of its pairs, so no link is lost.
 4. The forests' components are candidate clusters. Full sets meet once per cluster; a
    breadth-first search over an inverted index finds the exact links. Clusters beyond
-   CHUNK documents or CHUNK_BYTES are compared in pairs of chunks, all of them.
+   FIRST documents or CHUNK_BYTES are dealt to parts; each part is compared within itself
+   and with LEADERS documents of its cluster. What then hangs together needs no more pairs:
+   only documents outside the largest group of their cluster meet all others, in pairs of
+   chunks, so a cluster of copies of one text costs in proportion to its size.
 5. Components of the exact links give the smallest id of each group.
 
 Band misses: a pair at similarity 0.75 shares no band with probability
@@ -21,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldt.llm._bytes import NOT_SPACE, mix, run_hashes, text_chunks, window_hashes, words
@@ -33,7 +36,9 @@ HASHES = BANDS * ROWS
 BITS = 4
 FLOOR = 0.55
 BUCKET = 4096
+FIRST = 512
 CHUNK = 2048
+LEADERS = 16
 CHUNK_BYTES = 24 << 20
 _MULTIPLY = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix(np.arange(1, HASHES + 1, dtype=np.uint64) + np.uint64(1 << 40))
@@ -238,7 +243,7 @@ def _sets(batches):
             values, index = shingle_sets(data, offsets)
             n = len(offsets) - 1
             held = [values[index[k] : index[k + 1]].tobytes() for k in range(n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), batch.column(2).slice(row, n), pa.array(held, pa.binary())], names=["cluster", "chunks", "doc_id", "held"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), batch.column(2).slice(row, n), pa.array(held, pa.binary())], names=["cluster", "parts", "doc_id", "held"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -266,6 +271,43 @@ def components(edges: DataFrame) -> DataFrame:
     return names.join(smallest, "root").select("node", "component")
 
 
+def _pieces(n: str, shingles: str, most: int) -> Column:
+    return F.greatest(F.ceil(F.col(n) / most), F.ceil(F.col(shingles) * 8 / CHUNK_BYTES)).cast("int")
+
+
+def _first_parts(members: DataFrame) -> DataFrame:
+    """(cluster, parts, doc_id): a document's own piece of its cluster, and every piece for a cluster's leaders."""
+    salt = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(LEADERS))
+    leaders = members.where("pieces > 1").groupBy("cluster", salt).agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("leads"))
+    own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("long"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("pieces").cast("long") - 1)
+    return members.join(leaders, "doc_id", "left").select("cluster", F.when(F.col("leads"), every).otherwise(own).alias("parts"), "doc_id")
+
+
+def _second_parts(large: DataFrame, found: DataFrame) -> DataFrame:
+    """(cluster, parts, doc_id) in which every document outside its cluster's largest group meets all documents of the cluster."""
+    rooted = large.join(found, large.doc_id == found.node, "left").withColumn("root", F.coalesce("component", "doc_id"))
+    groups = rooted.groupBy("cluster", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    main = groups.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("n"), (F.sum("s") - F.max_by("s", F.struct("n", "root"))).alias("s"))
+    # clusters of one group are done
+    main = main.where("n > 0").select("cluster", "main", F.greatest(_pieces("n", "s", CHUNK), F.lit(1)).cast("long").alias("rest"))
+    rows = rooted.join(main, "cluster")
+    chunks = F.col("chunks").cast("long")
+    place = F.pmod(F.xxhash64("doc_id"), chunks)
+    among = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("rest"))
+    zero = F.lit(0).cast("long")
+    against = F.transform(F.sequence(zero, F.col("rest") - 1), lambda a: a * chunks + place)
+    all_chunks = F.transform(F.sequence(zero, chunks - 1), lambda b: among * chunks + b)
+    return rows.select("cluster", F.when(F.col("root") == F.col("main"), against).otherwise(F.array_union(against, all_chunks)).alias("parts"), "doc_id")
+
+
+def _exact(members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Exact links (a, b) within every part of (cluster, parts, doc_id): a spanning forest of each part's links."""
+    held = members.join(rows.where("doc_id is not null"), "doc_id").select("cluster", "parts", "doc_id", "text").mapInArrow(_sets, "cluster long, parts array<long>, doc_id long, held binary")
+    spread = held.select("cluster", F.explode("parts").alias("part"), "doc_id", "held")
+    return spread.repartition("cluster", "part").sortWithinPartitions("cluster", "part").mapInArrow(_cluster_links(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
 
@@ -292,18 +334,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     near = near.unionByName(stars.select(F.col("x").alias("a"), F.col("doc_id").alias("b")))
     clusters = materialize(components(near), "clusters")
     sized = clusters.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    chunks = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("s") * 8 / CHUNK_BYTES), F.lit(1))
-    # two chunks meet in a task: a cluster of up to two chunks is one part
-    sized = materialize(sized.select(F.col("component").alias("cluster"), F.when(chunks <= 2, 1).otherwise(chunks).cast("int").alias("chunks")), "cluster_sizes", compact=True)
-    members = clusters.join(sized, clusters.component == sized.cluster).select("cluster", "chunks", F.col("node").alias("doc_id"))
-    held = members.join(rows.where("doc_id is not null"), "doc_id").select("cluster", "chunks", "doc_id", "text").mapInArrow(_sets, "cluster long, chunks int, doc_id long, held binary")
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(mine, j).cast("long") * 1_000_000 + F.greatest(mine, j))
-    # of more than one chunk, the part (i, i) lies within the parts (i, j)
-    parts = F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(parts, lambda p: p != mine.cast("long") * 1_000_001))
-    spread = held.select("cluster", F.explode(parts).alias("part"), "doc_id", "held")
-    exact = spread.repartition("cluster", "part").sortWithinPartitions("cluster", "part").mapInArrow(_cluster_links(percent), "a long, b long")
-    links = materialize(exact, "links")
+    sized = materialize(sized.select(F.col("component").alias("cluster"), "n", "s", _pieces("n", "s", FIRST).alias("pieces")), "cluster_sizes", compact=True)
+    members = clusters.join(sized, clusters.component == sized.cluster).select("cluster", "pieces", _pieces("n", "s", CHUNK).alias("chunks"), F.col("node").alias("doc_id"))
+    links = materialize(_exact(_first_parts(members), rows, percent), "links")
+    large = members.where("pieces > 1")
+    if not large.isEmpty():
+        large = materialize(large.join(reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id"), "large_clusters", compact=True)
+        found = components(links.join(large.select(F.col("doc_id").alias("a")), "a", "left_semi"))
+        links = links.unionByName(materialize(_exact(_second_parts(large, found), rows, percent), "links_left"))
     # an exact copy hangs on its class's first id: those groups are stars, so they need no contraction
     joined = materialize(components(links), "components")
     firsts = same.select(F.col("a").alias("doc_id"), F.col("b").alias("first_id")).distinct()
