@@ -36,7 +36,7 @@ HASHES = BANDS * ROWS
 BITS = 4
 FLOOR = 0.55
 BUCKET = 4096
-FIRST = 512
+FIRST = 2048
 CHUNK = 2048
 LEADERS = 16
 CHUNK_BYTES = 24 << 20
@@ -341,7 +341,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     if not large.isEmpty():
         large = materialize(large.join(reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id"), "large_clusters", compact=True)
         found = components(links.join(large.select(F.col("doc_id").alias("a")), "a", "left_semi"))
-        links = links.unionByName(materialize(_exact(_second_parts(large, found), rows, percent), "links_left"))
+        # a table of known size: where it is small it is broadcast, and the texts aren't shuffled again
+        left = materialize(_second_parts(large, found), "parts_left", compact=True)
+        links = links.unionByName(materialize(_exact(left, rows, percent), "links_left"))
     # an exact copy hangs on its class's first id: those groups are stars, so they need no contraction
     joined = materialize(components(links), "components")
     firsts = same.select(F.col("a").alias("doc_id"), F.col("b").alias("first_id")).distinct()
