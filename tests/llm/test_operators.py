@@ -332,6 +332,18 @@ def test_bigram_filter_never_forgets():
     assert (found >= lm_score.levels_of(counts)).all() and (found == lm_score.levels_of(counts)).mean() > 0.9
 
 
+def test_bigram_filter_has_no_cap(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(16, "doc_id")  # several blocks and segments
+
+    def scores():
+        return {r["doc_id"]: r["score"] for r in lm_score.score_texts(docs, F.col("doc_id") % 3 != 0).collect()}
+
+    whole = scores()
+    monkeypatch.setattr(lm_score, "MAX_BITS", lm_score.MIN_BITS, raising=False)
+    assert scores() == whole
+    assert lm_score.slice_size(1 << 32, 4096) * 4096 >= lm_score.BITS_PER_TOKEN << 32
+
+
 # ---- lines
 
 

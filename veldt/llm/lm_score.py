@@ -6,10 +6,11 @@ to the segment's owner, which adds up and answers, so no vocabulary is ever held
 
 Bigram counts c are quantised to levels 1 + floor(log2 c). A bigram of level q is put into
 the filter under (bigram, 1) ... (bigram, q); a reader probes levels upward until one is
-missing. Each segment fills its own slice of the filter; the slices are put together and
-broadcast. The filter has BITS_PER_TOKEN bits per training token and MAX_BITS at most:
-past that size it holds as many bigrams, at a higher rate of false hits, which
-`train` measures (`fill` ** PROBES).
+missing. Bigrams go by hash segment as well: each segment fills its own slice of the filter,
+probes it for the bigrams of every block and sends their levels back, so the filter is never
+held whole. It has BITS_PER_TOKEN bits per training token at any size; a bigram of count c
+has at most c entries, so the rate of false hits (fill ** PROBES) has a bound that doesn't
+depend on the size.
 
 p(w | h) = (2 ** (level - 1) + MU * p(w)) / (c(h) + MU), with the add-one unigram p(w) as
 base; a quantised count is never above the true one, so the sum over w stays within 1.
@@ -31,7 +32,6 @@ from veldt.llm._store import fresh_path, materialize, small_batches
 
 BLOCK_TOKENS = 400_000
 BITS_PER_TOKEN = 4
-MAX_BITS = 1 << 30
 MIN_BITS = 1 << 16
 PROBES = 3
 MU = 200.0
@@ -128,7 +128,7 @@ def _slices(sorted_keys: np.ndarray, segments: int) -> np.ndarray:
 
 
 def _send(segments: int, bigrams: bool):
-    """Each block's (key, training count) by segment: unigrams of its whole vocabulary, or the training bigrams (48-bit keys)."""
+    """Each block's (key, training count) by segment: unigrams of its whole vocabulary, or its distinct bigrams (48-bit keys)."""
 
     def run(batches):
         for batch in batches:
@@ -136,7 +136,8 @@ def _send(segments: int, bigrams: bool):
                 vocabulary, tokens, lengths = _arrays(row)
                 learnt = np.repeat(np.array(row["train"], bool), lengths)
                 if bigrams:
-                    keys, counts = np.unique(bigram_hashes(vocabulary[tokens], lengths)[learnt], return_counts=True)
+                    keys, at = np.unique(bigram_hashes(vocabulary[tokens], lengths), return_inverse=True)
+                    counts = np.bincount(at[learnt], minlength=len(keys))
                 else:
                     order = np.argsort(vocabulary)
                     keys, counts = vocabulary[order], np.bincount(tokens[learnt], minlength=len(vocabulary))[order]
@@ -196,14 +197,31 @@ def _fill(slice_bits: int):
         for level in range(1, int(levels.max(initial=0)) + 1):
             for place in positions(keys[levels >= level], level, slice_bits):
                 bits[place] = True
-        return pa.table({"segment": table["segment"][:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()), "bigrams": pa.array([len(keys)], pa.int64())})
+        return pa.table({"segment": table["segment"][:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()), "bigrams": pa.array([int((levels > 0).sum())], pa.int64())})
+
+    return run
+
+
+def slice_size(tokens: int, segments: int) -> int:
+    """Bits of one segment's slice, whole bytes."""
+    return -(-max(BITS_PER_TOKEN * tokens, MIN_BITS) // segments // 8) * 8
+
+
+def _probe(slice_bits: int):
+    """A segment's slice is filled and probed: the level of each block's bigrams, in the order of its keys."""
+    fill = _fill(slice_bits)
+
+    def run(table: pa.Table) -> pa.Table:
+        bigrams = BigramFilter(Model(0, 0, 0, 1, slice_bits, fill(table)["bits"][0].as_py(), 0.0))
+        levels = [bigrams.levels(unpacked(x.as_py()) << np.uint64(16)).astype(np.uint8).tobytes() for x in table["keys"]]
+        return pa.table({"segment": table["segment"], "block": table["block"], "counts": pa.array(levels, pa.binary()), "width": pa.array([1] * len(levels), pa.int32())})
 
     return run
 
 
 @dataclass
 class Model:
-    """tokens and known: training tokens and distinct ones; texts: training texts; bits: the filter, a slice per segment."""
+    """tokens and known: training tokens and distinct ones; texts: training texts; bits: the filter's slices that are at hand (none outside a segment's task)."""
 
     tokens: int
     known: int
@@ -242,7 +260,7 @@ class BigramFilter:
 
 
 def train(blocks: DataFrame, mu: float = MU) -> tuple[Model, DataFrame]:
-    """The model of the blocks' training texts, and each block's unigram counts (block, counts by segment)."""
+    """The model of the blocks' training texts, and each block's unigram counts and (width 1) bigram levels by segment."""
     spark = blocks.sparkSession
     learnt = F.aggregate("train", F.lit(0).cast("long"), lambda n, t: n + F.coalesce(t, F.lit(False)).cast("long"))
     facts = blocks.agg(F.count("*").alias("blocks"), F.sum("train_tokens").alias("tokens"), F.sum(learnt).alias("texts")).first()
@@ -251,27 +269,25 @@ def train(blocks: DataFrame, mu: float = MU) -> tuple[Model, DataFrame]:
     answers = materialize(rows.mapInArrow(_send(segments, False), _SENT).groupBy("segment").applyInArrow(_answer, "segment int, block long, counts binary, width int, known long, tokens long"), "answers")
     sums = answers.agg(F.sum("known").alias("known"), F.sum("tokens").alias("tokens")).first()
     tokens = sums["tokens"] or 0
-    slice_bits = -(-min(max(BITS_PER_TOKEN * tokens, MIN_BITS), MAX_BITS) // segments // 8) * 8
+    slice_bits = slice_size(tokens, segments)
     sent = rows.mapInArrow(_send(segments, True), _SENT)
-    filled = sent.groupBy("segment").applyInArrow(_fill(slice_bits), "segment int, bits binary, bigrams long")
-    slices = {r["segment"]: bytes(r["bits"]) for r in filled.select("segment", "bits").toLocalIterator()}  # MAX_BITS / 8 bytes at most, a slice at a time
-    bits = b"".join(slices.pop(s, bytes(slice_bits // 8)) for s in range(segments))
-    fill = float(np.bitwise_count(np.frombuffer(bits, np.uint8)).sum()) / (8 * len(bits))
-    return Model(tokens, sums["known"] or 0, facts["texts"] or 0, segments, slice_bits, bits, fill, mu), answers.select("segment", "block", "counts", "width")
+    levels = materialize(sent.groupBy("segment").applyInArrow(_probe(slice_bits), "segment int, block long, counts binary, width int"), "levels")
+    model = Model(tokens, sums["known"] or 0, facts["texts"] or 0, segments, slice_bits, b"", 0.0, mu)
+    return model, answers.select("segment", "block", "counts", "width").unionByName(levels)
 
 
 _SCORES = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(held):
+def _score(model: Model):
     def run(batches):
-        model: Model = held.value
-        bigrams = BigramFilter(model)
         for batch in batches:
             for row in batch.to_pylist():
                 vocabulary, tokens, lengths = _arrays(row)
+                answers = sorted(row["answers"], key=lambda x: x["segment"])
                 counts = np.empty(len(vocabulary), np.int64)
-                counts[np.argsort(vocabulary)] = np.concatenate([np.frombuffer(x["counts"], f"<u{x['width']}") for x in sorted(row["answers"], key=lambda x: x["segment"])])
+                counts[np.argsort(vocabulary)] = np.concatenate([np.frombuffer(x["counts"], f"<u{x['width']}") for x in answers if x["width"] > 1])
+                found = np.concatenate([np.frombuffer(x["counts"], np.uint8) for x in answers if x["width"] == 1])
                 p = (counts + 1.0) / (model.tokens + model.known + 1)
                 first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 base = np.add.reduceat(np.log10(p)[tokens], first)
@@ -279,7 +295,7 @@ def _score(held):
                 context = np.empty(len(tokens))
                 context[1:] = counts[tokens[:-1]]
                 context[first] = model.texts
-                levels = bigrams.levels(bigram_hashes(vocabulary[tokens], lengths))
+                levels = found[np.unique(bigram_hashes(vocabulary[tokens], lengths), return_inverse=True)[1]]
                 seen = np.minimum(np.where(levels > 0, np.exp2(levels - 1.0), 0.0), context)  # a false hit can't pass the context's count
                 score = np.add.reduceat(np.log10((seen + model.mu * p[tokens]) / (context + model.mu)), first)
                 n = len(lengths)
@@ -296,9 +312,7 @@ def score_texts(docs: DataFrame, train_on: Column, id_column: str = "doc_id", te
     Null and empty texts are one end token. Without training texts all counts are zero. Rows
     are kept as they are, repeated ones and those without an id too; other columns go.
     """
-    spark = docs.sparkSession
     blocks = token_blocks(docs, train_on, id_column, text_column)
     model, answers = train(blocks, mu)
-    held = spark.sparkContext.broadcast(model)
-    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("segment", "counts", "width")).alias("answers"))  # a block's vocabulary, whose size BLOCK_TOKENS bounds
-    return blocks.join(by_block, "block").select("doc_ids", "train", "lengths", "vocabulary", "tokens", "answers").mapInArrow(_score(held), _SCORES)
+    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("segment", "counts", "width")).alias("answers"))  # of a block's vocabulary and bigrams, whose number BLOCK_TOKENS bounds
+    return blocks.join(by_block, "block").select("doc_ids", "train", "lengths", "vocabulary", "tokens", "answers").mapInArrow(_score(model), _SCORES)
