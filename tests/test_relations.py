@@ -8,6 +8,7 @@ from veldt.functions import geometry as G
 from veldt.operators import dense, fit, solvers
 from veldt.operators.matrix import Matrix
 from veldt.operators.tensor import Tensor
+from veldt.plans import catalog
 from veldt.sources import market
 from veldt.streaming import incremental
 
@@ -135,6 +136,16 @@ def test_distributed_solvers(spark):
     assert np.allclose(solvers.lscg(op, b, tolerance=1e-12).x, want) and np.allclose(solvers.lsmr(op, b, tolerance=1e-12).x, want)
 
 
+def test_power_iteration(spark, sf):
+    a = np.stack(spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()["embedding"]).astype(float)
+    a = a.T @ a + np.eye(64)
+    (row,) = catalog.QUERIES["power_iteration"](spark, sf).collect()
+    assert row["v"] == pytest.approx(np.linalg.eigvalsh(a)[-1], abs=6e-4)
+    with pytest.raises(ArithmeticError):
+        solvers.power_iteration(lambda x: a @ x, 64, 15)
+    assert solvers.power_iteration(lambda x: 0 * x, 64)[0] == 0
+
+
 def test_fits(spark):
     x = RNG.standard_normal((30, 2))
     pairs = spark.createDataFrame([(*map(float, p), float(3 * p[1] + 1), float(-3 * p[0] + 2)) for p in x], "a double, b double, c double, d double")

@@ -401,18 +401,24 @@ def lanczos(a: Apply, n: int, k: int, largest: bool = True, steps: int | None =
     return values[at], q[:, :used] @ vectors[:, at]
 
 
-def power_iteration(a: Apply, n: int, iterations: int = 100, tolerance: float = 1e-12, seed: int = 0) -> tuple[float, np.ndarray]:
+def power_iteration(a: Apply, n: int, iterations: int = 100_000, tolerance: float = 1e-12, seed: int = 0) -> tuple[float, np.ndarray]:
+    """The eigenvalue of largest magnitude and its vector.
+
+    Converged when the value changes by tolerance at most and the residual |A x - value x|, of
+    which a symmetric operator's value has the square as its error, is within its root (both
+    relative to the value). An ArithmeticError if iterations are used up before that.
+    """
     x = np.random.default_rng(seed).standard_normal(n)
     x /= np.linalg.norm(x)
     value = 0.0
     for _ in range(iterations):
         y = a(x)
         fresh = float(x @ y)
+        if abs(fresh - value) <= tolerance * abs(fresh) and np.linalg.norm(y - fresh * x) <= tolerance**0.5 * abs(fresh):
+            return fresh, x
         x = y / np.linalg.norm(y)
-        if abs(fresh - value) <= tolerance * abs(fresh):
-            break
         value = fresh
-    return fresh, x
+    raise ArithmeticError(f"power iteration has not converged after {iterations} iterations")
 
 
 def conjugate_gradient_distributed(m: Matrix, b: Matrix, tolerance: float = 1e-8, max_iterations: int = 100, every: int = 1) -> tuple[Matrix, int, float]:
