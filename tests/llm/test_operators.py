@@ -263,6 +263,20 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(df.where("false")).count() == 0
 
 
+def test_url_filter_reaches_all_hosts(spark):
+    """A chain of 14 hosts to a blocked one, and a cycle with a trusted host, against PageRank in NumPy."""
+    links = {f"h{k}.net": [f"h{k - 1}.net"] for k in range(1, 14)} | {"h0.net": ["x.com"], "a.org": ["c0.net"], "c0.net": ["c1.net", "x.com"], "c1.net": ["c2.net"], "c2.net": ["c0.net", "h3.net"]}
+    pages = [(k, f"http://{h}/", "".join(f'<a href="http://{t}/">' for t in to)) for k, (h, to) in enumerate(links.items())] + [(99, "http://x.com/de/", "")]
+    got = {r["host"]: r for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    hosts = sorted(got)
+    share = np.array([[float(t in links.get(h, [])) for t in hosts] for h in hosts])
+    for kind, seed, a in (("trust", "a.org", share), ("distrust", "x.com", share.T)):
+        a = a / np.maximum(a.sum(1, keepdims=True), 1)
+        want = np.linalg.solve(np.eye(len(hosts)) - url_filter.DAMPING * a.T, (1 - url_filter.DAMPING) * np.array([h == seed for h in hosts]))
+        assert [got[h][kind] for h in hosts] == pytest.approx(want, rel=1e-5, abs=0)
+    assert all(got[f"h{k}.net"]["verdict"] == "block" for k in range(4, 14))
+
+
 # ---- media
 
 

@@ -6,7 +6,9 @@ the reversed edges. A host whose distrust exceeds its trust is blocked. DataFram
 operations only.
 
 Edges are host pairs with counts, so a host that a third of the pages share is one row
-by source and target. Each iteration is one join and one aggregate with partial sums.
+by source and target. Each iteration is one join and one aggregate with partial sums; they
+go on until no host's score changes by more than TOLERANCE of itself, so a host at any
+distance from a seed is reached.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from veldt.llm._store import materialize
 #: The production rules (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DAMPING = 0.85
-ITERATIONS = 8
+TOLERANCE = 1e-6
+CHECK_EVERY = 4
 THRESHOLD = 1.0
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,23 +56,35 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return raw.select("source", target.alias("target")).where("source != '' and target != '' and source != target").groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank (kind, host, score) over edges (kind, source, target, share) from seeds (kind, host, mass).
 
     share is the part of the source's score that goes to the target; mass sums to 1 by
-    kind. What a host without links would pass on is lost, as in TrustRank.
+    kind. What a host without links would pass on is lost, as in TrustRank. Every CHECK_EVERY
+    iterations the scores are written and compared with those written before: the last ones
+    where every host's relative change is within tolerance (a host just reached has 1).
     """
+    if not 0 <= damping < 1:
+        raise ValueError("scores converge only where damping is below 1")
     rank = seeds.select("kind", "host", F.col("mass").alias("score"))
     base = seeds.select("kind", "host", ((1 - damping) * F.col("mass")).alias("score"))
-    for k in range(iterations):
-        moved = rank.withColumnRenamed("host", "source").join(edges, ["kind", "source"]).select("kind", F.col("target").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
-        rank = base.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if k % 4 == 3:
-            rank = materialize(rank, f"rank_{k}", compact=True)
-    return rank
-
-
-def host_scores(pages: DataFrame, rules=RULES, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+    done = 0
+    while True:
+        before = rank
+        for k in range(CHECK_EVERY):
+            moved = rank.withColumnRenamed("host", "source").join(edges, ["kind", "source"]).select("kind", F.col("target").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
+            parts = base.unionByName(moved).withColumn("before", F.lit(0.0))
+            if k == CHECK_EVERY - 1:
+                parts = parts.unionByName(before.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("before")))
+            rank = parts.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("before").alias("before"))
+        done += CHECK_EVERY
+        written = materialize(rank, f"rank_{done}", compact=True)
+        rank = written.select("kind", "host", "score")
+        if written.where(F.abs(F.col("score") - F.col("before")) > tolerance * F.col("score")).isEmpty():
+            return rank
+
+
+def host_scores(pages: DataFrame, rules=RULES, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """By host: trust and distrust."""
     judged = pages.select(url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     judged = judged.where("host != ''").select("host", matching_rule(F.col("host"), F.col("path"), rules)["verdict"].alias("verdict"))
@@ -82,11 +97,11 @@ def host_scores(pages: DataFrame, rules=RULES, damping: float = DAMPING, iterati
     both = links.select(F.lit("trust").alias("kind"), "source", "target", "weight").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("target").alias("source"), F.col("source").alias("target"), "weight"))
     out = both.groupBy("kind", "source").agg(F.sum("weight").alias("all_weight"))
     shares = both.join(out, ["kind", "source"]).select("kind", "source", "target", (F.col("weight") / F.col("all_weight")).alias("share"))
-    rank = propagate(materialize(shares, "host_shares", compact=True), materialize(seeds, "host_seeds", compact=True), damping, iterations)
+    rank = propagate(materialize(shares, "host_shares", compact=True), materialize(seeds, "host_seeds", compact=True), damping, tolerance)
     return rank.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
 
 
-def judge_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, iterations: int = ITERATIONS, threshold: float = THRESHOLD) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, tolerance: float = TOLERANCE, threshold: float = THRESHOLD) -> DataFrame:
     """The pages with host, path, rule, verdict, trust and distrust (columns of these names are replaced).
 
     A rule's verdict wins; without one, a host is blocked where distrust > threshold * trust.
@@ -97,7 +112,7 @@ def judge_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, iteratio
     host = url_host(F.col("url"))
     path = url_path(F.col("url"))
     rows = pages.select(*names).withColumns({"host": host, "path": path}).withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
-    scores = materialize(host_scores(pages, rules, damping, iterations), "host_scores").withColumnRenamed("host", "_host")
+    scores = materialize(host_scores(pages, rules, damping, tolerance), "host_scores").withColumnRenamed("host", "_host")
     joined = rows.join(scores, F.col("host") == F.col("_host"), "left")
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
     found = F.when(distrust > threshold * trust, "block").otherwise("allow")
