@@ -146,6 +146,17 @@ def test_power_iteration(spark, sf):
     assert solvers.power_iteration(lambda x: 0 * x, 64)[0] == 0
 
 
+def test_whole_table_queries(spark, sf):
+    a = np.stack(spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").toPandas()["embedding"]).astype(float)
+    (row,) = catalog.QUERIES["argmin_all_whole"](spark, sf).collect()
+    assert (row["i"], row["j"]) == np.unravel_index(a.argmin(), a.shape)
+    (row,) = catalog.QUERIES["full_reductions_whole"](spark, sf).collect()
+    assert (row["min"], row["max"], row["nonzeros"]) == (round(a.min(), 6), round(a.max(), 6), a.size)
+    assert catalog.QUERIES["sorted_vector_whole"](spark, sf).count() == a.size
+    customers = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().count()
+    assert catalog.QUERIES["degree_ordering_whole"](spark, sf).count() == customers > 0
+
+
 def test_fits(spark):
     x = RNG.standard_normal((30, 2))
     pairs = spark.createDataFrame([(*map(float, p), float(3 * p[1] + 1), float(-3 * p[0] + 2)) for p in x], "a double, b double, c double, d double")

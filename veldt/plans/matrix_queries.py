@@ -414,3 +414,107 @@ def degree_ordering(s, d):
 def compensated_sum(s, d):
     """Kahan-like: high and low parts are summed apart as exact decimals."""
     return table(s, d, "orders").agg(F.round(F.sum(F.col("o_totalprice").cast("decimal(30,10)")).cast("double"), 4).alias("total"))
+
+
+# ---- over the whole table what the queries of these names above do for a first part of it
+
+NW = f"{EW}, n AS (SELECT CAST(max(vec_id) + 1 AS BIGINT) AS n FROM embeddings)"
+
+
+def _whole(s, d):
+    """All vectors, with the extent counted."""
+    return Matrix(embeddings(s, d).df, table(s, d, "embeddings").agg(F.max("vec_id")).first()[0] + 1, 64)
+
+
+@query("diagonal_of_whole", f"{EW} SELECT i, CAST(0 AS BIGINT) AS j, round(v, 6) + 0.0 AS v FROM e WHERE j - i = 2")
+def diagonal_of_whole(s, d):
+    return rounded(_whole(s, d).diagonal(2))
+
+
+@query("triangular_view_whole", f"{EW} SELECT i, j, round(v, 6) + 0.0 AS v FROM e WHERE i >= j")
+def triangular_view_whole(s, d):
+    return rounded(_whole(s, d).triangular("lower"))
+
+
+@query("unit_upper_view_whole", f"{NW} SELECT i, j, round(v, 6) + 0.0 AS v FROM e WHERE i < j UNION ALL SELECT range, range, 1.0 FROM range(64), n WHERE range < n")
+def unit_upper_view_whole(s, d):
+    return rounded(_whole(s, d).triangular("unit_upper"))
+
+
+@query("selfadjoint_mirror_whole", f"WITH {L_SQL} SELECT i, j, round(v, 6) + 0.0 AS v FROM l WHERE i >= j UNION ALL SELECT j, i, round(v, 6) + 0.0 FROM l WHERE i > j")
+def selfadjoint_mirror_whole(s, d):
+    """Of the square matrix of all line items: the embeddings are not square."""
+    return rounded(lineitems(s, d).selfadjoint("lower"))
+
+
+@query("banded_view_whole", f"{EW} SELECT i, j, round(v, 6) + 0.0 AS v FROM e WHERE i - j <= 1 AND j - i <= 2")
+def banded_view_whole(s, d):
+    return rounded(_whole(s, d).banded(1, 2))
+
+
+@query("permute_rows_whole", f"{NW} SELECT n - 1 - i AS i, j, round(v, 6) + 0.0 AS v FROM e, n")
+def permute_rows_whole(s, d):
+    e = _whole(s, d)
+    p = table(s, d, "embeddings").select(F.col("vec_id").alias("i"), (e.rows - 1 - F.col("vec_id")).alias("p"))
+    return rounded(e.permuted(left=p))
+
+
+@query("twisted_by_whole", f"WITH {L_SQL} SELECT xor(i, CAST(1 AS BIGINT)) AS i, xor(j, CAST(1 AS BIGINT)) AS j, round(v, 6) + 0.0 AS v FROM l")
+def twisted_by_whole(s, d):
+    m = lineitems(s, d)
+    ids = m.df.select("i").union(m.df.select("j")).distinct()
+    return rounded(m.twisted_by(ids.select("i", F.col("i").bitwiseXOR(F.lit(1)).alias("p"))))
+
+
+@query("vcat_whole", f"{NW} SELECT i, j, round(v, 6) + 0.0 AS v FROM e UNION ALL SELECT i + n, j, round(v, 6) + 0.0 FROM e, n")
+def vcat_whole(s, d):
+    e = _whole(s, d)
+    return rounded(e.vcat(e))
+
+
+@query("reshape_colmajor_whole", f"{NW} SELECT (i + j * n) % (2 * n) AS i, (i + j * n) // (2 * n) AS j, round(v, 6) + 0.0 AS v FROM e, n")
+def reshape_colmajor_whole(s, d):
+    e = _whole(s, d)
+    return rounded(e.reshaped(2 * e.rows, 32))
+
+
+@query("reshape_rowmajor_whole", f"{EW} SELECT (i * 64 + j) // 32 AS i, (i * 64 + j) % 32 AS j, round(v, 6) + 0.0 AS v FROM e")
+def reshape_rowmajor_whole(s, d):
+    e = _whole(s, d)
+    return rounded(e.reshaped(2 * e.rows, 32, "row"))
+
+
+@query("full_reductions_whole", f"{NW} SELECT round(sum(v), 6) + 0.0 AS sum, round(sum(v) / (64 * any_value(n)), 6) + 0.0 AS mean, round(min(v), 6) AS min, round(max(v), 6) AS max, round(sqrt(sum(v * v)), 6) AS norm, round(sum(abs(v)), 6) AS l1, round(max(abs(v)), 6) AS linf, round(sum(v) FILTER (i = j), 6) + 0.0 AS trace, count(*) AS nonzeros, bool_and(v <> 0) AS all, bool_or(v <> 0) AS any FROM e, n")
+def full_reductions_whole(s, d):
+    b = _whole(s, d)
+    names = ["sum", "mean", "min", "max", "norm", "l1", "linf", "trace"]
+    return b.reduce(*[r6(b.aggregate(n)).alias(n) for n in names], *[b.aggregate(n) for n in ("nonzeros", "all", "any")])
+
+
+@query("argmin_all_whole", f"{NW} SELECT i, j, round(v, 6) AS v FROM e, n ORDER BY e.v, i + j * n LIMIT 1")
+def argmin_all_whole(s, d):
+    return _whole(s, d).arg_extreme(False).select("i", "j", r6(v()).alias("v"))
+
+
+@query("to_dense_whole", f"WITH {O_SQL}, a AS (SELECT unnest(range((SELECT max(o_custkey) + 1 FROM orders))) AS i) SELECT a.i, b.range AS j, round(coalesce(v, 0), 6) + 0.0 AS v FROM a CROSS JOIN range(5) b LEFT JOIN o ON o.i = a.i AND o.j = b.range")
+def to_dense_whole(s, d):
+    return rounded(Matrix(orders(s, d).df, table(s, d, "orders").agg(F.max("o_custkey")).first()[0] + 1, 5).to_dense())
+
+
+@query("shape_tests_whole", "SELECT true AS lower_triangular, false AS diagonal")
+def shape_tests_whole(s, d):
+    t = _whole(s, d).triangular("lower")
+    return t.shape_test("lower_triangular").crossJoin(t.shape_test("diagonal"))
+
+
+@query("sorted_vector_whole", f"{EW} SELECT i, row_number() OVER (PARTITION BY i ORDER BY v) - 1 AS place, round(v, 6) + 0.0 AS v FROM e")
+def sorted_vector_whole(s, d):
+    sorted_rows = table(s, d, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode(F.sort_array("embedding")).alias("place", "v"))
+    return sorted_rows.select("i", F.col("place").cast("long").alias("place"), r6(F.col("v").cast("double")).alias("v"))
+
+
+@query("degree_ordering_whole", f"WITH {O_SQL} SELECT i, row_number() OVER (ORDER BY count(*), i) AS place FROM o GROUP BY i")
+def degree_ordering_whole(s, d):
+    """Places by a range sort and the partitions' counts; no task holds all rows."""
+    ordered = orders(s, d).rowwise(n=F.count("v")).orderBy("n", "i").select("i")
+    return s.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (x[0]["i"], x[1] + 1)), "i long, place long")
