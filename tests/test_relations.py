@@ -157,6 +157,14 @@ def test_whole_table_queries(spark, sf):
     assert catalog.QUERIES["degree_ordering_whole"](spark, sf).count() == customers > 0
 
 
+def test_whole_tensor_queries(spark, sf):
+    a = np.stack(spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").toPandas()["embedding"]).astype(float)
+    (row,) = catalog.QUERIES["tensor_argmax_flat_whole"](spark, sf).collect()
+    assert row["v"] == a.argmax()
+    assert catalog.QUERIES["tensor_cumsum_whole"](spark, sf).count() == a.size
+    assert catalog.QUERIES["cumprod_whole"](spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
 def test_fits(spark):
     x = RNG.standard_normal((30, 2))
     pairs = spark.createDataFrame([(*map(float, p), float(3 * p[1] + 1), float(-3 * p[0] + 2)) for p in x], "a double, b double, c double, d double")

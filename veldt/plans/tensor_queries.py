@@ -451,3 +451,141 @@ def power_iteration(s, d):
     a = dense.gram_arrays(table(s, d, "embeddings"), "embedding", 64) + np.eye(64)
     value, _ = solvers.power_iteration(lambda x: a @ x, 64)
     return s.createDataFrame([(round(float(value), 3),)], "v double")
+
+
+# ---- over all vectors what the queries of these names above do for the first: 4 x 4 x 4 x vectors
+
+A_SQL = """n AS (SELECT CAST(max(vec_id) + 1 AS BIGINT) AS n FROM embeddings),
+c AS (SELECT (k - 1) % 4 AS d0, (k - 1) // 4 % 4 AS d1, (k - 1) // 16 AS d2, vec_id AS d3, v FROM (SELECT vec_id, CAST(generate_subscripts(embedding, 1) AS BIGINT) AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings))"""
+
+
+def _cubes(s, d):
+    n = table(s, d, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+    e = embeddings(s, d)
+    return Tensor(e.df.select(F.col("j").alias("d0"), F.col("i").alias("d1"), "v"), (64, n)).reshape((4, 4, 4, n))
+
+
+@query("tensor_slice_whole", f"WITH {A_SQL} SELECT d0 - 1 AS d0, d1, d2 - 2 AS d2, d3, {R} FROM c WHERE d0 BETWEEN 1 AND 2 AND d1 < 3 AND d2 >= 2")
+def tensor_slice_whole(s, d):
+    c = _cubes(s, d)
+    return _out(c.slice((1, 0, 2, 0), (2, 3, 2, c.dims[3])))
+
+
+@query("tensor_strided_slice_whole", f"WITH {A_SQL} SELECT d0 // 2 AS d0, 3 - d1 AS d1, d2, d3, {R} FROM c WHERE d0 % 2 = 0 AND d1 > 0")
+def tensor_strided_slice_whole(s, d):
+    c = _cubes(s, d)
+    return _out(c.strided_slice((0, 3, 0, 0), (4, 0, 4, c.dims[3]), (2, -1, 1, 1)))
+
+
+@query("chip_whole", f"WITH {A_SQL} SELECT d0, d2 AS d1, d3 AS d2, {R} FROM c WHERE d1 = 2")
+def chip_whole(s, d):
+    return _out(_cubes(s, d).chip(1, 2))
+
+
+@query("roll_whole", f"WITH {A_SQL} SELECT (d0 + 3) % 4 AS d0, d1, (d2 + 2) % 4 AS d2, (d3 + n - 3) % n AS d3, {R} FROM c, n")
+def roll_whole(s, d):
+    return _out(_cubes(s, d).roll((1, 0, 2, 3)))
+
+
+@query("tensor_reverse_whole", f"WITH {A_SQL} SELECT 3 - d0 AS d0, d1, 3 - d2 AS d2, n - 1 - d3 AS d3, {R} FROM c, n")
+def tensor_reverse_whole(s, d):
+    return _out(_cubes(s, d).reverse((True, False, True, True)))
+
+
+@query("shuffle_whole", f"WITH {A_SQL} SELECT d3 AS d0, d2 AS d1, d0 AS d2, d1 AS d3, {R} FROM c")
+def shuffle_whole(s, d):
+    return _out(_cubes(s, d).shuffle((3, 2, 0, 1)))
+
+
+@query("stride_whole", f"WITH {A_SQL} SELECT d0 // 2 AS d0, d1, d2 // 3 AS d2, d3, {R} FROM c WHERE d0 % 2 = 0 AND d2 % 3 = 0")
+def stride_whole(s, d):
+    return _out(_cubes(s, d).stride((2, 1, 3, 1)))
+
+
+@query("inflate_whole", f"WITH {A_SQL} SELECT d0 * 2 AS d0, d1 * 3 AS d1, d2, d3 * 2 AS d3, {R} FROM c")
+def inflate_whole(s, d):
+    return _out(_cubes(s, d).inflate((2, 3, 1, 2)))
+
+
+@query("pad_whole", f"WITH {A_SQL}, w AS (SELECT unnest(range((SELECT n + 2 FROM n))) AS d3), g AS (SELECT a.range AS d0, b.range AS d1, z.range AS d2, w.d3 FROM range(6) a, range(4) b, range(5) z, w) SELECT g.d0, g.d1, g.d2, g.d3, round(coalesce(c.v, 9), 6) + 0.0 AS v FROM g LEFT JOIN c ON c.d0 = g.d0 - 1 AND c.d1 = g.d1 AND c.d2 = g.d2 AND c.d3 = g.d3")
+def pad_whole(s, d):
+    return _out(_cubes(s, d).pad(((1, 1), (0, 0), (0, 1), (0, 2)), 9.0))
+
+
+@query("tensor_broadcast_whole", f"WITH {A_SQL} SELECT d0 + 4 * a.range AS d0, d1, d2 + 4 * b.range AS d2, d3 + n * z.range AS d3, {R} FROM c, n, range(2) a, range(3) b, range(2) z")
+def tensor_broadcast_whole(s, d):
+    return _out(_cubes(s, d).broadcast((2, 1, 3, 2)))
+
+
+@query("tensor_concatenate_whole", f"WITH {A_SQL} SELECT d0, d1, d2, d3, {R} FROM c UNION ALL SELECT d0, d1, d2, d3 + n, {R} FROM c, n")
+def tensor_concatenate_whole(s, d):
+    c = _cubes(s, d)
+    return _out(c.concatenate(c, 3))
+
+
+@query("index_pairs_whole", f"WITH {A_SQL} SELECT d0 + 4 * d1 + 16 * d2 + 64 * d3 AS index, {R} FROM c")
+def index_pairs_whole(s, d):
+    return _cubes(s, d).index_pairs().select("index", r6(v()).alias("v"))
+
+
+@query("tensor_reduce_dims_whole", f"WITH {A_SQL} SELECT d1 AS d0, d3 AS d1, round(sum(v), 6) + 0.0 AS total, round(max(v), 6) + 0.0 AS high, round(sum(v) / 16, 6) + 0.0 AS mean FROM c GROUP BY c.d1, c.d3")
+def tensor_reduce_dims_whole(s, d):
+    c = _cubes(s, d)
+    a, b, m = (f([0, 2]).df.withColumnRenamed("v", n) for f, n in ((c.sum, "total"), (c.maximum, "high"), (c.mean, "mean")))
+    return a.join(b, ["d0", "d1"]).join(m, ["d0", "d1"]).select("d0", "d1", *[r6(n).alias(n) for n in ("total", "high", "mean")])
+
+
+@query("tensor_argmax_whole", f"WITH {A_SQL} SELECT d0, d2 AS d1, d3 AS d2, arg_max(d1, v) AS v FROM c GROUP BY c.d0, c.d2, c.d3")
+def tensor_argmax_whole(s, d):
+    return _cubes(s, d).arg_extreme(1).df
+
+
+@query("tensor_argmax_flat_whole", f"WITH {A_SQL} SELECT d0 + 4 * d1 + 16 * d2 + 64 * d3 AS v FROM c ORDER BY c.v DESC, 1 LIMIT 1")
+def tensor_argmax_flat_whole(s, d):
+    return _cubes(s, d).arg_extreme()
+
+
+@query("tensor_trace_whole", f"WITH {A_SQL} SELECT d2 AS d0, d3 AS d1, round(sum(v), 6) + 0.0 AS v FROM c WHERE c.d0 = c.d1 GROUP BY c.d2, c.d3")
+def tensor_trace_whole(s, d):
+    return _out(_cubes(s, d).trace((0, 1)))
+
+
+@query("tensor_cumsum_whole", f"WITH {A_SQL} SELECT d0, d1, d2, d3, round(sum(v) OVER (PARTITION BY d0, d1, d3 ORDER BY d2), 6) + 0.0 AS v FROM c")
+def tensor_cumsum_whole(s, d):
+    return _out(_cubes(s, d).cumsum(2))
+
+
+@query("convolve_2d_whole", f"WITH {A_SQL}, k AS (SELECT * FROM (VALUES (0, 0, 1.0), (0, 1, 2.0), (1, 0, -1.0), (1, 1, 0.5)) t(p, q, w)) SELECT d0 - p AS d0, d1 - q AS d1, d2, d3, round(sum(v * CAST(w AS DOUBLE)), 6) + 0.0 AS v FROM c, k WHERE d0 - p BETWEEN 0 AND 2 AND d1 - q BETWEEN 0 AND 2 GROUP BY ALL")
+def convolve_2d_whole(s, d):
+    return _out(_cubes(s, d).convolve([[1.0, 2.0], [-1.0, 0.5]], (0, 1)))
+
+
+@query("patches_2d_whole", f"WITH {A_SQL} SELECT a.range AS d0, b.range AS d1, CAST(0 AS BIGINT) AS d2, CAST(0 AS BIGINT) AS d3, (d0 - a.range) + 3 * (d1 - b.range) + 9 * d2 + 36 * d3 AS d4, {R} FROM c, range(2) a, range(2) b WHERE c.d0 - a.range BETWEEN 0 AND 2 AND c.d1 - b.range BETWEEN 0 AND 2")
+def patches_2d_whole(s, d):
+    return _out(_cubes(s, d).patches((2, 2, 1, 1)))
+
+
+@query("image_patches_whole", f"WITH {A_SQL} SELECT d2 AS d0, d3 AS d1, p.range AS d2, q.range AS d3, x.range + y.range * 2 AS d4, {R} FROM c, range(2) p, range(2) q, range(2) x, range(2) y WHERE c.d0 = x.range * 2 + p.range AND c.d1 = y.range * 2 + q.range")
+def image_patches_whole(s, d):
+    return _out(_cubes(s, d).image_patches((0, 1), (2, 2), (2, 2)))
+
+
+@query("contract_3way_whole", f"WITH {A_SQL} SELECT a.d0, b.d2 AS d1, round(sum(a.v * b.v), 6) + 0.0 AS v FROM c a JOIN c b ON a.d1 = b.d0 AND a.d2 = b.d1 AND a.d3 = b.d3 GROUP BY a.d0, b.d2")
+def contract_3way_whole(s, d):
+    c = _cubes(s, d)
+    return _out(c.contract(c, [(1, 0), (2, 1), (3, 3)]))
+
+
+@query("dft_small_whole", f"{EW} SELECT k.range AS d0, i AS d1, round(sum(v * cos(2 * pi() * k.range * j / 64)), 6) + 0.0 AS re, round(sum(-v * sin(2 * pi() * k.range * j / 64)), 6) + 0.0 AS im FROM e, range(64) k GROUP BY k.range, i")
+def dft_small_whole(s, d):
+    t = Tensor(embeddings(s, d).df.select(F.col("j").alias("d0"), F.col("i").alias("d1"), "v"), (64, 1 << 40))
+    return t.fft([0]).select("d0", "d1", r6("re").alias("re"), r6("im").alias("im"))
+
+
+@query("cumprod_whole", f"WITH {S_SQL}, x AS (SELECT d0, d1, v / 50 AS x FROM s) SELECT d0, d1, CASE WHEN bool_or(x = 0) OVER w THEN 0 WHEN count(*) FILTER (x < 0) OVER w % 2 = 1 THEN -1 ELSE 1 END AS sign, round(sum(CASE WHEN x = 0 THEN 0 ELSE ln(abs(x)) END) OVER w, 6) + 0.0 AS log FROM x WINDOW w AS (PARTITION BY d0 ORDER BY d1)")
+def cumprod_whole(s, d):
+    """Running products of whole series as sign and log of the magnitude (of the factors that aren't zero): no series is too long for a double."""
+    t = _series(s, d).map(lambda x: x / 50)
+    log = t.map(lambda x: F.when(x == 0, 0.0).otherwise(F.ln(F.abs(x)))).cumsum(1).df.withColumnRenamed("v", "log")
+    sign = t.map(lambda x: F.signum(x)).cumprod(1).df.withColumnRenamed("v", "sign")
+    return log.join(sign, ["d0", "d1"]).select("d0", "d1", F.col("sign").cast("int").alias("sign"), r6("log").alias("log"))
