@@ -191,6 +191,14 @@ def test_toxicity(spark, sf, odd, empty):
     assert queries.op4_toxicity(spark, sf).where("predicted != cast(score >= 0.5 as int)").count() == 0
 
 
+def test_toxicity_caps_keep_the_share(spark):
+    docs = spark.range(660).select(F.col("id").alias("doc_id"), F.lit("nothing to see").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 11 == 0).cast("int").alias("toxic"))
+    for caps in ({}, {"max_toxic": 40, "max_clean": 80}, {"max_clean": 80}):
+        row = toxicity.score(docs, toxicity.fit(docs, labels, **caps)).first()
+        assert row["score"] == pytest.approx(60 / 660, rel=1e-3)
+
+
 # ---- near duplicates
 
 

@@ -233,7 +233,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_column: str = "text", id_column
     """Learn a model from the texts of labelled ids (null labels and ids don't count).
 
     The sample is chosen among the labels, so its ids are few enough to broadcast and no text
-    is shuffled to find it. Without labels of both kinds the model has fixed arcs only and a
+    is shuffled to find it. The kinds are capped apart, so the intercept is corrected by the
+    shares of each that were chosen: scores don't depend on the caps' ratio. Without labels of both kinds the model has fixed arcs only and a
     low prior.
     """
     small_batches(docs.sparkSession)
@@ -242,6 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_column: str = "text", id_column
     chosen = rows.where("toxic = 1").orderBy("_h", "_id").limit(max_toxic).unionByName(rows.where("toxic = 0").orderBy("_h", "_id").limit(max_clean))
     sample = docs.join(F.broadcast(chosen), docs[id_column] == F.col("_id")).select(F.coalesce(F.col(text_column), F.lit("")).alias("text"), "toxic")
     sample = materialize(sample.repartition(16), "labelled")
+    labelled = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     model = Model()
@@ -256,6 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_column: str = "text", id_column
     model.arcs = {r["feature"] & (1 << 64) - 1: r["weight"] for r in arcs.orderBy(F.desc("test"), "feature").limit(MAX_ARCS).collect()}
     got = sample.mapInArrow(_features_only(model), "toxic long, x array<double>").collect()  # at most max_toxic + max_clean short rows
     model.layer = fit_layer(np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float))
+    model.layer[-1] += float(np.log(max(1.0, labelled[1] / max_toxic)) - np.log(max(1.0, labelled[0] / max_clean)))
     return model
 
 
