@@ -165,6 +165,12 @@ def test_whole_tensor_queries(spark, sf):
     assert catalog.QUERIES["cumprod_whole"](spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").count()
 
 
+def test_whole_sparse_operands(spark, sf):
+    """Every cell of the lines is in both operands."""
+    cells = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().count()
+    assert catalog.QUERIES["sparse_hadamard_whole"](spark, sf).count() == cells > 0
+
+
 def test_fits(spark):
     x = RNG.standard_normal((30, 2))
     pairs = spark.createDataFrame([(*map(float, p), float(3 * p[1] + 1), float(-3 * p[0] + 2)) for p in x], "a double, b double, c double, d double")

@@ -518,3 +518,42 @@ def degree_ordering_whole(s, d):
     """Places by a range sort and the partitions' counts; no task holds all rows."""
     ordered = orders(s, d).rowwise(n=F.count("v")).orderBy("n", "i").select("i")
     return s.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (x[0]["i"], x[1] + 1)), "i long, place long")
+
+
+def _tax(s, d):
+    """The second operand of the sparse queries: the tax of all lines, duplicates summed."""
+    df = table(s, d, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_tax").alias("v"))
+    return Matrix.from_triplets(df, 1 << 40, 1 << 40)
+
+
+X_SQL = "t AS (SELECT l_orderkey AS i, l_partkey AS j, sum(l_tax) AS v FROM lineitem GROUP BY ALL)"
+
+
+@query("sparse_add_whole", f"WITH {L_SQL}, {X_SQL} SELECT i, j, round(coalesce(l.v, 0) + coalesce(t.v, 0), 6) + 0.0 AS v FROM l FULL JOIN t USING (i, j)")
+def sparse_add_whole(s, d):
+    return rounded(lineitems(s, d) + _tax(s, d))
+
+
+@query("sparse_sub_whole", f"WITH {L_SQL}, {X_SQL} SELECT i, j, round(coalesce(l.v, 0) - coalesce(t.v, 0), 6) + 0.0 AS v FROM l FULL JOIN t USING (i, j)")
+def sparse_sub_whole(s, d):
+    return rounded(lineitems(s, d) - _tax(s, d))
+
+
+@query("sparse_union_op_whole", f"WITH {L_SQL}, {X_SQL} SELECT i, j, round(greatest(coalesce(l.v, 0), coalesce(t.v, 0)), 6) + 0.0 AS v FROM l FULL JOIN t USING (i, j)")
+def sparse_union_op_whole(s, d):
+    return rounded(lineitems(s, d).union_op(_tax(s, d), F.greatest))
+
+
+@query("sparse_hadamard_whole", f"WITH {L_SQL}, {X_SQL} SELECT i, j, round(l.v * t.v, 6) + 0.0 AS v FROM l JOIN t USING (i, j)")
+def sparse_hadamard_whole(s, d):
+    return rounded(lineitems(s, d).cwise_product(_tax(s, d)))
+
+
+@query("sparse_quotient_whole", f"WITH {L_SQL}, {X_SQL} SELECT i, j, round(l.v / t.v, 6) AS v FROM l JOIN t USING (i, j) WHERE t.v <> 0")
+def sparse_quotient_whole(s, d):
+    return rounded(lineitems(s, d).cwise_quotient(_tax(s, d).prune(lambda i, j, x: x != 0)))
+
+
+@query("sparse_disjunction_whole", f"WITH {L_SQL}, {X_SQL} SELECT i, j, round(CASE WHEN l.v IS NULL THEN t.v WHEN t.v IS NULL THEN l.v ELSE l.v * t.v END, 6) + 0.0 AS v FROM l FULL JOIN t USING (i, j)")
+def sparse_disjunction_whole(s, d):
+    return rounded(lineitems(s, d).disjunction(_tax(s, d), lambda a, b: a * b))
