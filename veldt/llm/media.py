@@ -165,10 +165,9 @@ def decode(data: bytes) -> tuple[bytes, str, dict]:
     if (kind, bits, channels) != (1, 8, 1):
         raise ValueError("only unsigned 8-bit mono is read")
     samples = b"".join(audio.packets[1 + extra :])
-    times = audio.times(rate)
-    if times[-1] * rate != len(samples):
+    if audio.marks[-1][0] != len(samples):  # granule positions are compared as whole numbers; seconds are only derived
         raise ValueError("the last granule position isn't the sample count")
-    return samples, note.packets[1].decode(), {"rate": rate, "pages": sum(s.pages for s in streams.values()), "packets": len(audio.packets), "streams": len(streams), "seconds": times[-1]}
+    return samples, note.packets[1].decode(), {"rate": rate, "pages": sum(s.pages for s in streams.values()), "packets": len(audio.packets), "streams": len(streams), "seconds": audio.times(rate)[-1]}
 
 
 def features(samples: bytes, facts: dict) -> str:
@@ -184,8 +183,6 @@ def padded(text: bytes, unit: int = UNIT) -> bytes:
     return text + b"\0" * (max(unit, -(-len(text) // unit) * unit) - len(text))
 
 
-
-
 def encode_media(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """The documents with media: the text (null: empty) as an Ogg file. A column called media is replaced."""
     small_batches(docs.sparkSession)
@@ -234,5 +231,3 @@ def read_media(media: DataFrame, media_column: str = "media", keep: tuple[str, .
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
     return rows.mapInArrow(run, f"{fields}, {_READ}")
-
-
