@@ -23,14 +23,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_values(seed: int) -> np.ndarray:
-    """A random value for each byte; A-Z have those of a-z."""
+def _byte_values(seed: int, fold: bool = True) -> np.ndarray:
+    """A random value for each byte; A-Z have those of a-z where case is folded."""
     values = mix(np.arange(1, 257, dtype=np.uint64) * _ODD + np.uint64(seed))
-    values[65:91] = values[97:123]
+    if fold:
+        values[65:91] = values[97:123]
     return values
 
 
-VALUES = (_byte_values(1), _byte_values(2))
+#: Kinds of hashes: two that fold case, and one that keeps it.
+VALUES = (_byte_values(1), _byte_values(2), _byte_values(3, fold=False))
+KEEP_CASE = 2
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Words between white space, and words of letters, digits and what is not ASCII.
@@ -39,25 +42,49 @@ ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes hashed at a time: it bounds the tables of powers and the arrays beside them, whatever the length of a text.
+SEGMENT = 1 << 17
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for k, base in enumerate((_ODD, _ODD_INVERSE)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[k] = np.multiply.accumulate(table)
-    return _powers[0], _powers[1]
+def _powers(base: np.uint64) -> np.ndarray:
+    table = np.full(2 * SEGMENT + 1, base, np.uint64)
+    table[0] = 1
+    return np.multiply.accumulate(table)
+
+
+_POWER, _INVERSE = _powers(_ODD), _powers(_ODD_INVERSE)
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
-    """Hashes of data[start:end] for each run; runs may be empty and may overlap."""
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(VALUES[kind][data] * power[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _ODD)
+    """Hashes of data[start:end] for each run; starts ascend, runs may be empty and may overlap."""
+    out = np.empty(len(starts), np.uint64)
+    values, at = VALUES[kind], 0
+    while at < len(starts):
+        base = int(starts[at])
+        last = int(np.searchsorted(starts, base + SEGMENT, "left"))
+        s, e = starts[at:last] - base, ends[at:last] - base
+        long = np.flatnonzero(e > 2 * SEGMENT)
+        if len(long):
+            for k in long.tolist():
+                out[at + k] = _long_run(data[base + int(s[k]) : base + int(e[k])], values)
+            e = np.where(e > 2 * SEGMENT, s, e)
+        n = int(e.max())
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values[data[base : base + n]] * _POWER[:n], out=sums[1:])
+        found = (sums[e] - sums[s]) * _INVERSE[s]
+        if len(long):
+            found[long] = out[at:last][long]
+        out[at:last] = found
+        at = last
+    return mix(out + (ends - starts).astype(np.uint64) * _ODD)
+
+
+def _long_run(run: np.ndarray, values: np.ndarray) -> np.uint64:
+    total, step = 0, int(pow(int(_ODD), SEGMENT, 1 << 64))
+    for k in range(-(-len(run) // SEGMENT) - 1, -1, -1):
+        part = run[k * SEGMENT : (k + 1) * SEGMENT]
+        total = (total * step + int((values[part] * _POWER[: len(part)]).sum(dtype=np.uint64))) % (1 << 64)
+    return np.uint64(total)
 
 
 def text_chunks(column: pa.Array, limit: int = 1 << 20):
