@@ -16,8 +16,6 @@ as many steps as a bin has pieces. It doesn't grow with the corpus and is checke
 from __future__ import annotations
 
 import os
-import re
-import struct
 import zlib
 
 import numpy as np
@@ -25,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldt.llm._bytes import KEEP_CASE, NOT_SPACE, run_hashes, text_chunks, words
 from veldt.llm._store import materialize, small_batches
 
 CAPACITY = 4096
 END_ID = 1
 SALTS = 64
-CACHE_WORDS = 700_000
+CACHE_WORDS = 2_000_000
+CACHE_BYTES = 64 << 20
+COMPARED = 1 << 17
 MAX_RUNS = 4_000_000
-_STOPS = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[ \t\n\r\x0b\x0c])")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -120,13 +120,15 @@ def _open(tree: TightestOpen, classes: dict, room: int, first: int, n: int) -> N
 
 
 class WordTokens:
-    """Ids of texts as little-endian unsigned 32-bit bytes.
+    """Ids of texts, a whole chunk of texts at a time.
 
     The tokenizer's white space never joins two tokens, so texts are split at ASCII white
     space and each distinct word is encoded once. A full stop or comma between an ASCII
-    letter or digit and white space is a token of its own, so it's split off first. Words
-    stay known for the later tasks of a Python worker, CACHE_WORDS at most: a full cache
-    is emptied, results stay the same.
+    letter or digit and white space is a token of its own, so it's split off first. Words are
+    told apart by case-keeping hashes and then compared byte by byte, so a clash of hashes
+    can't change ids. Words stay known for the later tasks of a Python worker, at most
+    cache_words of them and CACHE_BYTES of their bytes: a full cache is emptied, results stay
+    the same.
     """
 
     _loaded: dict[str, WordTokens] = {}
@@ -142,44 +144,119 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
         self.cache_words = cache_words
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        known = self.known
-        split = [_STOPS.sub(rb" \1", t).split() for t in texts]
-        fresh = set()
-        for w in split:
-            fresh.update(w)
-        if len(known) > self.cache_words:
-            known.clear()
-        fresh = list(fresh.difference(known))
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = struct.pack(f"<{len(e)}I", *e.ids)
-        return [b"".join([known[x] for x in w]) for w in split]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # known words: sorted hashes, and their places
+        self.held, self.held_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # bytes by place
+        self.ids, self.ids_at = np.zeros(0, np.uint32), np.zeros(1, np.int64)  # ids by place
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        """Encode words whose (sorted) hashes aren't known."""
+        if len(self.hashes) > self.cache_words or len(self.held) > CACHE_BYTES:
+            raise _CacheFull
+        found, raw = [], data.tobytes()
+        listed = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())]
+        for k in range(0, len(listed), 20_000):
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(listed[k : k + 20_000], add_special_tokens=False)]
+        places = np.arange(len(starts)) + len(self.held_at) - 1
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.places = np.insert(self.hashes, at, hashes), np.insert(self.places, at, places)
+        self.held = np.concatenate([self.held, data[spread(starts, ends - starts)]])
+        self.held_at = np.concatenate([self.held_at, self.held_at[-1] + np.cumsum(ends - starts)])
+        self.ids = np.concatenate([self.ids, np.fromiter((x for e in found for x in e), np.uint32)])
+        self.ids_at = np.concatenate([self.ids_at, self.ids_at[-1] + np.cumsum([len(e) for e in found], dtype=np.int64)])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a chunk, each with end_id after it, and the place of each text's first."""
+        starts, ends, index = split_words(data, offsets)
+        hashes = run_hashes(data, starts, ends, KEEP_CASE)
+        unique, first, word = np.unique(hashes, return_index=True, return_inverse=True)
+        if not self._equal(data, starts, ends, data, starts[first], ends[first], word):
+            return self._encode_each(data, offsets, end_id)
+        for fresh_start in (False, True):
+            at = np.searchsorted(self.hashes, unique)
+            new = np.ones(len(unique), bool)
+            inside = at < len(self.hashes)
+            new[inside] = self.hashes[at[inside]] != unique[inside]
+            try:
+                if new.any():
+                    self._learn(data, starts[first[new]], ends[first[new]], unique[new])
+                break
+            except _CacheFull:
+                self._clear()
+        place = self.places[np.searchsorted(self.hashes, unique)]
+        if not self._equal(data, starts[first], ends[first], self.held, self.held_at[:-1], self.held_at[1:], place):
+            return self._encode_each(data, offsets, end_id)
+        of = place[word]
+        n = np.diff(self.ids_at)[of]
+        ids = self.ids[spread(self.ids_at[of], n)]
+        total = np.concatenate([[0], np.cumsum(n)])[index]
+        if end_id is not None:
+            ids = np.insert(ids, total[1:], np.uint32(end_id))
+            total = total + np.arange(len(total))
+        return ids, total
+
+    @staticmethod
+    def _equal(a: np.ndarray, a_start: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_end: np.ndarray, of: np.ndarray) -> bool:
+        """Whether each run of a has the bytes of run `of` of b."""
+        n = a_end - a_start
+        if (n != (b_end - b_start)[of]).any():
+            return False
+        edges = np.searchsorted(np.cumsum(n), np.arange(0, int(n.sum()) + COMPARED, COMPARED)).tolist() if len(n) else []
+        return all((a[spread(a_start[p:q], n[p:q])] == b[spread(b_start[of[p:q]], n[p:q])]).all() for p, q in zip([0, *edges], [*edges, len(n)]) if p < q)
+
+    def _encode_each(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that hold a clash of hashes: as the tokenizer encodes them, whole."""
+        raw = data.tobytes()
+        found = [self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids + ([] if end_id is None else [end_id]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        return np.array([x for e in found for x in e], np.uint32), np.concatenate([[0], np.cumsum([len(e) for e in found], dtype=np.int64)])
+
+
+class _CacheFull(Exception):
+    pass
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+_WORD_BYTE = np.zeros(256, bool)
+_WORD_BYTE[0x30:0x3A] = _WORD_BYTE[0x41:0x5B] = _WORD_BYTE[0x61:0x7B] = True
+_STOP_BYTE = np.zeros(256, bool)
+_STOP_BYTE[list(b".,")] = True
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words between white space; a full stop or comma after an ASCII letter or digit and before white space is a word of its own."""
+    starts, ends, index = words(data, offsets, NOT_SPACE)
+    last = np.zeros(len(starts), bool)
+    last[index[1:][np.diff(index) > 0] - 1] = True  # the last word of a text may have no white space after it
+    inner = ~last | ((ends < len(data)) & ~NOT_SPACE[data[np.minimum(ends, len(data) - 1)]] & (ends < np.repeat(offsets[1:], np.diff(index))))
+    split = np.flatnonzero(inner & (ends - starts > 1) & _STOP_BYTE[data[ends - 1]] & _WORD_BYTE[data[ends - 2]])
+    stops = ends[split] - 1
+    ends[split] = stops
+    return np.insert(starts, split + 1, stops), np.insert(ends, split + 1, stops + 1), index + np.searchsorted(split, index)
 
 
 def _pieces(tokenizer_path: str, capacity: int, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
-        encode = WordTokens.of(tokenizer_path).encode
+        tokens = WordTokens.of(tokenizer_path)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = batch.column(1).cast(pa.binary())
-            rows: list[list] = [[], [], [], [], []]
-            for at in range(0, len(ids), 100):
-                part = [t or b"" for t in texts.slice(at, 100).to_pylist()]
-                for doc, tokens in zip(ids[at : at + 100], encode(part)):
-                    tokens += end
-                    view, n = memoryview(tokens), len(tokens) // 4
-                    for piece, start in enumerate(range(0, n, capacity)):
-                        length = min(capacity, n - start)
-                        for out, x in zip(rows, (doc, piece, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]))):
-                            out.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for row, data, offsets in text_chunks(batch.column(1)):
+                ids, at = tokens.encode(data, offsets, end_id)
+                view = memoryview(ids.astype("<u4").view(np.uint8))
+                n = -(-np.diff(at) // capacity)
+                owner, piece = np.repeat(np.arange(len(n)), n), spread(np.zeros(len(n), np.int64), n)
+                start = piece * capacity
+                length = np.minimum(np.diff(at)[owner] - start, capacity)
+                low = (at[:-1][owner] + start) * 4
+                crc = [zlib.crc32(view[a:b]) for a, b in zip(low.tolist(), (low + length * 4).tolist())]
+                doc = batch.column(0).slice(row, len(n)).take(pa.array(owner))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
