@@ -8,7 +8,9 @@
    spanning forest of the pairs at or above FLOOR goes out, never all pairs. A bucket of
    more than BUCKET classes never meets in one task: it becomes a star around its smallest
    id by a join, a superset of its pairs, so no link is lost.
-4. The forests' components are candidate clusters. Full sets meet once per cluster; a
+4. The forests' components are candidate clusters. A broadcast Bloom filter of their ids (at
+   most 16 MB) picks their texts where they lie, and only full sets are shuffled. Sets meet
+   once per cluster; a
    breadth-first search over an inverted index finds the exact links. Clusters beyond
    FIRST documents or CHUNK_BYTES are dealt to parts; each part is compared within itself
    and with LEADERS documents of its cluster. What then hangs together needs no more pairs:
@@ -40,6 +42,7 @@ FIRST = 2048
 CHUNK = 2048
 LEADERS = 16
 CHUNK_BYTES = 24 << 20
+FILTER_BITS = 27
 _MULTIPLY = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix(np.arange(1, HASHES + 1, dtype=np.uint64) + np.uint64(1 << 40))
 
@@ -237,13 +240,47 @@ def _cluster_links(percent: int):
     return run
 
 
-def _sets(batches):
-    for batch in batches:
-        for row, data, offsets in text_chunks(batch.column(3)):
-            values, index = shingle_sets(data, offsets)
-            n = len(offsets) - 1
-            held = [values[index[k] : index[k + 1]].tobytes() for k in range(n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), batch.column(2).slice(row, n), pa.array(held, pa.binary())], names=["cluster", "parts", "doc_id", "held"])
+def id_filter(ids: DataFrame, n: int) -> np.ndarray:
+    """A one-probe Bloom filter of about n ids (column place64): FILTER_BITS bits at most, so its size has a bound.
+
+    It only spares work: what it lets through wrongly is dropped by a join.
+    """
+    bits = 1 << min(FILTER_BITS, max(16, (16 * n).bit_length()))
+    at = F.col("place64").bitwiseAND(F.lit(bits - 1))
+    words = ids.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(%d & place64 as int))" % 63).alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most bits / 64 rows
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _sets(members):
+    """(doc_id, held): the full sets of the texts whose ids are in the filter."""
+
+    def run(batches):
+        bits = members.value
+        top = np.int64(len(bits) * 64 - 1)
+        for batch in batches:
+            at = batch.column(1).to_numpy(zero_copy_only=False) & top
+            there = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            if not there.any():
+                continue
+            batch = batch.filter(pa.array(there))
+            for row, data, offsets in text_chunks(batch.column(2)):
+                values, index = shingle_sets(data, offsets)
+                held = pa.Array.from_buffers(pa.large_binary(), len(index) - 1, [None, pa.py_buffer(index.astype(np.int64) * 8), pa.py_buffer(values)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(index) - 1), held.cast(pa.binary())], names=["doc_id", "held"])
+
+    return run
+
+
+def cluster_sets(members: DataFrame, n: int, rows: DataFrame) -> DataFrame:
+    """(doc_id, held): full sets of (nearly only) the members' texts, made where the texts lie: no text is shuffled."""
+    spark = rows.sparkSession
+    place = F.xxhash64("doc_id").alias("place64")
+    held = spark.sparkContext.broadcast(id_filter(members.select("doc_id").distinct().select(place), n))
+    known = rows.where("doc_id is not null").select("doc_id", place, "text")
+    return materialize(known.mapInArrow(_sets(held), "doc_id long, held binary"), "sets")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -301,10 +338,9 @@ def _second_parts(large: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("cluster", F.when(F.col("root") == F.col("main"), against).otherwise(F.array_union(against, all_chunks)).alias("parts"), "doc_id")
 
 
-def _exact(members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def _exact(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Exact links (a, b) within every part of (cluster, parts, doc_id): a spanning forest of each part's links."""
-    held = members.join(rows.where("doc_id is not null"), "doc_id").select("cluster", "parts", "doc_id", "text").mapInArrow(_sets, "cluster long, parts array<long>, doc_id long, held binary")
-    spread = held.select("cluster", F.explode("parts").alias("part"), "doc_id", "held")
+    spread = members.join(sets, "doc_id").select("cluster", F.explode("parts").alias("part"), "doc_id", "held")
     return spread.repartition("cluster", "part").sortWithinPartitions("cluster", "part").mapInArrow(_cluster_links(percent), "a long, b long")
 
 
@@ -328,7 +364,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("n")).where("x < y")
     buckets = materialize(buckets.select("key", "x", (F.col("n") > BUCKET).alias("large")), "buckets", compact=True)
-    candidates = reps.select("doc_id", "digits", F.explode("bands").alias("key")).join(buckets.where("not large").select("key"), "key").select("key", "doc_id", "digits")
+    # digits travel only with the few (key, id) that share their key
+    candidates = banded.join(buckets.where("not large").select("key"), "key").join(reps.select("doc_id", "digits"), "doc_id").select("key", "doc_id", "digits")
     near = candidates.repartition("key").sortWithinPartitions("key").mapInArrow(_forests, "a long, b long")
     stars = banded.join(materialize(buckets.where("large").select("key", "x"), "large_buckets", compact=True), "key").where("doc_id != x")
     near = near.unionByName(stars.select(F.col("x").alias("a"), F.col("doc_id").alias("b")))
@@ -336,14 +373,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     sized = clusters.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     sized = materialize(sized.select(F.col("component").alias("cluster"), "n", "s", _pieces("n", "s", FIRST).alias("pieces")), "cluster_sizes", compact=True)
     members = clusters.join(sized, clusters.component == sized.cluster).select("cluster", "pieces", _pieces("n", "s", CHUNK).alias("chunks"), F.col("node").alias("doc_id"))
-    links = materialize(_exact(_first_parts(members), rows, percent), "links")
+    n = sized.agg(F.sum("n")).first()[0] or 0
+    sets_held = cluster_sets(members, n, rows)
+    links = materialize(_exact(_first_parts(members), sets_held, percent), "links")
     large = members.where("pieces > 1")
     if not large.isEmpty():
         large = materialize(large.join(reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id"), "large_clusters", compact=True)
         found = components(links.join(large.select(F.col("doc_id").alias("a")), "a", "left_semi"))
-        # a table of known size: where it is small it is broadcast, and the texts aren't shuffled again
         left = materialize(_second_parts(large, found), "parts_left", compact=True)
-        links = links.unionByName(materialize(_exact(left, rows, percent), "links_left"))
+        links = links.unionByName(materialize(_exact(left, sets_held, percent), "links_left"))
     # an exact copy hangs on its class's first id: those groups are stars, so they need no contraction
     joined = materialize(components(links), "components")
     firsts = same.select(F.col("a").alias("doc_id"), F.col("b").alias("first_id")).distinct()
