@@ -6,6 +6,7 @@ cluster names in ``spark.checkpoint.dir``; executors can be lost, the files stay
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -15,23 +16,49 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch; a batch of very long texts stays small enough for a worker.
 BATCH_ROWS = 1000
 BATCH_BYTES = 4 << 20
+#: Rows that the Parquet reader decodes at a time: the default of 4096 texts is one array of many MB in the heap.
+READER_ROWS = 512
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a fresh temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir() if hasattr(spark, "sparkContext") else None
-    if current:
-        return current.rstrip("/")
-    folder = tempfile.mkdtemp(prefix="veldt-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    """The session's checkpoint folder. Where none is set a local master gets a temporary one; on a cluster that's an error, as executors don't share a machine's folders."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veldt-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+_roots: set[str] = set()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/veldt/{uuid.uuid4().hex}/{name}"
+    """A new path below the application's folder, which goes when the driver's Python ends."""
+    root = f"{shared_folder(spark)}/veldt-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_delete, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), root, True)
+    return f"{root}/{uuid.uuid4().hex}/{name}"
+
+
+def _delete(jvm, conf, path: str, at_exit: bool = False) -> None:
+    try:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    except Exception:
+        if not at_exit:  # at the end the JVM may be gone already; the folder stays then
+            raise
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_veldt_path", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            _delete(sc._jvm, sc._jsc.hadoopConfiguration(), path.rsplit("/", 1)[0])
 
 
 _SPREAD = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
@@ -52,13 +79,19 @@ def materialize(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_SPREAD, spread)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._veldt_path = path
+    return out
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds in the JVM and in a Python worker."""
+    """Bound what one batch of texts holds in the JVM and in a Python worker.
+
+    The session keeps these settings: a returned DataFrame is run later, and is planned then.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
