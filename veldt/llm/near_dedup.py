@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldt.llm._bytes import NOT_SPACE, mix, run_hashes, text_chunks, window_hashes, words
-from veldt.llm._store import materialize, small_batches
+from veldt.llm._store import materialize, release, small_batches
 
 WIDTH = 5
 BANDS, ROWS = 32, 4
@@ -298,11 +298,13 @@ def components(edges: DataFrame) -> DataFrame:
         both = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         best = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(k)).alias("h"), F.col("b").alias("id"))).alias("m"))
         own = F.struct(F.xxhash64("a", F.lit(k)).alias("h"), F.col("a").alias("id"))
+        old = left, names
         to = materialize(best.select(F.col("a").alias("old"), F.least(own, F.col("m"))["id"].alias("new")), f"to_{k}", compact=True)
         renamed = left.join(to, left.a == to.old).select(F.col("new").alias("a"), "b")
         renamed = renamed.join(to.withColumnsRenamed({"old": "old2", "new": "new2"}), F.col("b") == F.col("old2")).select("a", F.col("new2").alias("b")).where("a != b")
         left = materialize(renamed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"edges_{k}", compact=True)
         names = materialize(names.join(to, names.root == to.old, "left").select("node", F.coalesce("new", "root").alias("root")), f"names_{k}", compact=True)
+        release(to, *old)
         k += 1
     smallest = names.groupBy("root").agg(F.min("node").alias("component"))
     return names.join(smallest, "root").select("node", "component")
@@ -367,7 +369,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     # digits travel only with the few (key, id) that share their key
     candidates = banded.join(buckets.where("not large").select("key"), "key").join(reps.select("doc_id", "digits"), "doc_id").select("key", "doc_id", "digits")
     near = candidates.repartition("key").sortWithinPartitions("key").mapInArrow(_forests, "a long, b long")
-    stars = banded.join(materialize(buckets.where("large").select("key", "x"), "large_buckets", compact=True), "key").where("doc_id != x")
+    large_buckets = materialize(buckets.where("large").select("key", "x"), "large_buckets", compact=True)
+    stars = banded.join(large_buckets, "key").where("doc_id != x")
     near = near.unionByName(stars.select(F.col("x").alias("a"), F.col("doc_id").alias("b")))
     clusters = materialize(components(near), "clusters")
     sized = clusters.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
@@ -384,6 +387,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
         links = links.unionByName(materialize(_exact(left, sets_held, percent), "links_left"))
     # an exact copy hangs on its class's first id: those groups are stars, so they need no contraction
     joined = materialize(components(links), "components")
+    release(buckets, large_buckets, clusters, sized, sets_held)
     firsts = same.select(F.col("a").alias("doc_id"), F.col("b").alias("first_id")).distinct()
     repeated = used.groupBy("doc_id").agg(F.min("one").alias("x"), F.max("one").alias("y")).where("x < y").limit(1)
     if not repeated.isEmpty():  # an id with several texts: its copies may join groups, so all links go through the components
