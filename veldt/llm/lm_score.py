@@ -6,11 +6,16 @@ to the segment's owner, which adds up and answers, so no vocabulary is ever held
 
 Bigram counts c are quantised to levels 1 + floor(log2 c). A bigram of level q is put into
 the filter under (bigram, 1) ... (bigram, q); a reader probes levels upward until one is
-missing. Bigrams go by hash segment as well: each segment fills its own slice of the filter,
-probes it for the bigrams of every block and sends their levels back, so the filter is never
-held whole. It has BITS_PER_TOKEN bits per training token at any size; a bigram of count c
-has at most c entries, so the rate of false hits (fill ** PROBES) has a bound that doesn't
-depend on the size.
+missing, and never past the largest level of the slice. Bigrams go by hash segment as well:
+each segment fills its own slice of the filter, probes it for the bigrams of every block and
+sends their levels back, so the filter is never held whole. A slice has BITS_PER_ENTRY bits
+for each of its entries, so the rate of false hits is the same, about
+(1 - exp(-PROBES / BITS_PER_ENTRY)) ** PROBES = 0.1 %, at any size.
+
+Messages: blocks of BLOCK_TOKENS tokens and segments of SEGMENT_TOKENS tokens. Up to
+MIN_SEGMENTS * SEGMENT_TOKENS tokens the number of segments is fixed and messages grow with
+the blocks; beyond, a block sends to each segment that has one of its keys, so there are
+never more messages than keys.
 
 p(w | h) = (2 ** (level - 1) + MU * p(w)) / (c(h) + MU), with the add-one unigram p(w) as
 base; a quantised count is never above the true one, so the sum over w stays within 1.
@@ -30,15 +35,17 @@ from pyspark.sql import functions as F
 from veldt.llm._bytes import NOT_SPACE, mix, run_hashes, text_chunks, words
 from veldt.llm._store import fresh_path, materialize, small_batches
 
-BLOCK_TOKENS = 400_000
-BITS_PER_TOKEN = 4
-MIN_BITS = 1 << 16
-PROBES = 3
+BLOCK_TOKENS = 1_000_000
+SEGMENT_TOKENS = 4_000_000
+MIN_SEGMENTS = 64
+BITS_PER_ENTRY = 16
+MIN_BITS = 1 << 10
+PROBES = 6
 MU = 200.0
 END = np.uint64(0x454E44454E44454F)
 BEGIN = np.uint64(0x424547494E424547)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = "block long, doc_ids array<long>, train array<boolean>, lengths array<int>, train_tokens long, vocabulary binary, tokens binary"
+_BLOCK = "block long, doc_ids array<long>, train array<boolean>, lengths array<int>, n_tokens long, train_tokens long, vocabulary binary, tokens binary"
 
 
 def squeezed(numbers: np.ndarray) -> bytes:
@@ -66,8 +73,8 @@ def _blocks(batches):
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         n = sum(x for x, t in zip(lengths, train) if t)
-        row = [[base + count], [ids], [train], [lengths], [n], [vocabulary[order].tobytes()], [squeezed(rank[tokens])]]
-        types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary())
+        row = [[base + count], [ids], [train], [lengths], [total], [n], [vocabulary[order].tobytes()], [squeezed(rank[tokens])]]
+        types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], names=[x.split()[0] for x in _BLOCK.split(", ")])
         held, ids, train, lengths, total, count = [], [], [], [], 0, count + 1
         return out
@@ -175,104 +182,87 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table({"segment": table["segment"], "block": table["block"], "counts": pa.array(answers, pa.binary()), "width": pa.array([int(width[-1])] * n, pa.int32()), "known": pa.array([known] + [0] * (n - 1), pa.int64()), "tokens": pa.array([tokens] + [0] * (n - 1), pa.int64())})
 
 
-def positions(keys48: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
-    """PROBES places in a filter slice of `bits` bits."""
-    one = mix(keys48 * _ODD + np.uint64(level))
-    two = mix(one + _ODD) | np.uint64(1)
-    return [((one + two * np.uint64(k)) % np.uint64(bits)).astype(np.int64) for k in range(PROBES)]
-
-
 def levels_of(counts: np.ndarray) -> np.ndarray:
-    """1 + floor(log2 count)."""
+    """1 + floor(log2 count), 0 for 0."""
     return np.frexp(counts.astype(np.float64))[1]
 
 
-def _fill(slice_bits: int):
-    def run(table: pa.Table) -> pa.Table:
-        held = np.concatenate([unpacked(x.as_py()) for x in table["keys"]])
-        counts = np.frombuffer(b"".join(x.as_py() for x in table["counts"]), np.uint32)
-        keys, at = np.unique(held, return_inverse=True)
-        levels = levels_of(np.bincount(at, counts, len(keys)))
-        bits = np.zeros(slice_bits, bool)
-        for level in range(1, int(levels.max(initial=0)) + 1):
-            for place in positions(keys[levels >= level], level, slice_bits):
-                bits[place] = True
-        return pa.table({"segment": table["segment"][:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()), "bigrams": pa.array([int((levels > 0).sum())], pa.int64())})
-
-    return run
-
-
-def slice_size(tokens: int, segments: int) -> int:
-    """Bits of one segment's slice, whole bytes."""
-    return -(-max(BITS_PER_TOKEN * tokens, MIN_BITS) // segments // 8) * 8
+class BigramFilter:
+    """A slice of the log-frequency Bloom filter: (key, 1) ... (key, level) are its entries."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        levels = levels_of(counts)
+        self.top = int(levels.max(initial=0))
+        self.size = max(MIN_BITS, -(-BITS_PER_ENTRY * int(levels.sum()) // 8) * 8)
+        bits = np.zeros(self.size, bool)
+        for level in range(1, self.top + 1):
+            one, two = self._hashes(keys[levels >= level], level)
+            for k in range(PROBES):
+                bits[self._place(one, two, k)] = True
+        self.bits, self.fill = np.packbits(bits), float(bits.mean())
+
+    @staticmethod
+    def _hashes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        one = mix(keys * _ODD + np.uint64(level))
+        return one, mix(one + _ODD) | np.uint64(1)
+
+    def _place(self, one: np.ndarray, two: np.ndarray, k: int) -> np.ndarray:
+        return ((one + two * np.uint64(k)) % np.uint64(self.size)).astype(np.int64)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Repeated membership probes: the highest level, up to the largest in the slice, that all levels below hold too."""
+        out = np.zeros(len(keys), np.uint8)
+        at = np.arange(len(keys))
+        for level in range(1, self.top + 1):
+            one, two = self._hashes(keys[at], level)
+            for k in range(PROBES):
+                place = self._place(one, two, k)
+                found = (self.bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+                at, one, two = at[found], one[found], two[found]
+            if not len(at):
+                break
+            out[at] = level
+        return out
 
 
-def _probe(slice_bits: int):
+def _probe(table: pa.Table) -> pa.Table:
     """A segment's slice is filled and probed: the level of each block's bigrams, in the order of its keys."""
-    fill = _fill(slice_bits)
-
-    def run(table: pa.Table) -> pa.Table:
-        bigrams = BigramFilter(Model(0, 0, 0, 1, slice_bits, fill(table)["bits"][0].as_py(), 0.0))
-        levels = [bigrams.levels(unpacked(x.as_py()) << np.uint64(16)).astype(np.uint8).tobytes() for x in table["keys"]]
-        return pa.table({"segment": table["segment"], "block": table["block"], "counts": pa.array(levels, pa.binary()), "width": pa.array([1] * len(levels), pa.int32())})
-
-    return run
+    held = np.concatenate([unpacked(x.as_py()) for x in table["keys"]])
+    counts = np.frombuffer(b"".join(x.as_py() for x in table["counts"]), np.uint32)
+    learnt = counts > 0
+    keys, at = np.unique(held[learnt], return_inverse=True)
+    bigrams = BigramFilter(keys, np.bincount(at, counts[learnt], len(keys)))
+    del held, counts, learnt, keys, at
+    levels = [bigrams.levels(unpacked(x.as_py())).tobytes() for x in table["keys"]]
+    return pa.table({"segment": table["segment"], "block": table["block"], "counts": pa.array(levels, pa.binary()), "width": pa.array([1] * len(levels), pa.int32())})
 
 
 @dataclass
 class Model:
-    """tokens and known: training tokens and distinct ones; texts: training texts; bits: the filter's slices that are at hand (none outside a segment's task)."""
+    """tokens and known: training tokens and distinct ones; texts: training texts. The counts stay with the segments."""
 
     tokens: int
     known: int
     texts: int
-    segments: int
-    slice_bits: int
-    bits: bytes
-    fill: float
     mu: float = MU
 
 
-class BigramFilter:
-    def __init__(self, model: Model):
-        self.bits = np.frombuffer(model.bits, np.uint8)
-        self.segments, self.slice_bits = model.segments, model.slice_bits
-        self.step = np.uint64((1 << 64) // model.segments) if model.segments > 1 else None
-
-    def has(self, keys: np.ndarray, segment: np.ndarray, level: int) -> np.ndarray:
-        found = np.ones(len(keys), bool)
-        for place in positions(keys, level, self.slice_bits):
-            place = place + segment * self.slice_bits
-            found &= (self.bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
-        return found
-
-    def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """Repeated membership probes: the highest level that all levels below hold too."""
-        segment = np.minimum((hashes // self.step).astype(np.int64), self.segments - 1) if self.step is not None else np.zeros(len(hashes), np.int64)
-        keys = hashes >> np.uint64(16)
-        out = np.zeros(len(hashes), np.int64)
-        at, level = np.arange(len(hashes)), 1
-        while len(at):
-            at = at[self.has(keys[at], segment[at], level)]
-            out[at] = level
-            level += 1
-        return out
+def segments_for(tokens: int) -> int:
+    return max(MIN_SEGMENTS, 1 << max(0, -(-tokens // SEGMENT_TOKENS) - 1).bit_length())
 
 
 def train(blocks: DataFrame, mu: float = MU) -> tuple[Model, DataFrame]:
     """The model of the blocks' training texts, and each block's unigram counts and (width 1) bigram levels by segment."""
     spark = blocks.sparkSession
     learnt = F.aggregate("train", F.lit(0).cast("long"), lambda n, t: n + F.coalesce(t, F.lit(False)).cast("long"))
-    facts = blocks.agg(F.count("*").alias("blocks"), F.sum("train_tokens").alias("tokens"), F.sum(learnt).alias("texts")).first()
-    segments = 1 << max(0, int((facts["blocks"] or 1) // 4).bit_length())
+    facts = blocks.agg(F.sum("n_tokens").alias("tokens"), F.sum(learnt).alias("texts")).first()
+    segments = segments_for(facts["tokens"] or 0)
     rows = blocks.select("block", "train", "lengths", "vocabulary", "tokens")
     answers = materialize(rows.mapInArrow(_send(segments, False), _SENT).groupBy("segment").applyInArrow(_answer, "segment int, block long, counts binary, width int, known long, tokens long"), "answers")
     sums = answers.agg(F.sum("known").alias("known"), F.sum("tokens").alias("tokens")).first()
-    tokens = sums["tokens"] or 0
-    slice_bits = slice_size(tokens, segments)
     sent = rows.mapInArrow(_send(segments, True), _SENT)
-    levels = materialize(sent.groupBy("segment").applyInArrow(_probe(slice_bits), "segment int, block long, counts binary, width int"), "levels")
-    model = Model(tokens, sums["known"] or 0, facts["texts"] or 0, segments, slice_bits, b"", 0.0, mu)
+    levels = materialize(sent.groupBy("segment").applyInArrow(_probe, "segment int, block long, counts binary, width int"), "levels")
+    model = Model(sums["tokens"] or 0, sums["known"] or 0, facts["texts"] or 0, mu)
     return model, answers.select("segment", "block", "counts", "width").unionByName(levels)
 
 
