@@ -106,6 +106,18 @@ def crc_bucket(doc_id, modulus: int):
 
 def shielded(docs: DataFrame, *names: str):
     """docs with columns of these names (which an operator would replace) set aside, and a function that puts them back."""
-    aside = {c: f"_aside_{c}" for c in docs.columns if c in names}
+    clashing = [c for c in docs.columns if c in names]
+    aside = dict(zip(clashing, unused(docs.columns, *(f"_aside_{c}" for c in clashing))))
     columns = docs.columns
     return docs.withColumnsRenamed(aside), lambda out: out.select(*[F.col(aside.get(c, c)).alias(c) for c in columns])
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores added until no column (whatever its case) is called so."""
+    held = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        out.append(name)
+    return out

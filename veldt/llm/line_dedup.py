@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veldt.llm._bytes import NOT_SPACE, lines, run_hashes, text_chunks, words
-from veldt.llm._store import materialize, small_batches
+from veldt.llm._store import materialize, small_batches, unused
 
 MIN_CHARS = 10
 MIN_DOCUMENTS = 2
@@ -132,9 +132,10 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         held = held.where("first_id < last_id")
     # read back, both sides of the join have their own exchange: a key that most documents hold is split
     held = materialize(held.select("one", "two", "first_id"), "line_keys")
-    drops = keys.join(held, ["one", "two"]).where("doc_id > first_id").groupBy("doc_id").agg(F.collect_set(F.struct("one", "two")).alias("_drops")).withColumnRenamed("doc_id", "_drop_id")
     names = docs.columns
+    drop_id, drop_list = unused(names, "_drop_id", "_drops")
+    drops = keys.join(held, ["one", "two"]).where("doc_id > first_id").groupBy("doc_id").agg(F.collect_set(F.struct("one", "two")).alias(drop_list)).withColumnRenamed("doc_id", drop_id)
     # the drop lists are hashed and the texts stream by: no sort of texts
-    joined = docs.join(drops.hint("shuffle_hash"), F.col(id_column).cast("long") == F.col("_drop_id"), "left").select(*[docs[c] for c in names], "_drops")
+    joined = docs.join(drops.hint("shuffle_hash"), F.col(id_column).cast("long") == F.col(drop_id), "left").select(*[docs[c] for c in names], drop_list)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return joined.mapInArrow(_drop_lines(min_chars, names, names.index(text_column), len(names)), schema)

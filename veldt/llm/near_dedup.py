@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldt.llm._bytes import NOT_SPACE, mix, run_hashes, text_chunks, window_hashes, words
-from veldt.llm._store import materialize, release, small_batches
+from veldt.llm._store import materialize, release, small_batches, unused
 
 WIDTH = 5
 BANDS, ROWS = 32, 4
@@ -402,5 +402,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents without those that have a smaller id in their group; rows without an id stay."""
-    gone = materialize(near_duplicates(docs, percent, id_column, text_column).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near_duplicates")
-    return docs.join(gone, docs[id_column].cast("long") == F.col("_gone"), "left_anti")
+    (name,) = unused(docs.columns, "_gone")
+    gone = materialize(near_duplicates(docs, percent, id_column, text_column).where("not kept").select(F.col("doc_id").alias(name)).distinct(), "near_duplicates")
+    return docs.join(gone, docs[id_column].cast("long") == F.col(name), "left_anti")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldt.llm._bytes import KEEP_CASE, NOT_SPACE, run_hashes, text_chunks, words
-from veldt.llm._store import materialize, small_batches
+from veldt.llm._store import materialize, small_batches, unused
 
 CAPACITY = 4096
 END_ID = 1
@@ -262,7 +262,11 @@ def _pieces(tokenizer_path: str, capacity: int, end_id: int):
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Each document's ids (null text: none) and the end id, cut into pieces of at most `capacity`."""
+    """Each document's ids (null and empty texts: none) and the end id, cut into pieces of at most `capacity`.
+
+    Whole texts are encoded, however long. Rows that repeat, and those without an id, give
+    pieces of their own; an empty table gives none. Other columns are dropped.
+    """
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_pieces(tokenizer_path, capacity, end_id), _PIECES)
 
@@ -272,22 +276,27 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_column: str = "leng
 
     Pieces of equal length are ranked within (length, salt) by all their columns, so
     reruns after a lost executor give the same places; rows alike in every column are
-    interchangeable. Lengths are 1 to capacity. An empty input packs into nothing.
+    interchangeable. Lengths are 1 to capacity. An empty input packs into nothing. Columns
+    called sequence_id or offset are replaced; all others are kept, nulls in them too.
     """
     spark = pieces.sparkSession
     small_batches(spark)
+    pieces = pieces.drop("sequence_id", "offset")
     names = pieces.columns
     pieces = materialize(pieces, "pieces")
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int"))
-    by_salt = salted.groupBy(F.col(length_column).alias("_l"), F.col("_salt").alias("_s")).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_l").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    by_salt = materialize(by_salt.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), "lengths")
-    counts = {r["_l"]: r["n"] for r in by_salt.groupBy("_l").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
+    salt, of_length, of_salt, before, rank = unused(names, "_salt", "_length", "_of_salt", "_before", "_rank")
+    salted = pieces.withColumn(salt, F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int"))
+    by_salt = salted.groupBy(F.col(length_column).alias(of_length), F.col(salt).alias(of_salt)).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(of_length).orderBy(of_salt).rowsBetween(Window.unboundedPreceding, -1)
+    by_salt = materialize(by_salt.withColumn(before, F.coalesce(F.sum("n").over(earlier), F.lit(0))), "lengths")
+    counts = {r["l"]: r["n"] for r in by_salt.groupBy(F.col(of_length).alias("l")).agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     runs = pack_histogram(counts, capacity)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
     held = spark.sparkContext.broadcast(runs)
-    order = Window.partitionBy(length_column, "_salt").orderBy(*names)
-    ranked = salted.withColumn("_place", F.row_number().over(order) - 1).join(by_salt.drop("_n"), (F.col(length_column) == F.col("_l")) & (F.col("_salt") == F.col("_s"))).select(*names, (F.col("_place") + F.col("_before")).alias("_rank"))
+    order = Window.partitionBy(length_column, salt).orderBy(*names)
+    ranked = salted.withColumn(rank, F.row_number().over(order) - 1)
+    same = (F.col(length_column) == F.col(of_length)) & (F.col(salt) == F.col(of_salt))
+    ranked = ranked.join(by_salt.drop("n"), same).select(*names, (F.col(rank) + F.col(before)).alias(rank))
     at = names.index(length_column)
 
     def place(batches):

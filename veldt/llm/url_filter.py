@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldt.llm._store import materialize
+from veldt.llm._store import materialize, unused
 
 #: The production rules (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -111,9 +111,10 @@ def judge_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, toleranc
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "trust", "distrust")]
     host = url_host(F.col("url"))
     path = url_path(F.col("url"))
-    rows = pages.select(*names).withColumns({"host": host, "path": path}).withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
-    scores = materialize(host_scores(pages, rules, damping, tolerance), "host_scores").withColumnRenamed("host", "_host")
-    joined = rows.join(scores, F.col("host") == F.col("_host"), "left")
+    rule_name, host_name = unused(names, "_rule", "_host")
+    rows = pages.select(*names).withColumns({"host": host, "path": path}).withColumn(rule_name, matching_rule(F.col("host"), F.col("path"), rules))
+    scores = materialize(host_scores(pages, rules, damping, tolerance), "host_scores").withColumnRenamed("host", host_name)
+    joined = rows.join(scores, F.col("host") == F.col(host_name), "left")
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
     found = F.when(distrust > threshold * trust, "block").otherwise("allow")
-    return joined.select(*names, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), found).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    return joined.select(*names, "host", "path", F.col(rule_name)["rule"].alias("rule"), F.coalesce(F.col(rule_name)["verdict"], found).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
