@@ -4,8 +4,8 @@ Archives are .warc.gz with one gzip member per record; each member's extra field
 holds its compressed and plain lengths, so a reader can step over a member it doesn't
 want. The reader plans one partition per file (the writer starts a new file at
 ROLL_BYTES), inflates a record's headers first, tests the pushed record-type and header
-predicates on them, and inflates the payload only of records that pass. Members without
-"sl" and archives that aren't compressed are read too.
+predicates on them, and inflates the payload only of records that pass, and only where
+payloads are asked for. Members without "sl" and archives that aren't compressed are read too.
 
 Files are reached through pyarrow's filesystems (file, hdfs, s3 ... by URI). A task
 writes under a name of its own and the driver renames what was committed, so a lost or
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from veldt.llm._store import fresh_path, small_batches
+from veldt.llm._store import fresh_path, materialize, small_batches
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 ROLL_BYTES = 64 << 20
@@ -101,12 +101,12 @@ class _Input:
             self.held = b""
 
 
-def read_records(file, wanted) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and payload of each record whose headers pass `wanted`."""
+def read_records(file, wanted, payloads: bool = True) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Headers and payload (None without payloads) of each record whose headers pass `wanted`."""
     source = _Input(file)
     while source.need(12):
         if source.held[:2] == b"\x1f\x8b":
-            yield from _gzip_member(source, wanted)
+            yield from _gzip_member(source, wanted, payloads)
         elif source.held[:5] == b"WARC/":
             while (end := source.held.find(b"\r\n\r\n")) < 0:
                 if not source.more():
@@ -115,15 +115,19 @@ def read_records(file, wanted) -> Iterator[tuple[dict[str, str], bytes]]:
             length = int(headers["content-length"])
             source.skip(end + 4)
             if wanted(headers):
-                if not source.need(length):
+                if payloads and not source.need(length):
                     raise ValueError("a record's payload breaks off")
-                yield headers, source.held[:length]
+                yield headers, source.held[:length] if payloads else None
             source.skip(length + 4)
         else:
             raise ValueError("neither a gzip member nor a WARC record")
 
 
-def _gzip_member(source: _Input, wanted) -> Iterator[tuple[dict[str, str], bytes]]:
+#: Compressed bytes fed, and plain bytes taken, at a time while a record's headers are looked for.
+HEADER_STEP = 1024
+
+
+def _gzip_member(source: _Input, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
     size = None
     if source.held[3] & 4:
         extra = struct.unpack_from("<H", source.held, 10)[0]
@@ -135,31 +139,41 @@ def _gzip_member(source: _Input, wanted) -> Iterator[tuple[dict[str, str], bytes
                 size = struct.unpack_from("<I", source.held, at + 4)[0]
             at += 4 + n
     inflate, plain = zlib.decompressobj(31), b""
-    fed = 0
-    while (end := plain.find(b"\r\n\r\n")) < 0:  # headers first: a little input at a time
-        if not source.need(fed + 1):
-            raise ValueError("a record's headers break off")
-        piece = source.held[fed : fed + 1024]
-        plain += inflate.decompress(piece)
-        fed += len(piece)
+    fed, tail = 0, b""
+    while (end := plain.find(b"\r\n\r\n")) < 0:  # headers first: no more is inflated than they need
+        if not tail:
+            if inflate.eof or not source.need(fed + 1):
+                raise ValueError("a record's headers break off")
+            tail = source.held[fed : fed + HEADER_STEP]
+            fed += len(tail)
+        plain += inflate.decompress(tail, HEADER_STEP)
+        tail = inflate.unconsumed_tail
     headers = parse_headers(plain[:end])
     take = wanted(headers)
-    if not take and size:
+    if size and not (take and payloads):
+        if take:
+            yield headers, None
         source.skip(size)
         return
     parts = [plain]
-    while not inflate.eof:
-        if not source.need(fed + 1):
-            raise ValueError("a record's payload breaks off")
-        piece = source.held[fed:]
-        got = inflate.decompress(piece)
-        fed += len(piece)
-        if take:
+    if size and not source.need(size):
+        raise ValueError("a record's payload breaks off")
+    while not inflate.eof:  # without its length a member has to be inflated to its end, even where nothing of it is kept
+        if not tail:
+            if not source.need(fed + 1):
+                raise ValueError("a record's payload breaks off")
+            tail = source.held[fed:]
+            fed += len(tail)
+        got = inflate.decompress(tail, 0 if take and payloads else 1 << 20)
+        tail = inflate.unconsumed_tail
+        if take and payloads:
             parts.append(got)
     source.skip(fed - len(inflate.unused_data))
-    if take:
+    if take and payloads:
         plain = b"".join(parts)
         yield headers, plain[end + 4 : end + 4 + int(headers["content-length"])]
+    elif take:
+        yield headers, None
 
 
 @dataclass
@@ -171,7 +185,7 @@ class _File(InputPartition):
 
 
 class WarcSource(DataSource):
-    """Options: path; payload ("false": payloads stay null and are never inflated)."""
+    """Options: path; payload ("false": payloads stay null and aren't inflated; of a member without "sl" they are, a piece at a time, to find its end)."""
 
     @classmethod
     def name(cls) -> str:
@@ -229,13 +243,13 @@ class WarcReader(DataSourceReader):
         rows: list[list] = [[] for _ in names]
         held = 0
         with fs.open_input_file(partition.path) as file:
-            for headers, payload in read_records(file, self.wanted):
+            for headers, payload in read_records(file, self.wanted, self.payload):
                 for out, name in zip(rows, names[:6]):
                     out.append(column_value(headers, name))
                 size = headers.get(LENGTH_HEADER.lower())
-                rows[6].append(int(size) if size is not None else len(payload))
-                rows[7].append(payload if self.payload else None)
-                held += len(payload) + 500
+                rows[6].append(int(size) if size is not None else int(headers["content-length"]))
+                rows[7].append(payload)
+                held += len(payload or b"") + 500
                 if held > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types)], names=names)
                     rows, held = [[] for _ in names], 0
@@ -320,8 +334,6 @@ def page_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFr
     rows = rows.withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
     large = rows.where((F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull())
     first = large.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).where("first_id < last_id").select(F.col("payload_digest").alias("_digest"), "first_id")
-    from veldt.llm._store import materialize
-
     first = materialize(first, "first_pages")
     joined = rows.join(first, (F.col("payload_digest") == F.col("_digest")) & (F.col("page_id") > F.col("first_id")), "left")
     revisit = F.col("first_id").isNotNull()
@@ -355,5 +367,3 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
 def checked_digest(digest, payload, record_type):
     """The digest of the payload as read for responses, the header's for revisits."""
     return F.when(record_type == "response", F.sha2(payload, 256)).otherwise(digest)
-
-
