@@ -1,15 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become symbols: insult and threat words (with weights), targets, negations and
-verbs of reported speech. Three transducers (negation scope, reported speech, target)
-are composed into one, which rewrites each matched insult or threat of a clause into
-what it is in its context: direct, aimed at somebody, negated or reported. A text's
-score comes from the weights of its matched clauses, through a logistic layer.
-
-Targets, negations, reporting verbs and threats are fixed short lists. Insults are
-learnt from labels: whole words, and word beginnings (arcs "abc..."), that mark toxic
-texts by a likelihood-ratio test. Learning reads at most MAX_TOXIC and MAX_CLEAN
-labelled texts, those with the smallest hashes of their ids; scoring reads whole texts.
+A lexicon turns words into symbols with weights: insult words (learnt weights), words of
+violence, announcements ("will"), targets, negations and verbs of reported speech. Five
+weighted transducers (insult, threat, negation, reported speech, target) are composed into
+one; it rewrites each insult or threat of a clause into what it is in its context, and each
+arc has a factor for the word's weight: a second insult counts more, an announced threat is
+one, what is negated or reported counts little, what is aimed at a target (before it or
+after it) counts more. A text's score comes from the weights of its matched clauses, through
+a logistic layer.
+
+Targets, negations, reporting verbs and words of threats are fixed short lists. Insults are
+learnt from labels: whole words, and word beginnings (arcs "abc...") of PREFIXES code
+points, that mark toxic texts by a likelihood-ratio test. Learning reads at most MAX_TOXIC
+and MAX_CLEAN labelled texts, those with the smallest hashes of their ids, so the arcs it
+finds are bounded too; scoring reads whole texts.
 """
 
 from __future__ import annotations
@@ -26,7 +30,6 @@ from veldt.llm._store import materialize, small_batches
 
 MAX_TOXIC = 6_000
 MAX_CLEAN = 12_000
-MAX_ARCS = 5_000
 MIN_TEST = 20.0
 MIN_WEIGHT = 2.0
 PREFIXES = (4, 5, 6)
@@ -36,57 +39,93 @@ TARGETS = "you your yours he she they them him her this that these those du dich
 NEGATIONS = "not no never nor neither without cannot don didn isn aren wasn won nicht kein keine nie niemals pas jamais sans nunca jamás sin tampoco".split()
 REPORTS = "said says say told tells wrote writes claimed claims called reported quoted allegedly sagte sagt schrieb behauptete nannte dit disait affirme écrit dijo dice escribió afirmó".split()
 THREATS = "kill hurt destroy stab shoot punch strangle umbringen töten verprügeln tuer frapper détruire matar golpear destruir".split()
+ANNOUNCED = "will gonna going shall werde wirst vais allons voy vamos".split()
 THREAT_WEIGHT = 4.0
 
 
 @dataclass
 class Transducer:
-    """A deterministic transducer: (state, symbol) -> (state, output); a symbol without an arc passes through and the state stays."""
+    """A deterministic weighted transducer: (state, symbol) -> (state, output, factor).
+
+    A symbol without an arc passes through with factor 1 and the state stays.
+    """
 
     start: int
-    arcs: dict[tuple[int, str], tuple[int, str]]
+    arcs: dict[tuple[int, str], tuple[int, str, float]]
     states: int
 
-    def step(self, state: int, symbol: str) -> tuple[int, str]:
-        return self.arcs.get((state, symbol), (state, symbol))
+    def step(self, state: int, symbol: str) -> tuple[int, str, float]:
+        return self.arcs.get((state, symbol), (state, symbol, 1.0))
 
     def compose(self, after: Transducer, alphabet: str) -> Transducer:
-        """The transducer that feeds this one's output to `after`."""
+        """The transducer that feeds this one's output to `after`; factors multiply."""
         arcs = {}
         for a in range(self.states):
             for b in range(after.states):
                 for symbol in alphabet:
-                    a2, mid = self.step(a, symbol)
-                    b2, out = after.step(b, mid)
-                    arcs[a * after.states + b, symbol] = (a2 * after.states + b2, out)
+                    a2, mid, one = self.step(a, symbol)
+                    b2, out, two = after.step(b, mid)
+                    arcs[a * after.states + b, symbol] = (a2 * after.states + b2, out, one * two)
         return Transducer(self.start * after.states + after.start, arcs, self.states * after.states)
 
-    def run(self, symbols: list[str]) -> list[str]:
+    def weigh(self, symbols: list[str]) -> list[tuple[str, float]]:
+        """Outputs and factors."""
         state, out = self.start, []
         for s in symbols:
-            state, o = self.step(state, s)
-            out.append(o)
+            state, o, factor = self.step(state, s)
+            out.append((o, factor))
         return out
 
+    def run(self, symbols: list[str]) -> list[str]:
+        return [o for o, _ in self.weigh(symbols)]
+
 
-def _scope(opener: str, length: int, rewrite: dict[str, str], symbols: str) -> Transducer:
-    """After `opener`, symbols within `length` places are rewritten."""
+def _scope(opener: str, length: int, rewrite: dict[str, tuple[str, float]], symbols: str, outside: dict[str, float] | None = None) -> Transducer:
+    """Within `length` places after `opener`, symbols are rewritten with factors; `outside` has factors elsewhere."""
     arcs = {}
     for state in range(length + 1):
         for s in symbols:
-            arcs[state, s] = (max(state - 1, 0), rewrite.get(s, s) if state else s)
-        arcs[state, opener] = (length, opener)
+            out, factor = rewrite.get(s, (s, 1.0)) if state else (s, (outside or {}).get(s, 1.0))
+            arcs[state, s] = (length if s == opener else max(state - 1, 0), out, factor)
     return Transducer(0, arcs, length + 1)
 
 
-#: Input: I insult, H threat, T target, N negation, R report, O other. Output adds: n negated,
-#: r reported, i and h insult and threat aimed at a target before them.
-ALPHABET = "IHTNRO"
-NEGATION = _scope("N", 3, {"I": "n", "H": "n"}, ALPHABET)
-REPORTED = _scope("R", 8, {"I": "r", "H": "r"}, ALPHABET + "n")
-TARGETED = _scope("T", 4, {"I": "i", "H": "h"}, ALPHABET + "nr")
-GRAMMAR = NEGATION.compose(REPORTED, ALPHABET).compose(TARGETED, ALPHABET)
-OUTPUTS = "Iinrh"  # a threat without a target counts as an insult
+def _aimed(before: int, after: int, symbols: str) -> Transducer:
+    """Insults and threats within `before` places after a target are aimed; a target within `after` places after one that isn't becomes `a`.
+
+    A target has a weight of its own, which counts only as `a`.
+    """
+    arcs = {}
+    for target in range(before + 1):
+        for waiting in range(after + 1):
+            state = target * (after + 1) + waiting
+            faded = max(target - 1, 0) * (after + 1)
+            for s in symbols:
+                if s == "T":
+                    arcs[state, s] = (before * (after + 1), "a" if waiting else "T", AIMED if waiting else 0.0)
+                elif s in "IHh":
+                    arcs[state, s] = (faded, "i" if s == "I" else "h", AIMED) if target else (faded + after, s, 1.0)
+                else:
+                    arcs[state, s] = (faded + max(waiting - 1, 0), s, 1.0)
+    return Transducer(0, arcs, (before + 1) * (after + 1))
+
+
+#: Factors of the arcs.
+AGAIN, ANNOUNCES, UNANNOUNCED, DENIED, AIMED = 1.25, 1.5, 0.75, 0.25, 1.5
+#: Input: I insult, H word of violence, W announcement, T target, N negation, R report, O other.
+#: Output adds: h a threat (announced or aimed), n negated, r reported, i an insult aimed at a
+#: target before it, a a target after an insult or a threat.
+ALPHABET = "IHWTNRO"
+INSULT = _scope("I", 2, {"I": ("I", AGAIN)}, ALPHABET)
+THREAT = _scope("W", 4, {"H": ("h", ANNOUNCES)}, ALPHABET, {"H": UNANNOUNCED})
+NEGATION = _scope("N", 3, {s: ("n", DENIED) for s in "IHh"}, ALPHABET + "h")
+REPORTED = _scope("R", 8, {s: ("r", DENIED) for s in "IHh"}, ALPHABET + "hn")
+TARGETED = _aimed(4, 3, ALPHABET + "hnr")
+GRAMMAR = INSULT.compose(THREAT, ALPHABET).compose(NEGATION, ALPHABET).compose(REPORTED, ALPHABET).compose(TARGETED, ALPHABET)
+#: No transducer remembers more places than REACH; an insult's target is at most AFTER places behind it.
+REACH, AFTER = 8, 3
+#: The feature that each output's weight goes to.
+OUTPUTS = {"I": 0, "i": 1, "a": 1, "n": 2, "r": 3, "H": 4, "h": 4}
 N_FEATURES = 7
 
 
@@ -103,16 +142,19 @@ def _prefix_mark(hashes: np.ndarray, length: int) -> np.ndarray:
 
 
 def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Hashes of whole words, then of their beginnings where a word is longer (else 0)."""
+    """Hashes of whole words, then of their beginnings (of PREFIXES code points) where a word is longer (else 0)."""
     out = [run_hashes(data, starts, ends)]
+    points = np.flatnonzero((data & 0xC0) != 0x80)
+    at, last = np.searchsorted(points, starts), len(points)
     for n in PREFIXES:
-        out.append(np.where(ends - starts > n, _prefix_mark(run_hashes(data, starts, np.minimum(starts + n, ends)), n), np.uint64(0)))
+        cut = np.where(at + n < last, points[np.minimum(at + n, last - 1)] if last else 0, len(data))
+        out.append(np.where(cut < ends, _prefix_mark(run_hashes(data, starts, np.minimum(cut, ends)), n), np.uint64(0)))
     return out
 
 
 def _fixed_symbols() -> dict[int, str]:
     out: dict[int, str] = {}
-    for symbol, listed in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("H", THREATS)):
+    for symbol, listed in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("W", ANNOUNCED), ("H", THREATS)):
         for w in listed:
             data = np.frombuffer(w.encode(), np.uint8)
             out[int(run_hashes(data, np.array([0]), np.array([len(data)]))[0])] = symbol
@@ -152,17 +194,23 @@ class Scorer:
         hit = np.array(sorted(weight))
         low, high = np.searchsorted(clause, clause[hit], "left"), np.searchsorted(clause, clause[hit], "right")
         text = np.searchsorted(index, hit, "right") - 1
-        done = -1
-        for k, a, b, t in zip(hit.tolist(), low.tolist(), high.tolist(), text.tolist()):
-            if a < done:
-                continue  # an earlier hit of the same clause has covered it
-            done = b
-            symbols = ["H" if self.fixed.get(h) == "H" else "I" if j in weight else self.fixed.get(h, "O") for j, h in enumerate(kinds[0][a:b].tolist(), a)]
-            total = 0.0
-            for j, s in enumerate(GRAMMAR.run(symbols), a):
-                if j in weight:
-                    out[t, OUTPUTS.index(s if s in OUTPUTS else "I")] += weight[j]
-                    total += weight[j] * (0.5 if s in "nr" else 1.0)
+        places, low, high, text = hit.tolist(), low.tolist(), high.tolist(), text.tolist()
+        p, total, at_clause = 0, 0.0, -1
+        while p < len(places):
+            k, a, b, t = places[p], low[p], high[p], text[p]
+            if a != at_clause:
+                total, at_clause = 0.0, a
+            # what the grammar does at a hit depends on REACH places before it; hits close by share a window
+            first, last, p = max(a, k - REACH), k, p + 1
+            while p < len(places) and places[p] < b and places[p] - last <= REACH + AFTER:
+                last, p = places[p], p + 1
+            done = min(b, last + AFTER + 1)
+            symbols = ["H" if self.fixed.get(h) == "H" else "I" if j in weight else self.fixed.get(h, "O") for j, h in enumerate(kinds[0][first:done].tolist(), first)]
+            for j, (s, factor) in enumerate(GRAMMAR.weigh(symbols), first):
+                amount = factor * weight.get(j, 1.0 if s == "a" else 0.0)
+                if amount:
+                    out[t, OUTPUTS[s]] += amount
+                    total += amount
             out[t, 5] = max(out[t, 5], total)
         out[:, :6] = np.log1p(out[:, :6])
         out[:, 6] = out[:, 5] > 0
@@ -241,7 +289,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_column: str = "text", id_column
     rows = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), (F.col(label_column) > 0).cast("int").alias("toxic"))
     rows = rows.groupBy("_id").agg(F.max("toxic").alias("toxic")).withColumn("_h", F.xxhash64("_id"))
     chosen = rows.where("toxic = 1").orderBy("_h", "_id").limit(max_toxic).unionByName(rows.where("toxic = 0").orderBy("_h", "_id").limit(max_clean))
-    sample = docs.join(F.broadcast(chosen), docs[id_column] == F.col("_id")).select(F.coalesce(F.col(text_column), F.lit("")).alias("text"), "toxic")
+    texts = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "toxic")
     sample = materialize(sample.repartition(16), "labelled")
     labelled = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -255,7 +304,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_column: str = "text", id_column
     test = 2 * (a * F.log((a + 1e-9) / ((a + b) * share)) + b * F.log((b + 1e-9) / ((a + b) * (1 - share))))
     weight = F.log((a + 0.5) / (toxic + 1)) - F.log((b + 0.5) / (clean + 1))
     arcs = counts.select("feature", test.alias("test"), weight.alias("weight")).where(F.col("test") >= MIN_TEST).where(F.col("weight") >= MIN_WEIGHT)
-    model.arcs = {r["feature"] & (1 << 64) - 1: r["weight"] for r in arcs.orderBy(F.desc("test"), "feature").limit(MAX_ARCS).collect()}
+    model.arcs = {r["feature"] & (1 << 64) - 1: r["weight"] for r in arcs.collect()}  # of the bounded sample's features, those that mark toxic texts
     got = sample.mapInArrow(_features_only(model), "toxic long, x array<double>").collect()  # at most max_toxic + max_clean short rows
     model.layer = fit_layer(np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float))
     model.layer[-1] += float(np.log(max(1.0, labelled[1] / max_toxic)) - np.log(max(1.0, labelled[0] / max_clean)))
@@ -263,13 +312,17 @@ def fit(docs: DataFrame, labels: DataFrame, text_column: str = "text", id_column
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """The documents with score (0 to 1; empty and null texts have the prior's). A column called score is replaced."""
+    """The documents with score, 0 to 1; a column called score is replaced.
+
+    Empty and null texts, and texts without a match, have the prior's score. Equal texts have
+    equal scores; rows that repeat, and those without an id, are kept and scored alike.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.drop("score")
     names = docs.columns
     at = names.index(text_column)
-    held = spark.sparkContext.broadcast(model)  # at most MAX_ARCS arcs
+    held = spark.sparkContext.broadcast(model)  # of a bounded sample
 
     def run(batches):
         model = held.value
