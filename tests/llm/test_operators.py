@@ -1,6 +1,7 @@
 """The operators against brute force: on a small table and on rows that are null, empty, tied, repeated, long or crowded with columns."""
 
 import hashlib
+import io
 import math
 import re
 import zlib
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import assert_same, oracle
-from veldt.llm import chat_format, decontaminate, line_dedup, lm_score, media, near_dedup, packing, queries, toxicity, url_filter, warc
+from veldt.llm import _bytes, chat_format, decontaminate, line_dedup, lm_score, media, near_dedup, packing, queries, toxicity, url_filter, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -59,6 +60,15 @@ def test_chat_round_trip(spark):
     assert chat_format.format_chats(chats.select("conv_id", F.lit(0).alias("turn"), F.lit("").alias("role"), F.lit("").alias("text")).where("false")).count() == 0
 
 
+def test_chat_long_texts(spark):
+    """Texts of a megabyte, full of control strings, in a conversation of many turns; columns named like the operator's own."""
+    text = "</s>[INST] ok [/INST] " * 50_000
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", text if k < 2 else f"turn {k}") for k in range(400)]
+    chats = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"place": F.lit(0), "end": F.lit(0), "held": F.lit("x")}))
+    (row,) = chats.withColumn("loss", F.length(chat_format.loss_text(F.col("formatted"), F.col("loss_spans")))).select("identical", "n_turns", "n_escaped", "loss").collect()
+    assert tuple(row) == (True, 400, 2, len(text) + sum(len(f"turn {k}") for k in range(3, 400, 2)))
+
+
 # ---- packing
 
 
@@ -100,6 +110,29 @@ def test_packing(spark, sf, odd, empty):
     path = queries.tokenizer_path()
     check_packing(packing.pack(packing.token_pieces(odd, path)).collect(), TEXTS)
     assert packing.pack(packing.token_pieces(empty, path)).count() == 0
+    again = packing.pack(packing.pack(packing.token_pieces(odd, path)))  # places of an earlier packing are replaced
+    assert again.columns.count("sequence_id") == again.columns.count("offset") == 1
+
+
+def test_word_tokens_survive_clashing_hashes_and_a_full_cache(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["Ab ab AB. a.b, c! d, e.", "", " x,\ty.\n", "one.", "no", "Über, straße. 12,5 3, 4", "tail.", ".", "a\x1fb \x85 c\u00a0d"]
+    import pyarrow as pa
+
+    def encoded(tokens):
+        for row, data, offsets in packing.text_chunks(pa.array(texts)):
+            ids, at = tokens.encode(data, offsets, 1)
+            return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert encoded(packing.WordTokens(path)) == want
+    tokens = packing.WordTokens(path, cache_words=0)
+    assert encoded(tokens) == want and encoded(tokens) == want
+    monkeypatch.setattr(packing, "run_hashes", lambda data, starts, ends, kind: (ends - starts).astype(np.uint64))
+    assert encoded(packing.WordTokens(path)) == want
 
 
 def test_pack_histogram():
@@ -130,9 +163,13 @@ def test_warc(spark, tmp_path):
             assert hashlib.sha256(r["payload"]).hexdigest() == r["payload_digest"] and len(r["payload"]) == r["payload_bytes"]
     revisits = got.where("record_type = 'revisit'").collect()
     assert len(revisits) == 2 and all(r["payload_bytes"] == 160 for r in revisits)
-    plan = got.where("record_type = 'revisit'")._jdf.queryExecution().executedPlan().toString()
-    assert "Filter (" not in plan or "PushedFilters" in plan
-    assert warc.read_archives(spark, path, payload=False).where("payload is not null").count() == 0
+    plan = got.where("record_type = 'revisit'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan  # the reader has taken the predicate
+    reader = warc.WarcReader({"path": path})
+    assert [f for f in reader.pushFilters([warc.EqualTo(("record_type",), "revisit")])] == [] and reader.tests == [("record_type", "in", ("revisit",))]
+    bare = warc.read_archives(spark, path, payload=False)
+    assert bare.where("payload is not null").count() == 0
+    assert sorted(r["payload_bytes"] for r in bare.collect()) == sorted(r["payload_bytes"] for r in rows)
     plain = b"".join(warc.record("response", f"<urn:{k}>", None, "d", b"abc", 3, None) for k in range(3))
     (tmp_path / "p.warc").write_bytes(plain)
     import gzip
@@ -168,14 +205,126 @@ def test_warc_skips_unwanted_payloads():
     file = Reads(warc.member(warc.record("response", "a", None, "d", big, len(big), None)) + warc.member(warc.record("revisit", "b", None, "d", b"", 5, "a")))
     got = list(warc.read_records(file, lambda h: h["warc-type"] == "revisit"))
     assert len(got) == 1 and file.total < 300_000
+    file.at = file.total = 0
+    got = list(warc.read_records(file, lambda h: True, payloads=False))
+    assert [(h["warc-type"], p) for h, p in got] == [("response", None), ("revisit", None)] and file.total < 300_000
+
+
+def test_warc_inflates_headers_only(monkeypatch):
+    inflated = []
+    real = zlib.decompressobj
+
+    class Counting:
+        def __init__(self, bits):
+            self.inner = real(bits)
+
+        def decompress(self, data, most=0):
+            out = self.inner.decompress(data, most)
+            inflated.append(len(out))
+            return out
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counting)
+    page = b"<p>" + b"a" * 5_000_000
+    data = warc.member(warc.record("response", "a", "http://u/", "d", page, len(page), None)) * 2
+    for payloads, most in ((False, 4_000), (True, 11_000_000)):
+        inflated.clear()
+        got = list(warc.read_records(io.BytesIO(data), lambda h: True, payloads))
+        assert [p for _, p in got] == [page if payloads else None] * 2 and sum(inflated) < most
+    inflated.clear()
+    assert list(warc.read_records(io.BytesIO(data), lambda h: False)) == [] and sum(inflated) < 4_000
+    import gzip
+
+    plain = gzip.compress(warc.record("response", "a", None, "d", page, len(page), None)) * 2  # without lengths the ends must be found
+    assert [p for _, p in warc.read_records(io.BytesIO(plain), lambda h: True, False)] == [None] * 2
 
 
 # ---- toxicity
 
 
 def test_transducers():
-    run = toxicity.GRAMMAR.run
+    run, weigh = toxicity.GRAMMAR.run, toxicity.GRAMMAR.weigh
     assert run(list("OIO")) == list("OIO") and run(list("TOI")) == list("TOi") and run(list("NI"))[1] == "n" and run(list("NOOOI"))[4] == "I" and run(list("ROI"))[2] == "r" and run(list("RTNI"))[3] == "n" and run(list("TH")) == list("Th")
+    assert run(list("WOH")) == list("WOh") and run(list("IOT")) == list("IOa") and run(list("IOOOT")) == list("IOOOT") and run(list("NWH"))[2] == "n"
+    factor = lambda text: [f for _, f in weigh(list(text))]
+    assert factor("I") == [1] and factor("II")[1] == toxicity.AGAIN and factor("TI")[1] == toxicity.AIMED and factor("H") == [toxicity.UNANNOUNCED] and factor("WH")[1] == toxicity.ANNOUNCES
+    assert factor("NI")[1] == toxicity.DENIED and factor("TI")[0] == 0 and factor("IT") == [1, toxicity.AIMED]
+    # the composition is what the five do one after another
+    parts = (toxicity.INSULT, toxicity.THREAT, toxicity.NEGATION, toxicity.REPORTED, toxicity.TARGETED)
+    draw = np.random.default_rng(0)
+    for _ in range(200):
+        symbols = [toxicity.ALPHABET[k] for k in draw.integers(0, len(toxicity.ALPHABET), 30)]
+        weights = np.ones(30)
+        out = symbols
+        for part in parts:
+            step = part.weigh(out)
+            out, weights = [o for o, _ in step], weights * [f for _, f in step]
+        assert [o for o, _ in weigh(symbols)] == out and np.allclose([f for _, f in weigh(symbols)], weights)
+
+
+def plain_score(model, text):
+    """Scores a text clause by clause, the whole clause through the grammar, without any of the vectorised steps."""
+    known = {}
+
+    def h(w, n=None):
+        if (w, n) not in known:
+            known[w, n] = hashed(w, n)
+        return known[w, n]
+
+    hashed = lambda w, n=None: (lambda x: int(toxicity._prefix_mark(x, n)[0]) if n else int(x[0]))(toxicity.run_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())])))
+    fixed = {h(w): s for s, listed in (("T", toxicity.TARGETS), ("N", toxicity.NEGATIONS), ("R", toxicity.REPORTS), ("W", toxicity.ANNOUNCED), ("H", toxicity.THREATS)) for w in listed}
+    arcs = model.arcs | {k: toxicity.THREAT_WEIGHT for k, s in fixed.items() if s == "H"}
+    x = np.zeros(toxicity.N_FEATURES)
+    for clause in re.split(r"[.,;:!?\n]", text or ""):
+        symbols, weights = [], []
+        for w in ALNUM.findall(lower(clause)):
+            found = [arcs[k] for k in [h(w), *(h(w[:n], n) for n in toxicity.PREFIXES if len(w) > n)] if k in arcs]
+            weights.append(max(found, default=None))
+            symbols.append("H" if fixed.get(h(w)) == "H" else "I" if found else fixed.get(h(w), "O"))
+        total = 0.0
+        for (s, f), w in zip(toxicity.GRAMMAR.weigh(symbols), weights):
+            amount = f * (w if w is not None else 1.0 if s == "a" else 0.0) if any(v is not None for v in weights) else 0.0
+            if amount:
+                x[toxicity.OUTPUTS[s]] += amount
+                total += amount
+        x[5] = max(x[5], total)
+    x[:6] = np.log1p(x[:6])
+    x[6] = x[5] > 0
+    layer = np.array(model.layer)
+    return 1 / (1 + math.exp(-float(np.clip(x @ layer[:-1] + layer[-1], -30, 30))))
+
+
+def test_toxicity_query(spark, sf):
+    """The query against the plain scorer, and against the held-out labels."""
+    docs = read(spark, sf, "documents")
+    model = queries.toxicity_model(spark, sf, spark.read.parquet(f"{sf}/documents.parquet"))
+    rows = {r["doc_id"]: r for r in queries.op4_toxicity(spark, sf).collect()}
+    assert len(rows) == len(docs)
+    for d, text in docs[["doc_id", "text"]].itertuples(index=False, name=None):
+        r, want = rows[d], plain_score(model, text)
+        assert r["score"] == pytest.approx(want, abs=1e-9) and r["predicted"] == int(want >= 0.5) and r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0)
+
+
+def test_toxicity_quality(spark):
+    """On the held-out labels of the largest table: most toxic documents are caught, hardly a clean one is flagged."""
+    sf = "/root/testdata/sf0.1"
+    rows = queries.op4_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").collect()
+    toxic, clean = ([r for r in rows if r["toxic"] == k] for k in (1, 0))
+    assert len(toxic) > 50 and sum(r["predicted"] for r in toxic) / len(toxic) >= 0.9
+    assert sum(r["predicted"] for r in clean) / len(clean) <= 0.01
+    auc = np.mean([[a["score"] > b["score"] or 0.5 * (a["score"] == b["score"]) for b in clean] for a in toxic])
+    assert auc >= 0.95
+
+
+def test_toxicity_long_clause_and_code_points():
+    model = toxicity.Model({int(toxicity._prefix_mark(toxicity.run_hashes(np.frombuffer("schö".encode(), np.uint8), np.array([0]), np.array([5])), 4)[0]): 3.0}, [1.0] * toxicity.N_FEATURES + [-3.0])
+    for text in ("schöner", "schön", "schö", "scho", "you " + "word " * 50_000 + "schönes you " + "word " * 50_000 + "not a schönes", "", "\ud7ff" * 7):
+        data = np.frombuffer(text.encode(), np.uint8)
+        x = toxicity.Scorer(model).features(data, np.array([0, len(data)]))[0]
+        layer = np.array(model.layer)
+        assert 1 / (1 + math.exp(-(x @ layer[:-1] + layer[-1]))) == pytest.approx(plain_score(model, text), abs=1e-9)
 
 
 def test_toxicity(spark, sf, odd, empty):
@@ -188,7 +337,6 @@ def test_toxicity(spark, sf, odd, empty):
     assert len(rows) == len(TEXTS) and all(0 <= r["score"] < 0.5 for r in rows)
     assert toxicity.score(empty, model).count() == 0 == len(toxicity.fit(docs, labels.where("false")).arcs)
     assert all(r["score"] < 0.5 for r in toxicity.score(docs, toxicity.fit(docs, labels.where("toxic = 0"))).collect())
-    assert queries.op4_toxicity(spark, sf).where("predicted != cast(score >= 0.5 as int)").count() == 0
 
 
 def test_toxicity_caps_keep_the_share(spark):
@@ -236,6 +384,14 @@ def test_near_duplicates(spark, sf, odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0 == near_dedup.drop_near_duplicates(empty).count()
 
 
+def test_no_link_is_lost_at_a_larger_size(spark):
+    """All rows of sf0.01 against brute force."""
+    sf = "/root/testdata/sf0.01"
+    docs = list(read(spark, sf, "documents")[["doc_id", "text"]].itertuples(index=False, name=None))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in queries.op5_near_dedup(spark, sf).collect())
+    assert got == sorted(brute_components(docs))
+
+
 @pytest.mark.parametrize("bucket, first, chunk, leaders", [(near_dedup.BUCKET, 7, 7, 1), (3, 4, 9, 2), (near_dedup.BUCKET, 5, 100, 16)])
 def test_chained_copies_beyond_a_chunk_and_a_bucket(spark, monkeypatch, bucket, first, chunk, leaders):
     rng = np.random.default_rng(5)
@@ -285,9 +441,42 @@ def test_url_filter_reaches_all_hosts(spark):
     assert all(got[f"h{k}.net"]["verdict"] == "block" for k in range(4, 14))
 
 
+def test_url_filter_long_and_repeated(spark):
+    """A page of several MB of links, and the same page again: each is judged, links count by page."""
+    html = "<a href='http://x.com/y'>" * 100_000
+    pages = [(1, "http://far.net/" + "p" * 100_000, html), (1, "http://far.net/", html), (2, "http://x.com/de/", "")]
+    got = url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"host": F.lit("h"), "verdict": F.lit(None).cast("string")})).collect()
+    assert sorted((r["page_id"], r["host"], r["verdict"]) for r in got) == [(1, "far.net", "block"), (1, "far.net", "block"), (2, "x.com", "block")]
+
+
 # ---- media
 
 
+def test_ogg_every_size():
+    """Granule positions are exact for every multiple of the unit up to 1 MB: the sizes whose seconds aren't exact too."""
+    data = bytes(1 << 20)
+    for n in [*range(64, 1 << 20, 64 * 97), 64_064, 128_128, 500_480]:
+        stored = media.mux(data[:n], "bytes=1")
+        samples, _, facts = media.decode(stored)
+        assert len(samples) == n and facts["seconds"] == n / 8000
+        assert media.demux(stored)[zlib.crc32(data[:n])].marks[-1][0] == n
+
+
+def test_media_query(spark, sf):
+    docs = dict(read(spark, sf, "documents")[["doc_id", "text"]].itertuples(index=False, name=None))
+    rows = queries.op7_ogg_media(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    for r in rows:
+        b = (docs[r["doc_id"]] or "").encode()
+        q = b + b"\0" * (max(64, -(-len(b) // 64) * 64) - len(b))
+        stored = media.mux(q, f"bytes={len(b)}")
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(q), hashlib.sha256(q).hexdigest(), zlib.crc32(q[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        x = [v - 128 for v in q]
+        crossings = sum((a >= 0) != (c >= 0) for a, c in zip(x, x[1:]))
+        assert f"rms={math.sqrt(sum(v * v for v in x) / len(x)):.6f};crossings={crossings}" in r["feature"] and f"seconds={len(q) / 8000:.6f};" in r["feature"]
+
+
 def test_ogg():
     for n in (0, 1, 254, 255, 256, 4080, 60_000, 200_000):
         data = media.padded(np.random.default_rng(n).bytes(n))
@@ -342,28 +531,69 @@ def test_lm(spark, sf, odd, empty):
     assert lm_score.score_texts(odd, F.lit(False)).where("n_known > 0").count() == 0
 
 
-def test_bigram_filter_never_forgets():
-    rng = np.random.default_rng(2)
-    keys = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
-    counts = rng.integers(1, 100, len(keys)).astype(np.uint32)
-    import pyarrow as pa
-
-    table = pa.table({"segment": pa.array([0], pa.int32()), "block": pa.array([0], pa.int64()), "keys": pa.array([lm_score.packed(keys >> np.uint64(16))], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
-    bits = lm_score._fill(1 << 18)(table)["bits"][0].as_py()
-    found = lm_score.BigramFilter(lm_score.Model(1, 1, 1, 1, 1 << 18, bits, 0.0)).levels(keys)
-    assert (found >= lm_score.levels_of(counts)).all() and (found == lm_score.levels_of(counts)).mean() > 0.9
+def brute_bigrams(texts, learn, quantised, mu=lm_score.MU):
+    """Scores of a bigram model with exact counts, quantised downwards to powers of two or not."""
+    tokens = [(d, [*WORD.findall(lower(t or "")), None]) for d, t in texts]
+    one, two, begins = Counter(), Counter(), 0
+    for d, w in tokens:
+        if learn(d):
+            one.update(w)
+            two.update(zip(["<begin>", *w], w))
+            begins += 1
+    total, known = sum(one.values()), len(one)
+    out = []
+    for d, w in tokens:
+        score = 0.0
+        for h, x in zip(["<begin>", *w], w):
+            c, context = two[h, x], begins if h == "<begin>" else one[h]
+            if quantised and c:
+                c = 2 ** (c.bit_length() - 1)
+            p = (one[x] + 1) / (total + known + 1)
+            score += math.log10((c + mu * p) / (context + mu))
+        out.append((d, len(w), score))
+    return out
+
+
+def test_lm_scores_are_the_bigram_model(spark, sf):
+    """The query's score is that of the quantised bigram model but for false hits of the filter, which are rare and can only raise it."""
+    docs = list(read(spark, sf, "documents")[["doc_id", "text"]].itertuples(index=False, name=None))
+    got = {r["doc_id"]: r["score"] for r in queries.op8_lm_score(spark, sf).collect()}
+    learn = lambda d: zlib.crc32(str(d).encode()) % 7 != 2
+    off = [(got[d] - want) / n for d, n, want in brute_bigrams(docs, learn, True)]
+    assert min(off) > -1e-9 and np.mean(off) < 2e-3 and max(off) < 0.05
+    exact = [(want - got[d]) / n for d, n, want in brute_bigrams(docs, learn, False)]
+    assert np.mean(exact) < 0.1  # what the quantisation costs
 
 
-def test_bigram_filter_has_no_cap(spark, sf, monkeypatch):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(16, "doc_id")  # several blocks and segments
+def test_bigram_filter():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 48, 50_000).astype(np.uint64))
+    counts = np.floor(1 / rng.random(len(keys)) ** 1.2).astype(np.int64)
+    held = lm_score.BigramFilter(keys, counts)
+    found = held.levels(keys)
+    assert (found >= lm_score.levels_of(counts)).all() and (found == lm_score.levels_of(counts)).mean() > 0.995
+    absent = np.setdiff1d(rng.integers(0, 1 << 48, 200_000).astype(np.uint64), keys)
+    assert (held.levels(absent) > 0).mean() < 0.003 and 0.2 < held.fill < 0.4
+    held.bits[:] = 255  # a full filter: probing ends at the largest level
+    assert (held.levels(absent) == held.top).all()
+    assert lm_score.BigramFilter(keys[:0], counts[:0]).levels(keys).max() == 0
+
+
+def test_lm_exchange_grows_with_the_blocks(spark, sf, monkeypatch):
+    """Scores don't depend on how texts are dealt to blocks and segments; the number of segments is fixed for all but large corpora, and bounded by their tokens."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(16, "doc_id")
 
     def scores():
-        return {r["doc_id"]: r["score"] for r in lm_score.score_texts(docs, F.col("doc_id") % 3 != 0).collect()}
+        return {r["doc_id"]: (r["base_score"], r["n_known"], r["score"]) for r in lm_score.score_texts(docs, F.col("doc_id") % 3 != 0).collect()}
 
     whole = scores()
-    monkeypatch.setattr(lm_score, "MAX_BITS", lm_score.MIN_BITS, raising=False)
-    assert scores() == whole
-    assert lm_score.slice_size(1 << 32, 4096) * 4096 >= lm_score.BITS_PER_TOKEN << 32
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 2_000)
+    monkeypatch.setattr(lm_score, "MIN_SEGMENTS", 4)
+    parts = scores()
+    assert all(whole[d][:2] == pytest.approx(parts[d][:2]) and abs(whole[d][2] - parts[d][2]) < 0.05 * abs(whole[d][2]) for d in whole)
+    monkeypatch.undo()
+    assert lm_score.segments_for(0) == lm_score.segments_for(lm_score.MIN_SEGMENTS * lm_score.SEGMENT_TOKENS) == lm_score.MIN_SEGMENTS
+    assert lm_score.segments_for(1 << 40) * lm_score.SEGMENT_TOKENS >= 1 << 40
 
 
 # ---- lines
@@ -392,7 +622,7 @@ def test_lines(spark, odd, empty):
 # ---- benchmark
 
 
-def test_decontamination(spark, sf, odd, empty):
+def test_decontamination(spark, odd, empty):
     bench = [(1, "w5 Ünder5. w6 Ünder6"), (2, "one-two three"), (3, None), (4, "..."), (1, "alone"), (None, "plage INST")]
     items = spark.createDataFrame(bench, "item_id long, text string")
     windows = defaultdict(set)
@@ -401,8 +631,8 @@ def test_decontamination(spark, sf, odd, empty):
         n = min(10, len(w))
         for k in range(len(w) - n + 1 if n else 0):
             windows[tuple(w[k : k + n])].add(d)
-    for block in (1 << 20, 10):
-        got = {(r["doc_id"], r["text"]): r for r in decontaminate.mark_contamination(odd, items, block_bytes=block).collect()}
+    for block in (1 << 20, 2):  # one broadcast block, and several behind the Bloom filter
+        got = {(r["doc_id"], r["text"]): r for r in decontaminate.mark_contamination(odd, items, block_windows=block).collect()}
         for d, text in TEXTS:
             w, hit, ids = ALNUM.findall(lower(text or "")), set(), set()
             for n in {len(k) for k in windows}:
@@ -417,11 +647,96 @@ def test_decontamination(spark, sf, odd, empty):
     assert cut[4] == "" and cut[0] == " four five six seven" and cut[12] == TEXTS[13][1]
     assert decontaminate.decontaminate(empty, items).count() == 0
     assert decontaminate.decontaminate(odd, items.where("false")).count() == len(TEXTS)
+    many = spark.createDataFrame([(k, "one two three four") for k in range(30)] * 2, "item_id long, text string")
+    for block in (1 << 20, 7):  # a window that many items share is dealt to several blocks
+        (row,) = decontaminate.mark_contamination(odd.where("doc_id = 0"), many, block_windows=block).collect()
+        assert row["hit_items"] == sorted(map(str, range(30))) and [(s["first"], s["last"]) for s in row["hit_spans"]] == [(0, 4)]
+
+
+# ---- bytes
+
+
+def test_hashes_of_long_runs_dont_depend_on_segments(monkeypatch):
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 256, 700_000).astype(np.uint8)
+    starts = np.sort(rng.integers(0, 690_000, 500))
+    ends = np.minimum(starts + np.where(rng.random(500) < 0.05, 600_000, rng.integers(0, 50, 500)), len(data))
+    whole = _bytes.run_hashes(data, starts, ends)
+    for k in (0, 17, 499):  # a run's hash is its bytes' alone
+        assert _bytes.run_hashes(data[starts[k] : ends[k]].copy(), np.array([0]), np.array([ends[k] - starts[k]]))[0] == whole[k]
+    assert len(set(whole.tolist())) == len({data[a:b].tobytes().translate(_bytes.LOWER) for a, b in zip(starts, ends)})
+
+
+def test_kept_lines():
+    rng = np.random.default_rng(6)
+    texts = ["\n".join("".join(rng.choice(list("ab é"), rng.integers(0, 4))) for _ in range(rng.integers(1, 9))) for _ in range(300)]
+    import pyarrow as pa
+
+    for _, data, offsets in _bytes.text_chunks(pa.array(texts), 200):
+        starts, ends, index, one, two, points = line_dedup.line_keys(data, offsets)
+        raw = data.tobytes()
+        assert points.tolist() == [len(raw[a:b].decode().strip(" ")) for a, b in zip(starts, ends)]
+        keep = rng.random(len(starts)) < 0.5
+        left, at = line_dedup.without_lines(data, starts, ends, index, keep)
+        got = [left[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+        assert got == [b"\n".join(raw[starts[k] : ends[k]] for k in range(index[t], index[t + 1]) if keep[k]) for t in range(len(offsets) - 1)]
+    one, two = np.array([5, 5, 7, 9], np.uint64), np.array([1, 2, 3, 4], np.uint64)
+    assert line_dedup.listed(one, two, np.array([9, 5, 5, 5], np.uint64), np.array([5, 9, 2, 8], np.uint64)).tolist() == [False, True, False, False]
 
 
 # ---- pipeline
 
 
+@pytest.fixture
+def shop(spark, tmp_path):
+    """A folder with all tables the pipeline reads, its documents odd ones: null, empty, long, repeated, without an id, with clashing columns."""
+    toxic = "you are a zorgon, friend. "
+    rows = [(1000 + k, (toxic if k % 3 == 0 else "a fine day it is, friend. ") + f"word{k} and more of {k * 7} here") for k in range(90)]
+    rows += [(2000, "the quick onyx goblin jumps over the lazy dwarf while nobody looks at all"), (2001, "nothing of note")]
+    rows += [(d, t) for d, t in TEXTS]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), "score": F.lit("x"), "n_lines": F.lit("x"), "hit_spans": F.lit("x"), "hit_items": F.lit(1), "cluster": F.lit("x"), "_drops": F.lit("x"), "_gone": F.lit(1), "_suspect": F.lit(True), "_salt": F.lit(1), "_aside_score": F.lit("y")})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1000 + k, 0, int(k % 3 == 0)) for k in range(80)] + [(None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "over the lazy dwarf while nobody looks at all"), (2, None), (None, "...")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def held(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+
+def test_pipeline_stages_against_brute_force(spark, shop):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{shop}/documents.parquet")
+    model = queries.toxicity_model(spark, shop, docs)
+    one = stages["toxicity"](spark, docs, shop).persist()
+    assert one.columns == docs.columns and held(one) == sorted([(d, t) for d, t in held(docs) if plain_score(model, t) < 0.5], key=str)
+    assert 20 < docs.count() - one.count() <= 30  # the toxic thirty, and none of the odd ones
+    two = stages["line_dedup"](spark, one, shop).persist()
+    key = lambda line: lower(line.strip(" \t\n\x0b\x0c\r"))
+    at = defaultdict(set)
+    for d, t in held(one):
+        for line in (t or "").split("\n"):
+            at[key(line)].add(d)
+    kept = lambda d, t: "\n".join(x for x in (t or "").split("\n") if d is None or len(key(x)) < 10 or len(at[key(x)] - {None}) < 2 or min(at[key(x)] - {None}) == d)
+    assert two.columns == docs.columns and held(two) == sorted([(d, kept(d, t)) for d, t in held(one)], key=str)
+    assert two.where("n_chars != length(text)").count() == 0 == two.where("n_lines != 'x'").count()
+    three = stages["near_dedup"](spark, two, shop).persist()
+    rows = held(two)
+    with_id = [r for r in rows if r[0] is not None]
+    groups = {d: c for d, _, c in brute_components(with_id)}
+    assert three.columns == docs.columns and held(three) == sorted([r for r in rows if r[0] is None or groups[r[0]] == r[0]], key=str)
+    four = stages["decontaminate"](spark, three, shop).persist()
+    assert four.columns == docs.columns and {d for d, _ in held(three)} - {d for d, _ in held(four)} == {2000}
+    five = stages["pack"](spark, four, shop)
+    check_packing(five.collect(), held(four))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.where("false"), shop).count() == 0, name
+    assert stages["pack"](spark, docs.where("false"), shop).count() == 0
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
