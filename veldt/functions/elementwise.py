@@ -34,13 +34,39 @@ def _log(of: Callable[[Column], Column], shift: float = 0.0) -> Callable[[Column
     return run
 
 
-def round_away(x: Column) -> Column:
-    """Half away from zero."""
-    return F.signum(_d(x)) * F.floor(F.abs(_d(x)) + 0.5).cast("double")
+#: From here on every double is a whole number.
+WHOLE = float(1 << 52)
 
 
-def trunc(x: Column) -> Column:
-    return F.signum(_d(x)) * F.floor(F.abs(_d(x))).cast("double")
+def _whole(of: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A rounding by way of a long, for doubles that have a fraction; NaN, infinities and large values stay."""
+
+    def run(x: Column) -> Column:
+        x = _d(x)
+        return F.when(F.isnan(x) | (F.abs(x) >= WHOLE), x).otherwise(of(x))
+
+    return run
+
+
+def _floor(x: Column) -> Column:
+    out = F.floor(x).cast("double")
+    return F.when(out == x, x).otherwise(out)  # keeps a negative zero
+
+
+def _ceil(x: Column) -> Column:
+    return -_floor(-x)
+
+
+def _trunc(x: Column) -> Column:
+    return F.signum(x) * F.floor(F.abs(x)).cast("double")
+
+
+def _round(x: Column) -> Column:
+    whole = _trunc(x)
+    return F.when(F.abs(x - whole) >= 0.5, whole + F.signum(x)).otherwise(whole)
+
+
+floor, ceil, trunc, round_away = _whole(_floor), _whole(_ceil), _whole(_trunc), _whole(_round)
 
 
 def is_inf(x: Column) -> Column:
@@ -60,7 +86,7 @@ UNARY: dict[str, Callable[[Column], Column]] = {
     "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan,
     "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "asinh": F.asinh, "acosh": F.acosh, "atanh": F.atanh,
     "logistic": lambda x: 1 / (1 + F.exp(-_d(x))), "sign": lambda x: F.signum(_d(x)),
-    "round": round_away, "rint": F.rint, "floor": lambda x: F.floor(_d(x)).cast("double"), "ceil": lambda x: F.ceil(_d(x)).cast("double"), "trunc": trunc,
+    "round": round_away, "rint": F.rint, "floor": floor, "ceil": ceil, "trunc": trunc,
     "isnan": lambda x: F.isnan(_d(x)), "isinf": is_inf, "isfinite": is_finite, "not": lambda x: ~x, "bitwise_not": F.bitwise_not,
 }
 
@@ -132,6 +158,11 @@ def select(mask: Column, then: Column, other: Column) -> Column:
     return F.when(mask, then).otherwise(other)
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once, however often f uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def horner(coefficients: Column, x: Column) -> Column:
     """A polynomial with ascending coefficients in an array cell; beyond |x| = 1 in powers of 1/x."""
     step = F.aggregate(F.reverse(coefficients), F.lit(0.0), lambda s, c: s * x + c)

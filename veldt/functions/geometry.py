@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veldt.functions.elementwise import array_norm, dot
+from veldt.functions.elementwise import array_norm, dot, let
 
 
 def quaternion(w, x, y, z) -> Column:
@@ -102,6 +102,22 @@ def cross(a: Column, b: Column) -> Column:
     return F.array(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
 
 
+def skew_symmetric(a: Column) -> Column:
+    """The 3 x 3 matrix m (row-major) with m b = a x b."""
+    zero = F.lit(0.0)
+    return F.array(zero, -a[2], a[1], a[2], zero, -a[0], -a[1], a[0], zero)
+
+
+def skew_vector(m: Column) -> Column:
+    """The vector of a skew-symmetric 3 x 3 matrix."""
+    return F.array(m[7], m[2], m[3])
+
+
+def skew_exp(a: Column) -> Column:
+    """exp of the skew-symmetric matrix of a: the rotation about a by its length (Rodrigues' formula)."""
+    return q_matrix(q_from_scaled_axis(a))
+
+
 def unit_orthogonal(a: Column) -> Column:
     """A unit vector orthogonal to a 3-vector."""
     flat = F.hypot(a[0], a[1])
@@ -150,13 +166,69 @@ def from_euler(z: Column, y: Column, x: Column) -> Column:
     return F.array(cz * cy, cz * sy * sx - sz * cx, cz * sy * cx + sz * sx, sz * cy, sz * sy * sx + cz * cx, sz * sy * cx - cz * sx, -sy, cy * sx, cy * cx)
 
 
+def axis_rotation(axis: int, angle: Column) -> Column:
+    """The rotation about a coordinate axis, row-major."""
+    c, s, zero, one = F.cos(angle), F.sin(angle), F.lit(0.0), F.lit(1.0)
+    b, d = (axis + 1) % 3, (axis + 2) % 3
+    cells = [zero] * 9
+    cells[axis * 4], cells[b * 4], cells[d * 4], cells[b * 3 + d], cells[d * 3 + b] = one, c, c, -s, s
+    return F.array(*cells)
+
+
+def euler_sequence(m: Column, a0: int, a1: int, a2: int) -> Column:
+    """Angles (x, y, z) with m = R(a0, x) R(a1, y) R(a2, z), for any sequence of axes in which neighbours differ."""
+    return let(m, lambda m: _euler(m, a0, a1, a2))
+
+
+def _euler(m: Column, a0: int, a1: int, a2: int) -> Column:
+    """The middle angle is in [-pi/2, pi/2] for three different axes, in [0, pi] where a0 = a2."""
+    at = lambda r, c: m[r * 3 + c]
+    odd = 1.0 if (a0 + 1) % 3 == a1 else -1.0
+    if a0 == a2:
+        other = 3 - a0 - a1
+        y = F.atan2(F.hypot(at(a0, a1), at(a0, other)), at(a0, a0))
+        x = F.atan2(at(a1, a0), -odd * at(other, a0))
+        z = F.atan2(at(a0, a1), odd * at(a0, other))
+        return F.array(x, y, z)
+    x = F.atan2(-odd * at(a1, a2), at(a2, a2))
+    y = F.atan2(odd * at(a0, a2), F.hypot(at(a0, a0), at(a0, a1)))
+    z = F.atan2(-odd * at(a0, a1), at(a0, a0))
+    return F.array(x, y, z)
+
+
+def angle_axis(m: Column) -> Column:
+    """struct(angle, axis) of a rotation matrix, the angle in [0, pi]; no turn has the x axis."""
+    return let(m, _angle_axis)
+
+
+def _angle_axis(m: Column) -> Column:
+    w = F.array(m[7] - m[5], m[2] - m[6], m[3] - m[1])
+    size = array_norm(w)
+    angle = F.atan2(size / 2, (m[0] + m[4] + m[8] - 1) / 2)
+    # near a half turn the axis comes from the largest column of m + I
+    columns = [F.array(m[k] + (1.0 if k == 0 else 0.0), m[3 + k] + (1.0 if k == 1 else 0.0), m[6 + k] + (1.0 if k == 2 else 0.0)) for k in range(3)]
+    best = F.when((m[0] >= m[4]) & (m[0] >= m[8]), columns[0]).when(m[4] >= m[8], columns[1]).otherwise(columns[2])
+    unit = lambda a: F.transform(a, lambda x: x / F.when(array_norm(a) > 0, array_norm(a)).otherwise(1.0))
+    axis = F.when(size > 1e-7, unit(w)).when(angle > 1, unit(best)).otherwise(F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)))
+    return F.struct(angle.alias("angle"), axis.alias("axis"))
+
+
+def rotation2_angle(m: Column) -> Column:
+    return F.atan2(m[2], m[0])
+
+
+def rotation2_slerp(a: Column, b: Column, t: Column) -> Column:
+    """The angle between two angles, on the shorter way."""
+    turn = b - a
+    return a + t * F.atan2(F.sin(turn), F.cos(turn))
+
+
 def homogeneous(a: Column) -> Column:
     return F.concat(a, F.array(F.lit(1.0)))
 
 
 def hnormalized(a: Column) -> Column:
-    last = F.element_at(a, -1)
-    return F.transform(F.slice(a, 1, F.size(a) - 1), lambda x: x / last)
+    return let(a, lambda a: F.transform(F.slice(a, 1, F.size(a) - 1), lambda x: x / F.element_at(a, -1)))
 
 
 def affine(linear: Column, translation: Column, n: int) -> Column:
@@ -168,7 +240,50 @@ def affine(linear: Column, translation: Column, n: int) -> Column:
 
 
 def transform_point(m: Column, p: Column, n: int) -> Column:
-    return hnormalized(mat_vec(m, homogeneous(p), n + 1))
+    return hnormalized(let(m, lambda m: let(homogeneous(p), lambda h: mat_vec(m, h, n + 1))))
+
+
+def translation(t: Column, n: int) -> Column:
+    return affine(F.array(*[F.lit(1.0 if r == c else 0.0) for r in range(n) for c in range(n)]), t, n)
+
+
+def scaling(f: Column, n: int) -> Column:
+    """By factors along the axes."""
+    return affine(F.array(*[f[r] if r == c else F.lit(0.0) for r in range(n) for c in range(n)]), F.array(*[F.lit(0.0)] * n), n)
+
+
+def linear_part(m: Column, n: int) -> Column:
+    return F.array(*[m[r * (n + 1) + c] for r in range(n) for c in range(n)])
+
+
+def translation_part(m: Column, n: int) -> Column:
+    return F.array(*[m[r * (n + 1) + n] for r in range(n)])
+
+
+def transform_product(a: Column, b: Column, n: int) -> Column:
+    return let(a, lambda a: let(b, lambda b: mat_mul(a, b, n + 1)))
+
+
+def isometry_inverse(m: Column, n: int) -> Column:
+    """The inverse of a rotation with a shift: the turn transposed."""
+
+    def inverse(m: Column) -> Column:
+        turned = F.array(*[m[c * (n + 1) + r] for r in range(n) for c in range(n)])
+        shift = translation_part(m, n)
+        back = F.array(*[-sum((m[k * (n + 1) + r] * shift[k] for k in range(1, n)), m[r] * shift[0]) for r in range(n)])
+        return affine(turned, back, n)
+
+    return let(m, inverse)
+
+
+def affine_inverse3(m: Column) -> Column:
+    """The inverse of a 3-D affine map; null where its linear part is singular."""
+
+    def inverse(m: Column) -> Column:
+        back = lambda w: F.transform(mat_vec(w, translation_part(m, 3), 3), lambda x: -x)
+        return let(let(linear_part(m, 3), inverse3), lambda w: F.when(w.isNotNull(), affine(w, back(w), 3)))
+
+    return let(m, inverse)
 
 
 def plane_signed_distance(normal: Column, offset: Column, p: Column) -> Column:
@@ -209,11 +324,11 @@ def box_intersects(low1: Column, high1: Column, low2: Column, high2: Column) ->
 
 
 def box_intersection(low1: Column, high1: Column, low2: Column, high2: Column) -> tuple[Column, Column]:
-    return F.zip_with(low1, low2, F.greatest), F.zip_with(high1, high2, F.least)
+    return F.zip_with(low1, low2, lambda a, b: F.greatest(a, b)), F.zip_with(high1, high2, lambda a, b: F.least(a, b))
 
 
 def box_merged(low1: Column, high1: Column, low2: Column, high2: Column) -> tuple[Column, Column]:
-    return F.zip_with(low1, low2, F.least), F.zip_with(high1, high2, F.greatest)
+    return F.zip_with(low1, low2, lambda a, b: F.least(a, b)), F.zip_with(high1, high2, lambda a, b: F.greatest(a, b))
 
 
 def box_volume(low: Column, high: Column) -> Column:
@@ -229,3 +344,37 @@ def box_exterior_distance(low: Column, high: Column, p: Column) -> Column:
     below = F.zip_with(low, p, lambda a, b: F.greatest(a - b, F.lit(0.0)))
     above = F.zip_with(p, high, lambda a, b: F.greatest(a - b, F.lit(0.0)))
     return array_norm(F.zip_with(below, above, lambda a, b: a + b))
+
+
+def box_sizes(low: Column, high: Column) -> Column:
+    return F.zip_with(low, high, lambda a, b: b - a)
+
+
+def box_diagonal(low: Column, high: Column) -> Column:
+    return array_norm(box_sizes(low, high))
+
+
+def box_is_empty(low: Column, high: Column) -> Column:
+    return F.exists(F.zip_with(low, high, lambda a, b: a > b), lambda x: x)
+
+
+def box_extended(low: Column, high: Column, p: Column) -> tuple[Column, Column]:
+    return F.zip_with(low, p, lambda a, b: F.least(a, b)), F.zip_with(high, p, lambda a, b: F.greatest(a, b))
+
+
+def box_clamped(low: Column, high: Column, p: Column) -> Column:
+    """The point of the box that is nearest to p."""
+    return F.zip_with(F.zip_with(p, low, lambda a, b: F.greatest(a, b)), high, lambda a, b: F.least(a, b))
+
+
+def box_corner(low: Column, high: Column, k: int, n: int) -> Column:
+    """Corner k: bit d of k says whether dimension d is at its high end."""
+    return F.array(*[(high if k >> c & 1 else low)[c] for c in range(n)])
+
+
+def plane_through(p: Column, q: Column, r: Column) -> Column:
+    """struct(normal, offset) of the plane through three points in space."""
+    to = lambda a, b: F.zip_with(b, a, lambda x, y: x - y)
+    n = cross(to(p, q), to(p, r))
+    unit = F.transform(n, lambda x: x / array_norm(n))
+    return F.struct(unit.alias("normal"), (-dot(unit, p)).alias("offset"))
