@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldt.functions import elementwise as E
+from veldt.operators.index import resolve
+from veldt.operators.lineage import cut
+from veldt.operators.reducers import Reducer, Visitor, reduced, visited
 
 #: A side with at most so many entries (24 bytes each) may be broadcast.
 BROADCAST_CELLS = 500_000
@@ -60,6 +63,17 @@ class Matrix:
             out = combine(v())
         return Matrix(df.groupBy("i", "j").agg(out.alias("v")), rows, cols)
 
+    @staticmethod
+    def from_writes(writes: DataFrame, rows: int, cols: int, order: Column, add: bool = False) -> Matrix:
+        """Random single writes (i, j, v), in any order: the last by `order` stays, or with add all are added up."""
+        return Matrix.from_triplets(writes, rows, cols, "sum" if add else "last", order)
+
+    def set_from_sorted(self, batch: DataFrame) -> Matrix:
+        """The batch's triplets (duplicates summed) instead of what is stored; an empty batch leaves that as it is."""
+        empty = batch.limit(1).agg((F.count("*") == 0).alias("_empty"))
+        kept = self.df.crossJoin(F.broadcast(empty)).where("_empty").select("i", "j", "v")
+        return self._with(kept.unionByName(batch.groupBy("i", "j").agg(F.sum("v").alias("v"))))
+
     @staticmethod
     def zero(spark: SparkSession, rows: int, cols: int) -> Matrix:
         return Matrix(spark.range(0).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("v")), rows, cols)
@@ -124,6 +138,13 @@ class Matrix:
         rows = [(r, inner[k], float(values[k])) for r in range(len(outer) - 1) for k in range(outer[r], outer[r + 1])]
         return Matrix(spark.createDataFrame(rows, "i long, j long, v double"), len(outer) - 1, cols)
 
+    @staticmethod
+    def from_buffer(spark: SparkSession, buffer: Sequence[float], rows: int, cols: int, inner: int = 1, outer: int | None = None, order: str = "col") -> Matrix:
+        """A matrix over a flat buffer by strides: inner between neighbours in storage order, outer between columns (or rows)."""
+        outer = (rows if order == "col" else cols) * inner if outer is None else outer
+        at = (lambda a, b: a * inner + b * outer) if order == "col" else (lambda a, b: a * outer + b * inner)
+        return Matrix.values(spark, [[buffer[at(a, b)] for b in range(cols)] for a in range(rows)])
+
     def to_arrays(self) -> DataFrame:
         """(i, row): dense rows as array cells; zero rows are missing."""
         held = F.map_from_entries(F.collect_list(F.struct("j", "v")))
@@ -183,11 +204,12 @@ class Matrix:
     def tail(self, n: int) -> Matrix:
         return self.segment(max(self.rows, self.cols) - n, n)
 
-    def indexed(self, row_index: Sequence[int] | None = None, col_index: Sequence[int] | None = None) -> Matrix:
-        """Gather rows and columns by index lists; repeats and any order are allowed."""
+    def indexed(self, row_index=None, col_index=None) -> Matrix:
+        """Gather rows and columns by index lists or expressions (see operators.index); repeats and any order are allowed."""
         out = self
         for name, index in (("i", row_index), ("j", col_index)):
             if index is not None:
+                index = resolve(index, self.rows if name == "i" else self.cols)
                 table = out.df.sparkSession.createDataFrame(list(enumerate(map(int, index))), "_at long, _from long")
                 other = "j" if name == "i" else "i"
                 df = out.df.join(bounded(table, len(index)), F.col(name) == F.col("_from")).select(F.col("_at").alias(name), other, "v").select("i", "j", "v")
@@ -249,6 +271,28 @@ class Matrix:
     def vcat(self, other: Matrix) -> Matrix:
         return self._with(self.df.unionByName(other._moved(i() + self.rows, j()).df), rows=self.rows + other.rows)
 
+    def swap_rows(self, a: int, b: int) -> Matrix:
+        return self._moved(F.when(i() == a, b).when(i() == b, a).otherwise(i()), j())
+
+    def swap_cols(self, a: int, b: int) -> Matrix:
+        return self._moved(i(), F.when(j() == a, b).when(j() == b, a).otherwise(j()))
+
+    def lower_bound(self, col: int, row: int) -> DataFrame:
+        """The first stored entry (i, v) of a column at or after a row; none gives a null."""
+        return self.df.where((j() == col) & (i() >= row)).agg(F.min(F.struct("i", "v")).alias("m")).select("m.i", "m.v")
+
+    def rotated(self, p: int, q: int, c: float, s: float, side: str = "left") -> Matrix:
+        """A plane rotation of rows p and q (side="left") or columns: p becomes c p + s q, q becomes c q - s p."""
+        key, other = ("i", "j") if side == "left" else ("j", "i")
+        k = F.col(key)
+        arms = F.when(k == p, F.array(F.struct(F.lit(p).cast("long").alias("k"), F.lit(c).alias("f")), F.struct(F.lit(q).cast("long").alias("k"), F.lit(-s).alias("f"))))
+        arms = arms.when(k == q, F.array(F.struct(F.lit(p).cast("long").alias("k"), F.lit(s).alias("f")), F.struct(F.lit(q).cast("long").alias("k"), F.lit(c).alias("f"))))
+        arms = arms.otherwise(F.array(F.struct(k.cast("long").alias("k"), F.lit(1.0).alias("f"))))
+        moved = self.df.select(other, "v", F.explode(arms).alias("t")).select(F.col("t.k").alias(key), other, (v() * F.col("t.f")).alias("v"))
+        touched = F.col(key).isin(p, q)
+        summed = moved.where(touched).groupBy("i", "j").agg(F.sum("v").alias("v"))
+        return self._with(moved.where(~touched).select("i", "j", "v").unionByName(summed))
+
     def conservative_resize(self, rows: int, cols: int) -> Matrix:
         return self._with(self.df.where((i() < rows) & (j() < cols)), rows, cols)
 
@@ -285,6 +329,18 @@ class Matrix:
     def map_indexed(self, f: Callable[[Column, Column, Column], Column]) -> Matrix:
         return self._with(self.df.select("i", "j", f(i(), j(), v()).alias("v")))
 
+    def eval(self) -> Matrix:
+        """The matrix written and read again: its plan ends here (a reliable checkpoint)."""
+        return self._with(cut(self.df))
+
+    def __mul__(self, s: float) -> Matrix:
+        return self.scale(s)
+
+    __rmul__ = __mul__
+
+    def __truediv__(self, s: float) -> Matrix:
+        return self.map(lambda x: E.divide(x, F.lit(float(s))))
+
     def __neg__(self) -> Matrix:
         return self.map(lambda x: -x)
 
@@ -349,13 +405,13 @@ class Matrix:
     def sum(self) -> Column:
         return F.coalesce(F.sum("v"), F.lit(0.0))
 
-    def aggregate(self, name: str) -> Column:
-        """The named full reduction as an aggregate of v; extents fill in for structural zeros."""
-        size = self.rows * self.cols
+    def aggregate(self, name: str, size: int | None = None) -> Column:
+        """The named reduction as an aggregate of v; the extents (or a size) fill in for structural zeros."""
+        size = self.rows * self.cols if size is None else size
         full = F.count(v()) == size
         finite = F.when(~F.isnan(v()), v())
         table: dict[str, Column] = {
-            "sum": self.sum(), "prod": F.when(full, F.coalesce(F.product("v"), F.lit(1.0))).otherwise(F.lit(0.0)),
+            "sum": self.sum(), "mean_of_stored": F.avg("v"), "prod": F.when(full, F.coalesce(F.product("v"), F.lit(1.0))).otherwise(F.lit(0.0)),
             "mean": self.sum() / F.lit(float(size) if size else float("nan")),
             "min": F.when(full, F.min(finite)).otherwise(F.least(F.min(finite), F.lit(0.0))), "max": F.when(full, F.max(finite)).otherwise(F.greatest(F.max(finite), F.lit(0.0))),
             "min_nan": F.when(F.bool_or(F.isnan(v())), F.lit(float("nan"))).when(full, F.min("v")).otherwise(F.least(F.min("v"), F.lit(0.0))),
@@ -377,23 +433,45 @@ class Matrix:
         top = self.df.agg(F.max(F.abs(v())).alias("m"))
         return self.df.crossJoin(F.broadcast(top)).agg(F.coalesce(F.max("m") * F.sqrt(F.sum(F.when(F.col("m") > 0, v() / F.col("m") * (v() / F.col("m"))).otherwise(0.0))), F.lit(0.0)).alias("norm"))
 
-    def rowwise(self, **aggregates: Column) -> DataFrame:
-        """By row (zero rows are missing); the columns are aggregates of j and v."""
-        return self.df.groupBy("i").agg(*[c.alias(k) for k, c in aggregates.items()])
+    def rowwise(self, *names: str, **aggregates: Column) -> DataFrame:
+        """By row: named reductions (see aggregate; structural zeros count), and aggregates of the stored j and v. Zero rows are missing."""
+        return self.df.groupBy("i").agg(*[self.aggregate(n, self.cols) for n in names], *[c.alias(k) for k, c in aggregates.items()])
 
-    def colwise(self, **aggregates: Column) -> DataFrame:
-        return self.df.groupBy("j").agg(*[c.alias(k) for k, c in aggregates.items()])
+    def colwise(self, *names: str, **aggregates: Column) -> DataFrame:
+        return self.df.groupBy("j").agg(*[self.aggregate(n, self.rows) for n in names], *[c.alias(k) for k, c in aggregates.items()])
 
     def linear(self, order: str = "col") -> Column:
         return i() + j() * self.rows if order == "col" else i() * self.cols + j()
 
     def arg_extreme(self, largest: bool = True, by: str | None = None, order: str = "col") -> DataFrame:
-        """Value and place of the extreme stored entry, the first in storage order among equals; by="i" or "j" for each row or column."""
-        at = self.linear(order)
-        best = F.min(F.struct((-v() if largest else v()).alias("k"), at.alias("at"), "i", "j")).alias("m")
-        df = self.df.groupBy(by).agg(best) if by else self.df.agg(best)
+        """Value and place of the extreme entry, the first in storage order among equals; by="i" or "j" for each row or column.
+
+        Structural zeros are entries: where some are missing and no stored entry is better than
+        0, the first zero, stored or not, is the extreme. Zero rows (or columns, or a zero
+        matrix) are missing.
+        """
         sign = -1.0 if largest else 1.0
-        return df.select(*([by] if by else []), (F.col("m.k") * sign).alias("v"), *[F.col(f"m.{c}").alias(c) for c in "ij" if c != by])
+        at, value = self.linear(order), (v() * sign).alias("k")
+        best = F.min(F.struct(value, at.alias("at"), "i", "j")).alias("m")
+        keys = [by] if by else []
+        size = {"i": self.cols, "j": self.rows, None: self.rows * self.cols}[by]
+        found = self.df.groupBy(*keys).agg(best, F.count("v").alias("n")).where("n > 0")
+        if size <= 1:
+            return found.select(*keys, (F.col("m.k") * sign + 0.0).alias("v"), *[F.col(f"m.{c}").alias(c) for c in "ij" if c != by])
+        # groups whose extreme is a zero that isn't stored: the first missing place is 0, or follows a stored one
+        need = found.where((F.col("n") < size) & (F.col("m.k") >= 0)).select(*keys, F.lit(True).alias("_need"))
+        stored = self.df.join(need, keys, "left_semi") if by else self.df.crossJoin(F.broadcast(need)).drop("_need")
+        # a place along the storage order: within a row or column, or of the whole matrix
+        step = {"i": j(), "j": i(), None: self.linear(order)}[by]
+        places = stored.select(*keys, step.alias("p"), F.lit(1).alias("here"))
+        next_places = places.select(*keys, (F.col("p") + 1).alias("p"), F.lit(0).alias("here")).where(F.col("p") < size)
+        origin = need.select(*keys, F.lit(0).cast("long").alias("p"), F.lit(0).alias("here"))
+        gaps = places.unionByName(next_places).unionByName(origin).groupBy(*keys, "p").agg(F.max("here").alias("here")).where("here = 0").groupBy(*keys).agg(F.min("p").alias("gap")).where("gap is not null")
+        gap_i = {"i": F.col("i"), "j": F.col("gap"), None: F.col("gap") % self.rows if order == "col" else F.floor(F.col("gap") / self.cols)}[by]
+        gap_j = {"i": F.col("gap"), "j": F.col("j"), None: F.floor(F.col("gap") / self.rows) if order == "col" else F.col("gap") % self.cols}[by]
+        zero = gaps.select(*keys, F.struct(F.lit(0.0).alias("k"), (gap_i + gap_j * self.rows if order == "col" else gap_i * self.cols + gap_j).cast("long").alias("at"), gap_i.cast("long").alias("i"), gap_j.cast("long").alias("j")).alias("m"))
+        both = found.select(*keys, "m").unionByName(zero).groupBy(*keys).agg(F.min("m").alias("m")).where("m is not null")
+        return both.select(*keys, (F.col("m.k") * sign + 0.0).alias("v"), *[F.col(f"m.{c}").alias(c) for c in "ij" if c != by])
 
     def normalized(self) -> Matrix:
         """Divided by the norm; a zero matrix stays."""
@@ -401,8 +479,11 @@ class Matrix:
         return self._with(self.df.crossJoin(F.broadcast(n)).select("i", "j", F.when(F.col("norm") > 0, v() / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)).otherwise(v()).alias("v")))
 
     def rowwise_normalized(self, by: str = "i") -> Matrix:
-        n = F.sqrt(F.sum(v() * v()).over(Window.partitionBy(by)))
-        return self._with(self.df.select("i", "j", "v", n.alias("n")).select("i", "j", F.when(F.col("n") > 0, v() / F.when(F.col("n") > 0, F.col("n")).otherwise(1.0)).otherwise(v()).alias("v")))
+        """Rows (or columns) divided by their norms, which are one aggregate and come back by a join: a long row is no single task."""
+        norms = self.df.groupBy(by).agg(F.sqrt(F.sum(v() * v())).alias("n"))
+        n = F.col("n")
+        df = self.df.join(bounded(norms, self.rows if by == "i" else self.cols), by)
+        return self._with(df.select("i", "j", F.when(n > 0, v() / F.when(n > 0, n).otherwise(1.0)).otherwise(v()).alias("v")))
 
     def dot(self, other: Matrix) -> DataFrame:
         return self._pair(other, "inner").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0.0)).alias("dot"))
@@ -417,6 +498,21 @@ class Matrix:
         a, b = (F.coalesce(F.col(c), F.lit(0.0)) for c in "ab")
         return self._pair(other, "full").agg((F.coalesce(F.count_if(~E.BINARY["eq"](a, b)), F.lit(0)) == 0).alias("equal"))
 
+    def is_much_smaller_than(self, other: Matrix, precision: float = 1e-12) -> DataFrame:
+        """|x|**2 <= precision**2 * |y|**2."""
+        both = self.df.select((v() * v()).alias("x"), F.lit(0.0).alias("y")).unionByName(other.df.select(F.lit(0.0).alias("x"), (v() * v()).alias("y")))
+        sums = both.agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("x"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("y"))
+        return sums.select((F.col("x") <= precision * precision * F.col("y")).alias("is_much_smaller"))
+
+    def is_constant(self, value: float | None = None, precision: float = 1e-12) -> DataFrame:
+        """All entries within precision (relative) of value, by default of the first entry."""
+        size = self.rows * self.cols
+        low, high = F.coalesce(F.min("v"), F.lit(0.0)), F.coalesce(F.max("v"), F.lit(0.0))
+        low, high = (F.when(F.count("v") == size, x).otherwise(y) for x, y in ((low, F.least(low, F.lit(0.0))), (high, F.greatest(high, F.lit(0.0)))))
+        want = F.coalesce(F.sum(F.when((i() == 0) & (j() == 0), v())), F.lit(0.0)) if value is None else F.lit(float(value))
+        near = lambda x: F.abs(x - want) <= F.lit(precision) * F.least(F.abs(x), F.abs(want))
+        return self.df.agg((near(low) & near(high)).alias("is_constant"))
+
     def shape_test(self, name: str, precision: float = 1e-12) -> DataFrame:
         """zero, ones, identity, diagonal, upper_triangular, lower_triangular or skew_symmetric, relative to the largest entry."""
         top, limit = F.coalesce(F.max(F.abs(v())), F.lit(0.0)), F.lit(precision)
@@ -433,22 +529,62 @@ class Matrix:
             out = worst({"diagonal": i() != j(), "upper_triangular": i() > j(), "lower_triangular": i() < j()}[name]) <= limit * top
         return self.df.agg(out.alias(name))
 
+    def is_orthogonal(self, other: Matrix, precision: float = 1e-12) -> DataFrame:
+        """|x . y|**2 <= precision**2 |x|**2 |y|**2."""
+        pair = self._pair(other, "full")
+        a, b = (F.coalesce(F.col(c), F.lit(0.0)) for c in "ab")
+        sums = pair.agg(*[F.coalesce(F.sum(x), F.lit(0.0)).alias(n) for n, x in (("d", a * b), ("x", a * a), ("y", b * b))])
+        return sums.select((F.col("d") * F.col("d") <= precision * precision * F.col("x") * F.col("y")).alias("is_orthogonal"))
+
     def is_unitary(self, precision: float = 1e-12) -> DataFrame:
         return (self.transpose() @ self).shape_test("identity", precision)
 
+    def reduce_with(self, reducer: Reducer, by: str | None = None) -> DataFrame:
+        """A user's reduction of all entries, or by row ("i") or column ("j"); structural zeros go to reducer.zeros where it has that."""
+        size = {None: self.rows * self.cols, "i": self.cols, "j": self.rows}[by]
+        return reduced(self.df, [by] if by else [], reducer, size if hasattr(reducer, "zeros") else None)
+
+    def visit(self, visitor: Visitor) -> DataFrame:
+        """A user's visitor over the stored entries, with their places."""
+        return visited(self.df, ["i", "j"], visitor)
+
+    def entries(self):
+        """The stored entries (i, j, v) in column order, a partition at a time on the driver."""
+        for r in self.df.orderBy("j", "i").toLocalIterator():
+            yield r["i"], r["j"], r["v"]
+
+    def inner_indices_sorted(self) -> DataFrame:
+        """Whether each column's entries lie in ascending row order in the table as it is stored: within its partition, none after a larger one."""
+        at = F.monotonically_increasing_id()
+        w = Window.partitionBy("j", F.shiftrightunsigned("_at", 33)).orderBy("_at")
+        steps = self.df.withColumn("_at", at).withColumn("_d", i() - F.lag("i").over(w))
+        return steps.agg((F.coalesce(F.min("_d"), F.lit(1)) > 0).alias("sorted"))
+
     # ---- products
 
     def __matmul__(self, other: Matrix) -> Matrix:
-        """Join on the inner index, partial sums, one aggregate. Numeric zeros stay stored."""
+        return self.product(other)
+
+    def product(self, other: Matrix, salts: int = 1) -> Matrix:
+        """Join on the inner index, partial sums, one aggregate. Numeric zeros stay stored.
+
+        An inner index with very many entries on both sides is one key of the join: with salts
+        it is dealt to that many tasks, and the right side is copied as often.
+        """
         if self.cols != other.rows:
             raise ValueError("the inner extents differ")
         left = self.df.select("i", j().alias("k"), v().alias("a"))
         right = other.df.select(i().alias("k"), "j", v().alias("b"))
+        keys = ["k"]
         if other.rows * other.cols <= BROADCAST_CELLS:
             right = F.broadcast(right)
         elif self.rows * self.cols <= BROADCAST_CELLS:
             left = F.broadcast(left)
-        df = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
+        elif salts > 1:
+            left = left.withColumn("s", F.pmod(F.xxhash64("i"), F.lit(salts)).cast("int"))
+            right = right.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            keys = ["k", "s"]
+        df = left.join(right, keys).groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
         return Matrix(df, self.rows, other.cols)
 
     def product_pruned(self, other: Matrix, tolerance: float = 0.0) -> Matrix:
@@ -514,19 +650,36 @@ class Matrix:
         other = "i" if by == "j" else "j"
         return self.df.repartition(by).sortWithinPartitions(by, other)
 
+    def sorted_with_permutation(self, by: str = "j", descending: bool = False) -> DataFrame:
+        """(i, j, v, place): each column's (or row's) entries ranked by value, ties by index."""
+        key, other = (by, "i" if by == "j" else "j")
+        w = Window.partitionBy(key).orderBy(v().desc() if descending else v(), other)
+        return self.df.select("i", "j", "v", (F.row_number().over(w) - 1).cast("long").alias("place"))
+
     def top_k(self, k: int, by: str = "i") -> Matrix:
         """The k largest magnitudes of each row or column; ties by index."""
         w = Window.partitionBy(by).orderBy(F.abs(v()).desc(), "i", "j")
         return self._with(self.df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r"))
 
     def scaled(self, rounds: int = 5) -> tuple[Matrix, DataFrame, DataFrame]:
-        """Rows and columns scaled towards largest magnitude 1 in turn; the matrix, (i, l) and (j, r)."""
-        df = self.df.withColumns({"l": F.lit(1.0), "r": F.lit(1.0)})
+        """Rows and columns scaled towards largest magnitude 1 in turn; the matrix, (i, l) and (j, r).
+
+        Only the factors change: each half round is one aggregate of the scaled magnitudes, and
+        the factors, a row per index, are written as a reliable checkpoint. Zero lines have
+        factor 1.
+        """
+        left = self.df.select("i").distinct().select("i", F.lit(1.0).alias("l"))
+        right = self.df.select("j").distinct().select("j", F.lit(1.0).alias("r"))
+        scaled = lambda: self.df.join(bounded(left, self.rows), "i").join(bounded(right, self.cols), "j").select("i", "j", (v() * F.col("l") * F.col("r")).alias("v"))
         for _ in range(rounds):
-            for key, factor in (("i", "l"), ("j", "r")):
-                top = F.sqrt(F.max(F.abs(v())).over(Window.partitionBy(key)))
-                df = df.withColumn("_s", F.when(top > 0, 1 / top).otherwise(F.lit(1.0))).withColumns({"v": v() * F.col("_s"), factor: F.col(factor) * F.col("_s")}).drop("_s")
-        return self._with(df.select("i", "j", "v")), df.groupBy("i").agg(F.max("l").alias("l")), df.groupBy("j").agg(F.max("r").alias("r"))
+            for key in "ij":
+                top = scaled().groupBy(key).agg(F.sqrt(F.max(F.abs(v()))).alias("t"))
+                s = F.when(F.col("t") > 0, 1 / F.when(F.col("t") > 0, F.col("t")).otherwise(1.0)).otherwise(F.lit(1.0))
+                if key == "i":
+                    left = cut(left.join(top, "i").select("i", (F.col("l") * s).alias("l")))
+                else:
+                    right = cut(right.join(top, "j").select("j", (F.col("r") * s).alias("r")))
+        return self._with(scaled()), left, right
 
     def blocks(self, size: int) -> DataFrame:
         """Block-sparse form (bi, bj, block): dense size x size blocks in row-major order."""
@@ -538,3 +691,21 @@ class Matrix:
     def from_blocks(blocks: DataFrame, size: int, rows: int, cols: int) -> Matrix:
         df = blocks.select("bi", "bj", F.posexplode("block").alias("k", "v")).where("v != 0")
         return Matrix(df.select((F.col("bi") * size + F.floor(F.col("k") / size)).cast("long").alias("i"), (F.col("bj") * size + F.col("k") % size).cast("long").alias("j"), "v"), rows, cols)
+
+
+def permutation_inverse(p: DataFrame) -> DataFrame:
+    """The inverse (also the transpose) of a permutation (i, p)."""
+    return p.select(F.col("p").alias("i"), F.col("i").alias("p"))
+
+
+def permutation_product(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The permutation that does b first, then a."""
+    return b.select("i", F.col("p").alias("_m")).join(a.select(F.col("i").alias("_m"), "p"), "_m").select("i", "p")
+
+
+def transpositions(spark: SparkSession, steps: Sequence[int]) -> DataFrame:
+    """The permutation (i, p) of exchanging 0 with steps[0], then 1 with steps[1], and so on."""
+    at = list(range(len(steps)))
+    for k, other in enumerate(steps):
+        at[k], at[other] = at[other], at[k]
+    return spark.createDataFrame([(held, place) for place, held in enumerate(at)], "i long, p long")

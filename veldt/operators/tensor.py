@@ -1,20 +1,31 @@
 """Tensors as relations (d0 ... dn-1, v) with their extents.
 
 Geometry is arithmetic and filters on index columns (no shuffle), reductions group by the
-kept dimensions, scans are windows over the other dimensions, contraction is a join.
+kept dimensions, scans run in two levels of blocks, contraction is a join.
 Missing entries read as 0.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from math import prod
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veldt.operators.lineage import cut
 from veldt.operators.matrix import DENSE_CELLS, Matrix, bounded
+from veldt.operators.reducers import Reducer, reduced
+
+#: A line of more places is transformed in four steps.
+FFT_LINE = 1 << 20
+#: A line of more places is scanned in blocks of this many.
+SCAN_BLOCK = 1 << 20
+
 
 def v() -> Column:
     return F.col("v")
@@ -24,8 +35,21 @@ def d(k: int) -> Column:
     return F.col(f"d{k}")
 
 
-def _one_argument(f: Callable) -> Callable:
-    return lambda pdf: f(pdf)
+def _fft_lines(df: DataFrame, names: list[str], keys: list[str], at: str, n: int, inverse: bool) -> DataFrame:
+    """Transforms of (names, re, im) along `at`, a group by keys each; missing places are zeros, all places come out."""
+    order = [*names, "re", "im"]
+
+    def line(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = np.zeros(n, complex)
+        z[pdf[at].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+        z = np.fft.ifft(z) if inverse else np.fft.fft(z)
+        out = pd.DataFrame({at: np.arange(n), "re": z.real, "im": z.imag})
+        for c in keys:
+            out[c] = pdf[c].iloc[0]
+        return out[order]
+
+    grouped = df.groupBy(*keys) if keys else df.groupBy((F.col(at) * 0).alias("_all"))
+    return grouped.applyInPandas(line, ", ".join(f"{c} long" for c in names) + ", re double, im double")
 
 
 @dataclass(frozen=True)
@@ -164,6 +188,33 @@ class Tensor:
     def index_pairs(self, layout: str = "col") -> DataFrame:
         return self.df.select(self.linear(layout).alias("index"), "v")
 
+    def symmetrized_by(self, generators: Sequence[tuple[Sequence[int], int]]) -> Tensor:
+        """Each stored entry at all its places under the group that (order of dimensions, sign) generators span; entries that come to one place must agree."""
+        start = (tuple(range(self.rank)), 1)
+        group, frontier = {start[0]: 1}, [start]
+        while frontier:
+            order, sign = frontier.pop()
+            for g, s in generators:
+                image = tuple(order[k] for k in g)
+                if image not in group:
+                    group[image] = sign * s
+                    frontier.append((image, sign * s))
+        images = F.explode(F.array(*[F.struct(*[d(o).alias(f"e{k}") for k, o in enumerate(order)], (v() * float(sign)).alias("w")) for order, sign in sorted(group.items())])).alias("t")
+        df = self.df.select(images).select(*[F.col(f"t.e{k}").alias(f"d{k}") for k in range(self.rank)], F.col("t.w").alias("v"))
+        return Tensor(df.groupBy(*self.names).agg(F.max("v").alias("v")), self.dims)
+
+    def cast(self, kind: str) -> Tensor:
+        return self.map(lambda x: x.cast(kind))
+
+    def eval(self) -> Tensor:
+        """The tensor written and read again: its plan ends here (a reliable checkpoint)."""
+        return Tensor(cut(self.df), self.dims)
+
+    @staticmethod
+    def random(spark: SparkSession, dims: Sequence[int], seed: int = 0, normal: bool = False) -> Tensor:
+        """Uniform in [0, 1), or standard normal."""
+        return Tensor.generate(spark, dims, lambda *_: F.randn(seed) if normal else F.rand(seed))
+
     def symmetrized(self, a: int, b: int, sign: int = 1) -> Tensor:
         """Each stored entry and its mirror in dimensions a and b (sign -1: antisymmetric)."""
         order = list(range(self.rank))
@@ -184,6 +235,12 @@ class Tensor:
         df = self.df.groupBy(*[f"d{k}" for k in kept]).agg(out.alias("v"))
         return Tensor(df.select(*[d(k).alias(f"d{n}") for n, k in enumerate(kept)], "v"), tuple(self.dims[k] for k in kept))
 
+    def reduce_with(self, reducer: Reducer, over: Sequence[int] | None = None) -> Tensor | DataFrame:
+        """A user's reducer over some dimensions (None: all); structural zeros go to reducer.zeros where it has that."""
+        kept = self._kept(over)
+        df = reduced(self.df, [f"d{k}" for k in kept], reducer, self._size(over) if hasattr(reducer, "zeros") else None)
+        return Tensor(df.select(*[d(k).alias(f"d{n}") for n, k in enumerate(kept)], "v"), tuple(self.dims[k] for k in kept)) if kept else df
+
     def sum(self, over: Sequence[int] | None = None):
         return self.reduce(F.coalesce(F.sum("v"), F.lit(0.0)), over)
 
@@ -225,16 +282,63 @@ class Tensor:
 
     # ---- scans and windows
 
+    def _others(self, axis: int) -> list[str]:
+        return [f"d{k}" for k in range(self.rank) if k != axis]
+
     def scan(self, axis: int, out: Callable[[Column], Column], exclusive: bool = False, start: float = 0.0) -> Tensor:
-        """A running aggregate along axis over stored entries."""
-        w = Window.partitionBy(*[f"d{k}" for k in range(self.rank) if k != axis]).orderBy(f"d{axis}").rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+        """A running aggregate along axis over stored entries; a line of this general form is one window."""
+        w = Window.partitionBy(*self._others(axis)).orderBy(f"d{axis}").rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
         return Tensor(self.df.withColumn("v", F.coalesce(out(v()).over(w), F.lit(float(start)))), self.dims)
 
-    def cumsum(self, axis: int, exclusive: bool = False) -> Tensor:
-        return self.scan(axis, F.sum, exclusive, 0.0)
+    def _running(self, axis: int, of: Callable[[Column], Column], combine: Callable[[Column, Column], Column], unit: float, block: int) -> DataFrame:
+        """(dimensions, v, prior, n, next): running values over stored entries with and without the own one, their number so far, and the next stored place.
 
-    def cumprod(self, axis: int, exclusive: bool = False) -> Tensor:
-        return self.scan(axis, F.product, exclusive, 1.0)
+        Two levels: lines are cut into blocks of `block` places, each block has its total, the
+        totals of earlier blocks are combined, and windows run within blocks only. So a line of
+        any length is many tasks.
+        """
+        at, others = f"d{axis}", self._others(axis)
+        if self.dims[axis] <= block:
+            w = Window.partitionBy(*others).orderBy(at)
+            return self.df.select(*self.names, of(v()).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("v"), F.coalesce(of(v()).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(unit)).alias("prior"), F.row_number().over(w).cast("long").alias("n"), F.lead(at).over(w).alias("next"))
+        cut = self.df.withColumn("_b", F.floor(F.col(at) / block).cast("long"))
+        totals = cut.groupBy(*others, "_b").agg(of(v()).alias("_t"), F.count("*").alias("_c"), F.min(at).alias("_first"))
+        before = Window.partitionBy(*others).orderBy("_b")
+        earlier = before.rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.select(*others, "_b", F.coalesce(of(F.col("_t")).over(earlier), F.lit(unit)).alias("_before"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_n"), F.lead("_first").over(before).alias("_after"))
+        inner = Window.partitionBy(*others, "_b").orderBy(at)
+        df = cut.select(*self.names, "_b", of(v()).over(inner.rowsBetween(Window.unboundedPreceding, 0)).alias("_v"), F.coalesce(of(v()).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(unit)).alias("_p"), F.row_number().over(inner).alias("_k"), F.lead(at).over(inner).alias("_next"))
+        df = df.join(totals, [*others, "_b"])
+        return df.select(*self.names, combine(F.col("_before"), F.col("_v")).alias("v"), combine(F.col("_before"), F.col("_p")).alias("prior"), (F.col("_k") + F.col("_n")).cast("long").alias("n"), F.coalesce("_next", "_after").alias("next"))
+
+    def cumsum(self, axis: int, exclusive: bool = False, stored: bool = False, block: int = SCAN_BLOCK) -> Tensor:
+        """Running sums along axis. Missing places are zeros and get the sum so far; with stored, only stored places are kept (and read)."""
+        at = f"d{axis}"
+        run = self._running(axis, F.sum, lambda a, b: a + b, 0.0, block)
+        if stored:
+            return Tensor(run.select(*self.names, F.col("prior" if exclusive else "v").alias("v")), self.dims)
+        if prod(self.dims) > DENSE_CELLS:
+            raise ValueError("running sums fill their lines: give the true extents, or stored=True")
+        shift = 1 if exclusive else 0
+        last = F.least(F.coalesce("next", F.lit(self.dims[axis])) - 1 + shift, F.lit(self.dims[axis] - 1))
+        first = F.col(at) + shift
+        df = run.withColumn(at, F.explode(F.when(first <= last, F.sequence(first, last))).alias(at))
+        return Tensor(df.select(*[F.col(c).cast("long").alias(c) for c in self.names], "v"), self.dims)
+
+    def cumprod(self, axis: int, exclusive: bool = False, stored: bool = False, block: int = SCAN_BLOCK) -> Tensor:
+        """Running products along axis. A missing place is a zero, so products end (and go missing) there; with stored, missing places are passed over."""
+        at = f"d{axis}"
+        run = self._running(axis, F.product, lambda a, b: a * b, 1.0, block)
+        if stored:
+            return Tensor(run.select(*self.names, F.col("prior" if exclusive else "v").alias("v")), self.dims)
+        df = run.where(F.col("n") - 1 == F.col(at)).select(*self.names, "v")  # nothing is missing before it
+        if not exclusive:
+            return Tensor(df, self.dims)
+        moved = df.withColumn(at, F.col(at) + 1).where(F.col(at) < self.dims[axis])
+        others = [k for k in range(self.rank) if k != axis]
+        lines = Tensor.generate(self.df.sparkSession, [self.dims[k] for k in others], lambda *_: F.lit(1.0)).df
+        first = lines.select(*[d(n).alias(f"d{k}") for n, k in enumerate(others)], F.lit(0).cast("long").alias(at), "v")
+        return Tensor(moved.unionByName(first), self.dims)
 
     def convolve(self, kernel: Sequence, dims: Sequence[int]) -> Tensor:
         """Valid correlation with a (nested list) kernel over dims: each entry meets its kernel cells, then one aggregate."""
@@ -260,22 +364,32 @@ class Tensor:
         moved = df.where(test).select(*[x.cast("long").alias(f"d{k}") for k, x in enumerate(index)], (v() * F.col("c.w")).alias("v"))
         return Tensor(moved.groupBy(*self.names).agg(F.sum("v").alias("v")), tuple(out))
 
-    def patches(self, size: Sequence[int]) -> Tensor:
-        """All valid patches; the patch number is the last dimension (column-major over patch places)."""
-        places = [n - s + 1 for n, s in zip(self.dims, size)]
+    def patches(self, size: Sequence[int], stride: Sequence[int] | None = None, dilation: Sequence[int] | None = None, padding: str = "valid") -> Tensor:
+        """All patches; the patch number is the last dimension (column-major over patch places). With padding "same", patches reach over the edges into zeros."""
+        stride, dilation = stride or [1] * self.rank, dilation or [1] * self.rank
+        reach = [(n - 1) * r + 1 for n, r in zip(size, dilation)]
+        if padding == "same":
+            places = [-(-n // t) for n, t in zip(self.dims, stride)]
+            before = [max(0, (p - 1) * t + r - n) // 2 for p, t, r, n in zip(places, stride, reach, self.dims)]
+        else:
+            places, before = [(n - r) // t + 1 for n, r, t in zip(self.dims, reach, stride)], [0] * self.rank
         df = self.df
-        for k, s in enumerate(size):
-            df = df.withColumn(f"o{k}", F.explode(F.sequence(F.lit(0), F.lit(s - 1))))
+        for k, n in enumerate(size):
+            df = df.withColumn(f"o{k}", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         number, step, test = F.lit(0).cast("long"), 1, F.lit(True)
         for k, n in enumerate(places):
-            at = d(k) - F.col(f"o{k}")
-            test = test & (at >= 0) & (at < n)
-            number, step = number + at * step, step * n
-        df = df.where(test).select(*[F.col(f"o{k}").cast("long").alias(f"d{k}") for k in range(self.rank)], number.alias(f"d{self.rank}"), "v")
+            at = d(k) + before[k] - F.col(f"o{k}") * dilation[k]
+            test = test & (at >= 0) & (at % stride[k] == 0) & (at < n * stride[k])
+            number, step = number + F.floor(at / stride[k]) * step, step * n
+        df = df.where(test).select(*[F.col(f"o{k}").cast("long").alias(f"d{k}") for k in range(self.rank)], number.cast("long").alias(f"d{self.rank}"), "v")
         return Tensor(df, (*size, step))
 
-    def image_patches(self, dims: tuple[int, int], size: tuple[int, int], stride: tuple[int, int] = (1, 1), dilation: tuple[int, int] = (1, 1), padding: str = "valid", pad_value: float = 0.0) -> Tensor:
-        """Patches of two dimensions with strides and dilation; "same" pads with pad_value. New dimensions (row in patch, column in patch, patch) come last."""
+    def image_patches(self, dims: tuple[int, int], size: tuple[int, int], stride: tuple[int, int] = (1, 1), dilation: tuple[int, int] = (1, 1), padding: str = "valid", pad_value: float = 0.0, inflation: tuple[int, int] = (1, 1)) -> Tensor:
+        """Patches of two dimensions with strides and dilation; "same" pads with pad_value, inflation sets zeros between the input's places first. New dimensions (row in patch, column in patch, patch) come last."""
+        if inflation != (1, 1):
+            steps = [1] * self.rank
+            steps[dims[0]], steps[dims[1]] = inflation
+            return self.inflate(steps).image_patches(dims, size, stride, dilation, padding, pad_value)
         places, before = [], []
         for k, s, t, r in zip(dims, size, stride, dilation):
             reach = (s - 1) * r + 1
@@ -300,9 +414,10 @@ class Tensor:
             inside = inside.unionByName(outside.select(*index, F.lit(float(pad_value)).alias("v")))
         return Tensor(inside.toDF(*[f"d{k}" for k in range(len(out))], "v"), tuple(out))
 
-    def volume_patches(self, size: Sequence[int]) -> Tensor:
-        """Valid patches over the first three dimensions."""
-        return self.patches([*size, *[1] * (self.rank - 3)])
+    def volume_patches(self, size: Sequence[int], stride: Sequence[int] = (1, 1, 1), padding: str = "valid") -> Tensor:
+        """Patches over the first three dimensions."""
+        more = self.rank - 3
+        return self.patches([*size, *[1] * more], [*stride, *[1] * more], None, padding)
 
     # ---- products
 
@@ -324,38 +439,56 @@ class Tensor:
         df = joined.groupBy(*[n for n, _ in free]).agg(out.alias("v"))
         return Tensor(df.toDF(*[f"d{k}" for k in range(len(free))], "v"), tuple(n for _, n in free))
 
-    def fft(self, dims: Sequence[int], inverse: bool = False, part: str = "both") -> Tensor | DataFrame:
-        """Discrete Fourier transform along dims (inverse scaled by 1/n), one dimension at a time.
+    def fft(self, dims: Sequence[int], inverse: bool = False, part: str = "both", scaled: bool = True, half: bool = False, line: int = FFT_LINE) -> Tensor | DataFrame:
+        """Discrete Fourier transform along dims, one dimension at a time (inverse scaled by 1/n unless not scaled).
 
-        A line along one dimension is one Arrow group, so that extent bounds a task. The
-        result has columns re and im, or with part="real" or "imag" is a tensor.
+        A line of up to `line` places is one Arrow group. A longer one of n = p q places is
+        transformed in four steps: q lines of p, twiddle factors, p lines of q; its extent must
+        have such a divisor. With half, only the first n // 2 + 1 places of the first dimension in dims
+        come back (the rest of a real tensor's spectrum mirrors them). The result has columns re
+        and im, or with part="real" or "imag" is a tensor.
         """
-        import numpy as np
-        import pandas as pd
-
-        df = self.df.select(*self.names, v().alias("re"), F.lit(0.0).alias("im"))
+        df = self.df.select(*self.names, v().cast("double").alias("re"), F.lit(0.0).alias("im"))
         for axis in dims:
-            n, keys, name = self.dims[axis], [x for k, x in enumerate(self.names) if k != axis], f"d{axis}"
-
-            def line(pdf: pd.DataFrame, n=n, keys=keys, name=name) -> pd.DataFrame:
-                z = np.zeros(n, complex)
-                z[pdf[name].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-                z = np.fft.ifft(z) if inverse else np.fft.fft(z)
-                out = pd.DataFrame({name: np.arange(n), "re": z.real, "im": z.imag})
-                for c in keys:
-                    out[c] = pdf[c].iloc[0]
-                return out
-
-            schema = ", ".join(f"{c} long" for c in self.names) + ", re double, im double"
-            def ordered(pdf, line=line, names=(*self.names, "re", "im")):
-                return line(pdf)[list(names)]
-
-            grouped = df.groupBy(*keys) if keys else df.withColumn("_g", d(axis) * 0).groupBy("_g")
-            df = grouped.applyInPandas(_one_argument(ordered), schema)
+            n, name = self.dims[axis], f"d{axis}"
+            keys = self._others(axis)
+            if n <= line:
+                df = _fft_lines(df, self.names, keys, name, n, inverse)
+            else:
+                p = next((p for p in range(math.isqrt(n), 1, -1) if n % p == 0), 1)
+                if p == 1 or n // p > line:
+                    raise ValueError(f"a line of {n} places has no divisors that make short lines")
+                q = n // p
+                split = [*self.names, "_r"]
+                # place = r + q c: for each r a transform over c, then for each of its places one over r
+                df = df.select(*keys, (F.col(name) % q).alias("_r"), F.floor(F.col(name) / q).cast("long").alias(name), "re", "im")
+                df = _fft_lines(df, split, [*keys, "_r"], name, p, inverse)
+                turn = F.lit((2.0 if inverse else -2.0) * math.pi / n) * F.col("_r") * F.col(name)
+                df = df.withColumn("_t", turn).select(*keys, name, "_r", (F.col("re") * F.cos("_t") - F.col("im") * F.sin("_t")).alias("re"), (F.col("re") * F.sin("_t") + F.col("im") * F.cos("_t")).alias("im"))
+                df = _fft_lines(df, split, [*keys, name], "_r", q, inverse)
+                df = df.select(*keys, (F.col(name) + F.col("_r") * p).alias(name), "re", "im").select(*self.names, "re", "im")
+            if inverse and not scaled:
+                df = df.withColumns({"re": F.col("re") * n, "im": F.col("im") * n})
+        extents = list(self.dims)
+        if half:
+            extents[dims[0]] = self.dims[dims[0]] // 2 + 1
+            df = df.where(d(dims[0]) < extents[dims[0]])
         if part == "both":
             return df
-        return Tensor(df.select(*self.names, F.col({"real": "re", "imag": "im"}[part]).alias("v")), self.dims)
+        return Tensor(df.select(*self.names, F.col({"real": "re", "imag": "im"}[part]).alias("v")), tuple(extents))
 
     def custom(self, f: Callable[[DataFrame], DataFrame], dims: Sequence[int]) -> Tensor:
         """A user's operation on the relation, with the extents of its result."""
         return Tensor(f(self.df), tuple(dims))
+
+    def formatted(self, digits: int = 6, separator: str = " ", row_separator: str = "\n", prefix: str = "", suffix: str = "") -> DataFrame:
+        """Printed slices (the leading dimensions, text): a tensor's last two dimensions as rows and columns; a missing place is a zero."""
+        if self.rank < 2:
+            return self.df.agg(F.sort_array(F.collect_list(F.struct(*self.names, "v"))).alias("a")).select(F.concat(F.lit(prefix), F.array_join(F.transform("a", lambda x: F.format_number(x["v"], digits)), separator), F.lit(suffix)).alias("text"))
+        rows, cols = self.dims[-2:]
+        lead = self.names[:-2]
+        cells = self.df.groupBy(*lead).agg(F.map_from_entries(F.collect_list(F.struct((d(self.rank - 2) * cols + d(self.rank - 1)).alias("k"), "v"))).alias("m"))
+        cell = lambda r, c: F.format_number(F.coalesce(F.try_element_at("m", (r * cols + c).cast("long")), F.lit(0.0)), digits)
+        line = lambda r: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(cols - 1)), lambda c: cell(r, c)), separator)
+        text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), line), row_separator)
+        return cells.select(*lead, F.concat(F.lit(prefix), text, F.lit(suffix)).alias("text"))
