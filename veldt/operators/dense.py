@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veldt.operators import factorizations as X
 from veldt.operators import kernels as K
 from veldt.operators.matrix import Matrix
 
@@ -54,9 +55,11 @@ def _coo(a: np.ndarray, name: str | None = None) -> pd.DataFrame:
 def factor(m: Matrix, kind: str, key: str | None = None) -> DataFrame:
     """Factors as (part, i, j, v). Kinds and parts:
 
-    llt: L (no rows where the matrix isn't positive definite); ldlt: P, L, D; lu: P, L, U;
-    full_lu: P, Q, U, rank; qr: Q, R; colpiv_qr: Q, R, P, rank; svd: U, S, V; eigh: S, V;
-    eig: re, im; schur: re(T) as T, re(U) as U; hessenberg: Q, H; inertia: S.
+    llt: L (no rows where the matrix isn't positive definite); ldlt: P, L, D; bunch_kaufman:
+    P, L, D (2 x 2 pivots off its diagonal); inertia: S. lu: P, L, U; full_lu: P, Q, U, rank.
+    qr: Q, R; colpiv_qr and randomized_qr: Q, R, P, rank; fullpiv_qr: also rows; cod: Q, T, Z, P, rank;
+    bidiagonal: U, B, V; svd: U, S, V. eigh: S, V; eig: re, im, V_re, V_im; schur: T, U (real,
+    2 x 2 blocks for complex pairs); complex_schur: T_re, T_im, U_re, U_im; hessenberg: Q, H.
     """
 
     def run(a: np.ndarray) -> pd.DataFrame:
@@ -87,17 +90,34 @@ def factor(m: Matrix, kind: str, key: str | None = None) -> DataFrame:
             w, z = np.linalg.eigh((a + a.T) / 2)
             parts = {"S": col(w), "V": z}
         elif kind == "eig":
-            w = np.linalg.eigvals(a).astype(complex)
-            w = w[np.lexsort((w.imag, w.real))]
-            parts = {"re": col(w.real), "im": col(w.imag)}
+            w, z = X.eigenvectors(a)
+            parts = {"re": col(w.real), "im": col(w.imag), "V_re": z.real, "V_im": z.imag}
         elif kind == "schur":
-            q, t = K.schur(a)
-            parts = {"T": t.real, "U": q.real}
+            u, t = X.real_schur(a)
+            parts = {"T": t, "U": u}
+        elif kind == "complex_schur":
+            u, t = K.schur(a)
+            parts = {"T_re": t.real, "T_im": t.imag, "U_re": u.real, "U_im": u.imag}
+        elif kind == "bunch_kaufman":
+            p, low, d, e = X.bunch_kaufman(a)
+            parts = {"P": col(p), "L": low, "D": np.diag(d) + (np.diag(e, 1) + np.diag(e, -1) if len(e) else 0)}
+        elif kind == "randomized_qr":
+            q, r, p, rank = X.qr_randomized(a)
+            parts = {"Q": q, "R": r, "P": col(p), "rank": col([rank])}
+        elif kind == "fullpiv_qr":
+            q, r, rows, p, rank = X.qr_fullpiv(a)
+            parts = {"Q": q, "R": r, "P": col(p), "rows": col(rows), "rank": col([rank])}
+        elif kind == "cod":
+            q, t, z, p, rank = X.complete_orthogonal(a)
+            parts = {"Q": q, "T": t, "Z": z, "P": col(p), "rank": col([rank])}
+        elif kind == "bidiagonal":
+            u, b, z = X.bidiagonal(a)
+            parts = {"U": u, "B": b, "V": z}
         elif kind == "hessenberg":
             q, h = K.hessenberg(a)
             parts = {"Q": q, "H": h}
         elif kind == "inertia":
-            parts = {"S": col(K.inertia(a))}
+            parts = {"S": col(X.inertia(a))}
         else:
             raise ValueError(kind)
         frames = [_coo(x, n) for n, x in parts.items()]
@@ -119,7 +139,7 @@ def scalar(m: Matrix, name: str, key: str | None = None) -> DataFrame:
 
 MATRICES: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "inverse": np.linalg.inv, "pinv": np.linalg.pinv, "kernel": K.kernel, "image": K.image, "exp": K.expm, "log": K.logm, "sqrt": K.sqrtm,
-    "cos": lambda a: K.matrix_function(a, np.cos), "sin": lambda a: K.matrix_function(a, np.sin), "cosh": lambda a: (K.expm(a) + K.expm(-a)) / 2, "sinh": lambda a: (K.expm(a) - K.expm(-a)) / 2,
+    "cos": K.cosm, "sin": K.sinm, "cosh": lambda a: (K.expm(a) + K.expm(-a)) / 2, "sinh": lambda a: (K.expm(a) - K.expm(-a)) / 2,
     "operator_sqrt": lambda a: (lambda w, z: z * np.sqrt(w) @ z.T)(*np.linalg.eigh(a)), "operator_inverse_sqrt": lambda a: (lambda w, z: z / np.sqrt(w) @ z.T)(*np.linalg.eigh(a)),
 }
 
@@ -131,7 +151,7 @@ def matrix_function(m: Matrix, name: str, power: float | None = None) -> Matrix:
 
 
 def solve(a: Matrix, b: Matrix, kind: str = "lu") -> Matrix:
-    """A X = B in one block: lu, llt (no rows where it fails), ldlt, qr or min_norm (least squares), lower, upper, unit_lower, unit_upper."""
+    """A X = B in one block: lu, llt (no rows where it fails), ldlt, bunch_kaufman, qr, min_norm or cod (least squares), and by substitution lower, upper, unit_lower, unit_upper."""
     guard(a.rows, a.cols + b.cols)
     cols, both = a.cols, a.hcat(b)
 
@@ -139,18 +159,21 @@ def solve(a: Matrix, b: Matrix, kind: str = "lu") -> Matrix:
         m, r = x[:, :cols], x[:, cols:]
         if kind == "llt":
             low = K.llt(m)
-            out = np.zeros((0, 0)) if low is None else np.linalg.solve(low.T, np.linalg.solve(low, r))
+            out = np.zeros((0, 0)) if low is None else X.back_substitute(low.T, X.forward_substitute(low, r))
         elif kind == "ldlt":
             p, low, d = K.ldlt(m)
             out = np.zeros_like(r)
-            out[p] = np.linalg.solve(low.T, np.linalg.solve(low, r[p]) / np.where(d == 0, np.inf, d)[:, None])
+            out[p] = X.back_substitute(low.T, X.forward_substitute(low, r[p], True) / np.where(d == 0, np.inf, d)[:, None], True)
+        elif kind == "bunch_kaufman":
+            out = X.bunch_kaufman_solve(m, r)
+        elif kind == "cod":
+            out = X.min_norm(m, r)
         elif kind in ("qr", "min_norm"):
             out = K.min_norm_solve(m, r)
-        elif kind.endswith(("lower", "upper")):
-            t = np.tril(m) if kind.endswith("lower") else np.triu(m)
-            if kind.startswith("unit"):
-                np.fill_diagonal(t, 1.0)
-            out = np.linalg.solve(t, r)
+        elif kind.endswith("lower"):
+            out = X.forward_substitute(np.tril(m), r, kind.startswith("unit"))
+        elif kind.endswith("upper"):
+            out = X.back_substitute(np.triu(m), r, kind.startswith("unit"))
         else:
             out = np.linalg.solve(m, r)
         return _coo(out)
@@ -159,20 +182,44 @@ def solve(a: Matrix, b: Matrix, kind: str = "lu") -> Matrix:
 
 
 def generalized_eigenvalues(a: Matrix, b: Matrix, selfadjoint: bool = True) -> DataFrame:
+    """(k, re, im) sorted; infinite ones (of a singular B) have re = inf and come last, undetermined ones are NaN."""
     cols = a.cols
 
     def run(x: np.ndarray) -> pd.DataFrame:
         if selfadjoint:
             w = K.generalized_selfadjoint(x[:, :cols], x[:, cols:])[0].astype(complex)
         else:
-            alpha, beta = K.generalized_eigenvalues(x[:, :cols], x[:, cols:])
-            w = alpha / np.where(beta == 0, np.nan, beta)
-            w = w[np.lexsort((w.imag, w.real))].astype(complex)
+            alpha, beta = X.generalized_eigenvalues(x[:, :cols], x[:, cols:])
+            w = np.array([p / q if q != 0 else complex(np.inf if p != 0 else np.nan, 0) for p, q in zip(alpha, beta)], complex)
+            w = w[np.lexsort((w.imag, w.real))]
         return pd.DataFrame({"k": np.arange(len(w)), "re": w.real, "im": w.imag})
 
     return on_block(a.hcat(b), run, "k long, re double, im double")
 
 
+def generalized_schur(a: Matrix, b: Matrix) -> DataFrame:
+    """(part, i, j, v) of the QZ form A = Q S Z^H, B = Q T Z^H: parts Q, S, T, Z, each _re and _im."""
+    cols = a.cols
+
+    def run(x: np.ndarray) -> pd.DataFrame:
+        named = zip("QSTZ", X.qz(x[:, :cols], x[:, cols:]))
+        return pd.concat([_coo(f(m), n + tail) for n, m in named for f, tail in ((np.real, "_re"), (np.imag, "_im"))])[["part", "i", "j", "v"]]
+
+    return on_block(a.hcat(b), run, "part string, i long, j long, v double")
+
+
+def tridiagonal_eigen(diagonal: Matrix, off: Matrix, vectors: bool = True) -> DataFrame:
+    """(part, i, j, v) of a symmetric tridiagonal matrix: S by bisection, V by inverse iteration."""
+    n = diagonal.rows
+
+    def run(x: np.ndarray) -> pd.DataFrame:
+        w = K.tridiagonal_eigenvalues(x[:, 0], x[: n - 1, 1])
+        parts = [_coo(w.reshape(-1, 1), "S")] + ([_coo(X.tridiagonal_vectors(x[:, 0], x[: n - 1, 1], w), "V")] if vectors else [])
+        return pd.concat(parts)[["part", "i", "j", "v"]]
+
+    return on_block(diagonal.hcat(Matrix(off.df, n, 1)), run, "part string, i long, j long, v double")
+
+
 # ---- tall matrices
 
 

@@ -14,8 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veldt.operators import sparse_direct
+from veldt.operators.lineage import cut
 from veldt.operators.matrix import Matrix
 
 MAX_DRIVER_VECTOR = 10_000_000
@@ -62,6 +65,21 @@ class Operator:
 
         return run
 
+    def columns(self) -> sparse_direct.Columns:
+        """The matrix as sparse columns on the driver (bounded, see sparse_direct), for preconditioners."""
+        return sparse_direct.gathered(self.m)
+
+    def close(self) -> None:
+        """Release the cached triplets."""
+        if self.m is not None:
+            self.df.unpersist()
+
+    def __enter__(self) -> Operator:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def diagonal(self) -> np.ndarray:
         got = self.df.where("i = j").toPandas()
         out = np.zeros(self.m.rows)
@@ -81,31 +99,19 @@ def jacobi(diagonal: np.ndarray) -> Apply:
     return lambda r: inverse * r
 
 
-def incomplete_lu(a: np.ndarray, drop: float = 0.0) -> Apply:
-    """Incomplete LU of a bounded dense array: entries outside the pattern, or below drop times their row's norm, aren't filled in."""
-    u = np.array(a, float)
-    keep = (a != 0) if not drop else np.ones_like(a, bool)
-    limit = drop * np.linalg.norm(a, axis=1)
-    for k in range(1, len(u)):
-        for c in np.flatnonzero(keep[k, :k] & (u[k, :k] != 0)):
-            u[k, c] /= u[c, c]
-            u[k, c + 1 :] -= np.where(keep[k, c + 1 :], u[k, c] * u[c, c + 1 :], 0)
-        if drop:
-            u[k, np.abs(u[k]) < limit[k]] = 0
-    low, up = np.tril(u, -1) + np.eye(len(u)), np.triu(u)
-    return lambda r: np.linalg.solve(up, np.linalg.solve(low, r))
-
-
-def incomplete_cholesky(a: np.ndarray) -> Apply:
-    low = np.tril(np.array(a, float))
-    for k in range(len(low)):
-        low[k, k] = np.sqrt(max(low[k, k], EPS))
-        at = k + 1 + np.flatnonzero(low[k + 1 :, k])
-        low[at, k] /= low[k, k]
-        for c in at:
-            rows = at[at >= c]
-            low[rows, c] -= np.where(low[rows, c] != 0, low[rows, k] * low[c, k], 0)
-    return lambda r: np.linalg.solve(low.T, np.linalg.solve(low, r))
+def incomplete_lu(a, drop: float = 1e-4, fill: int = 10) -> Apply:
+    """Incomplete LU with threshold of sparse columns (or a dense array)."""
+    return sparse_direct.incomplete_lut(a if isinstance(a, sparse_direct.Columns) else sparse_direct.Columns.of_dense(a), drop, fill)
+
+
+def incomplete_cholesky(a, shift: float = 1e-3) -> Apply:
+    """Incomplete Cholesky of sparse columns (or a dense array), without fill."""
+    return sparse_direct.incomplete_cholesky(a if isinstance(a, sparse_direct.Columns) else sparse_direct.Columns.of_dense(a), shift)
+
+
+def least_squares_diagonal(op: Operator) -> Apply:
+    """Diagonal preconditioner of A^T A."""
+    return jacobi(op.column_squares())
 
 
 def _start(b: np.ndarray, guess: np.ndarray | None, tolerance: float | None, limit: int | None, cols: int):
@@ -259,7 +265,11 @@ def minres(a: Apply, b: np.ndarray, guess=None, tolerance=None, max_iterations=N
 
 
 def idrs(a: Apply, b: np.ndarray, s: int = 4, preconditioner: Apply = lambda r: r, guess=None, tolerance=None, max_iterations=None, seed: int = 0) -> Solution:
-    """Induced dimension reduction: residuals in shrinking subspaces against s fixed vectors."""
+    """Induced dimension reduction: residuals in shrinking subspaces against s fixed vectors.
+
+    After van Gijzen and Sonneveld, "Algorithm 913: an elegant IDR(s) variant that efficiently
+    exploits biorthogonality properties" (2011).
+    """
     x, size, goal, limit = _start(b, guess, tolerance, max_iterations, len(b))
     if size == 0:
         return Solution(np.zeros_like(x), 0, 0.0, True)
@@ -300,14 +310,90 @@ def idrs(a: Apply, b: np.ndarray, s: int = 4, preconditioner: Apply = lambda r:
     return Solution(x, k, error, error * size <= 10 * goal)
 
 
-def idrstab(a: Apply, b: np.ndarray, s: int = 4, ell: int = 2, **how) -> Solution:
-    """Dimension reduction followed by a stabilising polynomial: IDR(s) steps refined by BiCGSTAB(L) from where they end."""
-    first = idrs(a, b, s, **how)
-    if first.converged:
-        return first
-    how.pop("seed", None)
-    second = bicgstab_l(a, b, ell, guess=first.x, **{k: x for k, x in how.items() if k != "guess"})
-    return Solution(second.x, first.iterations + second.iterations, second.error, second.converged)
+def idrstab(a: Apply, b: np.ndarray, s: int = 4, ell: int = 2, preconditioner: Apply = lambda r: r, guess=None, tolerance=None, max_iterations=None, seed: int = 0) -> Solution:
+    """IDR(s)STAB(L): dimension reduction against s fixed vectors, L steps at a time, each cycle closed by a minimal-residual polynomial of degree L.
+
+    After Sleijpen and van Gijzen, "Exploiting BiCGstab(l) strategies to induce dimension
+    reduction" (2010). Preconditioned from the right; an iteration is a product with A.
+    """
+    y, size, goal, limit = _start(b, None, tolerance, max_iterations, len(b))
+    if size == 0:
+        return Solution(y, 0, 0.0, True)
+    n = len(b)
+    s = min(s, n)
+    x0 = np.zeros(n) if guess is None else np.array(guess, float)
+    op = lambda w: a(preconditioner(w))
+    shadow = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, s)))[0]
+    r = [b - a(x0) if guess is not None else b.astype(float).copy()]
+    k = 0
+
+    def finished() -> Solution:
+        x = x0 + preconditioner(y)
+        error = float(np.linalg.norm(b - a(x))) / size
+        return Solution(x, k, error, error * size <= 10 * goal)
+
+    def krylov() -> list[np.ndarray]:
+        nonlocal k
+        basis, images, w = [], [], r[0]
+        for _ in range(s):
+            for q in basis:
+                w = w - (q @ w) * q
+            length = np.linalg.norm(w)
+            if length <= EPS * np.linalg.norm(r[0]):
+                w = np.random.default_rng(seed + k).standard_normal(n)
+                for q in basis:
+                    w = w - (q @ w) * q
+                length = np.linalg.norm(w)
+            basis.append(w / length)
+            images.append(op(basis[-1]))
+            k += 1
+            w = images[-1]
+        return [np.array(basis).T, np.array(images).T]
+
+    u = krylov()
+    while np.linalg.norm(r[0]) > goal and k < limit:
+        for j in range(1, ell + 1):
+            sigma = shadow.T @ u[j]
+            alpha = np.linalg.lstsq(sigma, shadow.T @ r[j - 1], rcond=None)[0]
+            y = y + u[0] @ alpha
+            for m in range(j):
+                r[m] = r[m] - u[m + 1] @ alpha
+            if np.linalg.norm(r[0]) <= goal:
+                return finished()
+            r.append(op(r[j - 1]))
+            k += 1
+            fresh: list[list[np.ndarray]] = [[] for _ in range(j + 2)]
+            w = list(r)  # w[m] is A^m times the next direction
+            for _ in range(s):
+                beta = np.linalg.lstsq(sigma, shadow.T @ w[j], rcond=None)[0]
+                w = [w[m] - u[m] @ beta for m in range(j + 1)]
+                for p in range(len(fresh[0])):  # directions are kept orthonormal at their highest power
+                    c = fresh[j][p] @ w[j]
+                    w = [w[m] - c * fresh[m][p] for m in range(j + 1)]
+                length = np.linalg.norm(w[j])
+                if length == 0:
+                    break
+                w = [x / length for x in w]
+                w.append(op(w[j]))
+                k += 1
+                for m in range(j + 2):
+                    fresh[m].append(w[m])
+                w = w[1:]
+            if len(fresh[0]) < s:  # a breakdown: start again from the residual
+                u = krylov()
+                break
+            u = [np.array(x).T for x in fresh]
+        else:
+            basis = np.array(r[1:]).T
+            gamma = np.linalg.lstsq(basis, r[0], rcond=None)[0]
+            y = y + np.array(r[:-1]).T @ gamma
+            u0 = u[0] - sum(g * u[m + 1] for m, g in enumerate(gamma))
+            u1 = u[1] - sum(g * u[m + 2] for m, g in enumerate(gamma))
+            u = [u0, u1]
+            r = [r[0] - basis @ gamma]
+            continue
+        r = [b - a(x0 + preconditioner(y))]
+    return finished()
 
 
 def lscg(op: Operator, b: np.ndarray, guess=None, tolerance=None, max_iterations=None, preconditioner: Apply = lambda r: r) -> Solution:
@@ -427,21 +513,29 @@ def conjugate_gradient_distributed(m: Matrix, b: Matrix, tolerance: float = 1e-8
     Each iteration is one product and two scalar aggregates; every so many iterations the
     state is checkpointed (reliable, in the cluster's folder), which keeps the plan small.
     """
-    if not m.df.sparkSession.sparkContext.getCheckpointDir():
-        raise ValueError("set a checkpoint folder first")
     diagonal = m.df.where("i = j").select("i", F.col("v").alias("d"))
     state = m.df.sparkSession.range(m.rows).select(F.col("id").alias("i")).join(b.df.select("i", F.col("v").alias("r")), "i", "left").join(diagonal, "i", "left")
     d = F.when(F.coalesce("d", F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("d"))
-    state = state.select("i", F.lit(0.0).alias("x"), F.coalesce("r", F.lit(0.0)).alias("r"), d.alias("d")).withColumn("p", F.col("r") / F.col("d")).persist()
+    state = state.select("i", F.lit(0.0).alias("x"), F.coalesce("r", F.lit(0.0)).alias("r"), d.alias("d")).withColumn("p", F.col("r") / F.col("d"))
+    state = cut(state)
     rz, rr = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d")), F.sum(F.col("r") * F.col("r"))).first()
     goal, k = tolerance * tolerance * rr, 0
+    held: list[DataFrame] = []  # cached since the last checkpoint
     while rr > goal and k < max_iterations:
         q = m.df.join(state.select(F.col("i").alias("j"), "p"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("p")).alias("q"))
-        held = state.join(q, "i", "left").withColumn("q", F.coalesce("q", F.lit(0.0))).persist()
-        step = rz / held.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
-        fresh = held.select("i", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("q")).alias("r"), "d", "p")
+        product = state.join(q, "i", "left").withColumn("q", F.coalesce("q", F.lit(0.0))).persist()
+        held.append(product)
+        step = rz / product.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        fresh = product.select("i", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("q")).alias("r"), "d", "p")
         old, (rz, rr) = rz, fresh.agg(F.sum(F.col("r") * F.col("r") / F.col("d")), F.sum(F.col("r") * F.col("r"))).first()
-        fresh = fresh.withColumn("p", F.col("r") / F.col("d") + rz / old * F.col("p"))
+        state = fresh.withColumn("p", F.col("r") / F.col("d") + rz / old * F.col("p"))
         k += 1
-        state = fresh.checkpoint() if k % every == 0 else fresh.persist()
+        if k % every == 0:
+            state = cut(state)
+            for df in held:
+                df.unpersist()
+            held = []
+    state = cut(state) if held else state
+    for df in held:
+        df.unpersist()
     return Matrix(state.select("i", F.lit(0).cast("long").alias("j"), F.col("x").alias("v")), m.cols, 1), k, float(np.sqrt(rr))
