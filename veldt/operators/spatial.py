@@ -2,33 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veldt.operators.lineage import cut
 
-def _cells(df: DataFrame, axes: list[str], radius: Column, cell: float, spread: bool) -> DataFrame:
-    for a in axes:
-        low, high = (F.floor((F.col(a) + s * radius) / cell) for s in (-1, 1))
-        df = df.withColumn(f"_c{a}", F.explode(F.sequence(low, high)) if spread else F.floor(F.col(a) / cell))
-    return df
 
+#: A ball goes to at most so many cells of a level; wider ones go to the next, coarser level.
+SPREAD = 4
 
-def overlapping_pairs(left: DataFrame, right: DataFrame, axes: list[str], cell: float, key: str = "id", radius: str = "r") -> DataFrame:
+
+def overlapping_pairs(left: DataFrame, right: DataFrame, axes: list[str], cell: float, key: str = "id", radius: str = "r", test: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(left key, right key) of balls that touch: balls go to the grid cells they cover, meet by cell, and count once.
 
-    A pair is kept only in the smallest cell that both cover, so no distinct is needed.
+    A pair is kept only in the smallest cell that both cover, so no distinct is needed. Balls
+    wider than SPREAD cells aren't spread over fine cells: both sides meet again on the level
+    of the wider one, cells of which are 4 ** level times as wide. test(a, b), on the keys, replaces
+    nothing: it is a further test of pairs whose balls touch.
     """
-    a = _cells(left.select(F.col(key).alias("a"), *[F.col(x).alias(x) for x in axes], F.col(radius).alias("ra")), axes, F.col("ra"), cell, True)
-    b = right.select(F.col(key).alias("b"), *[F.col(x).alias(f"{x}2") for x in axes], F.col(radius).alias("rb"))
-    for x in axes:
-        low, high = (F.floor((F.col(f"{x}2") + s * F.col("rb")) / cell) for s in (-1, 1))
-        b = b.withColumn(f"_c{x}", F.explode(F.sequence(low, high)))
-    joined = a.join(b, [f"_c{x}" for x in axes])
-    gap = reduce(lambda s, t: s + t, [(F.col(x) - F.col(f"{x}2")) * (F.col(x) - F.col(f"{x}2")) for x in axes])
-    first = reduce(lambda s, t: s & t, [F.col(f"_c{x}") == F.greatest(F.floor((F.col(x) - F.col("ra")) / cell), F.floor((F.col(f"{x}2") - F.col("rb")) / cell)) for x in axes])
-    return joined.where(first & (gap <= (F.col("ra") + F.col("rb")) * (F.col("ra") + F.col("rb")))).select("a", "b")
+
+    def levelled(df: DataFrame, name: str, tail: str, r: str) -> DataFrame:
+        width = F.greatest(F.col(radius) * 2 / (SPREAD * cell), F.lit(1.0))
+        return df.select(F.col(key).alias(name), *[F.col(x).alias(f"{x}{tail}") for x in axes], F.col(radius).alias(r), F.ceil(F.log(4.0, width) - 1e-9).cast("int").alias(f"level{tail}"))
+
+    a, b = levelled(left, "a", "", "ra"), levelled(right, "b", "2", "rb")
+    tops = [df.agg(F.max(c)).first()[0] for df, c in ((a, "level"), (b, "level2"))]
+    if None in tops:
+        return a.select("a").join(b.select("b").where("false"), F.lit(False)).select("a", "b")
+    out = None
+    for level in range(max(tops) + 1):
+        size = cell * 4.0**level
+        one, two = a.where(F.col("level") <= level), b.where(F.col("level2") <= level)
+        for x in axes:
+            one = one.withColumn(f"_c{x}", F.explode(F.sequence(*(F.floor((F.col(x) + s * F.col("ra")) / size) for s in (-1, 1)))))
+            two = two.withColumn(f"_c{x}", F.explode(F.sequence(*(F.floor((F.col(f"{x}2") + s * F.col("rb")) / size) for s in (-1, 1)))))
+        joined = one.join(two, [f"_c{x}" for x in axes]).where(F.greatest("level", "level2") == level)
+        gap = reduce(lambda s, t: s + t, [(F.col(x) - F.col(f"{x}2")) * (F.col(x) - F.col(f"{x}2")) for x in axes])
+        first = reduce(lambda s, t: s & t, [F.col(f"_c{x}") == F.greatest(F.floor((F.col(x) - F.col("ra")) / size), F.floor((F.col(f"{x}2") - F.col("rb")) / size)) for x in axes])
+        found = joined.where(first & (gap <= (F.col("ra") + F.col("rb")) * (F.col("ra") + F.col("rb")))).select("a", "b")
+        out = found if out is None else out.unionByName(found)
+    return out if test is None else out.where(test(F.col("a"), F.col("b")))
 
 
 def within(df: DataFrame, axes: list[str], point: list[float], reach: float, radius: Column | None = None) -> DataFrame:
@@ -39,30 +55,60 @@ def within(df: DataFrame, axes: list[str], point: list[float], reach: float, rad
     return df.where(near & (gap <= (reach + r) * (reach + r)))
 
 
-def nearest(queries: DataFrame, points: DataFrame, axes: list[str], cell: float, key: str = "id") -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, axes: list[str], cell: float, key: str = "id", value: Callable[[Column], Column] | None = None) -> DataFrame:
     """(a, b, distance): the nearest point of each query, ties to the smallest key.
 
     Queries look into the 3**d cells around theirs; what is found there within one cell's
-    width is surely the nearest. Queries without such a find go to a second join on cells
-    twice as wide, and so on, so only far outliers meet many points.
+    width is surely the nearest. Queries without such a find go on with cells four times as
+    wide. There a cell stands for its points by their count and box only: a query first finds
+    the least distance that some box guarantees, and then meets the points of just those cells
+    whose boxes come nearer. value(distance), increasing, is minimised instead where given.
     """
-    out = None
     left = queries.select(F.col(key).alias("a"), *axes)
     rows = points.select(F.col(key).alias("b"), *[F.col(x).alias(f"{x}2") for x in axes])
-    for _ in range(40):
-        probe = left
-        for x in axes:
-            at = F.floor(F.col(x) / cell)
-            probe = probe.withColumn(f"_c{x}", F.explode(F.sequence(at - 1, at + 1)))
-        held = rows
-        for x in axes:
-            held = held.withColumn(f"_c{x}", F.floor(F.col(f"{x}2") / cell))
-        gap = F.sqrt(reduce(lambda s, t: s + t, [(F.col(x) - F.col(f"{x}2")) * (F.col(x) - F.col(f"{x}2")) for x in axes]))
-        found = probe.join(held, [f"_c{x}" for x in axes]).groupBy("a").agg(F.min(F.struct(gap.alias("distance"), "b")).alias("m"))
-        sure = found.where(F.col("m.distance") <= cell).select("a", F.col("m.b").alias("b"), F.col("m.distance").alias("distance")).persist()
-        out = sure if out is None else out.unionByName(sure)
-        left = left.join(sure.select("a"), "a", "left_anti").persist()
-        if left.isEmpty() or rows.isEmpty():
-            break
-        cell *= 4
-    return out
+    square = lambda parts: reduce(lambda s, t: s + t, [p * p for p in parts])
+    gap = F.sqrt(square([F.col(x) - F.col(f"{x}2") for x in axes]))
+    cells = rows
+    for x in axes:
+        cells = cells.withColumn(f"_c{x}", F.floor(F.col(f"{x}2") / cell))
+    names = [f"_c{x}" for x in axes]
+    probe = left
+    for x in axes:
+        at = F.floor(F.col(x) / cell)
+        probe = probe.withColumn(f"_c{x}", F.explode(F.sequence(at - 1, at + 1)))
+    best = F.min(F.struct(gap.alias("distance"), "b")).alias("m")
+    found = probe.join(cells, names).groupBy("a").agg(best)
+    out = cut(found.where(F.col("m.distance") <= cell).select("a", F.col("m.b").alias("b"), F.col("m.distance").alias("distance")))
+    left = cut(left.join(out.select("a"), "a", "left_anti"))
+    if not left.isEmpty():
+        # each cell's box; wide cells group the boxes
+        boxes = cut(cells.groupBy(*names).agg(*[f(f"{x}2").alias(f"{x}_{n}") for x in axes for n, f in (("low", F.min), ("high", F.max))]))
+        wide, most_widenings = cell, 0 if boxes.isEmpty() else 60
+        for _ in range(most_widenings):
+            wide *= 4
+            near = left
+            for x in axes:
+                at = F.floor(F.col(x) / wide)
+                near = near.withColumn(f"_w{x}", F.explode(F.sequence(at - 1, at + 1)))
+            grouped = boxes
+            for x in axes:
+                grouped = grouped.withColumn(f"_w{x}", F.floor((F.col(f"_c{x}") + 0.5) * cell / wide))
+            pairs = near.join(grouped, [f"_w{x}" for x in axes])
+            least = F.sqrt(square([F.greatest(F.col(f"{x}_low") - F.col(x), F.col(x) - F.col(f"{x}_high"), F.lit(0.0)) for x in axes]))
+            most = F.sqrt(square([F.greatest(F.col(x) - F.col(f"{x}_low"), F.col(f"{x}_high") - F.col(x)) for x in axes]))
+            pairs = cut(pairs.select("a", *axes, *names, least.alias("least"), most.alias("most")))
+            # a point within `wide` of the query lies in one of its 3**d wide cells
+            ready = pairs.groupBy("a").agg(F.min("most").alias("reach")).where(F.col("reach") <= wide * (1 - 1e-9))
+            todo = pairs.join(ready, "a").where(F.col("least") <= F.col("reach")).select("a", *axes, *names)
+            found = todo.join(cells, names).groupBy("a").agg(best)
+            sure = cut(found.select("a", F.col("m.b").alias("b"), F.col("m.distance").alias("distance")))
+            out = out.unionByName(sure)
+            left = cut(left.join(sure.select("a"), "a", "left_anti"))
+            if left.isEmpty():
+                break
+    return out if value is None else out.withColumn("distance", value(F.col("distance")))
+
+
+def closest_pair(left: DataFrame, right: DataFrame, axes: list[str], cell: float, key: str = "id") -> DataFrame:
+    """(a, b, distance): the least distance between two sets, by each left point's nearest."""
+    return nearest(left, right, axes, cell, key).agg(F.min(F.struct("distance", "a", "b")).alias("m")).select("m.a", "m.b", "m.distance")
