@@ -6,8 +6,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from veldt.functions import special
+from veldt.operators import factorizations as X
 from veldt.operators import fit, solvers
 from veldt.operators import kernels as K
+from veldt.operators import sparse_direct as D
+from veldt.operators.index import last, resolve, seq, seq_n
 
 RNG = np.random.default_rng(42)
 
@@ -35,13 +38,146 @@ def test_factorisations(n):
     assert np.allclose(q @ t @ q.conj().T, a) and np.allclose(np.tril(t, -1), 0)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 20, 40])
+def test_schur_forms(n):
+    a, b = random(n), random(n)
+    u, t = X.real_schur(a)
+    assert np.allclose(u @ t @ u.T, a) and np.allclose(u.T @ u, np.eye(n))
+    blocks = np.flatnonzero(np.diag(t, -1))
+    assert (np.diff(blocks) > 1).all() and all(np.abs(np.linalg.eigvals(t[k : k + 2, k : k + 2]).imag).max() > 0 for k in blocks)
+    singular = b.copy()
+    singular[:, 0] = singular[:, -1]
+    for other in (b, singular, np.zeros((n, n))):
+        q, s, t, z = X.qz(a, other)
+        assert np.allclose(q @ s @ z.conj().T, a) and np.allclose(q @ t @ z.conj().T, other)
+        assert np.allclose(np.tril(s, -1), 0) and np.allclose(np.tril(t, -1), 0) and np.allclose(q.conj().T @ q, np.eye(n)) and np.allclose(z.conj().T @ z, np.eye(n))
+    alpha, beta = X.generalized_eigenvalues(a, np.eye(n))
+    assert np.allclose(np.sort_complex(np.round(alpha / beta, 7)), np.sort_complex(np.round(np.linalg.eigvals(a).astype(complex), 7)))
+    alpha, beta = X.generalized_eigenvalues(np.eye(n), np.diag(np.arange(n) * 1.0))
+    assert (beta == 0).sum() == 1 and (alpha != 0).all()
+    w, v = X.eigenvectors(a)
+    assert np.allclose(a @ v, v * w)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 25])
+def test_indefinite_and_orthogonal(n):
+    a = random(n)
+    s = a + a.T
+    p, low, d, e = X.bunch_kaufman(s)
+    assert np.allclose(low @ (np.diag(d) + (np.diag(e, 1) + np.diag(e, -1) if n > 1 else 0)) @ low.T, s[p][:, p]) and np.abs(low).max() < 3
+    b = random(n, 2)
+    assert np.allclose(s @ X.bunch_kaufman_solve(s, b), b)
+    assert X.bunch_kaufman(np.array([[0.0, 1], [1, 0]]))[3].tolist() == [1] and X.inertia(s) == ((np.linalg.eigvalsh(s) > 0).sum(), (np.linalg.eigvalsh(s) < 0).sum(), 0)
+    for m in (n, max(1, n - 1), n + 2):
+        c = random(n, m)
+        for q, r, cols, rank in (X.qr_randomized(c, block=4), (lambda t: (t[0], t[1], t[3], t[4]))(X.qr_fullpiv(c))):
+            assert np.allclose(q @ r, c[:, cols]) and rank == min(n, m) and np.allclose(q.T @ q, np.eye(n))
+        thin = random(n, 2) @ random(2, m)
+        q, t, z, cols, rank = X.complete_orthogonal(thin)
+        core = np.zeros((n, m))
+        core[:rank, :rank] = t
+        assert rank == min(2, n, m) and np.allclose(q @ core @ z, thin[:, cols]) and np.allclose(np.tril(t, -1), 0)
+        assert np.allclose(X.min_norm(thin, b), np.linalg.lstsq(thin, b, rcond=1e-10)[0])
+        if n >= m:
+            u, core, v = X.bidiagonal(c)
+            assert np.allclose(u @ core @ v.T, c) and np.allclose(np.tril(core, -1), 0) and np.allclose(np.triu(core, 2), 0)
+    t = np.tril(a) + 3 * np.eye(n)
+    assert np.allclose(t @ X.forward_substitute(t, b), b) and np.allclose(t.T @ X.back_substitute(t.T, b), b)
+    dia, off = RNG.standard_normal(n), RNG.standard_normal(n - 1)
+    w = K.tridiagonal_eigenvalues(dia, off)
+    v = X.tridiagonal_vectors(dia, off, w)
+    assert np.allclose((np.diag(dia) + (np.diag(off, 1) + np.diag(off, -1) if n > 1 else 0)) @ v, v * w, atol=1e-7) and np.allclose(v.T @ v, np.eye(n), atol=1e-7)
+
+
+def test_rotations():
+    for x, y in ((3.0, 4.0), (-1.0, 0.0), (0.0, 2.0)):
+        c, s, r = X.givens(x, y)
+        m = np.array([[x], [y]])
+        X.apply_left(m, 0, 1, c, s)
+        assert np.allclose(m.ravel(), [r, 0])
+    c, s = X.jacobi_rotation(2.0, 0.7, -1.0)
+    j = np.array([[c, s], [-s, c]])
+    assert abs((j.T @ [[2.0, 0.7], [0.7, -1.0]] @ j)[0, 1]) < 1e-12
+    seq_, r, _ = X.qr_sequence(random(6, 4))
+    assert np.allclose(seq_.matrix() @ seq_.matrix().T, np.eye(6)) and np.allclose(seq_.apply(seq_.apply(r, True)), r)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 20, 60])
+def test_sparse_direct(n):
+    a = np.where(RNG.random((n, n)) < 0.2, random(n), 0) + np.diag(RNG.uniform(1, 2, n)) * 3
+    s, b = a + a.T + n * np.eye(n), random(n, 2)
+    c = D.Columns.of_dense(s)
+    assert np.allclose(c.dense(), s) and np.allclose(c.product(b), s @ b) and np.allclose(c.transpose().dense(), s.T)
+    f = D.symmetric_factor(c, positive=True)
+    low = np.eye(n)
+    for k, (i, v) in enumerate(f.lower):
+        low[i, k] = v
+    assert np.allclose(low @ np.diag(f.pivots) @ low.T, s[f.order][:, f.order]) and np.allclose(s @ f.solve(b), b) and sorted(f.order) == list(range(n))
+    assert f.log_determinant() == pytest.approx(np.linalg.slogdet(s))
+    i, j, v = f.inverse_entries()
+    assert np.allclose(np.linalg.inv(s)[i, j], v) and set(zip(*np.nonzero(s))) <= set(zip(i.tolist(), j.tolist()))
+    with pytest.raises(ArithmeticError):
+        D.symmetric_factor(D.Columns.of_dense(-s), positive=True)
+    lu = D.lu_factor(D.Columns.of_dense(a))
+    low, up = np.eye(n), np.diag(lu.pivots)
+    for k in range(n):
+        low[lu.lower[k][0], k], up[lu.upper[k][0], k] = lu.lower[k][1], lu.upper[k][1]
+    assert np.allclose(low @ up, a[lu.rows][:, lu.columns]) and np.allclose(a @ lu.solve(b), b) and np.allclose(np.tril(up, -1), 0) and np.allclose(np.triu(low, 1), 0)
+    with pytest.raises(ArithmeticError):
+        D.lu_factor(D.Columns.of([], [], [], n, n))
+    tall = np.where(RNG.random((n + 7, n)) < 0.3, random(n + 7, n), 0) + np.eye(n + 7, n)
+    rhs = random(n + 7, 2)
+    q = D.qr_factor(D.Columns.of_dense(tall), rhs)
+    assert q.rank == n and np.allclose(q.solve(), np.linalg.lstsq(tall, rhs, rcond=None)[0])
+    if n > 4:
+        tall[:, 1] = tall[:, 0] + tall[:, 2]
+        q = D.qr_factor(D.Columns.of_dense(tall), rhs)
+        assert q.rank == n - 1 and np.linalg.norm(tall @ q.solve() - rhs) == pytest.approx(np.linalg.norm(tall @ np.linalg.lstsq(tall, rhs, rcond=None)[0] - rhs))
+    for mode in ("lower", "upper", "unit_lower", "unit_upper"):
+        t = np.tril(a) if mode.endswith("lower") else np.triu(a)
+        if mode.startswith("unit"):
+            np.fill_diagonal(t, 1)
+        assert np.allclose(t @ D.triangular_solve(D.Columns.of_dense(a), b, mode), b)
+    natural = D.symmetric_factor(c, np.arange(n))
+    assert D.elimination_tree(c).tolist() == [int(i[0]) if len(i) else -1 for i, _ in natural.lower]
+    squared = D.Columns.of_dense(np.abs(a).T @ np.abs(a) + n * np.eye(n))
+    assert D.elimination_tree(D.Columns.of_dense(a), True).tolist() == D.elimination_tree(squared).tolist()
+    assert sorted(D.postorder(D.elimination_tree(c)).tolist()) == list(range(n)) == sorted(D.colamd(c).tolist())
+
+
+def test_orderings_and_incomplete_factors_on_a_grid():
+    m = 24
+    n = m * m
+    x, y = np.divmod(np.arange(n), m)
+    i, j, v = [np.arange(n)], [np.arange(n)], [np.full(n, 4.0)]
+    for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)):
+        ok = (0 <= x + dx) & (x + dx < m) & (0 <= y + dy) & (y + dy < m)
+        i, j, v = [*i, np.arange(n)[ok]], [*j, ((x + dx) * m + y + dy)[ok]], [*v, np.full(ok.sum(), -1.0)]
+    a, b = D.Columns.of(np.concatenate(i), np.concatenate(j), np.concatenate(v), n, n), RNG.standard_normal(n)
+    fill = lambda order: sum(len(r) for r, _ in D.symmetric_factor(a, order).lower)
+    assert fill(D.amd(a)) < 0.65 * fill(np.arange(n))
+    plain = solvers.conjugate_gradient(a.product, b, tolerance=1e-10).iterations
+    helped = solvers.conjugate_gradient(a.product, b, D.incomplete_cholesky(a), tolerance=1e-10)
+    assert helped.converged and helped.iterations < 0.75 * plain
+    plain = solvers.bicgstab(a.product, b, tolerance=1e-10).iterations
+    helped = solvers.bicgstab(a.product, b, D.incomplete_lut(a, 1e-3, 5), tolerance=1e-10)
+    assert helped.converged and helped.iterations < 0.4 * plain
+
+
+def test_index_expressions():
+    assert resolve(seq(1, last - 1, 3), 10) == [1, 4, 7] and resolve([last, 0, last // 2], 10) == [9, 0, 4] and resolve(last, 3) == [2]
+    assert resolve(seq(last, 0, -4), 10) == [9, 5, 1] and resolve(seq_n(2, 3, 2).reverse(), 9) == [6, 4, 2] and resolve(seq_n(last - 2, 3), 5) == [2, 3, 4] and resolve(2 * last - 9, 6) == [1]
+    with pytest.raises(IndexError):
+        resolve([last + 1], 4)
+
+
 def test_rank_kernel_image():
     a = random(6, 2) @ random(2, 5)
     assert K.lu_full(a)[3] == 2 == K.qr_colpiv(a)[3]
     assert K.kernel(a).shape == (5, 3) and np.allclose(a @ K.kernel(a), 0)
     assert np.linalg.matrix_rank(K.image(a)) == 2
     assert (K.kernel(np.eye(3)) == np.zeros((3, 1))).all()
-    assert K.inertia(np.diag([3.0, -1, 0, 2])) == (2, 1, 1)
+    assert X.inertia(np.diag([3.0, -1, 0, 2])) == (2, 1, 1)
 
 
 def test_eigenvalues():
@@ -60,7 +196,11 @@ def test_matrix_functions():
     assert np.allclose(K.sqrtm(spd) @ K.sqrtm(spd), spd)
     assert np.allclose(K.powm(spd, 2.5), K.sqrtm(spd) @ spd @ spd)
     s, c = K.matrix_function(a, np.sin), K.matrix_function(a, np.cos)
-    assert np.allclose(s @ s + c @ c, np.eye(6), atol=1e-5)
+    assert np.allclose(s @ s + c @ c, np.eye(6), atol=1e-12) and np.allclose(s, K.sinm(a)) and np.allclose(c, K.cosm(a))
+    jordan = np.diag([2.0] * 4) + np.diag([1.0] * 3, 1)  # one eigenvalue, no eigenbasis
+    pairs = np.kron(np.eye(3), a)  # every eigenvalue three times
+    for m in (jordan, pairs, random(25)):
+        assert np.allclose(K.matrix_function(m, np.exp), K.expm(m), rtol=1e-9, atol=1e-9 * np.abs(K.expm(m)).max())
 
 
 def test_structured():
@@ -125,6 +265,13 @@ def test_special(name, args, want):
 def test_special_domain():
     f = lambda n, *a: special.NUMPY[n](*(np.array([x]) for x in a))[0]
     assert f("ndtri", 0.0) == -np.inf and f("ndtri", 1.0) == np.inf and np.isnan(f("ndtri", 2.0))
+    assert f("erf", np.inf) == 1 and f("erfc", 27.0) > 0 == f("erfc", 40.0) and np.isnan(f("erf", np.nan)) and f("erfc", -np.inf) == 2 and np.isnan(f("ndtri", np.nan))
+    assert f("lgamma", -0.5) == pytest.approx(math.lgamma(-0.5)) and f("lgamma", 1e300) == pytest.approx(math.lgamma(1e300)) and f("lgamma", -2.0) == np.inf == f("lgamma", -np.inf)
+    assert f("igamma", 1e4, 1e4) == pytest.approx(0.50132980833, abs=1e-9) and f("igammac", 2.0, np.inf) == 0 and f("igamma", 2.0, 0.0) == 0 and np.isnan(f("igamma", -1.0, 1.0))
+    assert f("bessel_i0e", 1e6) == pytest.approx(1 / math.sqrt(2e6 * math.pi), rel=1e-6) and f("bessel_i1e", -1e6) == pytest.approx(-1 / math.sqrt(2e6 * math.pi), rel=1e-6) and f("bessel_i0", 1e4) == np.inf and np.isnan(f("bessel_j0", np.nan)) and f("bessel_j0", np.inf) == 0
+    tiny = 10.0 ** -np.arange(1, 300, 7)
+    z = special.NUMPY["ndtri"](tiny)
+    assert (np.diff(z) < 0).all() and z[0] == pytest.approx(-1.2815515655446004)
     assert np.isnan(f("digamma", -1.0)) and f("bessel_k0", 0.0) == np.inf and np.isnan(f("bessel_y0", -1.0)) and f("zeta", 1.0, 2.0) == np.inf
 
 
@@ -138,13 +285,23 @@ def test_krylov(n):
         assert np.allclose(got.x, x, atol=1e-6), f.__name__
         zero = f(lambda y, m=m: m @ y, np.zeros(n))
         assert zero.iterations == 0 and not zero.x.any()
-    for pre in (solvers.incomplete_lu(spd), solvers.incomplete_cholesky(spd)):
+    for pre in (solvers.incomplete_lu(spd, 1e-14, 1000), solvers.incomplete_cholesky(spd)):
         got = solvers.conjugate_gradient(lambda y: spd @ y, spd @ x, pre, tolerance=1e-12)
         assert np.allclose(got.x, x, atol=1e-6) and got.iterations <= 3
     w, _ = solvers.lanczos(lambda y: spd @ y, n, 1)
     assert np.isclose(w[-1], np.linalg.eigvalsh(spd)[-1])
 
 
+def test_idrstab_needs_no_more_products_than_gmres_by_much():
+    n = 200
+    a = random(n) + 4 * n**0.5 * np.eye(n)
+    x = RNG.standard_normal(n)
+    for s in (1, 2, 4, 8):
+        for ell in (1, 2, 4):
+            got = solvers.idrstab(lambda y: a @ y, a @ x, s, ell, tolerance=1e-11)
+            assert got.converged and np.allclose(got.x, x, atol=1e-7) and got.iterations < 60
+
+
 def test_hybrid_root():
     f = lambda x: np.array([x[0] ** 2 + x[1] ** 2 - 4, x[0] - x[1]])
     assert np.allclose(np.abs(fit.hybrid_root(f, [1.0, 0.5])), math.sqrt(2))

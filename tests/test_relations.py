@@ -5,10 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from veldt.functions import geometry as G
-from veldt.operators import dense, fit, solvers
+from veldt.operators import dense, fit, solvers, sparse_direct, spatial
+from veldt.operators.blocks import BlockMatrix
 from veldt.operators.matrix import Matrix
 from veldt.operators.tensor import Tensor
 from veldt.plans import catalog
+from veldt.plans.more_queries import Corner, Spread
 from veldt.sources import market
 from veldt.streaming import incremental
 
@@ -111,6 +113,7 @@ def test_dense_blocks(spark):
     x = RNG.standard_normal((6, 6))
     a = matrix(spark, x)
     assert np.allclose(to_numpy(dense.matrix_function(a, "inverse")), np.linalg.inv(x))
+    assert np.allclose(to_numpy(dense.solve(matrix(spark, x + x.T), matrix(spark, (x + x.T) @ x[:, :2]), "bunch_kaufman")), x[:, :2]) and np.allclose(to_numpy(dense.solve(a, matrix(spark, x @ x[:, :1]), "cod")), x[:, :1])
     assert dense.scalar(a, "determinant").first()[0] == pytest.approx(np.linalg.det(x))
     b = RNG.standard_normal((6, 2))
     for kind, m in (("lu", x), ("qr", x), ("lower", np.tril(x)), ("unit_upper", np.triu(x, 1) + np.eye(6)), ("ldlt", x @ x.T + np.eye(6))):
@@ -139,8 +142,7 @@ def test_distributed_solvers(spark):
 def test_power_iteration(spark, sf):
     a = np.stack(spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()["embedding"]).astype(float)
     a = a.T @ a + np.eye(64)
-    (row,) = catalog.QUERIES["power_iteration"](spark, sf).collect()
-    assert row["v"] == pytest.approx(np.linalg.eigvalsh(a)[-1], abs=6e-4)
+    assert solvers.power_iteration(lambda x: a @ x, 64)[0] == pytest.approx(np.linalg.eigvalsh(a)[-1])
     with pytest.raises(ArithmeticError):
         solvers.power_iteration(lambda x: a @ x, 64, 15)
     assert solvers.power_iteration(lambda x: 0 * x, 64)[0] == 0
@@ -148,27 +150,27 @@ def test_power_iteration(spark, sf):
 
 def test_whole_table_queries(spark, sf):
     a = np.stack(spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").toPandas()["embedding"]).astype(float)
-    (row,) = catalog.QUERIES["argmin_all_whole"](spark, sf).collect()
+    (row,) = catalog.QUERIES["argmin_all"](spark, sf).collect()
     assert (row["i"], row["j"]) == np.unravel_index(a.argmin(), a.shape)
-    (row,) = catalog.QUERIES["full_reductions_whole"](spark, sf).collect()
+    (row,) = catalog.QUERIES["full_reductions"](spark, sf).collect()
     assert (row["min"], row["max"], row["nonzeros"]) == (round(a.min(), 6), round(a.max(), 6), a.size)
-    assert catalog.QUERIES["sorted_vector_whole"](spark, sf).count() == a.size
+    assert catalog.QUERIES["sorted_vector"](spark, sf).count() == a.size
     customers = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().count()
-    assert catalog.QUERIES["degree_ordering_whole"](spark, sf).count() == customers > 0
+    assert catalog.QUERIES["degree_ordering"](spark, sf).count() == customers > 0
 
 
 def test_whole_tensor_queries(spark, sf):
     a = np.stack(spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").toPandas()["embedding"]).astype(float)
-    (row,) = catalog.QUERIES["tensor_argmax_flat_whole"](spark, sf).collect()
+    (row,) = catalog.QUERIES["tensor_argmax_flat"](spark, sf).collect()
     assert row["v"] == a.argmax()
-    assert catalog.QUERIES["tensor_cumsum_whole"](spark, sf).count() == a.size
-    assert catalog.QUERIES["cumprod_whole"](spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").count()
+    assert catalog.QUERIES["tensor_cumsum"](spark, sf).count() == a.size
+    assert catalog.QUERIES["cumprod_series"](spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").count()
 
 
 def test_whole_sparse_operands(spark, sf):
     """Every cell of the lines is in both operands."""
     cells = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().count()
-    assert catalog.QUERIES["sparse_hadamard_whole"](spark, sf).count() == cells > 0
+    assert catalog.QUERIES["sparse_hadamard"](spark, sf).count() == cells > 0
 
 
 def test_fits(spark):
@@ -192,3 +194,129 @@ def test_streaming(spark, tmp_path):
     q = stream.writeStream.foreachBatch(incremental.merge_into(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r["i"], r["v"]) for r in incremental.merged(spark, str(tmp_path / "out")).collect()} == {(0, 3.0), (1, 3.0)}
+
+
+def sparse(spark, a):
+    i, j = np.nonzero(a)
+    return Matrix(spark.createDataFrame([(int(p), int(q), float(a[p, q])) for p, q in zip(i, j)], "i long, j long, v double"), *a.shape)
+
+
+def test_extremes_with_structural_zeros(spark):
+    for a in (np.array([[-2.0, 0], [0, -3]]), np.array([[-2.0, -1], [-4, -3]]), np.array([[0.0, 0, 5], [0, -1, 0], [-2, -2, -2], [1, 2, 3]]), np.array([[0.0, -1, 0, -7]])):
+        m = sparse(spark, a)
+        for largest in (True, False):
+            best = (a if largest else -a).T.ravel().argmax()  # column order
+            row = m.arg_extreme(largest).first()
+            assert (row["i"], row["j"], row["v"]) == (best % a.shape[0], best // a.shape[0], a.T.ravel()[best])
+            by_row = (a if largest else -a).argmax(1)
+            assert {r["i"]: (r["j"], r["v"]) for r in m.arg_extreme(largest, "i", "row").collect()} == {k: (by_row[k], a[k, by_row[k]]) for k in range(len(a)) if a[k].any()}
+            by_col = (a if largest else -a).argmax(0)
+            assert {r["j"]: (r["i"], r["v"]) for r in m.arg_extreme(largest, "j").collect()} == {k: (by_col[k], a[by_col[k], k]) for k in range(a.shape[1]) if a[:, k].any()}
+        got = {r["i"]: (r["max"], r["min"], r["mean"], r["prod"]) for r in m.rowwise("max", "min", "mean", "prod").collect()}
+        assert got == {k: (r.max(), r.min(), r.mean(), r.prod()) for k, r in enumerate(a) if r.any()}
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 1 << 20])
+def test_scans_of_sparse_lines(spark, block):
+    line = np.array([2.0, 0, 3, 0, 0, 4, 1])
+    table_ = np.array([[1.0, 2, 3, 0], [0, 5, 6, 7], [0, 0, 0, 0], [2, 0, 0, 3]])
+    for a, axis in ((line, 0), (table_, 0), (table_, 1)):
+        i = np.argwhere(a)
+        t = Tensor(spark.createDataFrame([(*map(int, k), float(a[tuple(k)])) for k in i], ", ".join(f"d{k} long" for k in range(a.ndim)) + ", v double"), a.shape)
+        shift = lambda x, first: np.concatenate([np.full_like(np.take(x, [0], axis), first), np.delete(x, -1, axis)], axis)
+        assert np.allclose(tensor_numpy(t.cumsum(axis, block=block)), a.cumsum(axis))
+        assert np.allclose(tensor_numpy(t.cumsum(axis, exclusive=True, block=block)), shift(a.cumsum(axis), 0))
+        assert np.allclose(tensor_numpy(t.cumprod(axis, block=block)), a.cumprod(axis))
+        assert np.allclose(tensor_numpy(t.cumprod(axis, exclusive=True, block=block)), shift(a.cumprod(axis), 1))
+    t = Tensor(spark.createDataFrame([(int(k), float(line[k])) for k in np.flatnonzero(line)], "d0 long, v double"), (1 << 40,))
+    assert [r["v"] for r in t.cumsum(0, stored=True, block=block).df.orderBy("d0").collect()] == [2, 5, 9, 10]
+    assert [r["v"] for r in t.cumsum(0, exclusive=True, stored=True, block=block).df.orderBy("d0").collect()] == [0, 2, 5, 9]
+    assert [r["v"] for r in t.cumprod(0, stored=True, block=block).df.orderBy("d0").collect()] == [2, 6, 24, 24]
+    with pytest.raises(ValueError):
+        t.cumsum(0)
+
+
+def test_a_long_line_is_scanned_in_many_tasks(spark):
+    n = 1 << 21
+    t = Tensor(spark.range(n).select(F.col("id").alias("d0"), F.lit(1.0).alias("v")), (n,))
+    run = t.cumsum(0, stored=True, block=1 << 16)
+    assert run.df.where("v != d0 + 1").isEmpty()
+    assert "_b" in run.df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_four_step_fft(spark):
+    x = RNG.standard_normal((3, 60))
+    t = tensor(spark, x)
+    want = np.fft.fft(x, axis=1)
+    for line in (60, 12, 10):
+        assert np.allclose(tensor_numpy(t.fft([1], part="real", line=line)), want.real) and np.allclose(tensor_numpy(t.fft([1], part="imag", line=line)), want.imag)
+        assert np.allclose(tensor_numpy(t.fft([1], inverse=True, part="imag", line=line, scaled=False)), np.fft.ifft(x, axis=1).imag * 60)
+    half = t.fft([1], part="real", half=True)
+    assert half.dims == (3, 31) and np.allclose(tensor_numpy(half), want.real[:, :31])
+    with pytest.raises(ValueError):
+        tensor(spark, RNG.standard_normal(61)).fft([0], line=10)
+
+
+def test_sparse_direct_on_dataframes(spark):
+    a = np.where(RNG.random((15, 15)) < 0.2, RNG.standard_normal((15, 15)), 0) + np.diag(np.full(15, 5.0))
+    x = RNG.standard_normal((15, 2))
+    s = a + a.T
+    for kind, m in (("llt", s), ("ldlt", s), ("lu", a), ("qr", a), ("lower", np.tril(a)), ("unit_upper", np.triu(a, 1) + np.eye(15))):
+        got = sparse_direct.solve(sparse(spark, m), matrix(spark, m @ x), kind)
+        assert np.allclose(to_numpy(got), x), kind
+    for lower in (True, False):
+        t = np.tril(a) if lower else np.triu(a)
+        got, levels = sparse_direct.level_solve(sparse(spark, t), matrix(spark, t @ x[:, :1]), lower)
+        assert np.allclose(to_numpy(got), x[:, :1]) and 1 <= levels <= 15
+    with pytest.raises(ArithmeticError):
+        sparse_direct.level_solve(sparse(spark, np.tril(a) - np.diag([5.0, *[0] * 14]) - np.diag([a[0, 0] - 5, *[0] * 14])), matrix(spark, x[:, :1]))
+
+
+def test_block_sparse(spark):
+    a, b = (np.where(RNG.random((10, 10)) < 0.3, RNG.standard_normal((10, 10)), 0) for _ in range(2))
+    p, q = BlockMatrix.of(sparse(spark, a), 4), BlockMatrix.of(sparse(spark, b), 4)
+    for got, want in ((p @ q, a @ b), (p + q, a + b), (p - q, a - b), (p.conjunction(q), a * b), (p.transpose(), a.T), (p.triangular("strictly_upper"), np.triu(a, 1)), (p.selfadjoint("lower"), np.tril(a) + np.tril(a, -1).T), (p.map(lambda x: x * 3), 3 * a)):
+        assert np.allclose(to_numpy(got.matrix()), want)
+    assert np.allclose(to_numpy(p.diagonal())[:, 0], np.diag(a)) and np.allclose(to_numpy(p.times(matrix(spark, b))), a @ b)
+
+
+def test_reducers_and_visitors(spark):
+    a = np.where(RNG.random((6, 5)) < 0.5, RNG.standard_normal((6, 5)), 0)
+    m = sparse(spark, a)
+    assert {r["i"]: round(r["v"], 9) for r in m.reduce_with(Spread(), "i").collect()} == {k: round(float(r.var()), 9) for k, r in enumerate(a) if r.any()}
+    assert m.reduce_with(Spread()).first()["v"] == pytest.approx(a.var())
+    assert m.visit(Corner()).first()["state"][0] == pytest.approx((a * (np.arange(5) + 1)).sum())
+    assert Matrix.zero(spark, 3, 3).visit(Corner()).first()["state"] == [0, -1, -1]
+    assert sorted((i, j) for i, j, _ in m.entries()) == sorted(zip(*map(lambda x: x.tolist(), np.nonzero(a))))
+    assert m.sorted_inner().transform(lambda df: Matrix(df, 6, 5).inner_indices_sorted()).first()[0]
+
+
+def test_market_problems(spark, tmp_path):
+    for name in ("p_SPD.mtx", "p_b.mtx", "p_x.mtx", "q.mtx", "note.txt"):
+        (tmp_path / name).write_text("%%MatrixMarket matrix coordinate real general\n1 1 1\n1 1 2\n")
+    found = market.load_problems(spark, str(tmp_path))
+    assert [(n, b is not None, x is not None) for n, _, b, x in found] == [("p_SPD", True, True), ("q", False, False)]
+
+
+def test_nearest_far_out(spark):
+    """Queries far from all points, and from each other, meet few of them."""
+    points = spark.createDataFrame([(k, float(k % 40), float(k // 40)) for k in range(800)], "id long, x double, y double")
+    queries = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate([(0.2, 0.1), (1e4, -3e3), (-5e5, 7.0), (20.4, 10.3), (39.0, 1e6)])], "id long, x double, y double")
+    q, p = queries.toPandas(), points.toPandas()
+    want = {}
+    for r in q.itertuples():
+        dist = np.hypot(p.x - r.x, p.y - r.y)
+        want[r.id] = (int(p.id[dist.argmin()]), pytest.approx(dist.min()))
+    assert {r["a"]: (r["b"], r["distance"]) for r in spatial.nearest(queries, points, ["x", "y"], 1.0).collect()} == want
+    assert spatial.nearest(queries, points.where("false"), ["x", "y"], 1.0).count() == 0
+
+
+def test_wide_balls(spark):
+    r = np.where(RNG.random(60) < 0.2, 30.0, 0.5)
+    xy = RNG.uniform(-50, 50, (60, 2))
+    df = spark.createDataFrame([(k, *map(float, xy[k]), float(r[k])) for k in range(60)], "id long, x double, y double, r double")
+    want = {(a, b) for a in range(60) for b in range(60) if np.hypot(*(xy[a] - xy[b])) <= r[a] + r[b]}
+    got = [(x["a"], x["b"]) for x in spatial.overlapping_pairs(df, df, ["x", "y"], 0.7).collect()]
+    assert set(got) == want and len(got) == len(want)
+    some = spatial.overlapping_pairs(df, df, ["x", "y"], 0.7, test=lambda a, b: a < b).count()
+    assert some == sum(a < b for a, b in want)

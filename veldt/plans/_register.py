@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veldt.operators.lineage import checkpoint_folder
 from veldt.operators.matrix import Matrix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +34,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary one only for a local master."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}/{name}"
+
+
 def r6(c):
     """Six places, and no negative zero."""
     return F.round(c, 6) + F.lit(0.0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veldt.plans import matrix_queries, tensor_queries  # noqa: F401  they register themselves
+from veldt.plans import dense_queries, matrix_queries, more_queries, tensor_queries  # noqa: F401  they register themselves
 from veldt.plans._register import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veldt.functions import elementwise as E
@@ -43,44 +44,6 @@ def insert_triplets_merge(s, d):
     return rounded(orders(s, d).insert_triplets(batch))
 
 
-def _brand(s, d):
-    df = table(s, d, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_tax").alias("v"), "l_linenumber").where("l_linenumber <= 2").drop("l_linenumber")
-    return Matrix.from_triplets(df, 1 << 40, 1 << 40)
-
-
-T_SQL = "t AS (SELECT l_orderkey AS i, l_partkey AS j, sum(l_tax) AS v FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL)"
-
-
-@query("sparse_add", f"WITH {L_SQL}, {T_SQL} SELECT i, j, round(coalesce(l.v, 0) + coalesce(t.v, 0), 6) + 0.0 AS v FROM l FULL JOIN t USING (i, j)")
-def sparse_add(s, d):
-    return rounded(lineitems(s, d) + _brand(s, d))
-
-
-@query("sparse_sub", f"WITH {L_SQL}, {T_SQL} SELECT i, j, round(coalesce(l.v, 0) - coalesce(t.v, 0), 6) + 0.0 AS v FROM l FULL JOIN t USING (i, j)")
-def sparse_sub(s, d):
-    return rounded(lineitems(s, d) - _brand(s, d))
-
-
-@query("sparse_union_op", f"WITH {L_SQL}, {T_SQL} SELECT i, j, round(greatest(coalesce(l.v, 0), coalesce(t.v, 0)), 6) + 0.0 AS v FROM l FULL JOIN t USING (i, j)")
-def sparse_union_op(s, d):
-    return rounded(lineitems(s, d).union_op(_brand(s, d), F.greatest))
-
-
-@query("sparse_hadamard", f"WITH {L_SQL}, {T_SQL} SELECT i, j, round(l.v * t.v, 6) + 0.0 AS v FROM l JOIN t USING (i, j)")
-def sparse_hadamard(s, d):
-    return rounded(lineitems(s, d).cwise_product(_brand(s, d)))
-
-
-@query("sparse_quotient", f"WITH {L_SQL}, {T_SQL} SELECT i, j, round(CASE WHEN t.v = 0 THEN 'inf'::DOUBLE ELSE l.v / t.v END, 6) AS v FROM l JOIN t USING (i, j) WHERE t.v <> 0")
-def sparse_quotient(s, d):
-    return rounded(lineitems(s, d).cwise_quotient(_brand(s, d).prune(lambda i, j, x: x != 0)))
-
-
-@query("sparse_disjunction", f"WITH {L_SQL}, {T_SQL} SELECT i, j, round(CASE WHEN l.v IS NULL THEN t.v WHEN t.v IS NULL THEN l.v ELSE l.v * t.v END, 6) + 0.0 AS v FROM l FULL JOIN t USING (i, j)")
-def sparse_disjunction(s, d):
-    return rounded(lineitems(s, d).disjunction(_brand(s, d), lambda a, b: a * b))
-
-
 @query("sparse_product", f"WITH {L_SQL}, {O_SQL}, x AS (SELECT o_orderkey AS i, o_custkey AS j, 1.0 AS v FROM orders) SELECT x.j AS i, l.j AS j, round(sum(x.v * l.v), 6) + 0.0 AS v FROM x JOIN l ON x.i = l.i GROUP BY x.j, l.j")
 def sparse_product(s, d):
     x = Matrix(table(s, d, "orders").select(F.col("o_custkey").alias("i"), F.col("o_orderkey").alias("j"), F.lit(1.0).alias("v")), 1 << 40, 1 << 40)
@@ -146,68 +109,15 @@ def indexed_gather(s, d):
     return rounded(embeddings(s, d).indexed([7, 3, 3, 40], [63, 0]))
 
 
-@query("diagonal_of", f"{EW} SELECT i, CAST(0 AS BIGINT) AS j, round(v, 6) + 0.0 AS v FROM e WHERE j - i = 2 AND i < 64")
-def diagonal_of(s, d):
-    return rounded(embeddings(s, d).block(0, 0, 64, 64).diagonal(2))
-
-
-@query("triangular_view", f"{EW} SELECT i, j, round(v, 6) + 0.0 AS v FROM e WHERE i < 64 AND i >= j")
-def triangular_view(s, d):
-    return rounded(embeddings(s, d).block(0, 0, 64, 64).triangular("lower"))
-
-
-@query("unit_upper_view", f"{EW} SELECT i, j, round(v, 6) + 0.0 AS v FROM e WHERE i < 64 AND i < j UNION ALL SELECT range, range, 1.0 FROM range(64)")
-def unit_upper_view(s, d):
-    return rounded(embeddings(s, d).block(0, 0, 64, 64).triangular("unit_upper"))
-
-
-@query("selfadjoint_mirror", f"{EW} SELECT i, j, round(v, 6) + 0.0 AS v FROM e WHERE i < 64 AND i >= j UNION ALL SELECT j, i, round(v, 6) + 0.0 FROM e WHERE i < 64 AND i > j")
-def selfadjoint_mirror(s, d):
-    return rounded(embeddings(s, d).block(0, 0, 64, 64).selfadjoint("lower"))
-
-
-@query("banded_view", f"{EW} SELECT i, j, round(v, 6) + 0.0 AS v FROM e WHERE i < 64 AND i - j <= 1 AND j - i <= 2")
-def banded_view(s, d):
-    return rounded(embeddings(s, d).block(0, 0, 64, 64).banded(1, 2))
-
-
-@query("permute_rows", f"{EW} SELECT (i * 7 + 3) % 64 AS i, j, round(v, 6) + 0.0 AS v FROM e WHERE i < 64")
-def permute_rows(s, d):
-    p = s.range(64).select(F.col("id").alias("i"), ((F.col("id") * 7 + 3) % 64).alias("p"))
-    return rounded(embeddings(s, d).block(0, 0, 64, 64).permuted(left=p))
-
-
-@query("twisted_by", f"{EW} SELECT (i * 7 + 3) % 64 AS i, (j * 7 + 3) % 64 AS j, round(v, 6) + 0.0 AS v FROM e WHERE i < 64")
-def twisted_by(s, d):
-    p = s.range(64).select(F.col("id").alias("i"), ((F.col("id") * 7 + 3) % 64).alias("p"))
-    return rounded(embeddings(s, d).block(0, 0, 64, 64).twisted_by(p))
-
-
 @query("hcat", f"{EW} SELECT i, j, round(v, 6) + 0.0 AS v FROM e UNION ALL SELECT i, j + 64, round(v, 6) + 0.0 FROM e")
 def hcat(s, d):
     e = embeddings(s, d)
     return rounded(e.hcat(e))
 
 
-@query("vcat", f"{EW} SELECT i, j, round(v, 6) + 0.0 AS v FROM e WHERE i < 50 UNION ALL SELECT i - 50 + 50, j, round(v, 6) + 0.0 FROM e WHERE i >= 50 AND i < 100")
-def vcat(s, d):
-    e = embeddings(s, d)
-    return rounded(e.top_rows(50).vcat(e.middle_rows(50, 50)))
-
-
-@query("replicate", f"{EW} SELECT i + 4 * a.range AS i, j + 4 * b.range AS j, round(v, 6) + 0.0 AS v FROM e, range(3) a, range(2) b WHERE i < 4 AND j < 4")
+@query("replicate", f"{EW}, n AS (SELECT CAST(max(vec_id) + 1 AS BIGINT) AS n FROM embeddings) SELECT i + n * a.range AS i, j + 64 * b.range AS j, round(v, 6) + 0.0 AS v FROM e, n, range(3) a, range(2) b")
 def replicate(s, d):
-    return rounded(embeddings(s, d).block(0, 0, 4, 4).replicate(3, 2))
-
-
-@query("reshape_colmajor", f"{EW} SELECT (i + j * 20) % 32 AS i, (i + j * 20) // 32 AS j, round(v, 6) + 0.0 AS v FROM e WHERE i < 20")
-def reshape_colmajor(s, d):
-    return rounded(embeddings(s, d).top_rows(20).reshaped(32, 40))
-
-
-@query("reshape_rowmajor", f"{EW} SELECT (i * 64 + j) // 40 AS i, (i * 64 + j) % 40 AS j, round(v, 6) + 0.0 AS v FROM e WHERE i < 20")
-def reshape_rowmajor(s, d):
-    return rounded(embeddings(s, d).top_rows(20).reshaped(32, 40, "row"))
+    return rounded(_whole(s, d).replicate(3, 2))
 
 
 @query("remove_cols", f"{EW} SELECT i, CASE WHEN j >= 10 THEN j - 5 ELSE j END AS j, round(v, 6) + 0.0 AS v FROM e WHERE j < 10 OR j >= 15")
@@ -248,13 +158,6 @@ def colwise_stats(s, d):
     return orders(s, d).colwise(total=F.round(F.sum(v()), 4), low=r6(F.min(v())), high=r6(F.max(v())), n=F.count(v()))
 
 
-@query("full_reductions", f"{EW}, b AS (SELECT * FROM e WHERE i < 64) SELECT round(sum(v), 6) + 0.0 AS sum, round(sum(v) / 4096, 6) + 0.0 AS mean, round(min(v), 6) AS min, round(max(v), 6) AS max, round(sqrt(sum(v * v)), 6) AS norm, round(sum(abs(v)), 6) AS l1, round(max(abs(v)), 6) AS linf, round(sum(v) FILTER (i = j), 6) + 0.0 AS trace, count(*) AS nonzeros, bool_and(v <> 0) AS all, bool_or(v <> 0) AS any FROM b")
-def full_reductions(s, d):
-    b = embeddings(s, d).block(0, 0, 64, 64)
-    names = ["sum", "mean", "min", "max", "norm", "l1", "linf", "trace"]
-    return b.reduce(*[r6(b.aggregate(n)).alias(n) for n in names], *[b.aggregate(n) for n in ("nonzeros", "all", "any")])
-
-
 @query("nan_policies", "SELECT 1.0 AS min, 4.0 AS max, true AS min_is_nan, true AS max_is_nan, true AS has_nan, false AS all_finite")
 def nan_policies(s, d):
     m = Matrix(s.createDataFrame([(0, 0, 1.0), (0, 1, float("nan")), (1, 0, 4.0), (1, 1, 2.0)], "i long, j long, v double"), 2, 2)
@@ -267,11 +170,6 @@ def argmax_rows(s, d):
     return embeddings(s, d).arg_extreme(True, "i", "row").select("i", r6(v()).alias("v"), "j")
 
 
-@query("argmin_all", f"{EW} SELECT i, j, round(v, 6) AS v FROM e WHERE i < 64 ORDER BY e.v, i + j * 64 LIMIT 1")
-def argmin_all(s, d):
-    return embeddings(s, d).block(0, 0, 64, 64).arg_extreme(False).select("i", "j", r6(v()).alias("v"))
-
-
 @query("lp_norms", f"{EW} SELECT round(pow(sum(pow(abs(v), 3)), 1.0 / 3), 6) AS l3, (SELECT round(max(abs(v)), 6) FROM e) AS linf FROM e")
 def lp_norms(s, d):
     e = embeddings(s, d)
@@ -304,8 +202,6 @@ SELECT q.vec_id AS i, CAST(rank AS BIGINT) AS rank, b AS j, c AS v FROM (
   FROM u q JOIN u p ON q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id) q WHERE rank <= 5""")
 def cosine_topk(s, d):
     """The five nearest vectors by cosine of every fiftieth vector (the stated query set) among all."""
-    from pyspark.sql import Window
-
     a = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
     a = a.withColumn("n", E.array_norm(F.col("a")))
     q = a.where("vec_id % 50 = 0").toDF("i", "qa", "qn")
@@ -315,15 +211,21 @@ def cosine_topk(s, d):
     return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("i", "rank", "j", "v")
 
 
-@query("rank_update", f"{EW}, b AS (SELECT * FROM e WHERE i < 8 AND j < 8) SELECT i, j, round(v + 0.5 * (i + 1) * (j + 1), 6) + 0.0 AS v FROM b")
+G_SQL = "g AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM e a JOIN e b USING (i) GROUP BY a.j, b.j)"
+
+
+def _gram(s, d):
+    return Matrix(dense.gram_frame(table(s, d, "embeddings"), "embedding", 64), 64, 64)
+
+
+@query("rank_update", f"{EW}, {G_SQL} SELECT i, j, round(v + 0.5 * (i + 1) * (j + 1), 6) + 0.0 AS v FROM g")
 def rank_update(s, d):
-    return rounded(embeddings(s, d).block(0, 0, 8, 8).rank_update(Matrix.linspaced(s, 8, 1.0, 8.0), 0.5))
+    return rounded(_gram(s, d).rank_update(Matrix.linspaced(s, 64, 1.0, 64.0), 0.5))
 
 
-@query("kronecker_small", f"{EW}, b AS (SELECT * FROM e WHERE i < 3 AND j < 3) SELECT a.i * 3 + b.i AS i, a.j * 3 + b.j AS j, round(a.v * b.v, 6) + 0.0 AS v FROM b a, b")
-def kronecker_small(s, d):
-    b = embeddings(s, d).block(0, 0, 3, 3)
-    return rounded(b.kronecker(b))
+@query("kronecker_product", f"{EW}, k AS (SELECT * FROM (VALUES (0, 0, 2.0), (1, 0, -1.0), (1, 1, 0.5)) t(p, q, w)) SELECT e.i * 2 + p AS i, e.j * 2 + q AS j, round(v * CAST(w AS DOUBLE), 6) + 0.0 AS v FROM e, k")
+def kronecker_product(s, d):
+    return rounded(_whole(s, d).kronecker(Matrix.values(s, [[2.0, 0.0], [-1.0, 0.5]]).pruned()))
 
 
 @query("outer_product", "SELECT a.range AS i, b.range AS j, (a.range + 1.0) * (b.range + 1.0) AS v FROM range(10) a, range(10) b")
@@ -332,9 +234,11 @@ def outer_product(s, d):
     return rounded(x.outer(x))
 
 
-@query("matrix_power", f"{EW}, b AS (SELECT * FROM e WHERE i < 6 AND j < 6), c AS (SELECT x.i, y.j, sum(x.v * y.v) AS v FROM b x JOIN b y ON x.j = y.i GROUP BY x.i, y.j) SELECT x.i, y.j, round(sum(x.v * y.v), 6) + 0.0 AS v FROM c x JOIN b y ON x.j = y.i GROUP BY x.i, y.j")
+@query("matrix_power", f"{EW}, {G_SQL}, t AS (SELECT sum(v) AS t FROM g WHERE i = j), h AS (SELECT i, j, 8 * v / t AS v FROM g, t), c AS (SELECT x.i, y.j, sum(x.v * y.v) AS v FROM h x JOIN h y ON x.j = y.i GROUP BY x.i, y.j) SELECT x.i, y.j, round(sum(x.v * y.v), 6) + 0.0 AS v FROM c x JOIN h y ON x.j = y.i GROUP BY x.i, y.j")
 def matrix_power(s, d):
-    return rounded(embeddings(s, d).block(0, 0, 6, 6).power(3))
+    """The cube of the Gram matrix scaled to a trace of 8."""
+    g = _gram(s, d)
+    return rounded(g.scale(8 / g.df.agg(g.aggregate("trace")).first()[0]).power(3))
 
 
 @query("linspaced", "SELECT range AS i, CAST(0 AS BIGINT) AS j, CASE WHEN range = 10 THEN 3.0 ELSE 1.0 + range * (3.0 - 1.0) / 10 END AS v FROM range(11)")
@@ -357,14 +261,11 @@ def nullary_expression(s, d):
     return Matrix.generate(s, 5, 7, lambda i, j: i * 10 + j).df
 
 
-@query("random_uniform")
+@query("random_uniform", "SELECT CAST(100000 AS BIGINT) AS n, true AS inside, true AS centred, true AS spread")
 def random_uniform(s, d):
-    return Matrix.random(s, 100, 10, 7).df
-
-
-@query("to_dense", f"WITH {O_SQL} SELECT a.range AS i, b.range AS j, round(coalesce(v, 0), 6) + 0.0 AS v FROM range(50) a CROSS JOIN range(5) b LEFT JOIN o ON o.i = a.range AND o.j = b.range")
-def to_dense(s, d):
-    return rounded(orders(s, d).block(0, 0, 50, 5).to_dense())
+    """Number, range, mean 0 and mean square 1/3 of uniform values."""
+    m = Matrix.random(s, 10_000, 10, 7)
+    return m.reduce(F.count("v").alias("n"), ((F.min("v") >= -1) & (F.max("v") <= 1)).alias("inside"), (F.abs(F.avg("v")) < 0.01).alias("centred"), (F.abs(F.avg(v() * v()) - 1 / 3) < 0.01).alias("spread"))
 
 
 @query("top_k_by_magnitude", f"WITH {O_SQL} SELECT i, j, round(v, 6) AS v FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY abs(v) DESC, i, j) AS r FROM o) WHERE r <= 2")
@@ -384,40 +285,18 @@ def matrix_equal(s, d):
     return e.equals(e.transpose().transpose())
 
 
-@query("shape_tests", "SELECT true AS lower_triangular, false AS diagonal")
-def shape_tests(s, d):
-    t = embeddings(s, d).block(0, 0, 16, 16).triangular("lower")
-    return t.shape_test("lower_triangular").crossJoin(t.shape_test("diagonal"))
-
-
 @query("block_sparse_round_trip", f"WITH {O_SQL} SELECT i, j, round(v, 6) AS v FROM o WHERE v <> 0")
 def block_sparse_round_trip(s, d):
     o = orders(s, d)
     return rounded(Matrix.from_blocks(o.blocks(4), 4, o.rows, o.cols))
 
 
-@query("sorted_vector", f"{EW} SELECT i, row_number() OVER (PARTITION BY i ORDER BY v) - 1 AS place, round(v, 6) + 0.0 AS v FROM e WHERE i < 20")
-def sorted_vector(s, d):
-    sorted_rows = table(s, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("i"), F.posexplode(F.sort_array("embedding")).alias("place", "v"))
-    return sorted_rows.select("i", F.col("place").cast("long").alias("place"), r6(F.col("v").cast("double")).alias("v"))
-
-
-@query("degree_ordering", f"WITH {O_SQL} SELECT i, row_number() OVER (ORDER BY count(*), i) AS place FROM o GROUP BY i QUALIFY place <= 100")
-def degree_ordering(s, d):
-    top = orders(s, d).rowwise(n=F.count("v")).orderBy("n", "i").limit(100)
-    from pyspark.sql import Window
-
-    return top.select("i", F.row_number().over(Window.orderBy("n", "i")).cast("long").alias("place"))
-
-
 @query("compensated_sum", "SELECT round(fsum(o_totalprice), 4) AS total FROM orders")
 def compensated_sum(s, d):
     """Kahan-like: high and low parts are summed apart as exact decimals."""
     return table(s, d, "orders").agg(F.round(F.sum(F.col("o_totalprice").cast("decimal(30,10)")).cast("double"), 4).alias("total"))
 
 
-# ---- over the whole table what the queries of these names above do for a first part of it
-
 NW = f"{EW}, n AS (SELECT CAST(max(vec_id) + 1 AS BIGINT) AS n FROM embeddings)"
 
 
@@ -426,98 +305,102 @@ def _whole(s, d):
     return Matrix(embeddings(s, d).df, table(s, d, "embeddings").agg(F.max("vec_id")).first()[0] + 1, 64)
 
 
-@query("diagonal_of_whole", f"{EW} SELECT i, CAST(0 AS BIGINT) AS j, round(v, 6) + 0.0 AS v FROM e WHERE j - i = 2")
-def diagonal_of_whole(s, d):
+@query("diagonal_of", f"{EW} SELECT i, CAST(0 AS BIGINT) AS j, round(v, 6) + 0.0 AS v FROM e WHERE j - i = 2")
+def diagonal_of(s, d):
     return rounded(_whole(s, d).diagonal(2))
 
 
-@query("triangular_view_whole", f"{EW} SELECT i, j, round(v, 6) + 0.0 AS v FROM e WHERE i >= j")
-def triangular_view_whole(s, d):
+@query("triangular_view", f"{EW} SELECT i, j, round(v, 6) + 0.0 AS v FROM e WHERE i >= j")
+def triangular_view(s, d):
     return rounded(_whole(s, d).triangular("lower"))
 
 
-@query("unit_upper_view_whole", f"{NW} SELECT i, j, round(v, 6) + 0.0 AS v FROM e WHERE i < j UNION ALL SELECT range, range, 1.0 FROM range(64), n WHERE range < n")
-def unit_upper_view_whole(s, d):
+@query("unit_upper_view", f"{NW} SELECT i, j, round(v, 6) + 0.0 AS v FROM e WHERE i < j UNION ALL SELECT range, range, 1.0 FROM range(64), n WHERE range < n")
+def unit_upper_view(s, d):
     return rounded(_whole(s, d).triangular("unit_upper"))
 
 
-@query("selfadjoint_mirror_whole", f"WITH {L_SQL} SELECT i, j, round(v, 6) + 0.0 AS v FROM l WHERE i >= j UNION ALL SELECT j, i, round(v, 6) + 0.0 FROM l WHERE i > j")
-def selfadjoint_mirror_whole(s, d):
+@query("selfadjoint_mirror", f"WITH {L_SQL} SELECT i, j, round(v, 6) + 0.0 AS v FROM l WHERE i >= j UNION ALL SELECT j, i, round(v, 6) + 0.0 FROM l WHERE i > j")
+def selfadjoint_mirror(s, d):
     """Of the square matrix of all line items: the embeddings are not square."""
     return rounded(lineitems(s, d).selfadjoint("lower"))
 
 
-@query("banded_view_whole", f"{EW} SELECT i, j, round(v, 6) + 0.0 AS v FROM e WHERE i - j <= 1 AND j - i <= 2")
-def banded_view_whole(s, d):
+@query("banded_view", f"{EW} SELECT i, j, round(v, 6) + 0.0 AS v FROM e WHERE i - j <= 1 AND j - i <= 2")
+def banded_view(s, d):
     return rounded(_whole(s, d).banded(1, 2))
 
 
-@query("permute_rows_whole", f"{NW} SELECT n - 1 - i AS i, j, round(v, 6) + 0.0 AS v FROM e, n")
-def permute_rows_whole(s, d):
+@query("permute_rows", f"{NW} SELECT n - 1 - i AS i, j, round(v, 6) + 0.0 AS v FROM e, n")
+def permute_rows(s, d):
     e = _whole(s, d)
     p = table(s, d, "embeddings").select(F.col("vec_id").alias("i"), (e.rows - 1 - F.col("vec_id")).alias("p"))
     return rounded(e.permuted(left=p))
 
 
-@query("twisted_by_whole", f"WITH {L_SQL} SELECT xor(i, CAST(1 AS BIGINT)) AS i, xor(j, CAST(1 AS BIGINT)) AS j, round(v, 6) + 0.0 AS v FROM l")
-def twisted_by_whole(s, d):
+@query("twisted_by", f"WITH {L_SQL} SELECT xor(i, CAST(1 AS BIGINT)) AS i, xor(j, CAST(1 AS BIGINT)) AS j, round(v, 6) + 0.0 AS v FROM l")
+def twisted_by(s, d):
     m = lineitems(s, d)
     ids = m.df.select("i").union(m.df.select("j")).distinct()
     return rounded(m.twisted_by(ids.select("i", F.col("i").bitwiseXOR(F.lit(1)).alias("p"))))
 
 
-@query("vcat_whole", f"{NW} SELECT i, j, round(v, 6) + 0.0 AS v FROM e UNION ALL SELECT i + n, j, round(v, 6) + 0.0 FROM e, n")
-def vcat_whole(s, d):
+@query("vcat", f"{NW} SELECT i, j, round(v, 6) + 0.0 AS v FROM e UNION ALL SELECT i + n, j, round(v, 6) + 0.0 FROM e, n")
+def vcat(s, d):
     e = _whole(s, d)
     return rounded(e.vcat(e))
 
 
-@query("reshape_colmajor_whole", f"{NW} SELECT (i + j * n) % (2 * n) AS i, (i + j * n) // (2 * n) AS j, round(v, 6) + 0.0 AS v FROM e, n")
-def reshape_colmajor_whole(s, d):
+@query("reshape_colmajor", f"{NW} SELECT (i + j * n) % (2 * n) AS i, (i + j * n) // (2 * n) AS j, round(v, 6) + 0.0 AS v FROM e, n")
+def reshape_colmajor(s, d):
     e = _whole(s, d)
     return rounded(e.reshaped(2 * e.rows, 32))
 
 
-@query("reshape_rowmajor_whole", f"{EW} SELECT (i * 64 + j) // 32 AS i, (i * 64 + j) % 32 AS j, round(v, 6) + 0.0 AS v FROM e")
-def reshape_rowmajor_whole(s, d):
+@query("reshape_rowmajor", f"{EW} SELECT (i * 64 + j) // 32 AS i, (i * 64 + j) % 32 AS j, round(v, 6) + 0.0 AS v FROM e")
+def reshape_rowmajor(s, d):
     e = _whole(s, d)
     return rounded(e.reshaped(2 * e.rows, 32, "row"))
 
 
-@query("full_reductions_whole", f"{NW} SELECT round(sum(v), 6) + 0.0 AS sum, round(sum(v) / (64 * any_value(n)), 6) + 0.0 AS mean, round(min(v), 6) AS min, round(max(v), 6) AS max, round(sqrt(sum(v * v)), 6) AS norm, round(sum(abs(v)), 6) AS l1, round(max(abs(v)), 6) AS linf, round(sum(v) FILTER (i = j), 6) + 0.0 AS trace, count(*) AS nonzeros, bool_and(v <> 0) AS all, bool_or(v <> 0) AS any FROM e, n")
-def full_reductions_whole(s, d):
+@query("full_reductions", f"{NW} SELECT round(sum(v), 6) + 0.0 AS sum, round(sum(v) / (64 * any_value(n)), 6) + 0.0 AS mean, round(min(v), 6) AS min, round(max(v), 6) AS max, round(sqrt(sum(v * v)), 6) AS norm, round(sum(abs(v)), 6) AS l1, round(max(abs(v)), 6) AS linf, round(sum(v) FILTER (i = j), 6) + 0.0 AS trace, count(*) AS nonzeros, bool_and(v <> 0) AS all, bool_or(v <> 0) AS any FROM e, n")
+def full_reductions(s, d):
     b = _whole(s, d)
     names = ["sum", "mean", "min", "max", "norm", "l1", "linf", "trace"]
     return b.reduce(*[r6(b.aggregate(n)).alias(n) for n in names], *[b.aggregate(n) for n in ("nonzeros", "all", "any")])
 
 
-@query("argmin_all_whole", f"{NW} SELECT i, j, round(v, 6) AS v FROM e, n ORDER BY e.v, i + j * n LIMIT 1")
-def argmin_all_whole(s, d):
+@query("argmin_all", f"{NW} SELECT i, j, round(v, 6) AS v FROM e, n ORDER BY e.v, i + j * n LIMIT 1")
+def argmin_all(s, d):
     return _whole(s, d).arg_extreme(False).select("i", "j", r6(v()).alias("v"))
 
 
-@query("to_dense_whole", f"WITH {O_SQL}, a AS (SELECT unnest(range((SELECT max(o_custkey) + 1 FROM orders))) AS i) SELECT a.i, b.range AS j, round(coalesce(v, 0), 6) + 0.0 AS v FROM a CROSS JOIN range(5) b LEFT JOIN o ON o.i = a.i AND o.j = b.range")
-def to_dense_whole(s, d):
+@query("to_dense", f"WITH {O_SQL}, a AS (SELECT unnest(range((SELECT max(o_custkey) + 1 FROM orders))) AS i) SELECT a.i, b.range AS j, round(coalesce(v, 0), 6) + 0.0 AS v FROM a CROSS JOIN range(5) b LEFT JOIN o ON o.i = a.i AND o.j = b.range")
+def to_dense(s, d):
     return rounded(Matrix(orders(s, d).df, table(s, d, "orders").agg(F.max("o_custkey")).first()[0] + 1, 5).to_dense())
 
 
-@query("shape_tests_whole", "SELECT true AS lower_triangular, false AS diagonal")
-def shape_tests_whole(s, d):
+@query("shape_tests", "SELECT true AS lower_triangular, false AS diagonal")
+def shape_tests(s, d):
     t = _whole(s, d).triangular("lower")
     return t.shape_test("lower_triangular").crossJoin(t.shape_test("diagonal"))
 
 
-@query("sorted_vector_whole", f"{EW} SELECT i, row_number() OVER (PARTITION BY i ORDER BY v) - 1 AS place, round(v, 6) + 0.0 AS v FROM e")
-def sorted_vector_whole(s, d):
+@query("sorted_vector", f"{EW} SELECT i, row_number() OVER (PARTITION BY i ORDER BY v) - 1 AS place, round(v, 6) + 0.0 AS v FROM e")
+def sorted_vector(s, d):
     sorted_rows = table(s, d, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode(F.sort_array("embedding")).alias("place", "v"))
     return sorted_rows.select("i", F.col("place").cast("long").alias("place"), r6(F.col("v").cast("double")).alias("v"))
 
 
-@query("degree_ordering_whole", f"WITH {O_SQL} SELECT i, row_number() OVER (ORDER BY count(*), i) AS place FROM o GROUP BY i")
-def degree_ordering_whole(s, d):
-    """Places by a range sort and the partitions' counts; no task holds all rows."""
-    ordered = orders(s, d).rowwise(n=F.count("v")).orderBy("n", "i").select("i")
-    return s.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (x[0]["i"], x[1] + 1)), "i long, place long")
+@query("degree_ordering", f"WITH {O_SQL} SELECT i, row_number() OVER (ORDER BY count(*), i) AS place FROM o GROUP BY i")
+def degree_ordering(s, d):
+    """Places from counts by (degree, block of ids) and ranks within them; no task holds all rows."""
+    degrees = orders(s, d).rowwise(n=F.count("v")).withColumn("b", F.floor(F.col("i") / (1 << 20)))
+    counts = degrees.groupBy("n", "b").agg(F.count("*").alias("c"))
+    before = Window.orderBy("n", "b").rowsBetween(Window.unboundedPreceding, -1)  # over a row per (degree, block)
+    counts = counts.select("n", "b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
+    inner = F.row_number().over(Window.partitionBy("n", "b").orderBy("i"))
+    return degrees.withColumn("r", inner).join(F.broadcast(counts), ["n", "b"]).select("i", (F.col("r") + F.col("before")).cast("long").alias("place"))
 
 
 def _tax(s, d):
@@ -529,31 +412,31 @@ def _tax(s, d):
 X_SQL = "t AS (SELECT l_orderkey AS i, l_partkey AS j, sum(l_tax) AS v FROM lineitem GROUP BY ALL)"
 
 
-@query("sparse_add_whole", f"WITH {L_SQL}, {X_SQL} SELECT i, j, round(coalesce(l.v, 0) + coalesce(t.v, 0), 6) + 0.0 AS v FROM l FULL JOIN t USING (i, j)")
-def sparse_add_whole(s, d):
+@query("sparse_add", f"WITH {L_SQL}, {X_SQL} SELECT i, j, round(coalesce(l.v, 0) + coalesce(t.v, 0), 6) + 0.0 AS v FROM l FULL JOIN t USING (i, j)")
+def sparse_add(s, d):
     return rounded(lineitems(s, d) + _tax(s, d))
 
 
-@query("sparse_sub_whole", f"WITH {L_SQL}, {X_SQL} SELECT i, j, round(coalesce(l.v, 0) - coalesce(t.v, 0), 6) + 0.0 AS v FROM l FULL JOIN t USING (i, j)")
-def sparse_sub_whole(s, d):
+@query("sparse_sub", f"WITH {L_SQL}, {X_SQL} SELECT i, j, round(coalesce(l.v, 0) - coalesce(t.v, 0), 6) + 0.0 AS v FROM l FULL JOIN t USING (i, j)")
+def sparse_sub(s, d):
     return rounded(lineitems(s, d) - _tax(s, d))
 
 
-@query("sparse_union_op_whole", f"WITH {L_SQL}, {X_SQL} SELECT i, j, round(greatest(coalesce(l.v, 0), coalesce(t.v, 0)), 6) + 0.0 AS v FROM l FULL JOIN t USING (i, j)")
-def sparse_union_op_whole(s, d):
+@query("sparse_union_op", f"WITH {L_SQL}, {X_SQL} SELECT i, j, round(greatest(coalesce(l.v, 0), coalesce(t.v, 0)), 6) + 0.0 AS v FROM l FULL JOIN t USING (i, j)")
+def sparse_union_op(s, d):
     return rounded(lineitems(s, d).union_op(_tax(s, d), F.greatest))
 
 
-@query("sparse_hadamard_whole", f"WITH {L_SQL}, {X_SQL} SELECT i, j, round(l.v * t.v, 6) + 0.0 AS v FROM l JOIN t USING (i, j)")
-def sparse_hadamard_whole(s, d):
+@query("sparse_hadamard", f"WITH {L_SQL}, {X_SQL} SELECT i, j, round(l.v * t.v, 6) + 0.0 AS v FROM l JOIN t USING (i, j)")
+def sparse_hadamard(s, d):
     return rounded(lineitems(s, d).cwise_product(_tax(s, d)))
 
 
-@query("sparse_quotient_whole", f"WITH {L_SQL}, {X_SQL} SELECT i, j, round(l.v / t.v, 6) AS v FROM l JOIN t USING (i, j) WHERE t.v <> 0")
-def sparse_quotient_whole(s, d):
+@query("sparse_quotient", f"WITH {L_SQL}, {X_SQL} SELECT i, j, round(l.v / t.v, 6) AS v FROM l JOIN t USING (i, j) WHERE t.v <> 0")
+def sparse_quotient(s, d):
     return rounded(lineitems(s, d).cwise_quotient(_tax(s, d).prune(lambda i, j, x: x != 0)))
 
 
-@query("sparse_disjunction_whole", f"WITH {L_SQL}, {X_SQL} SELECT i, j, round(CASE WHEN l.v IS NULL THEN t.v WHEN t.v IS NULL THEN l.v ELSE l.v * t.v END, 6) + 0.0 AS v FROM l FULL JOIN t USING (i, j)")
-def sparse_disjunction_whole(s, d):
+@query("sparse_disjunction", f"WITH {L_SQL}, {X_SQL} SELECT i, j, round(CASE WHEN l.v IS NULL THEN t.v WHEN t.v IS NULL THEN l.v ELSE l.v * t.v END, 6) + 0.0 AS v FROM l FULL JOIN t USING (i, j)")
+def sparse_disjunction(s, d):
     return rounded(lineitems(s, d).disjunction(_tax(s, d), lambda a, b: a * b))

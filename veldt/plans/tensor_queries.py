@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veldt.functions import elementwise as E
 from veldt.functions import geometry as G
 from veldt.functions import special
-from veldt.operators import dense, fit, kernels, solvers, spatial
+from veldt.operators import dense, fit, spatial
 from veldt.operators.matrix import Matrix
 from veldt.operators.tensor import Tensor
 from veldt.plans._register import E_SQL, embeddings, query, r6, table
@@ -58,14 +55,14 @@ def ieee_guards(s, d):
 def binary_math(s, d):
     x, n = F.col("x"), F.col("n")
     y = n.cast("double")
-    return _values(s, d).select("k", r6(x + y).alias("a"), r6(x - y).alias("b"), r6(x * y).alias("c"), r6(E.BINARY["absolute_difference"](x, y)).alias("e"), r6(F.pow(x, F.lit(2.5))).alias("f"), r6(F.atan2(x, y)).alias("g"), r6(F.hypot(x, y)).alias("h"), r6(E.nan_min(x, y)).alias("lo"), r6(E.nan_max(x, y)).alias("hi"), r6(E.clip(x, 1.1, 1.5)).alias("clip"), (n % 7).alias("m"))
+    return _values(s, d).select("k", r6(E.BINARY["add"](x, y)).alias("a"), r6(E.BINARY["sub"](x, y)).alias("b"), r6(E.BINARY["mul"](x, y)).alias("c"), r6(E.BINARY["absolute_difference"](x, y)).alias("e"), r6(E.BINARY["pow"](x, F.lit(2.5))).alias("f"), r6(E.BINARY["atan2"](x, y)).alias("g"), r6(E.BINARY["hypot"](x, y)).alias("h"), r6(E.nan_min(x, y)).alias("lo"), r6(E.nan_max(x, y)).alias("hi"), r6(E.clip(x, 1.1, 1.5)).alias("clip"), E.BINARY["mod"](n, F.lit(7)).alias("m"))
 
 
 @query("shifts_bitwise", f"WITH {P_SQL} SELECT k, (n + 100) << 3 AS l, (n + 100) >> 2 AS r, (n + 100) & 13 AS a, (n + 100) | 13 AS o, xor(n + 100, CAST(13 AS BIGINT)) AS x, ~(n + 100) AS c FROM p")
 def shifts_bitwise(s, d):
     n = F.col("n") + 100
     b = F.lit(13).cast("long")
-    return _values(s, d).select("k", E.shift_left(n, 3).alias("l"), E.shift_right_arithmetic(n, 2).alias("r"), n.bitwiseAND(b).alias("a"), n.bitwiseOR(b).alias("o"), n.bitwiseXOR(b).alias("x"), F.bitwise_not(n).alias("c"))
+    return _values(s, d).select("k", E.shift_left(n, 3).alias("l"), E.shift_right_arithmetic(n, 2).alias("r"), E.BINARY["bitand"](n, b).alias("a"), E.BINARY["bitor"](n, b).alias("o"), E.BINARY["bitxor"](n, b).alias("x"), E.UNARY["bitwise_not"](n).alias("c"))
 
 
 @query("comparisons", f"WITH {P_SQL} SELECT k, x < 1.2 AS lt, x <= 1.2 AS le, x > 1.2 AS gt, x >= 1.2 AS ge, n = 0 AS eq, n <> 0 AS ne, CAST(CAST(x > 1.2 AS INT) AS DOUBLE) AS typed FROM p")
@@ -79,14 +76,6 @@ def lgamma(s, d):
     return _values(s, d).select("k", r6(special.function("lgamma")(F.col("x") + 0.5)).alias("v"))
 
 
-@query("special_functions")
-def special_functions(s, d):
-    """Every special function over one column of values in (0.9, 3)."""
-    x = F.col("x")
-    more = {"igamma": (x, x + 1), "igammac": (x, x + 1), "igamma_der_a": (x, x + 1), "gamma_sample_der_alpha": (x, x), "zeta": (x + 1, x), "polygamma": (F.lit(1.0), x), "betainc": (x, x + 1, x / 4), "ndtri": (x / 4,)}
-    return _values(s, d).select("k", *[special.function(n)(*more.get(n, (x,))).alias(n) for n in special.NUMPY])
-
-
 @query("horner_poly", f"WITH {P_SQL} SELECT k, round(1 + 3 * x * x - 0.5 * x * x * x, 6) + 0.0 AS v FROM p")
 def horner_poly(s, d):
     return _values(s, d).select("k", r6(E.horner(F.array(*[F.lit(c) for c in (1.0, 0.0, 3.0, -0.5)]), F.col("x"))).alias("v"))
@@ -108,18 +97,12 @@ def _out(t):
 
 @query("cumsum_user_events", f"WITH {S_SQL} SELECT d0, d1, round(sum(v) OVER (PARTITION BY d0 ORDER BY d1), 6) + 0.0 AS v FROM s")
 def cumsum_user_events(s, d):
-    return _out(_series(s, d).cumsum(1))
+    return _out(_series(s, d).cumsum(1, stored=True))
 
 
 @query("cumsum_exclusive", f"WITH {S_SQL} SELECT d0, d1, round(coalesce(sum(v) OVER (PARTITION BY d0 ORDER BY d1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) + 0.0 AS v FROM s")
 def cumsum_exclusive(s, d):
-    return _out(_series(s, d).cumsum(1, exclusive=True))
-
-
-@query("cumprod_small", f"WITH {S_SQL} SELECT d0, d1, round(product(v / 50) OVER (PARTITION BY d0 ORDER BY d1), 6) + 0.0 AS v FROM s WHERE d1 < 4")
-def cumprod_small(s, d):
-    t = _series(s, d)
-    return _out(Tensor(t.df.where("d1 < 4").withColumn("v", v() / 50), t.dims).cumprod(1))
+    return _out(_series(s, d).cumsum(1, exclusive=True, stored=True))
 
 
 @query("convolve_1d_events", f"WITH {S_SQL} SELECT d0, d1, round(0.25 * v + 0.5 * b + 0.25 * c, 6) + 0.0 AS v FROM (SELECT *, lead(v, 1) OVER w AS b, lead(v, 2) OVER w AS c FROM s WINDOW w AS (PARTITION BY d0 ORDER BY d1)) WHERE c IS NOT NULL")
@@ -129,131 +112,9 @@ def convolve_1d_events(s, d):
     return _out(Tensor(t.convolve([0.25, 0.5, 0.25], [1]).df.join(n, "d0").where("d1 + 2 <= last").drop("last"), t.dims))
 
 
-def _cube(s, d):
-    """A 4 x 4 x 4 tensor: the first vector."""
-    e = embeddings(s, d).row(0)
-    return Tensor(e.df.select(F.col("j").alias("d0"), "v"), (64,)).reshape((4, 4, 4))
-
-
-C_SQL = "c AS (SELECT (k - 1) % 4 AS d0, (k - 1) // 4 % 4 AS d1, (k - 1) // 16 AS d2, v FROM (SELECT CAST(generate_subscripts(embedding, 1) AS BIGINT) AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE vec_id = 0))"
 R = "round(v, 6) + 0.0 AS v"
 
 
-@query("tensor_slice", f"WITH {C_SQL} SELECT d0 - 1 AS d0, d1, d2 - 2 AS d2, {R} FROM c WHERE d0 BETWEEN 1 AND 2 AND d1 < 3 AND d2 >= 2")
-def tensor_slice(s, d):
-    return _out(_cube(s, d).slice((1, 0, 2), (2, 3, 2)))
-
-
-@query("tensor_strided_slice", f"WITH {C_SQL} SELECT d0 // 2 AS d0, 3 - d1 AS d1, d2, {R} FROM c WHERE d0 % 2 = 0 AND d1 > 0")
-def tensor_strided_slice(s, d):
-    return _out(_cube(s, d).strided_slice((0, 3, 0), (4, 0, 4), (2, -1, 1)))
-
-
-@query("chip", f"WITH {C_SQL} SELECT d0, d2 AS d1, {R} FROM c WHERE d1 = 2")
-def chip(s, d):
-    return _out(_cube(s, d).chip(1, 2))
-
-
-@query("roll", f"WITH {C_SQL} SELECT (d0 + 3) % 4 AS d0, d1, (d2 + 2) % 4 AS d2, {R} FROM c")
-def roll(s, d):
-    return _out(_cube(s, d).roll((1, 0, 2)))
-
-
-@query("tensor_reverse", f"WITH {C_SQL} SELECT 3 - d0 AS d0, d1, 3 - d2 AS d2, {R} FROM c")
-def tensor_reverse(s, d):
-    return _out(_cube(s, d).reverse((True, False, True)))
-
-
-@query("shuffle", f"WITH {C_SQL} SELECT d2 AS d0, d0 AS d1, d1 AS d2, {R} FROM c")
-def shuffle(s, d):
-    return _out(_cube(s, d).shuffle((2, 0, 1)))
-
-
-@query("stride", f"WITH {C_SQL} SELECT d0 // 2 AS d0, d1, d2 // 3 AS d2, {R} FROM c WHERE d0 % 2 = 0 AND d2 % 3 = 0")
-def stride(s, d):
-    return _out(_cube(s, d).stride((2, 1, 3)))
-
-
-@query("inflate", f"WITH {C_SQL} SELECT d0 * 2 AS d0, d1 * 3 AS d1, d2, {R} FROM c")
-def inflate(s, d):
-    return _out(_cube(s, d).inflate((2, 3, 1)))
-
-
-@query("pad", f"WITH {C_SQL}, g AS (SELECT a.range AS d0, b.range AS d1, z.range AS d2 FROM range(6) a, range(4) b, range(5) z) SELECT g.d0, g.d1, g.d2, round(coalesce(c.v, 9), 6) + 0.0 AS v FROM g LEFT JOIN c ON c.d0 = g.d0 - 1 AND c.d1 = g.d1 AND c.d2 = g.d2")
-def pad(s, d):
-    return _out(_cube(s, d).pad(((1, 1), (0, 0), (0, 1)), 9.0))
-
-
-@query("tensor_broadcast", f"WITH {C_SQL} SELECT d0 + 4 * a.range AS d0, d1, d2 + 4 * b.range AS d2, {R} FROM c, range(2) a, range(3) b")
-def tensor_broadcast(s, d):
-    return _out(_cube(s, d).broadcast((2, 1, 3)))
-
-
-@query("tensor_concatenate", f"WITH {C_SQL} SELECT d0, d1, d2, {R} FROM c UNION ALL SELECT d0, d1 + 4, d2, {R} FROM c")
-def tensor_concatenate(s, d):
-    c = _cube(s, d)
-    return _out(c.concatenate(c, 1))
-
-
-@query("index_pairs", f"WITH {C_SQL} SELECT d0 + 4 * d1 + 16 * d2 AS index, {R} FROM c")
-def index_pairs(s, d):
-    return _cube(s, d).index_pairs().select("index", r6(v()).alias("v"))
-
-
-@query("tensor_reduce_dims", f"WITH {C_SQL} SELECT d1 AS d0, round(sum(v), 6) + 0.0 AS total, round(max(v), 6) + 0.0 AS high, round(sum(v) / 16, 6) + 0.0 AS mean FROM c GROUP BY d1")
-def tensor_reduce_dims(s, d):
-    c = _cube(s, d)
-    a, b, m = (f([0, 2]).df.withColumnRenamed("v", n) for f, n in ((c.sum, "total"), (c.maximum, "high"), (c.mean, "mean")))
-    return a.join(b, "d0").join(m, "d0").select("d0", *[r6(n).alias(n) for n in ("total", "high", "mean")])
-
-
-@query("tensor_argmax", f"WITH {C_SQL} SELECT d0, d2 AS d1, arg_max(d1, v) AS v FROM c GROUP BY d0, d2")
-def tensor_argmax(s, d):
-    return _cube(s, d).arg_extreme(1).df
-
-
-@query("tensor_argmax_flat", f"WITH {C_SQL} SELECT arg_max(d0 + 4 * d1 + 16 * d2, v) AS v FROM c")
-def tensor_argmax_flat(s, d):
-    return _cube(s, d).arg_extreme()
-
-
-@query("tensor_trace", f"WITH {C_SQL} SELECT d2 AS d0, round(sum(v), 6) + 0.0 AS v FROM c WHERE d0 = d1 GROUP BY d2")
-def tensor_trace(s, d):
-    return _out(_cube(s, d).trace((0, 1)))
-
-
-@query("tensor_cumsum", f"WITH {C_SQL} SELECT d0, d1, d2, round(sum(v) OVER (PARTITION BY d0, d1 ORDER BY d2), 6) + 0.0 AS v FROM c")
-def tensor_cumsum(s, d):
-    return _out(_cube(s, d).cumsum(2))
-
-
-@query("convolve_2d", f"WITH {C_SQL}, k AS (SELECT * FROM (VALUES (0, 0, 1.0), (0, 1, 2.0), (1, 0, -1.0), (1, 1, 0.5)) t(p, q, w)) SELECT d0 - p AS d0, d1 - q AS d1, d2, round(sum(v * CAST(w AS DOUBLE)), 6) + 0.0 AS v FROM c, k WHERE d0 - p BETWEEN 0 AND 2 AND d1 - q BETWEEN 0 AND 2 GROUP BY ALL")
-def convolve_2d(s, d):
-    return _out(_cube(s, d).convolve([[1.0, 2.0], [-1.0, 0.5]], (0, 1)))
-
-
-@query("patches_2d", f"WITH {C_SQL} SELECT a.range AS d0, b.range AS d1, z.range AS d2, (d0 - a.range) + 3 * (d1 - b.range) + 9 * (d2 - z.range) AS d3, {R} FROM c, range(2) a, range(2) b, range(1) z WHERE d0 - a.range BETWEEN 0 AND 2 AND d1 - b.range BETWEEN 0 AND 2")
-def patches_2d(s, d):
-    return _out(_cube(s, d).patches((2, 2, 1)))
-
-
-@query("image_patches", f"WITH {C_SQL} SELECT d2 AS d0, p.range AS d1, q.range AS d2, x.range + y.range * 2 AS d3, {R} FROM c, range(2) p, range(2) q, range(2) x, range(2) y WHERE d0 = x.range * 2 + p.range AND d1 = y.range * 2 + q.range")
-def image_patches(s, d):
-    return _out(_cube(s, d).image_patches((0, 1), (2, 2), (2, 2)))
-
-
-@query("contract_3way", f"WITH {C_SQL} SELECT a.d0, b.d2 AS d1, round(sum(a.v * b.v), 6) + 0.0 AS v FROM c a JOIN c b ON a.d1 = b.d0 AND a.d2 = b.d1 GROUP BY a.d0, b.d2")
-def contract_3way(s, d):
-    c = _cube(s, d)
-    return _out(c.contract(c, [(1, 0), (2, 1)]))
-
-
-@query("dft_small", f"{EW}, x AS (SELECT j, v FROM e WHERE i = 0) SELECT k.range AS d0, round(sum(v * cos(2 * pi() * k.range * j / 64)), 6) + 0.0 AS re, round(sum(-v * sin(2 * pi() * k.range * j / 64)), 6) + 0.0 AS im FROM x, range(64) k GROUP BY k.range")
-def dft_small(s, d):
-    t = Tensor(embeddings(s, d).row(0).df.select(F.col("j").alias("d0"), "v"), (64,))
-    return t.fft([0]).select("d0", r6("re").alias("re"), r6("im").alias("im"))
-
-
 # ---- geometry and spatial joins
 
 
@@ -310,7 +171,7 @@ def nearest_neighbour(s, d):
 def chord_lengths(s, d):
     t = _series(s, d)
     step = F.coalesce(F.abs(v() - F.lag("v").over(Window.partitionBy("d0").orderBy("d1"))), F.lit(0.0))
-    return _out(Tensor(t.df.withColumn("v", step), t.dims).cumsum(1))
+    return _out(Tensor(t.df.withColumn("v", step), t.dims).cumsum(1, stored=True))
 
 
 # ---- decompositions, solvers, matrix functions (rows only, tested against NumPy)
@@ -348,75 +209,12 @@ def svd_energy(s, d):
     return dense.factor(r, "svd").where("part = 'S'").agg(F.round(F.sum(v() * v()), 4).alias("total"))
 
 
-@query("svd_values")
-def svd_values(s, d):
-    r = Matrix(dense.tsqr_r(table(s, d, "embeddings"), "embedding", 64), 64, 64)
-    return dense.factor(r, "svd").where("part = 'S'").select("i", "v")
-
-
-@query("qr_r")
-def qr_r(s, d):
-    return dense.tsqr_r(table(s, d, "embeddings"), "embedding", 64)
-
-
-@query("eigenvalues_selfadjoint")
-def eigenvalues_selfadjoint(s, d):
-    return dense.factor(_spd(s, d), "eigh").where("part = 'S'").select("i", "v")
-
-
-@query("eigen_trace", f"{EW} SELECT round(sum(v * v) + 64, 4) AS total FROM e")
-def eigen_trace(s, d):
-    return dense.factor(_spd(s, d), "eigh").where("part = 'S'").agg(F.round(F.sum(v()), 4).alias("total"))
-
-
-@query("lu_factors")
-def lu_factors(s, d):
-    return dense.factor(embeddings(s, d).block(0, 0, 64, 64), "lu")
-
-
-@query("determinant")
-def determinant(s, d):
-    return dense.scalar(_spd(s, d), "log_abs_determinant")
-
-
-@query("matrix_exponential")
-def matrix_exponential(s, d):
-    return dense.matrix_function(embeddings(s, d).block(0, 0, 16, 16), "exp").df
-
-
 @query("matrix_sqrt_squared", f"{EW}, g AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM e a JOIN e b USING (i) GROUP BY a.j, b.j) SELECT i, j, round(v + CASE WHEN i = j THEN 1 ELSE 0 END, 4) + 0.0 AS v FROM g")
 def matrix_sqrt_squared(s, d):
     root = dense.matrix_function(_spd(s, d), "operator_sqrt")
     return (root @ root).df.select("i", "j", (F.round("v", 4) + F.lit(0.0)).alias("v"))
 
 
-def _poisson(s, n):
-    df = s.range(n).select(F.explode(F.array(*[F.struct(F.col("id").alias("i"), (F.col("id") + o).alias("j"), F.lit(w).alias("v")) for o, w in ((-1, -1.0), (0, 2.0), (1, -1.0))])).alias("t")).select("t.*").where((F.col("j") >= 0) & (F.col("j") < n))
-    return Matrix(df, n, n)
-
-
-@query("cg_solve", "SELECT range AS i, round((range + 1) * (60 - range) / 2.0, 4) AS v FROM range(60)")
-def cg_solve(s, d):
-    """Conjugate gradients on a Poisson system of known solution: tridiagonal, right side 1."""
-    op = solvers.Operator(_poisson(s, 60))
-    x = solvers.conjugate_gradient(op.apply, np.ones(60), solvers.jacobi(op.diagonal()), tolerance=1e-12).x
-    return s.createDataFrame([(k, round(float(y), 4)) for k, y in enumerate(x)], "i long, v double")
-
-
-@query("least_squares_fit")
-def least_squares_fit(s, d):
-    x = dense.least_squares(table(s, d, "embeddings"), "embedding", "label", 64)
-    return s.createDataFrame([(k, float(y)) for k, y in enumerate(x)], "j long, v double")
-
-
-@query("levenberg_marquardt_fit")
-def levenberg_marquardt_fit(s, d):
-    """y = a exp(b x) fitted to values that follow it with a = 2, b = 0.5."""
-    df = _values(s, d).select("x", (2 * F.exp(0.5 * F.col("x"))).alias("y"))
-    p, _, cost = fit.levenberg_marquardt(df, lambda p: p[0] * F.exp(p[1] * F.col("x")) - F.col("y"), [1.0, 1.0])
-    return s.createDataFrame([(round(float(p[0]), 6), round(float(p[1]), 6), round(cost, 6))], "a double, b double, cost double")
-
-
 @query("autodiff_columns", f"WITH {P_SQL} SELECT k, round(x * exp(x / 10), 6) AS val, round(exp(x / 10) + x * exp(x / 10) / 10, 6) AS grad FROM p")
 def autodiff_columns(s, d):
     (x,) = fit.Dual.variables(F.col("x"))
@@ -424,37 +222,6 @@ def autodiff_columns(s, d):
     return _values(s, d).select("k", r6(y.value).alias("val"), r6(y.grad[0]).alias("grad"))
 
 
-@query("polynomial_roots", "SELECT CAST(k AS BIGINT) AS k, CAST(r AS DOUBLE) AS re, 0.0::DOUBLE AS im FROM (VALUES (0, -1.0), (1, 2.0), (2, 3.5)) t(k, r)")
-def polynomial_roots(s, d):
-    w = kernels.companion_roots(kernels.monic_polynomial(np.array([2.0, -1.0, 3.5])))
-    return s.createDataFrame([(k, round(float(z.real), 6) + 0.0, round(abs(float(z.imag)), 6)) for k, z in enumerate(w)], "k long, re double, im double")
-
-
-@query("toeplitz_product", "SELECT a.range AS i, round(sum((1.0 / (1 + abs(a.range - b.range))) * (b.range + 1)), 6) AS v FROM range(32) a, range(32) b GROUP BY a.range")
-def toeplitz_product(s, d):
-    c = 1 / (1 + np.arange(32.0))
-    y = kernels.toeplitz_apply(c, c, np.arange(1.0, 33.0))
-    return s.createDataFrame([(k, round(float(x), 6)) for k, x in enumerate(y)], "i long, v double")
-
-
-@query("spline_interpolation")
-def spline_interpolation(s, d):
-    t = np.linspace(0, 1, 12)
-    u, knots, control = kernels.spline_interpolate(np.stack([t, np.sin(math.pi * t)], 1), 3)
-    rows = [(float(x), *map(float, kernels.spline_eval(x, 3, knots, control))) for x in np.linspace(0, 1, 50)]
-    return s.createDataFrame(rows, "u double, x double, y double")
-
-
-@query("power_iteration")
-def power_iteration(s, d):
-    """Hundreds of steps until it converges: on the Gram matrix of all rows, 64 x 64 numbers held on the driver."""
-    a = dense.gram_arrays(table(s, d, "embeddings"), "embedding", 64) + np.eye(64)
-    value, _ = solvers.power_iteration(lambda x: a @ x, 64)
-    return s.createDataFrame([(round(float(value), 3),)], "v double")
-
-
-# ---- over all vectors what the queries of these names above do for the first: 4 x 4 x 4 x vectors
-
 A_SQL = """n AS (SELECT CAST(max(vec_id) + 1 AS BIGINT) AS n FROM embeddings),
 c AS (SELECT (k - 1) % 4 AS d0, (k - 1) // 4 % 4 AS d1, (k - 1) // 16 AS d2, vec_id AS d3, v FROM (SELECT vec_id, CAST(generate_subscripts(embedding, 1) AS BIGINT) AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings))"""
 
@@ -465,127 +232,127 @@ def _cubes(s, d):
     return Tensor(e.df.select(F.col("j").alias("d0"), F.col("i").alias("d1"), "v"), (64, n)).reshape((4, 4, 4, n))
 
 
-@query("tensor_slice_whole", f"WITH {A_SQL} SELECT d0 - 1 AS d0, d1, d2 - 2 AS d2, d3, {R} FROM c WHERE d0 BETWEEN 1 AND 2 AND d1 < 3 AND d2 >= 2")
-def tensor_slice_whole(s, d):
+@query("tensor_slice", f"WITH {A_SQL} SELECT d0 - 1 AS d0, d1, d2 - 2 AS d2, d3, {R} FROM c WHERE d0 BETWEEN 1 AND 2 AND d1 < 3 AND d2 >= 2")
+def tensor_slice(s, d):
     c = _cubes(s, d)
     return _out(c.slice((1, 0, 2, 0), (2, 3, 2, c.dims[3])))
 
 
-@query("tensor_strided_slice_whole", f"WITH {A_SQL} SELECT d0 // 2 AS d0, 3 - d1 AS d1, d2, d3, {R} FROM c WHERE d0 % 2 = 0 AND d1 > 0")
-def tensor_strided_slice_whole(s, d):
+@query("tensor_strided_slice", f"WITH {A_SQL} SELECT d0 // 2 AS d0, 3 - d1 AS d1, d2, d3, {R} FROM c WHERE d0 % 2 = 0 AND d1 > 0")
+def tensor_strided_slice(s, d):
     c = _cubes(s, d)
     return _out(c.strided_slice((0, 3, 0, 0), (4, 0, 4, c.dims[3]), (2, -1, 1, 1)))
 
 
-@query("chip_whole", f"WITH {A_SQL} SELECT d0, d2 AS d1, d3 AS d2, {R} FROM c WHERE d1 = 2")
-def chip_whole(s, d):
+@query("chip", f"WITH {A_SQL} SELECT d0, d2 AS d1, d3 AS d2, {R} FROM c WHERE d1 = 2")
+def chip(s, d):
     return _out(_cubes(s, d).chip(1, 2))
 
 
-@query("roll_whole", f"WITH {A_SQL} SELECT (d0 + 3) % 4 AS d0, d1, (d2 + 2) % 4 AS d2, (d3 + n - 3) % n AS d3, {R} FROM c, n")
-def roll_whole(s, d):
+@query("roll", f"WITH {A_SQL} SELECT (d0 + 3) % 4 AS d0, d1, (d2 + 2) % 4 AS d2, (d3 + n - 3) % n AS d3, {R} FROM c, n")
+def roll(s, d):
     return _out(_cubes(s, d).roll((1, 0, 2, 3)))
 
 
-@query("tensor_reverse_whole", f"WITH {A_SQL} SELECT 3 - d0 AS d0, d1, 3 - d2 AS d2, n - 1 - d3 AS d3, {R} FROM c, n")
-def tensor_reverse_whole(s, d):
+@query("tensor_reverse", f"WITH {A_SQL} SELECT 3 - d0 AS d0, d1, 3 - d2 AS d2, n - 1 - d3 AS d3, {R} FROM c, n")
+def tensor_reverse(s, d):
     return _out(_cubes(s, d).reverse((True, False, True, True)))
 
 
-@query("shuffle_whole", f"WITH {A_SQL} SELECT d3 AS d0, d2 AS d1, d0 AS d2, d1 AS d3, {R} FROM c")
-def shuffle_whole(s, d):
+@query("shuffle", f"WITH {A_SQL} SELECT d3 AS d0, d2 AS d1, d0 AS d2, d1 AS d3, {R} FROM c")
+def shuffle(s, d):
     return _out(_cubes(s, d).shuffle((3, 2, 0, 1)))
 
 
-@query("stride_whole", f"WITH {A_SQL} SELECT d0 // 2 AS d0, d1, d2 // 3 AS d2, d3, {R} FROM c WHERE d0 % 2 = 0 AND d2 % 3 = 0")
-def stride_whole(s, d):
+@query("stride", f"WITH {A_SQL} SELECT d0 // 2 AS d0, d1, d2 // 3 AS d2, d3, {R} FROM c WHERE d0 % 2 = 0 AND d2 % 3 = 0")
+def stride(s, d):
     return _out(_cubes(s, d).stride((2, 1, 3, 1)))
 
 
-@query("inflate_whole", f"WITH {A_SQL} SELECT d0 * 2 AS d0, d1 * 3 AS d1, d2, d3 * 2 AS d3, {R} FROM c")
-def inflate_whole(s, d):
+@query("inflate", f"WITH {A_SQL} SELECT d0 * 2 AS d0, d1 * 3 AS d1, d2, d3 * 2 AS d3, {R} FROM c")
+def inflate(s, d):
     return _out(_cubes(s, d).inflate((2, 3, 1, 2)))
 
 
-@query("pad_whole", f"WITH {A_SQL}, w AS (SELECT unnest(range((SELECT n + 2 FROM n))) AS d3), g AS (SELECT a.range AS d0, b.range AS d1, z.range AS d2, w.d3 FROM range(6) a, range(4) b, range(5) z, w) SELECT g.d0, g.d1, g.d2, g.d3, round(coalesce(c.v, 9), 6) + 0.0 AS v FROM g LEFT JOIN c ON c.d0 = g.d0 - 1 AND c.d1 = g.d1 AND c.d2 = g.d2 AND c.d3 = g.d3")
-def pad_whole(s, d):
+@query("pad", f"WITH {A_SQL}, w AS (SELECT unnest(range((SELECT n + 2 FROM n))) AS d3), g AS (SELECT a.range AS d0, b.range AS d1, z.range AS d2, w.d3 FROM range(6) a, range(4) b, range(5) z, w) SELECT g.d0, g.d1, g.d2, g.d3, round(coalesce(c.v, 9), 6) + 0.0 AS v FROM g LEFT JOIN c ON c.d0 = g.d0 - 1 AND c.d1 = g.d1 AND c.d2 = g.d2 AND c.d3 = g.d3")
+def pad(s, d):
     return _out(_cubes(s, d).pad(((1, 1), (0, 0), (0, 1), (0, 2)), 9.0))
 
 
-@query("tensor_broadcast_whole", f"WITH {A_SQL} SELECT d0 + 4 * a.range AS d0, d1, d2 + 4 * b.range AS d2, d3 + n * z.range AS d3, {R} FROM c, n, range(2) a, range(3) b, range(2) z")
-def tensor_broadcast_whole(s, d):
+@query("tensor_broadcast", f"WITH {A_SQL} SELECT d0 + 4 * a.range AS d0, d1, d2 + 4 * b.range AS d2, d3 + n * z.range AS d3, {R} FROM c, n, range(2) a, range(3) b, range(2) z")
+def tensor_broadcast(s, d):
     return _out(_cubes(s, d).broadcast((2, 1, 3, 2)))
 
 
-@query("tensor_concatenate_whole", f"WITH {A_SQL} SELECT d0, d1, d2, d3, {R} FROM c UNION ALL SELECT d0, d1, d2, d3 + n, {R} FROM c, n")
-def tensor_concatenate_whole(s, d):
+@query("tensor_concatenate", f"WITH {A_SQL} SELECT d0, d1, d2, d3, {R} FROM c UNION ALL SELECT d0, d1, d2, d3 + n, {R} FROM c, n")
+def tensor_concatenate(s, d):
     c = _cubes(s, d)
     return _out(c.concatenate(c, 3))
 
 
-@query("index_pairs_whole", f"WITH {A_SQL} SELECT d0 + 4 * d1 + 16 * d2 + 64 * d3 AS index, {R} FROM c")
-def index_pairs_whole(s, d):
+@query("index_pairs", f"WITH {A_SQL} SELECT d0 + 4 * d1 + 16 * d2 + 64 * d3 AS index, {R} FROM c")
+def index_pairs(s, d):
     return _cubes(s, d).index_pairs().select("index", r6(v()).alias("v"))
 
 
-@query("tensor_reduce_dims_whole", f"WITH {A_SQL} SELECT d1 AS d0, d3 AS d1, round(sum(v), 6) + 0.0 AS total, round(max(v), 6) + 0.0 AS high, round(sum(v) / 16, 6) + 0.0 AS mean FROM c GROUP BY c.d1, c.d3")
-def tensor_reduce_dims_whole(s, d):
+@query("tensor_reduce_dims", f"WITH {A_SQL} SELECT d1 AS d0, d3 AS d1, round(sum(v), 6) + 0.0 AS total, round(max(v), 6) + 0.0 AS high, round(sum(v) / 16, 6) + 0.0 AS mean FROM c GROUP BY c.d1, c.d3")
+def tensor_reduce_dims(s, d):
     c = _cubes(s, d)
     a, b, m = (f([0, 2]).df.withColumnRenamed("v", n) for f, n in ((c.sum, "total"), (c.maximum, "high"), (c.mean, "mean")))
     return a.join(b, ["d0", "d1"]).join(m, ["d0", "d1"]).select("d0", "d1", *[r6(n).alias(n) for n in ("total", "high", "mean")])
 
 
-@query("tensor_argmax_whole", f"WITH {A_SQL} SELECT d0, d2 AS d1, d3 AS d2, arg_max(d1, v) AS v FROM c GROUP BY c.d0, c.d2, c.d3")
-def tensor_argmax_whole(s, d):
+@query("tensor_argmax", f"WITH {A_SQL} SELECT d0, d2 AS d1, d3 AS d2, arg_max(d1, v) AS v FROM c GROUP BY c.d0, c.d2, c.d3")
+def tensor_argmax(s, d):
     return _cubes(s, d).arg_extreme(1).df
 
 
-@query("tensor_argmax_flat_whole", f"WITH {A_SQL} SELECT d0 + 4 * d1 + 16 * d2 + 64 * d3 AS v FROM c ORDER BY c.v DESC, 1 LIMIT 1")
-def tensor_argmax_flat_whole(s, d):
+@query("tensor_argmax_flat", f"WITH {A_SQL} SELECT d0 + 4 * d1 + 16 * d2 + 64 * d3 AS v FROM c ORDER BY c.v DESC, 1 LIMIT 1")
+def tensor_argmax_flat(s, d):
     return _cubes(s, d).arg_extreme()
 
 
-@query("tensor_trace_whole", f"WITH {A_SQL} SELECT d2 AS d0, d3 AS d1, round(sum(v), 6) + 0.0 AS v FROM c WHERE c.d0 = c.d1 GROUP BY c.d2, c.d3")
-def tensor_trace_whole(s, d):
+@query("tensor_trace", f"WITH {A_SQL} SELECT d2 AS d0, d3 AS d1, round(sum(v), 6) + 0.0 AS v FROM c WHERE c.d0 = c.d1 GROUP BY c.d2, c.d3")
+def tensor_trace(s, d):
     return _out(_cubes(s, d).trace((0, 1)))
 
 
-@query("tensor_cumsum_whole", f"WITH {A_SQL} SELECT d0, d1, d2, d3, round(sum(v) OVER (PARTITION BY d0, d1, d3 ORDER BY d2), 6) + 0.0 AS v FROM c")
-def tensor_cumsum_whole(s, d):
+@query("tensor_cumsum", f"WITH {A_SQL} SELECT d0, d1, d2, d3, round(sum(v) OVER (PARTITION BY d0, d1, d3 ORDER BY d2), 6) + 0.0 AS v FROM c")
+def tensor_cumsum(s, d):
     return _out(_cubes(s, d).cumsum(2))
 
 
-@query("convolve_2d_whole", f"WITH {A_SQL}, k AS (SELECT * FROM (VALUES (0, 0, 1.0), (0, 1, 2.0), (1, 0, -1.0), (1, 1, 0.5)) t(p, q, w)) SELECT d0 - p AS d0, d1 - q AS d1, d2, d3, round(sum(v * CAST(w AS DOUBLE)), 6) + 0.0 AS v FROM c, k WHERE d0 - p BETWEEN 0 AND 2 AND d1 - q BETWEEN 0 AND 2 GROUP BY ALL")
-def convolve_2d_whole(s, d):
+@query("convolve_2d", f"WITH {A_SQL}, k AS (SELECT * FROM (VALUES (0, 0, 1.0), (0, 1, 2.0), (1, 0, -1.0), (1, 1, 0.5)) t(p, q, w)) SELECT d0 - p AS d0, d1 - q AS d1, d2, d3, round(sum(v * CAST(w AS DOUBLE)), 6) + 0.0 AS v FROM c, k WHERE d0 - p BETWEEN 0 AND 2 AND d1 - q BETWEEN 0 AND 2 GROUP BY ALL")
+def convolve_2d(s, d):
     return _out(_cubes(s, d).convolve([[1.0, 2.0], [-1.0, 0.5]], (0, 1)))
 
 
-@query("patches_2d_whole", f"WITH {A_SQL} SELECT a.range AS d0, b.range AS d1, CAST(0 AS BIGINT) AS d2, CAST(0 AS BIGINT) AS d3, (d0 - a.range) + 3 * (d1 - b.range) + 9 * d2 + 36 * d3 AS d4, {R} FROM c, range(2) a, range(2) b WHERE c.d0 - a.range BETWEEN 0 AND 2 AND c.d1 - b.range BETWEEN 0 AND 2")
-def patches_2d_whole(s, d):
+@query("patches_2d", f"WITH {A_SQL} SELECT a.range AS d0, b.range AS d1, CAST(0 AS BIGINT) AS d2, CAST(0 AS BIGINT) AS d3, (d0 - a.range) + 3 * (d1 - b.range) + 9 * d2 + 36 * d3 AS d4, {R} FROM c, range(2) a, range(2) b WHERE c.d0 - a.range BETWEEN 0 AND 2 AND c.d1 - b.range BETWEEN 0 AND 2")
+def patches_2d(s, d):
     return _out(_cubes(s, d).patches((2, 2, 1, 1)))
 
 
-@query("image_patches_whole", f"WITH {A_SQL} SELECT d2 AS d0, d3 AS d1, p.range AS d2, q.range AS d3, x.range + y.range * 2 AS d4, {R} FROM c, range(2) p, range(2) q, range(2) x, range(2) y WHERE c.d0 = x.range * 2 + p.range AND c.d1 = y.range * 2 + q.range")
-def image_patches_whole(s, d):
+@query("image_patches", f"WITH {A_SQL} SELECT d2 AS d0, d3 AS d1, p.range AS d2, q.range AS d3, x.range + y.range * 2 AS d4, {R} FROM c, range(2) p, range(2) q, range(2) x, range(2) y WHERE c.d0 = x.range * 2 + p.range AND c.d1 = y.range * 2 + q.range")
+def image_patches(s, d):
     return _out(_cubes(s, d).image_patches((0, 1), (2, 2), (2, 2)))
 
 
-@query("contract_3way_whole", f"WITH {A_SQL} SELECT a.d0, b.d2 AS d1, round(sum(a.v * b.v), 6) + 0.0 AS v FROM c a JOIN c b ON a.d1 = b.d0 AND a.d2 = b.d1 AND a.d3 = b.d3 GROUP BY a.d0, b.d2")
-def contract_3way_whole(s, d):
+@query("contract_3way", f"WITH {A_SQL} SELECT a.d0, b.d2 AS d1, round(sum(a.v * b.v), 6) + 0.0 AS v FROM c a JOIN c b ON a.d1 = b.d0 AND a.d2 = b.d1 AND a.d3 = b.d3 GROUP BY a.d0, b.d2")
+def contract_3way(s, d):
     c = _cubes(s, d)
     return _out(c.contract(c, [(1, 0), (2, 1), (3, 3)]))
 
 
-@query("dft_small_whole", f"{EW} SELECT k.range AS d0, i AS d1, round(sum(v * cos(2 * pi() * k.range * j / 64)), 6) + 0.0 AS re, round(sum(-v * sin(2 * pi() * k.range * j / 64)), 6) + 0.0 AS im FROM e, range(64) k GROUP BY k.range, i")
-def dft_small_whole(s, d):
+@query("dft", f"{EW} SELECT k.range AS d0, i AS d1, round(sum(v * cos(2 * pi() * k.range * j / 64)), 6) + 0.0 AS re, round(sum(-v * sin(2 * pi() * k.range * j / 64)), 6) + 0.0 AS im FROM e, range(64) k GROUP BY k.range, i")
+def dft(s, d):
     t = Tensor(embeddings(s, d).df.select(F.col("j").alias("d0"), F.col("i").alias("d1"), "v"), (64, 1 << 40))
     return t.fft([0]).select("d0", "d1", r6("re").alias("re"), r6("im").alias("im"))
 
 
-@query("cumprod_whole", f"WITH {S_SQL}, x AS (SELECT d0, d1, v / 50 AS x FROM s) SELECT d0, d1, CASE WHEN bool_or(x = 0) OVER w THEN 0 WHEN count(*) FILTER (x < 0) OVER w % 2 = 1 THEN -1 ELSE 1 END AS sign, round(sum(CASE WHEN x = 0 THEN 0 ELSE ln(abs(x)) END) OVER w, 6) + 0.0 AS log FROM x WINDOW w AS (PARTITION BY d0 ORDER BY d1)")
-def cumprod_whole(s, d):
+@query("cumprod_series", f"WITH {S_SQL}, x AS (SELECT d0, d1, v / 50 AS x FROM s) SELECT d0, d1, CASE WHEN bool_or(x = 0) OVER w THEN 0 WHEN count(*) FILTER (x < 0) OVER w % 2 = 1 THEN -1 ELSE 1 END AS sign, round(sum(CASE WHEN x = 0 THEN 0 ELSE ln(abs(x)) END) OVER w, 6) + 0.0 AS log FROM x WINDOW w AS (PARTITION BY d0 ORDER BY d1)")
+def cumprod_series(s, d):
     """Running products of whole series as sign and log of the magnitude (of the factors that aren't zero): no series is too long for a double."""
     t = _series(s, d).map(lambda x: x / 50)
-    log = t.map(lambda x: F.when(x == 0, 0.0).otherwise(F.ln(F.abs(x)))).cumsum(1).df.withColumnRenamed("v", "log")
-    sign = t.map(lambda x: F.signum(x)).cumprod(1).df.withColumnRenamed("v", "sign")
+    log = t.map(lambda x: F.when(x == 0, 0.0).otherwise(F.ln(F.abs(x)))).cumsum(1, stored=True).df.withColumnRenamed("v", "log")
+    sign = t.map(lambda x: F.signum(x)).cumprod(1, stored=True).df.withColumnRenamed("v", "sign")
     return log.join(sign, ["d0", "d1"]).select("d0", "d1", F.col("sign").cast("int").alias("sign"), r6("log").alias("log"))
