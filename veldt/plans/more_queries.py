@@ -430,11 +430,11 @@ def cumsum_sparse_exclusive(s, d):
     return Tensor.from_matrix(m).cumsum(1, exclusive=True).df.select("d0", "d1", (F.round("v", 3) + F.lit(0.0)).alias("v"))
 
 
-@query("cumprod_sparse", f"WITH {D_SQL}, f AS (SELECT i, j, v / 100000 AS v, row_number() OVER (PARTITION BY i ORDER BY j) - 1 AS r FROM o) SELECT i AS d0, j AS d1, round(product(v) OVER (PARTITION BY i ORDER BY j), 5) + 0.0 AS v FROM f WHERE r = j")
+@query("cumprod_sparse", f"WITH {D_SQL}, f AS (SELECT i, j, v / 100000 AS v, row_number() OVER (PARTITION BY i ORDER BY j) - 1 AS r FROM o) SELECT i AS d0, j AS d1, round(product(v) OVER (PARTITION BY i ORDER BY j), 9) + 0.0 AS v FROM f WHERE r = j")
 def cumprod_sparse(s, d):
     """Running products end at the first missing place: there a factor is 0."""
     m = _debts(s, d).scale(-1e-5)
-    return Tensor.from_matrix(m).cumprod(1).df.select("d0", "d1", (F.round("v", 5) + F.lit(0.0)).alias("v"))
+    return Tensor.from_matrix(m).cumprod(1).df.select("d0", "d1", (F.round("v", 9) + F.lit(0.0)).alias("v"))
 
 
 @query("volume_patches", f"WITH {A_SQL} SELECT a.range AS d0, b.range AS d1, z.range AS d2, CAST(0 AS BIGINT) AS d3, (d0 - a.range) + 3 * (d1 - b.range) + 9 * (d2 - z.range) + 27 * d3 AS d4, {R} FROM c, range(2) a, range(2) b, range(2) z WHERE c.d0 - a.range BETWEEN 0 AND 2 AND c.d1 - b.range BETWEEN 0 AND 2 AND c.d2 - z.range BETWEEN 0 AND 2")
