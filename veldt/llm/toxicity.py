@@ -31,7 +31,7 @@ from veldt.llm._store import materialize, small_batches
 MAX_TOXIC = 6_000
 MAX_CLEAN = 12_000
 MIN_TEST = 20.0
-MIN_WEIGHT = 2.0
+MIN_WEIGHT = 3.0
 PREFIXES = (4, 5, 6)
 
 #: Function words of the grammar, in English, German, French and Spanish.
