@@ -407,10 +407,63 @@ def test_chained_copies_beyond_a_chunk_and_a_bucket(spark, monkeypatch, bucket,
     assert got == sorted(brute_components(docs))
 
 
+def test_documents_of_one_template_fall_apart(spark, monkeypatch):
+    """Half of each text is a template: candidates all, links none but the few near copies; prefixes cut the cluster before any sets meet."""
+    rng = np.random.default_rng(9)
+    template = [f"t{k}" for k in range(72)]
+    docs = [(k, " ".join(template + [f"u{k}x{j}" for j in range(25)])) for k in range(120)]
+    docs += [(500 + k, docs[k][1].replace(f"u{k}x{int(rng.integers(20))}", "changed")) for k in range(0, 120, 10)]
+    for name, value in (("FIRST", 10), ("CHUNK", 10)):
+        monkeypatch.setattr(near_dedup, name, value)
+    left = []
+    second = near_dedup._second_parts
+    monkeypatch.setattr(near_dedup, "_second_parts", lambda rooted, sizes: left.append(rooted.groupBy("cluster").count().agg(F.max("count")).first()[0]) or second(rooted, sizes))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == sorted(brute_components(docs)) and len({c for _, _, c in got}) == 120
+    assert left == [2]  # the template's cluster has fallen apart into pairs of copies
+
+
+def test_prefixes_lose_no_link():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 50, 1 << near_dedup.ORDER_BITS)
+
+    class Held:
+        value = counts
+
+    import pyarrow as pa
+
+    for _ in range(300):
+        n = int(rng.integers(1, 40))
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 62, rng.integers(0, 4)).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        batch = pa.RecordBatch.from_arrays([pa.array([0, 0]), pa.array([1, 2]), pa.array([a.tobytes(), b.tobytes()], pa.binary())], names=["c", "d", "h"])
+        (out,) = near_dedup._prefixes(Held, 75)([batch])
+        rows = list(zip(out["doc_id"].to_pylist(), out["shingle"].to_pylist()))
+        if both and 100 * both >= 75 * (len(a) + len(b) - both):
+            assert {t for d, t in rows if d == 1} & {t for d, t in rows if d == 2}
+
+
 def test_components(spark):
-    edges = [(k, k + 1) for k in range(1, 200)] + [(500, 501), (501, 502), (700, 700)]
-    got = {r["node"]: r["component"] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert all(got[k] == 1 for k in range(1, 201)) and got[502] == 500 and 700 not in got
+    rng = np.random.default_rng(8)
+    edges = [(k, k + 1) for k in range(1, 200)] + [(500, 501), (501, 502), (700, 700)]  # a chain, a short one, a loop
+    edges += [(1000 + int(k), 1000) for k in rng.permutation(300) + 1] + [(3000, 2000 + k) for k in range(300)]  # hubs: the smallest, and the largest node
+    shuffled = rng.permutation(64) + 5000
+    edges += [(int(shuffled[k]), int(shuffled[k // 2])) for k in range(1, 64)]  # a tree with its numbers mixed up
+    edges += [(int(a), int(b)) for a, b in rng.integers(6000, 6100, (60, 2))]  # a random graph
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = [(r["node"], r["component"]) for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert sorted(got) == sorted((x, find(x)) for x in {x for e in edges if e[0] != e[1] for x in e})
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 # ---- url filter

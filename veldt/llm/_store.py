@@ -64,12 +64,19 @@ def release(*tables: DataFrame) -> None:
 _SPREAD = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 
 
-def materialize(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+#: Rows of one file of a table whose number of rows is known to have a bound.
+FILE_ROWS = 250_000
+
+
+def materialize(df: DataFrame, name: str, compact: bool = False, most: int | None = None) -> DataFrame:
     """Write df to the shared folder and return the table read back: lineage ends here.
 
     compact is for plans without Python work that end in a shuffle: its partitions are then
     joined up to the advisory size, so a small table is one file and not one for each core.
+    most is a bound on the number of (short) rows: there are tasks and files in proportion.
     """
+    if most is not None:
+        df = df.coalesce(max(1, -(-most // FILE_ROWS)))
     spark = df.sparkSession
     path = fresh_path(spark, name)
     spread = spark.conf.get(_SPREAD)

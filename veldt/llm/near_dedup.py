@@ -10,12 +10,15 @@
    id by a join, a superset of its pairs, so no link is lost.
 4. The forests' components are candidate clusters. A broadcast Bloom filter of their ids (at
    most 16 MB) picks their texts where they lie, and only full sets are shuffled. Sets meet
-   once per cluster; a
-   breadth-first search over an inverted index finds the exact links. Clusters beyond
-   FIRST documents or CHUNK_BYTES are dealt to parts; each part is compared within itself
-   and with LEADERS documents of its cluster. What then hangs together needs no more pairs:
-   only documents outside the largest group of their cluster meet all others, in pairs of
-   chunks, so a cluster of copies of one text costs in proportion to its size.
+   once per cluster; a breadth-first search over an inverted index finds the exact links.
+   Clusters beyond FIRST documents or CHUNK_BYTES are dealt to parts; each part is compared
+   within itself and with LEADERS documents of its cluster, so a cluster of copies of one
+   text is done at a cost in proportion to its size. Where such a cluster isn't one group
+   yet, it is cut by prefixes: in any fixed order of shingles, two linked sets share one of
+   the first n - ceil(0.75 n) + 1 of their n. Rare shingles come first in the order, so
+   documents that share a template but aren't links fall apart; stars by (cluster, shingle)
+   and their components are the new clusters, no pairs are made. In these, documents outside
+   the largest group meet all others, in pairs of chunks.
 5. Components of the exact links give the smallest id of each group.
 
 Band misses: a pair at similarity 0.75 shares no band with probability
@@ -41,6 +44,9 @@ BUCKET = 4096
 FIRST = 2048
 CHUNK = 2048
 LEADERS = 16
+#: The order of shingles is learnt from so many documents (any order is exact), as counts in hash buckets.
+ORDER_DOCUMENTS = 4000
+ORDER_BITS = 18
 CHUNK_BYTES = 24 << 20
 FILTER_BITS = 27
 _MULTIPLY = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -283,31 +289,85 @@ def cluster_sets(members: DataFrame, n: int, rows: DataFrame) -> DataFrame:
     return materialize(known.mapInArrow(_sets(held), "doc_id long, held binary"), "sets")
 
 
+def _shingle_counts(batches):
+    """(bucket, n): how often shingles fall into each hash bucket, partial counts."""
+    total = np.zeros(1 << ORDER_BITS, np.int64)
+    for batch in batches:
+        for held in batch.column(0).to_pylist():
+            total += np.bincount((np.frombuffer(held, np.uint64) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+
+def _prefixes(order, percent: int):
+    """(cluster, shingle, doc_id): the rarest n - ceil(percent n / 100) + 1 shingles of each set."""
+
+    def run(batches):
+        counts = order.value
+        for batch in batches:
+            tokens, owners = [], []
+            for k, held in enumerate(batch.column(2).to_pylist()):
+                values = np.frombuffer(held, np.uint64)
+                n = len(values) + (-percent * len(values)) // 100 + 1
+                tokens.append(values[np.lexsort((values, counts[(values >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]))[:n]])
+                owners.append(np.full(len(tokens[-1]), k))
+            if tokens:
+                at = pa.array(np.concatenate(owners))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(tokens).view(np.int64)), batch.column(1).take(at)], names=["cluster", "shingle", "doc_id"])
+
+    return run
+
+
+def cut_clusters(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, cluster): large clusters cut into parts no link crosses; documents that are alone then are missing."""
+    spark = large.sparkSession
+    chosen = large.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(ORDER_DOCUMENTS)
+    counted = sets.join(F.broadcast(chosen), "doc_id", "left_semi").select("held").mapInArrow(_shingle_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << ORDER_BITS, np.int64)
+    counts[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    order = spark.sparkContext.broadcast(counts)
+    rows = large.select("cluster", "doc_id").join(sets, "doc_id").select("cluster", "doc_id", "held").mapInArrow(_prefixes(order, percent), "cluster long, shingle long, doc_id long")
+    rows = materialize(rows, "prefixes")
+    first = rows.groupBy("cluster", "shingle").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("cluster", "shingle", "x")
+    # read back, so that a shingle which most documents hold is split in the join
+    first = materialize(first, "prefix_firsts")
+    stars = rows.join(first, ["cluster", "shingle"]).where("doc_id != x").select(F.col("x").alias("a"), F.col("doc_id").alias("b"))
+    out = materialize(components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "cut_clusters", compact=True)
+    release(rows, first)
+    return out
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node of (u, v) is either below one other or above others: then the upper ones are the components."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    return ends.groupBy("n").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or (below > 0 and above > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of the edges (a, b).
 
-    Random contraction: each node joins the neighbour (or itself) with the smallest hash in
-    this round, edges are renamed, and loops fall away; about half of the nodes go each
-    round, chains included. Rounds are tables in the shared folder.
+    Alternating stars (Kiveris and others, "Connected components in MapReduce and beyond",
+    2014): every node first sends its larger neighbours, then its smaller ones, to the
+    smallest node it sees, until only stars are left. There are never more edges than at first,
+    a star of any size takes one round, and rounds grow with the logarithm of a chain's
+    length. A node's minimum comes from an aggregate that is written and joined back, so a
+    hub is split in the join. Rounds are tables in the shared folder.
     """
-    left = materialize(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    names = nodes.select("node", F.col("node").alias("root"))
-    k = 0
-    while not left.isEmpty():
-        both = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
-        best = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(k)).alias("h"), F.col("b").alias("id"))).alias("m"))
-        own = F.struct(F.xxhash64("a", F.lit(k)).alias("h"), F.col("a").alias("id"))
-        old = left, names
-        to = materialize(best.select(F.col("a").alias("old"), F.least(own, F.col("m"))["id"].alias("new")), f"to_{k}", compact=True)
-        renamed = left.join(to, left.a == to.old).select(F.col("new").alias("a"), "b")
-        renamed = renamed.join(to.withColumnsRenamed({"old": "old2", "new": "new2"}), F.col("b") == F.col("old2")).select("a", F.col("new2").alias("b")).where("a != b")
-        left = materialize(renamed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"edges_{k}", compact=True)
-        names = materialize(names.join(to, names.root == to.old, "left").select("node", F.coalesce("new", "root").alias("root")), f"names_{k}", compact=True)
-        release(to, *old)
+    stars = F.struct(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    left = materialize(edges.where("a != b").select(stars.alias("e")).select("e.*").distinct(), "edges")
+    k, most = 0, 2 * left.count()
+    while not _are_stars(left):
+        both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        lowest = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("w")), f"lowest_{k}", most=most)
+        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("w").alias("v")).distinct()
+        large = materialize(large, f"large_{k}", most=most)
+        lower = large.groupBy("u").agg(F.min("v").alias("w"))  # after the first step a node has few neighbours: minima only
+        small = large.join(lower, "u").where("v != w").select(F.col("v").alias("u"), F.col("w").alias("v"))
+        old = left
+        left = materialize(small.unionByName(lower.select("u", F.col("w").alias("v"))).distinct(), f"edges_{k}", most=most)
+        release(old, lowest, large)
         k += 1
-    smallest = names.groupBy("root").agg(F.min("node").alias("component"))
-    return names.join(smallest, "root").select("node", "component")
+    return left.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(left.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def _pieces(n: str, shingles: str, most: int) -> Column:
@@ -323,18 +383,23 @@ def _first_parts(members: DataFrame) -> DataFrame:
     return members.join(leaders, "doc_id", "left").select("cluster", F.when(F.col("leads"), every).otherwise(own).alias("parts"), "doc_id")
 
 
-def _second_parts(large: DataFrame, found: DataFrame) -> DataFrame:
-    """(cluster, parts, doc_id) in which every document outside its cluster's largest group meets all documents of the cluster."""
-    rooted = large.join(found, large.doc_id == found.node, "left").withColumn("root", F.coalesce("component", "doc_id"))
-    groups = rooted.groupBy("cluster", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    main = groups.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("n"), (F.sum("s") - F.max_by("s", F.struct("n", "root"))).alias("s"))
-    # clusters of one group are done
-    main = main.where("n > 0").select("cluster", "main", F.greatest(_pieces("n", "s", CHUNK), F.lit(1)).cast("long").alias("rest"))
-    rows = rooted.join(main, "cluster")
-    chunks = F.col("chunks").cast("long")
+def _rooted(clusters: DataFrame, joined: DataFrame) -> DataFrame:
+    """(cluster, doc_id, root): the group that each document of (cluster, doc_id) is in so far."""
+    return clusters.select("cluster", "doc_id").join(joined, F.col("doc_id") == F.col("node"), "left").select("cluster", "doc_id", F.coalesce("component", "doc_id").alias("root"))
+
+
+def _second_parts(rooted: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(cluster, parts, doc_id) in which every document outside its cluster's largest group meets all documents of the cluster; clusters of one group are done."""
+    rows = rooted.join(sizes, "doc_id")
+    groups = rows.groupBy("cluster", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    of_main = F.max_by(F.struct("root", "n", "s"), F.struct("n", "root"))
+    main = groups.groupBy("cluster").agg(of_main.alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > main.n")
+    main = main.select("cluster", F.col("main.root").alias("main"), _pieces("n", "s", CHUNK).cast("long").alias("chunks"), F.expr("n - main.n").alias("n"), F.expr("s - main.s").alias("s"))
+    main = main.select("cluster", "main", F.greatest("chunks", F.lit(1).cast("long")).alias("chunks"), F.greatest(_pieces("n", "s", CHUNK), F.lit(1)).cast("long").alias("rest"))
+    rows = rows.join(main, "cluster")
+    chunks, zero = F.col("chunks"), F.lit(0).cast("long")
     place = F.pmod(F.xxhash64("doc_id"), chunks)
     among = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("rest"))
-    zero = F.lit(0).cast("long")
     against = F.transform(F.sequence(zero, F.col("rest") - 1), lambda a: a * chunks + place)
     all_chunks = F.transform(F.sequence(zero, chunks - 1), lambda b: among * chunks + b)
     return rows.select("cluster", F.when(F.col("root") == F.col("main"), against).otherwise(F.array_union(against, all_chunks)).alias("parts"), "doc_id")
@@ -372,26 +437,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     large_buckets = materialize(buckets.where("large").select("key", "x"), "large_buckets", compact=True)
     stars = banded.join(large_buckets, "key").where("doc_id != x")
     near = near.unionByName(stars.select(F.col("x").alias("a"), F.col("doc_id").alias("b")))
-    clusters = materialize(components(near), "clusters")
-    sized = clusters.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    sized = materialize(sized.select(F.col("component").alias("cluster"), "n", "s", _pieces("n", "s", FIRST).alias("pieces")), "cluster_sizes", compact=True)
-    members = clusters.join(sized, clusters.component == sized.cluster).select("cluster", "pieces", _pieces("n", "s", CHUNK).alias("chunks"), F.col("node").alias("doc_id"))
-    n = sized.agg(F.sum("n")).first()[0] or 0
+    clusters = materialize(components(near), "clusters", compact=True)
+    n = clusters.count()
+    sizes = reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    members = clusters.select(F.col("component").alias("cluster"), F.col("node").alias("doc_id"))
+    total = members.join(sizes, "doc_id").groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).select("cluster", _pieces("n", "s", FIRST).alias("pieces"))
+    members = materialize(members.join(materialize(total, "cluster_sizes", most=n), "cluster").select("cluster", "doc_id", "pieces"), "members", most=n)
     sets_held = cluster_sets(members, n, rows)
     links = materialize(_exact(_first_parts(members), sets_held, percent), "links")
-    large = members.where("pieces > 1")
-    if not large.isEmpty():
-        large = materialize(large.join(reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id"), "large_clusters", compact=True)
-        found = components(links.join(large.select(F.col("doc_id").alias("a")), "a", "left_semi"))
-        left = materialize(_second_parts(large, found), "parts_left", compact=True)
-        links = links.unionByName(materialize(_exact(left, sets_held, percent), "links_left"))
-    # an exact copy hangs on its class's first id: those groups are stars, so they need no contraction
-    joined = materialize(components(links), "components")
-    release(buckets, large_buckets, clusters, sized, sets_held)
+    # an exact copy hangs on its class's first id: those groups are stars already
+    joined = materialize(components(links), "components", most=n)
+    if not members.where("pieces > 1").isEmpty():
+        rooted = _rooted(members.where("pieces > 1"), joined)
+        several = rooted.groupBy("cluster").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("cluster")
+        unsettled = materialize(rooted.join(several, "cluster", "left_semi"), "unsettled", most=n)
+        if not unsettled.isEmpty():
+            cut = cut_clusters(unsettled, sets_held, percent)
+            left = materialize(_second_parts(_rooted(cut, joined), sizes), "parts_left", most=n)
+            more = _exact(left, sets_held, percent)
+            joined = materialize(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components_left", most=n)
+    release(buckets, large_buckets, clusters, members, sets_held)
     firsts = same.select(F.col("a").alias("doc_id"), F.col("b").alias("first_id")).distinct()
     repeated = used.groupBy("doc_id").agg(F.min("one").alias("x"), F.max("one").alias("y")).where("x < y").limit(1)
     if not repeated.isEmpty():  # an id with several texts: its copies may join groups, so all links go through the components
-        joined = materialize(components(links.unionByName(same)), "components_all")
+        joined = materialize(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(same)), "components_all")
         firsts = firsts.where(F.lit(False))
     firsts = materialize(firsts, "copies", compact=True)
     out = sketches.select("doc_id", "n_shingles").join(firsts, "doc_id", "left").withColumn("_at", F.coalesce("first_id", "doc_id"))
