@@ -208,7 +208,7 @@ def generalized_schur(a: Matrix, b: Matrix) -> DataFrame:
     return on_block(a.hcat(b), run, "part string, i long, j long, v double")
 
 
-def tridiagonal_eigen(diagonal: Matrix, off: Matrix, vectors: bool = True) -> DataFrame:
+def tridiagonal_spectrum(diagonal: Matrix, off: Matrix, vectors: bool = True) -> DataFrame:
     """(part, i, j, v) of a symmetric tridiagonal matrix: S by bisection, V by inverse iteration."""
     n = diagonal.rows
 
