@@ -1,6 +1,7 @@
 """Matrices and tensors against NumPy, sources, streaming and distributed solvers."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,3 +321,40 @@ def test_wide_balls(spark):
     assert set(got) == want and len(got) == len(want)
     some = spatial.overlapping_pairs(df, df, ["x", "y"], 0.7, test=lambda a, b: a < b).count()
     assert some == sum(a < b for a, b in want)
+
+
+def joined_rows(spark, action):
+    """Rows that the joins of the action's jobs made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    result = action()
+    spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty(30_000)
+    runs, total = store.executionsList(), 0
+    for run in (runs.apply(n).executionId() for n in range(before, runs.size())):
+        nodes, found = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(n) for n in range(nodes.size())):
+            metrics = [node.metrics().apply(n) for n in range(node.metrics().size())] if "Join" in node.name() else []
+            total += sum(int(found.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and found.contains(m.accumulatorId()))
+    return result, total
+
+
+def crowd(spark, n, copies, seed):
+    """n places in one cell and one far out, each held by `copies` keys."""
+    xy = np.vstack([np.random.default_rng(seed).uniform(0.5, 3.5, (n - 1, 2)), [[4e3, -9e3]]])
+    df = pd.DataFrame([(k * n + i, *map(float, xy[i])) for k in range(copies) for i in range(n)], columns=["id", "x", "y"])
+    return df, spark.createDataFrame(df)
+
+
+def test_closest_pair_in_a_crowded_cell(spark):
+    """All places lie in one cell, in copies: few pairs are made, and ties go to the smallest keys."""
+    (p, left), (q, right) = crowd(spark, 700, 3, 1), crowd(spark, 600, 4, 2)
+    got, pairs = joined_rows(spark, lambda: spatial.closest_pair(left, right, ["x", "y"], 4.0).collect())
+    p, q = p[:699], q[:599]
+    dist = np.sqrt((p.x.values[:, None] - q.x.values) ** 2 + (p.y.values[:, None] - q.y.values) ** 2)
+    a, b = np.unravel_index(dist.argmin(), dist.shape)
+    far = 0.0  # both sets hold the same far place
+    assert [tuple(r) for r in got] == [(699, 599, far)] and dist[a, b] > 0
+    assert pairs < 100_000  # 2,100 x 2,400 before
+    got = spatial.closest_pair(left.where("x < 5"), right.where("x < 5"), ["x", "y"], 4.0).collect()
+    assert [tuple(r) for r in got] == [(a, b, pytest.approx(dist[a, b], rel=1e-12))]
+    assert [tuple(r) for r in spatial.closest_pair(left, right.where("false"), ["x", "y"], 4.0).collect()] == []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldt.operators.lineage import cut
@@ -13,6 +13,10 @@ from veldt.operators.lineage import cut
 
 #: A ball goes to at most so many cells of a level; wider ones go to the next, coarser level.
 SPREAD = 4
+#: Points that a query meets in its own cell, on average over queries and points; in more crowded grids cells are narrowed.
+CROWD = 8
+#: No cell is narrower than this part of the largest coordinate, so that rounding moves no point by more than a millionth of a cell; distances below this part of a cell's width are surely within its neighbours.
+FINEST, SURE = 1e-9, 1 - 1e-6
 
 
 def overlapping_pairs(left: DataFrame, right: DataFrame, axes: list[str], cell: float, key: str = "id", radius: str = "r", test: Callable[[Column, Column], Column] | None = None) -> DataFrame:
@@ -58,57 +62,96 @@ def within(df: DataFrame, axes: list[str], point: list[float], reach: float, rad
 def nearest(queries: DataFrame, points: DataFrame, axes: list[str], cell: float, key: str = "id", value: Callable[[Column], Column] | None = None) -> DataFrame:
     """(a, b, distance): the nearest point of each query, ties to the smallest key.
 
-    Queries look into the 3**d cells around theirs; what is found there within one cell's
-    width is surely the nearest. Queries without such a find go on with cells four times as
-    wide. There a cell stands for its points by their count and box only: a query first finds
-    the least distance that some box guarantees, and then meets the points of just those cells
-    whose boxes come nearer. value(distance), increasing, is minimised instead where given.
+    Equal places are searched once, for all their queries, and stand for their smallest key.
+    Crowded cells are narrowed to a quarter, again and again, until a query meets about CROWD
+    points of its own cell. Queries look into the 3**d cells around theirs; what is found there
+    within one cell's width is surely the nearest. Queries without such a find go on with cells
+    four times as wide. There a cell stands for its points by their box only: a query finds the
+    least distance that some box guarantees, goes down into the cells whose boxes come nearer,
+    level by level, and then meets the points of those cells. value(distance), increasing, is
+    minimised instead where given. Queries without all coordinates have no nearest.
     """
-    left = queries.select(F.col(key).alias("a"), *axes)
-    rows = points.select(F.col(key).alias("b"), *[F.col(x).alias(f"{x}2") for x in axes])
+    left = _located(queries, axes).select(F.col(key).alias("a"), *axes)
+    found = _nearest_of_places(left.select(*axes).distinct(), _located(points, axes).groupBy(*axes).agg(F.min(key).alias("b")), axes, cell)
+    out = left.join(found, axes).groupBy("a").agg(F.min(F.struct("distance", "b")).alias("m")).select("a", "m.b", "m.distance")
+    return out if value is None else out.withColumn("distance", value(F.col("distance")))
+
+
+def _located(df: DataFrame, axes: list[str]) -> DataFrame:
+    return df.where(reduce(lambda s, t: s & t, [F.col(x).isNotNull() & ~F.isnan(x) for x in axes]))
+
+
+def _nearest_of_places(left: DataFrame, points: DataFrame, axes: list[str], cell: float) -> DataFrame:
+    """(axes, b, distance) for each of the places `left`, all different, as are those of points (axes, b)."""
+    names = [f"_c{x}" for x in axes]
     square = lambda parts: reduce(lambda s, t: s + t, [p * p for p in parts])
     gap = F.sqrt(square([F.col(x) - F.col(f"{x}2") for x in axes]))
-    cells = rows
-    for x in axes:
-        cells = cells.withColumn(f"_c{x}", F.floor(F.col(f"{x}2") / cell))
-    names = [f"_c{x}" for x in axes]
-    probe = left
-    for x in axes:
-        at = F.floor(F.col(x) / cell)
-        probe = probe.withColumn(f"_c{x}", F.explode(F.sequence(at - 1, at + 1)))
-    best = F.min(F.struct(gap.alias("distance"), "b")).alias("m")
-    found = probe.join(cells, names).groupBy("a").agg(best)
-    out = cut(found.where(F.col("m.distance") <= cell).select("a", F.col("m.b").alias("b"), F.col("m.distance").alias("distance")))
-    left = cut(left.join(out.select("a"), "a", "left_anti"))
-    if not left.isEmpty():
-        # each cell's box; wide cells group the boxes
-        boxes = cut(cells.groupBy(*names).agg(*[f(f"{x}2").alias(f"{x}_{n}") for x in axes for n, f in (("low", F.min), ("high", F.max))]))
-        wide, most_widenings = cell, 0 if boxes.isEmpty() else 60
-        for _ in range(most_widenings):
-            wide *= 4
-            near = left
-            for x in axes:
-                at = F.floor(F.col(x) / wide)
-                near = near.withColumn(f"_w{x}", F.explode(F.sequence(at - 1, at + 1)))
-            grouped = boxes
-            for x in axes:
-                grouped = grouped.withColumn(f"_w{x}", F.floor((F.col(f"_c{x}") + 0.5) * cell / wide))
-            pairs = near.join(grouped, [f"_w{x}" for x in axes])
-            least = F.sqrt(square([F.greatest(F.col(f"{x}_low") - F.col(x), F.col(x) - F.col(f"{x}_high"), F.lit(0.0)) for x in axes]))
-            most = F.sqrt(square([F.greatest(F.col(x) - F.col(f"{x}_low"), F.col(f"{x}_high") - F.col(x)) for x in axes]))
-            pairs = cut(pairs.select("a", *axes, *names, least.alias("least"), most.alias("most")))
-            # a point within `wide` of the query lies in one of its 3**d wide cells
-            ready = pairs.groupBy("a").agg(F.min("most").alias("reach")).where(F.col("reach") <= wide * (1 - 1e-9))
-            todo = pairs.join(ready, "a").where(F.col("least") <= F.col("reach")).select("a", *axes, *names)
-            found = todo.join(cells, names).groupBy("a").agg(best)
-            sure = cut(found.select("a", F.col("m.b").alias("b"), F.col("m.distance").alias("distance")))
-            out = out.unionByName(sure)
-            left = cut(left.join(sure.select("a"), "a", "left_anti"))
-            if left.isEmpty():
-                break
-    return out if value is None else out.withColumn("distance", value(F.col("distance")))
+
+    def gridded(df: DataFrame, width: float, tail: str = "") -> DataFrame:
+        return df.withColumns({f"_c{x}": F.floor(F.col(f"{x}{tail}") / width) for x in axes})
+
+    def spread(df: DataFrame) -> DataFrame:
+        for c in names:
+            df = df.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+        return df
+
+    left, rows = cut(left), cut(points.select(*[F.col(x).alias(f"{x}2") for x in axes], "b"))
+    sizes = [df.agg(F.count("*"), *[F.max(F.abs(f"{x}{tail}")) for x in axes]).first() for df, tail in ((left, ""), (rows, "2"))]
+    n_left, n_rows = sizes[0][0], sizes[1][0]
+    if not n_left or not n_rows:
+        return left.join(rows, F.lit(False)).select(*axes, "b", gap.alias("distance"))
+    finest = max(float(x) for row in sizes for x in row[1:]) * FINEST
+    while cell / 4 >= finest:
+        there = gridded(rows, cell, "2").groupBy(*names).agg(F.count("*").cast("double").alias("n"))
+        met = gridded(left, cell).groupBy(*names).agg(F.count("*").cast("double").alias("m")).join(there, names).agg(F.sum(F.col("m") * F.col("n"))).first()[0]
+        if (met or 0) <= CROWD * (n_left + n_rows):
+            break
+        cell /= 4
+    cells = gridded(rows, cell, "2")
+
+    def best(probe: DataFrame, points: DataFrame, again: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The least distance first, then the smallest key at it: both aggregate without sorting the pairs."""
+        least = probe.join(points, names).groupBy(*axes).agg(F.min(gap).alias("distance"))
+        return again(least).join(points, names).where(gap == F.col("distance")).groupBy(*axes, "distance").agg(F.min("b").alias("b")).select(*axes, "b", "distance")
+
+    # the smaller side is copied to the cells around
+    around, near = (lambda df: gridded(df, cell), spread(cells)) if n_rows <= n_left else (lambda df: spread(gridded(df, cell)), cells)
+    out = cut(best(around(left), near, lambda least: around(least.where(F.col("distance") <= cell * SURE))))
+    left = cut(left.join(out.select(*axes), axes, "left_anti"))
+    if left.isEmpty():
+        return out
+    # levels[k]: the boxes of the points in cells 4 ** k times as wide
+    levels = [cut(cells.groupBy(*names).agg(*[f(f"{x}2").alias(f"{x}_{n}") for x in axes for n, f in (("low", F.min), ("high", F.max))]))]
+    least = F.sqrt(square([F.greatest(F.col(f"{x}_low") - F.col(x), F.col(x) - F.col(f"{x}_high"), F.lit(0.0)) for x in axes]))
+    most = F.sqrt(square([F.greatest(F.col(x) - F.col(f"{x}_low"), F.col(f"{x}_high") - F.col(x)) for x in axes]))
+    parents = {f"_w{x}": F.floor((F.col(f"_c{x}") + 0.5) / 4) for x in axes}
+    of_place = Window.partitionBy(*axes)
+
+    def down(df: DataFrame, level: int) -> DataFrame:
+        """From cells of a level to those within them whose boxes may hold the nearest."""
+        to = df.select(*axes, *[F.col(f"_c{x}").alias(f"_w{x}") for x in axes]).join(levels[level - 1].withColumns(parents), list(parents))
+        to = to.select(*axes, *names, least.alias("least"), F.min(most).over(of_place).alias("reach"))
+        return to.where(F.col("least") <= F.col("reach"))
+
+    for level in range(1, 61):
+        wide = cell * 4.0**level
+        # a point within `wide` of the query lies in one of its 3**d wide cells
+        todo = down(spread(gridded(left, wide)), level).where(F.col("reach") <= wide * SURE)
+        for lower in range(level - 1, 0, -1):
+            todo = down(todo, lower)
+        todo = cut(todo.select(*axes, *names))
+        sure = cut(best(todo, cells, lambda least: todo.join(least, axes)))
+        out = out.unionByName(sure)
+        left = cut(left.join(sure.select(*axes), axes, "left_anti"))
+        if left.isEmpty():
+            break
+        levels.append(cut(levels[-1].withColumns(parents).groupBy(*parents).agg(*[f(f"{x}_{n}").alias(f"{x}_{n}") for x in axes for n, f in (("low", F.min), ("high", F.max))]).withColumnsRenamed({f"_w{x}": f"_c{x}" for x in axes})))
+    return out
 
 
 def closest_pair(left: DataFrame, right: DataFrame, axes: list[str], cell: float, key: str = "id") -> DataFrame:
-    """(a, b, distance): the least distance between two sets, by each left point's nearest."""
-    return nearest(left, right, axes, cell, key).agg(F.min(F.struct("distance", "a", "b")).alias("m")).select("m.a", "m.b", "m.distance")
+    """(a, b, distance): the least distance between two sets, by the nearest of each place; ties to the smallest a, then b."""
+    left = _located(left, axes).select(F.col(key).alias("a"), *axes)
+    found = _nearest_of_places(left.select(*axes).distinct(), _located(right, axes).groupBy(*axes).agg(F.min(key).alias("b")), axes, cell)
+    closest = found.join(F.broadcast(found.agg(F.min("distance").alias("distance"))), "distance")
+    return left.join(closest, axes).agg(F.min(F.struct("distance", "a", "b")).alias("m")).where("m IS NOT NULL").select("m.a", "m.b", "m.distance")
