@@ -358,3 +358,15 @@ def test_closest_pair_in_a_crowded_cell(spark):
     got = spatial.closest_pair(left.where("x < 5"), right.where("x < 5"), ["x", "y"], 4.0).collect()
     assert [tuple(r) for r in got] == [(a, b, pytest.approx(dist[a, b], rel=1e-12))]
     assert [tuple(r) for r in spatial.closest_pair(left, right.where("false"), ["x", "y"], 4.0).collect()] == []
+
+
+def test_nearest_in_a_crowded_cell(spark):
+    """Keys at one place share its search; distances of 0 and ties go to the smallest key; a far place is found as well."""
+    (p, left), (q, right) = crowd(spark, 700, 3, 1), crowd(spark, 600, 4, 2)
+    got, pairs = joined_rows(spark, lambda: spatial.nearest(left, right, ["x", "y"], 4.0).collect())
+    dist = np.sqrt((p.x.values[:, None] - q.x.values) ** 2 + (p.y.values[:, None] - q.y.values) ** 2)
+    at = dist.argmin(axis=1)
+    assert {r["a"]: (r["b"], r["distance"]) for r in got} == {k: (b, pytest.approx(dist[k, b], rel=1e-12)) for k, b in enumerate(at)} and len(got) == len(p)
+    assert pairs < 100_000  # 2,100 x 2,400 before
+    lost = left.unionByName(spark.createDataFrame([(-1, None, 1.0), (-2, float("nan"), 1.0)], left.schema))
+    assert spatial.nearest(lost, right, ["x", "y"], 4.0).count() == len(p)
