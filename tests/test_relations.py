@@ -370,3 +370,18 @@ def test_nearest_in_a_crowded_cell(spark):
     assert pairs < 100_000  # 2,100 x 2,400 before
     lost = left.unionByName(spark.createDataFrame([(-1, None, 1.0), (-2, float("nan"), 1.0)], left.schema))
     assert spatial.nearest(lost, right, ["x", "y"], 4.0).count() == len(p)
+
+
+def test_salted_product_is_never_broadcast(spark, sf, tmp_path):
+    """The copies of the right side are eight times what Spark takes them for; repeated entries are added up."""
+    rows = [(int(i), int(k), float(v)) for i, k, v in zip(RNG.integers(0, 9, 400), RNG.integers(0, 5, 400), RNG.integers(-4, 5, 400))]
+    left = Matrix(spark.createDataFrame(rows, "i long, j long, v double"), 1 << 40, 1 << 40)
+    right = Matrix(spark.createDataFrame([(k, k % 2, k + 0.5) for k in range(5)], "i long, j long, v double"), 1 << 40, 64)
+    want = np.zeros((9, 2))
+    for i, k, v in rows:
+        want[i, k % 2] += v * (k + 0.5)
+    got = left.product(right, salts=8)
+    assert {(r["i"], r["j"]): r["v"] for r in got.df.collect()} == {(i, j): pytest.approx(want[i, j]) for i in range(9) for j in range(2)}
+    for df in (got.df, catalog.QUERIES["salted_product"](spark, sf)):
+        df.write.parquet(str(tmp_path / str(id(df))))
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

@@ -333,9 +333,10 @@ def user_visitor(s, d):
 
 @query("salted_product", f"WITH {L_SQL} SELECT l.i, CAST(p_size AS BIGINT) AS j, round(sum(l.v * p_retailprice), 6) + 0.0 AS v FROM l JOIN part ON p_partkey = l.j GROUP BY ALL")
 def salted_product(s, d):
-    """As spmm_order_size, the inner index dealt to eight salts."""
+    """As spmm_order_size, the inner index dealt to eight salts; the product's sum adds up repeated line items, too."""
+    y = table(s, d, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_quantity").alias("v"))
     x = Matrix(table(s, d, "part").select(F.col("p_partkey").alias("i"), F.col("p_size").cast("long").alias("j"), F.col("p_retailprice").alias("v")), 1 << 40, 64)
-    return rounded(lineitems(s, d).product(x, salts=8))
+    return rounded(Matrix(y, 1 << 40, 1 << 40).product(x, salts=8))
 
 
 # ---- tensors
