@@ -1,5 +1,6 @@
 """Matrices and tensors against NumPy, sources, streaming and distributed solvers."""
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -385,3 +386,19 @@ def test_salted_product_is_never_broadcast(spark, sf, tmp_path):
     for df in (got.df, catalog.QUERIES["salted_product"](spark, sf)):
         df.write.parquet(str(tmp_path / str(id(df))))
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlap_at_the_rim(spark, tmp_path):
+    """Balls that touch at the rim, or almost: pairs as in the SQL, whose decimal radii sum up exactly."""
+    at, nation = RNG.integers(-99_999, 999_999, 400) / 100, RNG.integers(0, 25, 400)
+    for table, key, shift in (("customer", "c", 0), ("supplier", "s", 80)):
+        keys = np.arange(800 if shift else 400)
+        rows = pd.DataFrame({f"{key}_{'supp' if shift else 'cust'}key": keys, f"{key}_acctbal": np.concatenate([at + shift, at - 70])[keys].round(2), f"{key}_nationkey": np.concatenate([nation, nation])[keys].astype("int32")})
+        rows.to_parquet(tmp_path / f"{table}.parquet")
+    for name in ("spatial_overlap_join", "overlap_of_wide_balls"):
+        got = catalog.QUERIES[name](spark, str(tmp_path)).toPandas()
+        con = duckdb.connect()
+        for table in ("customer", "supplier"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+        want = con.execute(catalog.ORACLES[name]).df()
+        assert sorted(zip(got.a, got.b)) == sorted(zip(want.a, want.b)), name

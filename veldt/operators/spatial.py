@@ -13,6 +13,8 @@ from veldt.operators.lineage import cut
 
 #: A ball goes to at most so many cells of a level; wider ones go to the next, coarser level.
 SPREAD = 4
+#: Part of its radius, and of its coordinates, by which a ball is taken for wider when cells are looked up.
+RIM = 1e-12
 #: Points that a query meets in its own cell, on average over queries and points; in more crowded grids cells are narrowed.
 CROWD = 8
 #: No cell is narrower than this part of the largest coordinate, so that rounding moves no point by more than a millionth of a cell; distances below this part of a cell's width are surely within its neighbours.
@@ -22,8 +24,10 @@ FINEST, SURE = 1e-9, 1 - 1e-6
 def overlapping_pairs(left: DataFrame, right: DataFrame, axes: list[str], cell: float, key: str = "id", radius: str = "r", test: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(left key, right key) of balls that touch: balls go to the grid cells they cover, meet by cell, and count once.
 
-    A pair is kept only in the smallest cell that both cover, so no distinct is needed. Balls
-    wider than SPREAD cells aren't spread over fine cells: both sides meet again on the level
+    A pair is kept only in the smallest cell that both cover, so no distinct is needed. Cells
+    are looked up for balls wider by RIM, so that rounding parts none that touch at the rim; the
+    test itself is on the given radii, whose sum is squared in their own type (decimals exactly).
+    Balls wider than SPREAD cells aren't spread over fine cells: both sides meet again on the level
     of the wider one, cells of which are 4 ** level times as wide. test(a, b), on the keys, replaces
     nothing: it is a further test of pairs whose balls touch.
     """
@@ -32,6 +36,10 @@ def overlapping_pairs(left: DataFrame, right: DataFrame, axes: list[str], cell:
         width = F.greatest(F.col(radius) * 2 / (SPREAD * cell), F.lit(1.0))
         return df.select(F.col(key).alias(name), *[F.col(x).alias(f"{x}{tail}") for x in axes], F.col(radius).alias(r), F.ceil(F.log(4.0, width) - 1e-9).cast("int").alias(f"level{tail}"))
 
+    def edge(x: str, tail: str, r: str, side: int, size: float) -> Column:
+        at = F.col(f"{x}{tail}").cast("double")
+        return F.floor((at + side * (F.col(r).cast("double") * (1 + RIM) + F.abs(at) * RIM)) / size)
+
     a, b = levelled(left, "a", "", "ra"), levelled(right, "b", "2", "rb")
     tops = [df.agg(F.max(c)).first()[0] for df, c in ((a, "level"), (b, "level2"))]
     if None in tops:
@@ -41,11 +49,11 @@ def overlapping_pairs(left: DataFrame, right: DataFrame, axes: list[str], cell:
         size = cell * 4.0**level
         one, two = a.where(F.col("level") <= level), b.where(F.col("level2") <= level)
         for x in axes:
-            one = one.withColumn(f"_c{x}", F.explode(F.sequence(*(F.floor((F.col(x) + s * F.col("ra")) / size) for s in (-1, 1)))))
-            two = two.withColumn(f"_c{x}", F.explode(F.sequence(*(F.floor((F.col(f"{x}2") + s * F.col("rb")) / size) for s in (-1, 1)))))
+            one = one.withColumn(f"_c{x}", F.explode(F.sequence(*(edge(x, "", "ra", s, size) for s in (-1, 1)))))
+            two = two.withColumn(f"_c{x}", F.explode(F.sequence(*(edge(x, "2", "rb", s, size) for s in (-1, 1)))))
         joined = one.join(two, [f"_c{x}" for x in axes]).where(F.greatest("level", "level2") == level)
         gap = reduce(lambda s, t: s + t, [(F.col(x) - F.col(f"{x}2")) * (F.col(x) - F.col(f"{x}2")) for x in axes])
-        first = reduce(lambda s, t: s & t, [F.col(f"_c{x}") == F.greatest(F.floor((F.col(x) - F.col("ra")) / size), F.floor((F.col(f"{x}2") - F.col("rb")) / size)) for x in axes])
+        first = reduce(lambda s, t: s & t, [F.col(f"_c{x}") == F.greatest(edge(x, "", "ra", -1, size), edge(x, "2", "rb", -1, size)) for x in axes])
         found = joined.where(first & (gap <= (F.col("ra") + F.col("rb")) * (F.col("ra") + F.col("rb")))).select("a", "b")
         out = found if out is None else out.unionByName(found)
     return out if test is None else out.where(test(F.col("a"), F.col("b")))

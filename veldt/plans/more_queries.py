@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -673,9 +674,9 @@ def balls_about_a_point(s, d):
 @query("overlap_of_wide_balls", "WITH c AS (SELECT c_custkey AS id, c_acctbal / 100 AS x, CAST(c_nationkey AS DOUBLE) AS y, CASE WHEN c_custkey % 50 = 0 THEN 20.0 ELSE 0.2 END AS r FROM customer), s AS (SELECT s_suppkey AS id, s_acctbal / 100 AS x, CAST(s_nationkey AS DOUBLE) AS y, 0.5 AS r FROM supplier) SELECT c.id AS a, s.id AS b FROM c JOIN s ON (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) <= (c.r + s.r) * (c.r + s.r)")
 def overlap_of_wide_balls(s, d):
     """Balls of very different widths: wide ones go to coarse cells."""
-    r = F.when(F.col("c_custkey") % 50 == 0, 20.0).otherwise(0.2)
+    r = F.when(F.col("c_custkey") % 50 == 0, Decimal("20.0")).otherwise(Decimal("0.2"))
     c = table(s, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 100).alias("x"), F.col("c_nationkey").cast("double").alias("y"), r.alias("r"))
-    t = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 100).alias("x"), F.col("s_nationkey").cast("double").alias("y"), F.lit(0.5).alias("r"))
+    t = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 100).alias("x"), F.col("s_nationkey").cast("double").alias("y"), F.lit(Decimal("0.5")).alias("r"))
     return spatial.overlapping_pairs(c, t, ["x", "y"], 0.5)
 
 

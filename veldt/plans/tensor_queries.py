@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -155,8 +157,9 @@ def _points(s, d, name, key, a, b):
 
 @query("spatial_overlap_join", "WITH c AS (SELECT c_custkey AS id, c_acctbal / 100 AS x, CAST(c_nationkey AS DOUBLE) AS y, 0.3 AS r FROM customer), s AS (SELECT s_suppkey AS id, s_acctbal / 100 AS x, CAST(s_nationkey AS DOUBLE) AS y, 0.5 AS r FROM supplier) SELECT c.id AS a, s.id AS b FROM c JOIN s ON (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) <= (c.r + s.r) * (c.r + s.r)")
 def spatial_overlap_join(s, d):
-    c = table(s, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 100).alias("x"), F.col("c_nationkey").cast("double").alias("y"), F.lit(0.3).alias("r"))
-    t = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 100).alias("x"), F.col("s_nationkey").cast("double").alias("y"), F.lit(0.5).alias("r"))
+    """Radii are decimals, as in the SQL: the square of their sum is 0.64, that of the doubles a little more."""
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 100).alias("x"), F.col("c_nationkey").cast("double").alias("y"), F.lit(Decimal("0.3")).alias("r"))
+    t = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 100).alias("x"), F.col("s_nationkey").cast("double").alias("y"), F.lit(Decimal("0.5")).alias("r"))
     return spatial.overlapping_pairs(c, t, ["x", "y"], 1.0)
 
 
