@@ -324,8 +324,8 @@ def test_wide_balls(spark):
     assert some == sum(a < b for a, b in want)
 
 
-def joined_rows(spark, action):
-    """Rows that the joins of the action's jobs made."""
+def joined_rows(spark, action, node_name="Join", metric="number of output rows"):
+    """Rows that the joins of the action's jobs made, or another sum over nodes of a kind."""
     store = spark._jsparkSession.sharedState().statusStore()
     before = store.executionsCount()
     result = action()
@@ -334,8 +334,8 @@ def joined_rows(spark, action):
     for run in (runs.apply(n).executionId() for n in range(before, runs.size())):
         nodes, found = store.planGraph(run).allNodes(), store.executionMetrics(run)
         for node in (nodes.apply(n) for n in range(nodes.size())):
-            metrics = [node.metrics().apply(n) for n in range(node.metrics().size())] if "Join" in node.name() else []
-            total += sum(int(found.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and found.contains(m.accumulatorId()))
+            metrics = [node.metrics().apply(n) for n in range(node.metrics().size())] if node_name in node.name() else []
+            total += sum(int(found.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == metric and found.contains(m.accumulatorId()))
     return result, total
 
 
@@ -373,6 +373,32 @@ def test_nearest_in_a_crowded_cell(spark):
     assert spatial.nearest(lost, right, ["x", "y"], 4.0).count() == len(p)
 
 
+def test_nearest_shuffles_no_queries(spark):
+    """With different places, too: queries meet the listed points of their cells where they lie; only their keys are dealt out, once."""
+    rng = np.random.default_rng(3)
+    p, q = (pd.DataFrame({"id": np.arange(n), "x": rng.uniform(-10, 100, n).round(2), "y": rng.integers(0, 25, n).astype(float)}) for n in (20_000, 1_000))
+    got, dealt = joined_rows(spark, lambda: spatial.nearest(spark.createDataFrame(p), spark.createDataFrame(q), ["x", "y"], 4.0).collect(), "Exchange", "shuffle records written")
+    dist = np.sqrt((p.x.values[:, None] - q.x.values) ** 2 + (p.y.values[:, None] - q.y.values) ** 2)
+    assert {r["a"]: (r["b"], r["distance"]) for r in got} == {k: (b, dist[k, b]) for k, b in enumerate(dist.argmin(axis=1))} and len(got) == len(p)
+    assert dealt < 3 * len(p)
+
+
+@pytest.mark.parametrize("limits", [{"HELD": 0}, {"CROWDED": 30, "CROWD": 50}])
+def test_nearest_by_any_way(spark, monkeypatch, limits):
+    """Broadcast or shuffled, in cells crowded or not: the nearest, ties to the smallest key; one row for a key of several rows."""
+    for name, n in limits.items():
+        monkeypatch.setattr(spatial, name, n)
+    rng = np.random.default_rng(4)
+    xy = np.vstack([rng.normal(6, 0.3, (100, 2)), rng.integers(-30, 30, (300, 2)), [[60.0, 9.0], [20.0, -70.0]]])
+    uv = np.vstack([rng.normal(6, 0.3, (100, 2)), rng.integers(-30, 30, (400, 2)) + 0.5])
+    left = pd.DataFrame({"id": [k % 400 for k in range(len(xy))], "x": xy[:, 0], "y": xy[:, 1]})
+    right = pd.DataFrame({"id": rng.permutation(len(uv)), "x": uv[:, 0], "y": uv[:, 1]}).sort_values("id")
+    dist = np.sqrt((left.x.values[:, None] - right.x.values) ** 2 + (left.y.values[:, None] - right.y.values) ** 2)
+    dist[:2], dist[400:] = np.minimum(dist[:2], dist[400:]), np.inf
+    got = spatial.nearest(spark.createDataFrame(left), spark.createDataFrame(right), ["x", "y"], 4.0).collect()
+    assert {r["a"]: (r["b"], r["distance"]) for r in got} == {k: (right.id.values[b], dist[k, b]) for k, b in enumerate(dist[:400].argmin(axis=1))} and len(got) == 400
+
+
 def test_salted_product_is_never_broadcast(spark, sf, tmp_path):
     """The copies of the right side are eight times what Spark takes them for; repeated entries are added up."""
     rows = [(int(i), int(k), float(v)) for i, k, v in zip(RNG.integers(0, 9, 400), RNG.integers(0, 5, 400), RNG.integers(-4, 5, 400))]
